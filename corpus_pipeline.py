@@ -1,10 +1,73 @@
-"""Stages from raw documents to packed sequences."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.llm import language_id, line_dedup, packing, simhash, toxicity
+from spanloom.llm.common import held_out, shared_folder
+
+_WORD_LEFT = r"[^\x20\x09-\x0D]"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language can be told, each under the predicted one; those without a letter go."""
+    profiles = language_id.train(docs, ~held_out(F.col("doc_id")))
+    return language_id.relabel(docs, profiles).where(F.col("lang") != language_id.UNDETERMINED)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the toxicity model doesn't predict as toxic."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id")))
+    return toxicity.keep_clean(docs, model)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later repeated runs of lines; a document of which no word is left was a repetition itself and goes."""
+    done = line_dedup.dedup_lines(docs)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(_WORD_LEFT)
+    columns = [F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return done.where(~F.coalesce(emptied, F.lit(False))).select(*columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group: the one of smallest doc_id."""
+    return simhash.keep_representatives(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of at most 2,048 ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Trained models, fingerprints and packing can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to the documents of a folder, each over what the one before wrote."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    at = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{at}/{k}-{name}")
+        docs = spark.read.parquet(f"{at}/{k}-{name}")
+    return docs

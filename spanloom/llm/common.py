@@ -37,12 +37,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and the executors share for intermediate tables."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df reliably in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def extend_rows(df: DataFrame, column: str, init: Callable[[], Callable[[list], list]], name: str, kind: str) -> DataFrame:
+    """df with a column computed by a Python kernel from one other, over Arrow batches; df's own columns pass unchanged.
+
+    init() is called once per task and returns a function from a list of values to a list of results.
+    """
+    ensure_importable(df.sparkSession)
+    out = T.StructType([*df.schema.fields, *T._parse_datatype_string(f"`{name}` {kind}").fields])
+    arrow = to_arrow_schema(T._parse_datatype_string(f"x {kind}")).field(0).type
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = init()
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(k, ROWS_AT_ONCE)
+                made = pa.array(kernel(part.column(at).to_pylist()), type=arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=out.names)
+
+    return df.mapInArrow(run, out)
+
+
 def map_rows(df: DataFrame, columns: list[str | Column], init: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
     """Run a Python kernel over Arrow batches.
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.llm.common import ensure_importable, held_out, map_rows
+from spanloom.llm.common import ensure_importable, extend_rows, held_out, map_rows
 
 #: n-grams of a document that are compared, and of a language that are kept.
 DOCUMENT_GRAMS, PROFILE_GRAMS = 300, 600
@@ -132,6 +132,16 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], init, "doc_id long, lang_pred string, score double")
 
 
+def relabel(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """docs with lang replaced by the predicted language; every other column and every row as it was."""
+
+    def init() -> Callable:
+        return lambda texts: [profiles.predict(t)[0] for t in texts]
+
+    found = extend_rows(docs, "text", init, "_lang_pred", "string")
+    return found.select(*(F.col("_lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
+
+
 def train_and_identify(docs: DataFrame) -> DataFrame:
     """Learn from the rows that aren't held out and predict all: doc_id, held_out, lang_pred, score."""
     found = identify(docs, train(docs, ~held_out(F.col("doc_id"))))

@@ -163,3 +163,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return each.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, of smallest doc_id in their near-duplicate group.
+
+    Rows that repeat a doc_id are one document, of which any row stays. Of a group without any
+    doc_id but null, one row with a null doc_id stays.
+    """
+    found = near_duplicates(docs)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
+    joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept_id")))
+    # Only ids that rows repeat are gathered whole.
+    repeated = joined.where("_rows > 1").dropDuplicates(["doc_id"])
+    return joined.where("_rows = 1").unionByName(repeated).select(*(f"`{c}`" for c in docs.columns))

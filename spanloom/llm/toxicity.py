@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import boosting
-from spanloom.llm.common import cut, held_out, map_rows
+from spanloom.llm.common import cut, extend_rows, held_out, map_rows
 
 #: Bound of the training sample: about so many labelled documents, picked by a hash of their id.
 TRAINING_DOCUMENTS = 20_000
@@ -218,6 +218,15 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return map_rows(docs, ["doc_id", "text"], init, "doc_id long, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text scores under the threshold."""
+
+    def init() -> Callable:
+        return lambda texts: [bool(s < threshold) for s in model.score(texts)]
+
+    return extend_rows(docs, "text", init, "_clean", "boolean").where("_clean").drop("_clean")
+
+
 def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labels that aren't held out and score all: doc_id, held_out, score, predicted."""
     found = score(docs, train(docs, labels, ~held_out(F.col("doc_id"))))
