@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, language_id, line_dedup, nearest, packing, quality_rules, simhash, token_counts, toxicity
+from spanloom.llm import bpe, language_id, license_scan, line_dedup, nearest, packing, quality_rules, simhash, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.train_and_identify(_documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_scan": op1_adaptive_scan,
+    "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
