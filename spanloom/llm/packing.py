@@ -26,15 +26,20 @@ from spanloom.llm.common import cut, ensure_importable, map_rows
 from spanloom.llm.pretokens import BEYOND, LETTERS, NUMBERS, SPACES
 
 CAPACITY = 2048
-#: Words that a Python worker remembers.
+#: Words that a Python worker remembers; when half are new, those not met since go.
 MEMO_ENTRIES = 400_000
 #: Groups that the pieces of one length are numbered in, so that a very frequent length isn't one task's.
 RANK_GROUPS = 1024
 
 # Fixed value: how the vocabulary splits normalised text.
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+".format(L=LETTERS, N=NUMBERS, S=SPACES))
-#: Characters that change their composition or class under the normaliser: such texts go to the library whole.
-_UNUSUAL = re.compile(BEYOND.pattern + "|İ|<\\|")
+#: New words that the library gets as one text.
+WORDS_AT_ONCE = 512
+
+
+def _unusual(text: str) -> bool:
+    """Whether the normaliser may change a text's composition or classes, or a special string is in it: such texts go to the library whole."""
+    return bool(BEYOND.search(text)) or "İ" in text or "<|" in text
 
 
 class WordEncoder:
@@ -46,24 +51,52 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # Words are normalised and split already, and each is new: the same model without those steps or its cache.
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words.model._resize_cache(0)
+        ids = self.library.get_vocab()
+        self.ends_word = np.zeros(max(ids.values(), default=0) + 1, dtype=bool)
+        self.ends_word[[i for token, i in ids.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        self.old: dict[str, bytes] = {}
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: words are encoded side by side, and the token that ends a word tells them apart."""
+        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words) or (len(ids) and ends[-1] != len(ids)):
+            return [self._library(w).tobytes() for w in words]
+        data, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        known, old = self.known, self.old
+        new = []
+        for w in words:
+            if (ids := old.get(w)) is not None:
+                known[w] = ids
+            else:
+                new.append(w)
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at : at + WORDS_AT_ONCE]
+            known.update(zip(part, self._encode_words(part), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known = self.known
-        split = [None if _UNUSUAL.search(t) else _WORDS.findall(t.lower()) for t in texts]
-        new = list(set().union(*(w for w in split if w)).difference(known))
-        if len(known) + len(new) > MEMO_ENTRIES:
-            known.clear()
-            new = list(set().union(*(w for w in split if w)))
-        known.update(zip(new, self._library(new), strict=True))
-        return [self._library([t])[0] if w is None else b"".join([known[x] for x in w]) for t, w in zip(texts, split, strict=True)]
+        if len(self.known) >= MEMO_ENTRIES // 2:
+            self.known, self.old = {}, self.known
+        split = [None if _unusual(t) else _WORDS.findall(t.lower()) for t in texts]
+        self._learn(set().union(*(w for w in split if w)).difference(self.known))
+        get = self.known.__getitem__
+        return [self._library(t).tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
