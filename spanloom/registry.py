@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from spanloom.queries import streams
+
+_GROUPS = (streams,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for g in _GROUPS for k, v in g.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for g in _GROUPS for k, v in g.ORACLE_SQL.items()}
