@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: a lambda's variable is never inlined."""
+    return F.transform(F.array(value), body)[0]
+
+
 def first_bad_sample(samples: Column) -> Column:
     """Index of the first sample that isn't finite, else null."""
     bad = lambda s: s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))
@@ -13,17 +20,22 @@ def first_bad_sample(samples: Column) -> Column:
     return F.when(at > 0, at - 1)
 
 
+def _shifted_log_sum(frame: Column, top: Column) -> Column:
+    return F.log(F.aggregate(frame, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top)))
+
+
 def log_sum_exp(frame: Column) -> Column:
     """log of the summed exponentials, in double, with the largest shifted out first."""
-    top = F.array_max(frame).cast("double")
-    return top + F.log(F.aggregate(frame, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top)))
+    return let(F.array_max(frame).cast("double"), lambda top: top + _shifted_log_sum(frame, top))
 
 
 def log_softmax(frame: Column) -> Column:
     """Log-probabilities of a frame of logits: the shift comes first, so a large common offset does no harm; null if a logit isn't finite."""
-    top = F.array_max(frame).cast("double")
-    rest = F.log(F.aggregate(frame, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top)))
-    return F.when(first_bad_sample(frame).isNull(), F.transform(frame, lambda x: ((x.cast("double") - top) - rest).cast("float")))
+
+    def of_top(top: Column) -> Column:
+        return let(_shifted_log_sum(frame, top), lambda rest: F.transform(frame, lambda x: ((x.cast("double") - top) - rest).cast("float")))
+
+    return F.when(first_bad_sample(frame).isNull(), let(F.array_max(frame).cast("double"), of_top))
 
 
 def best_nonblank(frame: Column, blank: int) -> Column:
@@ -38,19 +50,24 @@ def bad_log_prob(frame: Column) -> Column:
     return F.get(marked, F.lit(0))
 
 
+def _moments(samples: Column) -> Column:
+    """Struct (mean, var): the population's, in double."""
+    n = F.size(samples)
+    total = lambda f: F.aggregate(samples, F.lit(0.0), lambda a, x: a + f(x.cast("double")))
+    mean = lambda m: F.struct(m.alias("mean"), (total(lambda x: (x - m) * (x - m)) / n).alias("var"))
+    return let(total(lambda x: x) / n, mean)
+
+
 def standardize(samples: Column, epsilon: float = 1e-7) -> Column:
     """Samples with zero mean and unit variance, accumulated in double."""
-    n = F.size(samples)
-    mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double")) / n
-    var = F.aggregate(samples, F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") - mean, F.lit(2.0))) / n
-    return F.transform(samples, lambda x: ((x.cast("double") - mean) / F.sqrt(var + epsilon)).cast("float"))
+    scaled = lambda m: F.transform(samples, lambda x: ((x.cast("double") - m["mean"]) / F.sqrt(m["var"] + epsilon)).cast("float"))
+    return let(_moments(samples), scaled)
 
 
 def standardize_masked(samples: Column, spans: Column, epsilon: float = 1e-7) -> Column:
     """As standardize, by the samples inside the spans alone; the others become zero."""
     inside = lambda i: F.exists(spans, lambda p: (i >= p["start"]) & (i < p["end"]))
-    kept = F.filter(samples, lambda x, i: inside(i))
-    n = F.size(kept)
-    mean = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x.cast("double")) / n
-    var = F.aggregate(kept, F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") - mean, F.lit(2.0))) / n
-    return F.transform(samples, lambda x, i: F.when(inside(i), ((x.cast("double") - mean) / F.sqrt(var + epsilon)).cast("float")).otherwise(F.lit(0.0).cast("float")))
+    scaled = lambda m: F.transform(
+        samples, lambda x, i: F.when(inside(i), ((x.cast("double") - m["mean"]) / F.sqrt(m["var"] + epsilon)).cast("float")).otherwise(F.lit(0.0).cast("float"))
+    )
+    return let(let(F.filter(samples, lambda x, i: inside(i)), _moments), scaled)
