@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanloom.functions.numeric import let
+
 # Unicode's White_Space, as the inside of a character class that Java and RE2 both read.
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # Punctuation that is stripped from the edges of a Latin word.
@@ -36,20 +38,24 @@ def latin_words(text: Column, clitics: bool = False) -> Column:
     def of_token(token: Column) -> Column:
         if not clitics:
             return of_piece(token, F.lit(False))
-        pieces = _nonempty(F.split(token, r"(?<=['\x{2019}])"))
-        return F.flatten(F.transform(pieces, lambda p, i: of_piece(p, i < F.size(pieces) - 1)))
+        each = lambda pieces: F.flatten(F.transform(pieces, lambda p, i: of_piece(p, i < F.size(pieces) - 1)))
+        return let(_nonempty(F.split(token, r"(?<=['\x{2019}])")), each)
 
     def of_piece(piece: Column, left_only: Column) -> Column:
-        left = F.regexp_replace(piece, f"^[{EDGE}]+", "")
-        bare = F.when(left_only, left).otherwise(F.regexp_replace(left, f"[{EDGE}]+$", ""))
-        prefix = F.when(left_only, 0).otherwise(F.length(piece) - F.length(left))
-        suffix = F.when(left_only, 0).otherwise(F.length(left) - F.length(bare))
-        parts = _nonempty(F.split(bare, f"[{JOINS}]"))
-        several = bare.rlike(f"[{JOINS}]")
-        word = lambda w, surface, a, b: F.struct(F.lower(w).alias("word"), surface.alias("surface"), a.cast("int").alias("prefix"), b.cast("int").alias("suffix"))
-        split = F.transform(parts, lambda p, i: word(p, p, F.when(i == 0, prefix).otherwise(0), F.when(i == F.size(parts) - 1, suffix).otherwise(0)))
-        whole = F.array(word(bare, piece, prefix, suffix))
-        return F.when(F.length(bare) == 0, F.array().cast(WORDS)).when(several, split).otherwise(whole)
+        word = lambda w, surface, before, after: F.struct(F.lower(w).alias("word"), surface.alias("surface"), before.cast("int").alias("prefix"), after.cast("int").alias("suffix"))
+
+        def of_left(left: Column) -> Column:
+            return let(F.when(left_only, left).otherwise(F.regexp_replace(left, f"[{EDGE}]+$", "")), lambda bare: of_bare(left, bare))
+
+        def of_bare(left: Column, bare: Column) -> Column:
+            prefix = F.when(left_only, 0).otherwise(F.length(piece) - F.length(left))
+            suffix = F.when(left_only, 0).otherwise(F.length(left) - F.length(bare))
+            several = bare.rlike(f"[{JOINS}]")
+            cut = lambda parts: F.transform(parts, lambda p, i: word(p, p, F.when(i == 0, prefix).otherwise(0), F.when(i == F.size(parts) - 1, suffix).otherwise(0)))
+            split = let(_nonempty(F.split(bare, f"[{JOINS}]")), cut)
+            return F.when(F.length(bare) == 0, F.array().cast(WORDS)).when(several, split).otherwise(F.array(word(bare, piece, prefix, suffix)))
+
+        return let(F.regexp_replace(piece, f"^[{EDGE}]+", ""), of_left)
 
     return F.flatten(F.transform(tokens, of_token))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.numeric import let
+
 INTERNAL_PUNCT = "."
 POLICIES = ("default", "wildcard_all", "fail_all")
 
@@ -81,20 +83,19 @@ def tokenize(words: Column, ids: Column, uppercase: bool, delimiter: int | None,
 
     status is semantic_oov, and there are no tokens, if the policy fails any event.
     """
-    steps = _walk(words, ids, uppercase)
-    failed = F.exists(F.flatten(steps), lambda s: s["kind"].isNotNull() & (decide(s["kind"], s["ch"], policy) == "fail_closed"))
     pair = lambda i, w: F.struct(i.cast("int").alias("id"), w.cast("int").alias("word"))
-    group = F.transform(steps, lambda s, w: F.transform(s, lambda x: pair(F.coalesce(x["id"], F.lit(-1)), w)))
-    full = F.filter(group, lambda g: F.size(g) > 0)
-    if delimiter is not None:
-        between = F.array(pair(F.lit(delimiter), F.lit(None)))
-        full = F.transform(full, lambda g, i: F.when(i == 0, g).otherwise(F.concat(between, g)))
-    flat = F.when(failed, F.array().cast("array<struct<id:int,word:int>>")).otherwise(F.flatten(full))
-    return F.struct(
-        F.when(failed, "semantic_oov").otherwise("ok").alias("status"),
-        F.transform(flat, lambda p: p["id"]).alias("token_ids"),
-        F.transform(flat, lambda p: p["word"]).alias("word_idx"),
-    )
+
+    def of_steps(steps: Column) -> Column:
+        failed = F.exists(F.flatten(steps), lambda s: s["kind"].isNotNull() & (decide(s["kind"], s["ch"], policy) == "fail_closed"))
+        group = F.transform(steps, lambda s, w: F.transform(s, lambda x: pair(F.coalesce(x["id"], F.lit(-1)), w)))
+        full = F.filter(group, lambda g: F.size(g) > 0)
+        if delimiter is not None:
+            between = F.array(pair(F.lit(delimiter), F.lit(None)))
+            full = F.transform(full, lambda g, i: F.when(i == 0, g).otherwise(F.concat(between, g)))
+        flat = F.when(failed, F.array().cast("array<struct<id:int,word:int>>")).otherwise(F.flatten(full))
+        return let(flat, lambda f: F.struct(F.when(failed, "semantic_oov").otherwise("ok").alias("status"), F.transform(f, lambda p: p["id"]).alias("token_ids"), F.transform(f, lambda p: p["word"]).alias("word_idx")))
+
+    return let(_walk(words, ids, uppercase), of_steps)
 
 
 def match_decisions(events: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.queries import alignment, streams
+from spanloom.queries import alignment, language, streams
 
-_GROUPS = (streams, alignment)
+_GROUPS = (streams, alignment, language)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for g in _GROUPS for k, v in g.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for g in _GROUPS for k, v in g.ORACLE_SQL.items()}
