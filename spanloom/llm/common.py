@@ -49,6 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def extend_rows(df: DataFrame, column: str, init: Callable[[], Callable[[list], list]], name: str, kind: str) -> DataFrame:
     """df with a column computed by a Python kernel from one other, over Arrow batches; df's own columns pass unchanged.
 

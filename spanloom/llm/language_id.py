@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.llm.common import ensure_importable, extend_rows, held_out, map_rows
+from spanloom.llm.common import ensure_importable, extend_rows, fresh, held_out, map_rows
 
 #: n-grams of a document that are compared, and of a language that are kept.
 DOCUMENT_GRAMS, PROFILE_GRAMS = 300, 600
@@ -138,8 +138,9 @@ def relabel(docs: DataFrame, profiles: Profiles) -> DataFrame:
     def init() -> Callable:
         return lambda texts: [profiles.predict(t)[0] for t in texts]
 
-    found = extend_rows(docs, "text", init, "_lang_pred", "string")
-    return found.select(*(F.col("_lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
+    name = fresh(docs, "lang_pred")
+    found = extend_rows(docs, "text", init, name, "string")
+    return found.select(*(F.col(f"`{name}`").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def train_and_identify(docs: DataFrame) -> DataFrame:

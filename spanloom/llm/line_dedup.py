@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import fresh
 from spanloom.llm.quality_rules import let
 
 #: Lines of the shortest run that is always found, and words of a line that is found alone.
@@ -63,19 +64,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Null texts stay null and have no lines; lines without a word are never counted as repeated and
     stay. Rows that agree in doc_id and text are one document and keep the same lines; those that
     agree in doc_id alone are ordered by a hash of their text, null ids first. An empty table gives
-    none. docs may not have columns named n_lines or n_removed; others are carried along.
+    none. Other columns are carried along; own columns named n_lines or n_removed are replaced.
     """
-    gone = repeated_lines(docs).withColumnsRenamed({"doc_id": "_gone_id", "key": "_gone_key"}).hint("shuffle_hash")
-    keyed = docs.withColumn("_key", _text_key(F.col("text")))
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left")
+    docs = docs.drop("n_lines", "n_removed")
+    gone_id, gone_key, key, gone = (fresh(docs, name) for name in ("gone_id", "gone_key", "key", "gone"))
+    lines_gone = repeated_lines(docs).select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key), F.col("gone").alias(gone)).hint("shuffle_hash")
+    keyed = docs.withColumn(key, _text_key(F.col("text")))
+    joined = keyed.join(lines_gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left")
 
     def rest(lines: Column) -> Column:
-        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i)), "\n")
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i)), "\n")
 
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(_split(F.col("text")), rest))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(let(_split(F.col("text")), rest))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_split(F.col("text"))))
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*columns, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
@@ -92,11 +95,13 @@ WITH raw AS (
   SELECT doc_id, i - 1 AS line, parts[i] AS body FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM raw)
 ), worded AS (
   SELECT doc_id, line, body, lead(body) OVER w AS next_body, lead(line) OVER w AS next_line
-  FROM numbered WHERE regexp_matches(body, '[^ 	-]') WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+  FROM numbered WHERE regexp_matches(body, '[^ 	-
+]') WINDOW w AS (PARTITION BY doc_id ORDER BY line)
 ), units AS (
   SELECT doc_id, line, body AS a, next_body AS b, [line, next_line] AS held FROM worded WHERE next_body IS NOT NULL
   UNION ALL
-  SELECT doc_id, line, body, NULL, [line] FROM worded WHERE len(regexp_extract_all(body, '[^ 	-]+')) >= {LONG_LINE}
+  SELECT doc_id, line, body, NULL, [line] FROM worded WHERE len(regexp_extract_all(body, '[^ 	-
+]+')) >= {LONG_LINE}
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, line) AS nth FROM units
 ), gone AS (

@@ -152,3 +152,47 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         (~base_failed & (F.size(names) == 0)).alias("kept"),
         F.array_join(names, " ").alias("broken_rules"),
     )
+
+
+def _rule_sql(rule: Rule, expression: str) -> str:
+    sides = [f"{expression} {op} {x}::DOUBLE" for op, x in (("<", rule.least), (">", rule.most)) if x is not None]
+    return f"coalesce(({' OR '.join(sides)}) AND n_words >= {rule.min_words}, false)"
+
+
+_MEASURE_SQL = {
+    "n_words": "n_words",
+    "repeat_ratio": "n_repeat_words::DOUBLE / nullif(n_words, 0)",
+    "mean_word_chars": "word_chars::DOUBLE / nullif(n_words, 0)",
+    "symbol_ratio": "n_symbols::DOUBLE / nullif(word_chars, 0)",
+    "stop_word_ratio": "n_stop::DOUBLE / nullif(n_words, 0)",
+    "dup_line_ratio": "n_dup_lines::DOUBLE / nullif(n_lines, 0)",
+    "bullet_line_ratio": "n_bullets::DOUBLE / nullif(n_lines, 0)",
+    "ellipsis_line_ratio": "n_ellipses::DOUBLE / nullif(n_lines, 0)",
+}
+_WINDOW_SQL = "concat_ws(' ', w, " + ", ".join(f"lead(w, {k}) OVER o" for k in range(1, WINDOW)) + ")"
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)) + "]"
+#: The same verdicts, with windows compared word by word; doc_id is unique in the tables.
+RULES_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), placed AS (
+  SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM docs
+), starts AS (
+  SELECT doc_id, i, {_WINDOW_SQL} AS body, lead(w, {WINDOW - 1}) OVER o IS NOT NULL AS whole FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, body) AS times FROM starts WHERE whole
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM windows WHERE times > 1) GROUP BY doc_id
+), counts AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda w: len(w))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(body, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(list_filter(words, lambda w: list_contains({_STOP_SQL}, lower(w)))) AS n_stop,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣·]'))) AS n_bullets, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipses
+  FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    list_filter([{", ".join(f"CASE WHEN {_rule_sql(r, _MEASURE_SQL[r.measure])} THEN '{r.name}' END" for r in RULES)}], lambda x: x IS NOT NULL) AS names FROM counts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(names) = 0 AS kept, coalesce(array_to_string(names, ' '), '') AS broken_rules FROM judged
+"""

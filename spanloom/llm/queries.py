@@ -70,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.RULES_SQL,
     "op7_line_dedup": line_dedup.SUMMARY_SQL,
 }

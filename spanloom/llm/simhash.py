@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import cut, ensure_importable, map_rows
+from spanloom.llm.common import cut, ensure_importable, fresh, map_rows
 from spanloom.llm.components import connected_components
 
 #: Bits of each segment, from the lowest bit.
@@ -172,8 +172,9 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     doc_id but null, one row with a null doc_id stays.
     """
     found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
-    joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept_id")))
+    kept_id, rows = fresh(docs, "kept_id"), fresh(docs, "rows")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias(rows))
+    joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(kept_id)))
     # Only ids that rows repeat are gathered whole.
-    repeated = joined.where("_rows > 1").dropDuplicates(["doc_id"])
-    return joined.where("_rows = 1").unionByName(repeated).select(*(f"`{c}`" for c in docs.columns))
+    repeated = joined.where(F.col(rows) > 1).dropDuplicates(["doc_id"])
+    return joined.where(F.col(rows) == 1).unionByName(repeated).select(*(f"`{c}`" for c in docs.columns))

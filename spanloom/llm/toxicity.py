@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import boosting
-from spanloom.llm.common import cut, extend_rows, held_out, map_rows
+from spanloom.llm.common import cut, extend_rows, fresh, held_out, map_rows
 
 #: Bound of the training sample: about so many labelled documents, picked by a hash of their id.
 TRAINING_DOCUMENTS = 20_000
@@ -224,7 +224,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     def init() -> Callable:
         return lambda texts: [bool(s < threshold) for s in model.score(texts)]
 
-    return extend_rows(docs, "text", init, "_clean", "boolean").where("_clean").drop("_clean")
+    name = fresh(docs, "clean")
+    return extend_rows(docs, "text", init, name, "boolean").where(F.col(f"`{name}`")).drop(name)
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
