@@ -8,8 +8,11 @@ from pyspark.sql.window import Window
 
 from spanloom.functions import clock
 from spanloom.operators import cut, ingest, intervals
+from spanloom.operators.cut import CHUNKS
 from spanloom.operators.validate import would_accept
+from spanloom.plans.shared import shared_folder
 from spanloom.queries.fixtures import FRAME, GAP, LIMIT, SPANS_SQL, spans, table
+from spanloom.streaming.cutter import cut_stream
 
 
 def w1_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,11 +195,27 @@ SELECT clip_id, day, CAST(sum(CASE WHEN speech THEN n ELSE 0 END) AS BIGINT) AS
   round(CAST(CAST(sum(CASE WHEN speech THEN n ELSE 0 END)::DOUBLE / sum(n) AS FLOAT) AS DOUBLE), 6) AS coverage, max(CASE WHEN speech THEN 0 ELSE n END) AS longest_silence
 FROM lengths GROUP BY clip_id, day"""
 
+def t3_stream_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut as a streaming query over the events' file, to its end: chunks that closed; each stream's last one is still open."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
+    start = F.call_function("div", micros * 16, F.lit(1000).cast("bigint"))
+    end = start + F.round(F.col("value") * 100).cast("bigint") * (16_000 * 6)
+    rows = source.select(F.col("user_id").alias("stream_id"), (micros * 1_000_000 + F.col("event_id")).alias("seq"), start.alias("start_sample"), end.alias("end_sample"))
+    at = shared_folder(spark, "stream-cut")
+    query = cut_stream(rows, LIMIT, GAP).writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(CHUNKS).parquet(f"{at}/out").select("stream_id", "chunk_id", "start_sample", "end_sample")
+
+
+T3_SQL = f"SELECT stream_id, chunk_id, start_sample, end_sample FROM ({W1_SQL}) QUALIFY chunk_id < max(chunk_id) OVER (PARTITION BY stream_id)"
+
 QUERIES = {
-    "w1_cut": w1_cut, "r2_span_outcomes": r2_span_outcomes, "w8_hard_split": w8_hard_split, "r1_append_packets": r1_append_packets, "p1_sample_to_pts": p1_sample_to_pts,
+    "w1_cut": w1_cut, "t3_stream_cut": t3_stream_cut, "r2_span_outcomes": r2_span_outcomes, "w8_hard_split": w8_hard_split, "r1_append_packets": r1_append_packets, "p1_sample_to_pts": p1_sample_to_pts,
     "p5_would_accept": p5_would_accept, "o4_interval_union": o4_interval_union, "j9_interval_clip": j9_interval_clip, "j7_speech_frames": j7_speech_frames, "w5_frame_runs": w5_frame_runs,
 }
 ORACLE_SQL = {
+    "t3_stream_cut": T3_SQL,
     "w1_cut": W1_SQL, "r2_span_outcomes": R2_SQL, "w8_hard_split": W8_SQL, "r1_append_packets": R1_SQL, "p1_sample_to_pts": P1_SQL,
     "p5_would_accept": P5_SQL, "o4_interval_union": O4_SQL, "j9_interval_clip": J9_SQL, "j7_speech_frames": J7_SQL, "w5_frame_runs": W5_SQL,
 }
