@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import fresh
+from spanloom.llm.common import cut, fresh
 from spanloom.llm.quality_rules import let
 
 #: Lines of the shortest run that is always found, and words of a line that is found alone.
@@ -50,10 +50,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     numbered = F.transform(_split(F.col("text")), lambda x, i: F.when(x.rlike(_HAS_WORD), F.struct(F.xxhash64(x).alias("h"), x.rlike(_LONG).alias("long"), i.alias("at"))))
     lines = F.filter(numbered, lambda x: x.isNotNull())
     units = docs.select("doc_id", _text_key(F.col("text")).alias("key"), F.explode(let(lines, _units)).alias("u")).select("doc_id", "key", "u.*")
-    shared = units.groupBy("fp").agg(F.count("*").alias("places")).where("places > 1").select("fp")
+    # Kept apart from the joins below, so that Spark may split a frequent line's side of them.
+    shared = cut(units.groupBy("fp").agg(F.count("*").alias("places")).where("places > 1").select("fp"))
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "key", F.get("at", F.lit(0)).alias("line"))
     candidates = units.join(shared, "fp", "left_semi").select("doc_id", "key", "run", F.size("at").alias("n"), "at", place.alias("place"))
-    first = candidates.groupBy("run", "n").agg(F.min("place").alias("first"), F.count("*").alias("places")).where("places > 1").drop("places")
+    first = cut(candidates.groupBy("run", "n").agg(F.min("place").alias("first"), F.count("*").alias("places")).where("places > 1").drop("places"))
     later = candidates.join(first, ["run", "n"]).where("place > first")
     return later.select("doc_id", "key", F.explode("at").alias("line")).groupBy("doc_id", "key").agg(F.collect_set("line").alias("gone"))
 
