@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import cut
 from spanloom.llm.license_model import STOP, TEMPLATES, TOKEN, LicenseModel, grams, tokens, train
 
 UNKNOWN = "unknown"
@@ -78,5 +79,6 @@ def scan(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     telling = [F.lit(w) for w in sorted({w for g in model.weights for w in g.split()} - STOP)]
     # A paragraph without such a word has none of the model's n-grams.
     found = paragraphs(docs).where(F.exists(_tokens(F.col("body")), lambda w: w.isin(*telling)))
-    families = classify(found.select("body").distinct(), model).withColumnRenamed("body", "_body")
+    # Kept apart from the join, so that Spark may split a frequent notice's side of it.
+    families = cut(classify(found.select("body").distinct(), model)).withColumnRenamed("body", "_body")
     return found.join(families, F.col("body") == F.col("_body")).select("doc_id", "paragraph", "family", "probability", "similarity", "confirmed")
