@@ -35,15 +35,20 @@ def latin_words(text: Column, clitics: bool = False) -> Column:
     """
     tokens = _nonempty(F.split(text, f"[{SPACE}]+"))
 
+    word = lambda w, surface, before, after: F.struct(F.lower(w).alias("word"), surface.alias("surface"), before.cast("int").alias("prefix"), after.cast("int").alias("suffix"))
+    none = F.lit(0)
+
     def of_token(token: Column) -> Column:
+        # Most tokens have no mark at all.
+        return F.when(~token.rlike(f"[{EDGE}{JOINS}]"), F.array(word(token, token, none, none))).otherwise(of_marked(token))
+
+    def of_marked(token: Column) -> Column:
         if not clitics:
             return of_piece(token, F.lit(False))
         each = lambda pieces: F.flatten(F.transform(pieces, lambda p, i: of_piece(p, i < F.size(pieces) - 1)))
         return let(_nonempty(F.split(token, r"(?<=['\x{2019}])")), each)
 
     def of_piece(piece: Column, left_only: Column) -> Column:
-        word = lambda w, surface, before, after: F.struct(F.lower(w).alias("word"), surface.alias("surface"), before.cast("int").alias("prefix"), after.cast("int").alias("suffix"))
-
         def of_left(left: Column) -> Column:
             return let(F.when(left_only, left).otherwise(F.regexp_replace(left, f"[{EDGE}]+$", "")), lambda bare: of_bare(left, bare))
 

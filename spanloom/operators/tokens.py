@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanloom.functions.numeric import let
 
@@ -11,9 +14,26 @@ INTERNAL_PUNCT = "."
 POLICIES = ("default", "wildcard_all", "fail_all")
 
 
-def vocabulary_map(vocab: list[tuple[str, int]]) -> Column:
-    """A vocabulary of single characters as a map literal; the driver knows its size."""
-    return F.create_map(*(x for token, i in vocab for x in (F.lit(token), F.lit(i))))
+@dataclass(frozen=True)
+class Alphabet:
+    """The single characters of a vocabulary and their ids; the driver knows its size."""
+
+    characters: str
+    ids: tuple[int, ...]
+
+    @classmethod
+    def of(cls, vocab: list[tuple[str, int]], uppercase: bool = False) -> Alphabet:
+        """From (token, id) pairs; with uppercase, an ASCII small letter stands for its capital."""
+        known = {t: i for t, i in vocab if len(t) == 1}
+        if uppercase:
+            known = {t: i for t, i in known.items() if not "a" <= t <= "z"}
+            known |= {t.lower(): i for t, i in known.items() if "A" <= t <= "Z"}
+        return cls("".join(known), tuple(known.values()))
+
+    def id_of(self, character: Column) -> Column:
+        """The id of a character, null if it isn't in the vocabulary."""
+        at = F.call_function("instr", F.lit(self.characters), character)
+        return F.when(at > 0, F.get(F.array(*(F.lit(i) for i in self.ids)), at - 1))
 
 
 def special_tokens(vocab: DataFrame) -> DataFrame:
@@ -33,37 +53,35 @@ def ascii_upper(text: Column) -> Column:
     return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def _walk(words: Column, ids: Column, uppercase: bool) -> Column:
-    """Per word, the array of steps (kind, ch, id) in order: prefix marks, characters, suffix marks. kind is null for a known character."""
+def _steps(word: Column, alphabet: Alphabet) -> Column:
+    """The array of steps (kind, ch, id) of a word in order: prefix marks, characters, suffix marks. kind is null for a known character."""
     step = lambda kind, ch, i: F.struct(kind.alias("kind"), ch.alias("ch"), i.cast("int").alias("id"))
-    none, edge = F.lit(None).cast("string"), step(F.lit("boundary_punct"), F.lit(None).cast("string"), F.lit(None))
+    none = F.lit(None).cast("string")
+    edge = step(F.lit("boundary_punct"), none, F.lit(None))
 
     def of_char(c: Column) -> Column:
-        found = F.try_element_at(ids, ascii_upper(c) if uppercase else c)
-        kind = F.when(c == INTERNAL_PUNCT, "internal_punct").when(found.isNull(), "symbol").otherwise(none)
-        return step(kind, c, F.when(kind.isNull(), found))
+        return let(alphabet.id_of(c), lambda found: step(F.when(c == INTERNAL_PUNCT, "internal_punct").when(found.isNull(), "symbol").otherwise(none), c, F.when(c != INTERNAL_PUNCT, found)))
 
-    chars = lambda w: F.transform(F.filter(F.split(w["word"], ""), lambda c: F.length(c) > 0), of_char)
-    return F.transform(words, lambda w: F.concat(F.array_repeat(edge, w["prefix"]), chars(w), F.array_repeat(edge, w["suffix"])))
+    chars = F.transform(F.filter(F.split(word["word"], ""), lambda c: F.length(c) > 0), of_char)
+    return F.concat(F.array_repeat(edge, word["prefix"]), chars, F.array_repeat(edge, word["suffix"]))
 
 
-def oov_events(rows: DataFrame, words: Column, ids: Column, uppercase: bool, keys: list[str]) -> DataFrame:
+def oov_events(rows: DataFrame, words: Column, alphabet: Alphabet, keys: list[str]) -> DataFrame:
     """One row per event: keys, event (its order), kind, ch, char_index, word_index.
 
     char_index counts the characters of the normalised text, one for each space between words
     included; marks at a word's edges don't move it.
     """
-    walked = rows.select(*keys, F.posexplode(_walk(words, ids, uppercase)).alias("word_index", "steps"))
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy(*keys).orderBy("word_index")
-    inside = F.size(F.filter("steps", lambda s: ~F.coalesce(s["kind"] == "boundary_punct", F.lit(False))))
-    placed = walked.withColumn("_n", inside).withColumn("_before", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("word_index"))
-    steps = placed.select(*keys, "word_index", "_before", F.posexplode("steps").alias("_step", "s"), F.col("steps"))
-    earlier = F.size(F.filter(F.slice("steps", 1, F.col("_step")), lambda s: ~F.coalesce(s["kind"] == "boundary_punct", F.lit(False))))
-    events = steps.where(F.col("s.kind").isNotNull())
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("word_index", "_step")) - 1
-    return events.select(*keys, nth.alias("event"), F.col("s.kind").alias("kind"), F.col("s.ch").alias("ch"), (F.col("_before") + earlier).alias("char_index"), "word_index")
+    each = rows.select(*keys, F.posexplode(words).alias("word_index", "w"))
+    length = F.length("w.word")
+    inside = lambda i: F.greatest(F.lit(0), F.least(i - F.col("w.prefix"), length))
+    marked = F.transform(_steps(F.col("w"), alphabet), lambda s, i: F.struct(s["kind"].alias("kind"), s["ch"].alias("ch"), inside(i).alias("inside")))
+    events = each.select(*keys, "word_index", length.alias("_n"), F.filter(marked, lambda s: s["kind"].isNotNull()).alias("_events"))
+    order = Window.partitionBy(*keys).orderBy("word_index").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(order), F.lit(0)) + F.col("word_index")
+    earlier = F.coalesce(F.sum(F.size("_events")).over(order), F.lit(0))
+    placed = events.withColumns({"_before": before, "_earlier": earlier}).select(*keys, "word_index", "_before", "_earlier", F.posexplode("_events").alias("_k", "e"))
+    return placed.select(*keys, (F.col("_earlier") + F.col("_k")).alias("event"), "e.kind", "e.ch", (F.col("_before") + F.col("e.inside")).alias("char_index"), "word_index")
 
 
 def decide(kind: Column, ch: Column, policy: str = "default") -> Column:
@@ -78,7 +96,7 @@ def decide(kind: Column, ch: Column, policy: str = "default") -> Column:
     return F.when((kind != "symbol") | speakable, "wildcard").otherwise("fail_closed")
 
 
-def tokenize(words: Column, ids: Column, uppercase: bool, delimiter: int | None, policy: str = "default") -> Column:
+def tokenize(words: Column, alphabet: Alphabet, delimiter: int | None, policy: str = "default") -> Column:
     """Struct (status, token_ids, word_idx): ids of all words, -1 for a wildcard, the delimiter with a null word between words that have tokens.
 
     status is semantic_oov, and there are no tokens, if the policy fails any event.
@@ -95,7 +113,7 @@ def tokenize(words: Column, ids: Column, uppercase: bool, delimiter: int | None,
         flat = F.when(failed, F.array().cast("array<struct<id:int,word:int>>")).otherwise(F.flatten(full))
         return let(flat, lambda f: F.struct(F.when(failed, "semantic_oov").otherwise("ok").alias("status"), F.transform(f, lambda p: p["id"]).alias("token_ids"), F.transform(f, lambda p: p["word"]).alias("word_idx")))
 
-    return let(_walk(words, ids, uppercase), of_steps)
+    return let(F.transform(words, lambda w: _steps(w, alphabet)), of_steps)
 
 
 def match_decisions(events: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:

@@ -17,10 +17,10 @@ def prepare(clips: DataFrame, vocab: list[tuple[str, int]], policy: str = "defau
     """
     ids = dict(vocab)
     upper = "A" in ids and "a" not in ids
-    single = tokens.vocabulary_map([(t, i) for t, i in vocab if len(t) == 1 and t != "|"])
+    alphabet = tokens.Alphabet.of([(t, i) for t, i in vocab if t != "|"], upper)
     rows = clips.withColumn("kind", language.normalizer_kind(F.col("language"))).withColumn("words", text.normalize(F.col("text"), F.col("kind")))
-    spaced = tokens.tokenize(F.col("words"), single, upper, ids.get("|"), policy)
-    unspaced = tokens.tokenize(F.col("words"), single, upper, None, policy)
+    spaced = tokens.tokenize(F.col("words"), alphabet, ids.get("|"), policy)
+    unspaced = tokens.tokenize(F.col("words"), alphabet, None, policy)
     rows = rows.withColumn("_t", F.when(language.uses_word_delimiter(F.col("language")), spaced).otherwise(unspaced))
     status = F.when(F.col("kind").isNull(), "no_normalizer").when(F.size("words") == 0, "empty_text").otherwise(F.col("_t.status"))
     return rows.withColumns({"status": status, "token_ids": F.col("_t.token_ids"), "word_idx": F.col("_t.word_idx")}).withColumn("is_trivial", (F.col("status") != "ok") | (F.size("token_ids") == 0)).drop("_t")

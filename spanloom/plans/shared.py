@@ -1,11 +1,11 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and small tables over idle cores."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -14,3 +14,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-shared-"))
     return f"{jsc.getCheckpointDir().get()}/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than the cluster has cores, dealt over all of them; larger ones are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

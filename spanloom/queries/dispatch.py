@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from spanloom.operators import asr, compose, dispatch, registry, runs, validate
 from spanloom.operators.dispatch import Ladder
-from spanloom.queries.fixtures import CHUNKS_SQL, chunks, table
+from spanloom.queries.fixtures import CHUNKS_SQL, chunks, documents, table
 
 LADDER = Ladder()
 
@@ -120,7 +120,7 @@ G7_SQL = "SELECT conv_id, trim(string_agg(coalesce(text, ''), '' ORDER BY turn))
 
 def g6_compression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratio of every document's bytes to its deflated bytes, and whether it passes the gate."""
-    rows = asr.compression_ratio(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = asr.compression_ratio(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", F.round(F.col("compression_ratio").cast("double"), 5).alias("ratio"), (F.col("compression_ratio") <= LADDER.compression).alias("passes"))
 
 

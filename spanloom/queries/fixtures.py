@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.plans.shared import spread
+
 #: Chunk limit of 24 hours and silence limit of six, in samples.
 LIMIT, GAP = 24 * 3600 * 16_000, 6 * 3600 * 16_000
 FRAME = 3600 * 16_000
@@ -15,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a small file over all cores, as what is done to each text is long."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A span per event: its user is the stream, its time the start, its value the length."""
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")

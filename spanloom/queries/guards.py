@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from spanloom.functions import clock, display
 from spanloom.operators import cut, ingest, intervals, registry, tokens, validate
-from spanloom.queries.fixtures import CHUNKS_SQL, FRAMES_SQL, SPANS_SQL, chunks, frames, spans, table
+from spanloom.queries.fixtures import CHUNKS_SQL, FRAMES_SQL, SPANS_SQL, chunks, documents, frames, spans, table
 from spanloom.sources import vocabulary
 
 
@@ -103,7 +103,7 @@ SELECT o_orderkey, CASE WHEN w > 0 THEN least(greatest(1, w // 2 + w % 2), great
 
 def s13_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions of every policy for the symbols of the documents, under the language asked for."""
-    chars = table(spark, sf_dir, "documents").select(F.explode(F.filter(F.split("text", ""), lambda c: F.length(c) > 0)).alias("ch"), "lang").groupBy("ch", "lang").agg(F.count("*").alias("n"))
+    chars = documents(spark, sf_dir).select(F.explode(F.filter(F.split("text", ""), lambda c: F.length(c) > 0)).alias("ch"), "lang").groupBy("ch", "lang").agg(F.count("*").alias("n"))
     kind = F.when(F.col("ch") == ".", "internal_punct").otherwise("symbol")
     rows = tokens.restamp(chars.withColumn("kind", kind), F.col("lang")).drop("lang")
     return rows.select("ch", "language", "n", "kind", *(tokens.decide(F.col("kind"), F.col("ch"), p).alias(p) for p in ("default", "wildcard_all", "fail_all")))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import language, script, text
 from spanloom.operators import runs, tokens
-from spanloom.queries.fixtures import table
+from spanloom.queries.fixtures import documents
 from spanloom.sources.vocabulary import BUNDLED
 
 LETTERS = [(t, i) for t, i in BUNDLED if len(t) == 1 and t != "|"]
+ALPHABET = tokens.Alphabet.of(LETTERS, uppercase=True)
 DELIMITER = dict(BUNDLED)["|"]
 
 
@@ -22,7 +23,7 @@ def _summary(words, name: str) -> list:
 
 def s3_latin_normalizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English and French rules over every document."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.latin_words(F.col("text")).alias("en"), text.latin_words(F.translate("text", "u", "'"), clitics=True).alias("fr"))
+    rows = documents(spark, sf_dir).select("doc_id", text.latin_words(F.col("text")).alias("en"), text.latin_words(F.translate("text", "u", "'"), clitics=True).alias("fr"))
     return rows.select("doc_id", *_summary(F.col("en"), "en"), *_summary(F.col("fr"), "fr"))
 
 
@@ -92,8 +93,8 @@ SELECT code, parsed, named, stored, latin, kind, kind LIKE 'latin%' AS delimiter
 
 
 def s9_oov_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents")
-    found = tokens.oov_events(rows, text.latin_words(F.col("text")), tokens.vocabulary_map(LETTERS), True, ["doc_id"])
+    rows = documents(spark, sf_dir)
+    found = tokens.oov_events(rows, text.latin_words(F.col("text")), ALPHABET, ["doc_id"])
     return found.withColumn("decision", tokens.decide(F.col("kind"), F.col("ch")))
 
 
@@ -114,8 +115,8 @@ FROM kinds WHERE kind IS NOT NULL"""
 
 
 def s10_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").withColumn("w", text.latin_words(F.col("text")))
-    made = rows.select("doc_id", tokens.tokenize(F.col("w"), tokens.vocabulary_map(LETTERS), True, DELIMITER, "default").alias("d"), tokens.tokenize(F.col("w"), tokens.vocabulary_map(LETTERS), True, DELIMITER, "wildcard_all").alias("a"))
+    rows = documents(spark, sf_dir).withColumn("w", text.latin_words(F.col("text")))
+    made = rows.select("doc_id", tokens.tokenize(F.col("w"), ALPHABET, DELIMITER, "default").alias("d"), tokens.tokenize(F.col("w"), ALPHABET, DELIMITER, "wildcard_all").alias("a"))
     spell = lambda c: F.array_join(c, " ", "-")
     return made.select("doc_id", F.col("d.status").alias("status"), spell(F.col("a.token_ids").cast("array<string>")).alias("ids"), spell(F.col("a.word_idx").cast("array<string>")).alias("words"))
 

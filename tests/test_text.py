@@ -38,7 +38,7 @@ def test_normalizers(spark, body, kind, want):
 
 def tokenized(spark, body, policy="default"):
     df = spark.createDataFrame([(body,)], "body string").withColumn("w", text.latin_words(F.col("body")))
-    return df.select(tokens.tokenize(F.col("w"), tokens.vocabulary_map(LETTERS), True, 4, policy).alias("t")).first().t
+    return df.select(tokens.tokenize(F.col("w"), tokens.Alphabet.of(LETTERS, True), 4, policy).alias("t")).first().t
 
 
 def spelled(body):
@@ -65,7 +65,7 @@ def test_unknown_characters_become_wildcards_or_fail(spark):
 
 def test_events_count_characters_but_not_edges(spark):
     df = spark.createDataFrame([(1, "\"Hi, a.b 7")], "id int, body string")
-    found = tokens.oov_events(df, text.latin_words(F.col("body")), tokens.vocabulary_map(LETTERS), True, ["id"]).orderBy("event").collect()
+    found = tokens.oov_events(df, text.latin_words(F.col("body")), tokens.Alphabet.of(LETTERS, True), ["id"]).orderBy("event").collect()
     assert [(e.kind, e.ch, e.char_index, e.word_index) for e in found] == [("boundary_punct", None, 0, 0), ("boundary_punct", None, 2, 0), ("internal_punct", ".", 4, 1), ("symbol", "7", 7, 2)]
 
 
