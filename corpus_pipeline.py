@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import language_id, line_dedup, packing, simhash, toxicity
 from spanloom.llm.common import held_out, shared_folder
+from spanloom.plans.shared import spread
 
 _WORD_LEFT = r"[^\x20\x09-\x0D]"
 
@@ -62,7 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents of a folder, each over what the one before wrote."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     at = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, language_id, license_scan, line_dedup, nearest, packing, quality_rules, simhash, token_counts, toxicity
+from spanloom.plans.shared import spread
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
 def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
