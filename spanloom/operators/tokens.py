@@ -30,6 +30,10 @@ class Alphabet:
             known |= {t.lower(): i for t, i in known.items() if "A" <= t <= "Z"}
         return cls("".join(known), tuple(known.values()))
 
+    def spells(self, word: Column) -> Column:
+        """Whether a word is made of these characters alone."""
+        return ~word.rlike("[^" + "".join(f"\\x{{{ord(c):x}}}" for c in self.characters) + "]")
+
     def id_of(self, character: Column) -> Column:
         """The id of a character, null if it isn't in the vocabulary."""
         at = F.call_function("instr", F.lit(self.characters), character)
@@ -62,8 +66,16 @@ def _steps(word: Column, alphabet: Alphabet) -> Column:
     def of_char(c: Column) -> Column:
         return let(alphabet.id_of(c), lambda found: step(F.when(c == INTERNAL_PUNCT, "internal_punct").when(found.isNull(), "symbol").otherwise(none), c, F.when(c != INTERNAL_PUNCT, found)))
 
-    chars = F.transform(F.filter(F.split(word["word"], ""), lambda c: F.length(c) > 0), of_char)
-    return F.concat(F.array_repeat(edge, word["prefix"]), chars, F.array_repeat(edge, word["suffix"]))
+    return F.concat(F.array_repeat(edge, word["prefix"]), F.transform(_characters(word), of_char), F.array_repeat(edge, word["suffix"]))
+
+
+def _plain(word: Column, alphabet: Alphabet) -> Column:
+    """Whether a word, as most are, has no event: no mark at its edges, and known characters alone."""
+    return (word["prefix"] == 0) & (word["suffix"] == 0) & alphabet.spells(word["word"])
+
+
+def _characters(word: Column) -> Column:
+    return F.filter(F.split(word["word"], ""), lambda c: F.length(c) > 0)
 
 
 def oov_events(rows: DataFrame, words: Column, alphabet: Alphabet, keys: list[str]) -> DataFrame:
@@ -76,7 +88,8 @@ def oov_events(rows: DataFrame, words: Column, alphabet: Alphabet, keys: list[st
     length = F.length("w.word")
     inside = lambda i: F.greatest(F.lit(0), F.least(i - F.col("w.prefix"), length))
     marked = F.transform(_steps(F.col("w"), alphabet), lambda s, i: F.struct(s["kind"].alias("kind"), s["ch"].alias("ch"), inside(i).alias("inside")))
-    events = each.select(*keys, "word_index", length.alias("_n"), F.filter(marked, lambda s: s["kind"].isNotNull()).alias("_events"))
+    found = F.filter(marked, lambda s: s["kind"].isNotNull())
+    events = each.select(*keys, "word_index", length.alias("_n"), F.when(~_plain(F.col("w"), alphabet), found).otherwise(F.slice(found, 1, 0)).alias("_events"))
     order = Window.partitionBy(*keys).orderBy("word_index").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(order), F.lit(0)) + F.col("word_index")
     earlier = F.coalesce(F.sum(F.size("_events")).over(order), F.lit(0))
@@ -103,17 +116,23 @@ def tokenize(words: Column, alphabet: Alphabet, delimiter: int | None, policy: s
     """
     pair = lambda i, w: F.struct(i.cast("int").alias("id"), w.cast("int").alias("word"))
 
-    def of_steps(steps: Column) -> Column:
-        failed = F.exists(F.flatten(steps), lambda s: s["kind"].isNotNull() & (decide(s["kind"], s["ch"], policy) == "fail_closed"))
-        group = F.transform(steps, lambda s, w: F.transform(s, lambda x: pair(F.coalesce(x["id"], F.lit(-1)), w)))
-        full = F.filter(group, lambda g: F.size(g) > 0)
+    fails = lambda w: F.exists(_steps(w, alphabet), lambda s: s["kind"].isNotNull() & (decide(s["kind"], s["ch"], policy) == "fail_closed"))
+    failed = F.lit(False) if policy == "wildcard_all" else F.exists(words, lambda w: ~_plain(w, alphabet) & fails(w))
+
+    def of_word(w: Column, i: Column) -> Column:
+        plain = F.transform(_characters(w), lambda c: pair(alphabet.id_of(c), i))
+        return F.when(_plain(w, alphabet), plain).otherwise(F.transform(_steps(w, alphabet), lambda s: pair(F.coalesce(s["id"], F.lit(-1)), i)))
+
+    def of_groups(groups: Column) -> Column:
+        full = F.filter(groups, lambda g: F.size(g) > 0)
         if delimiter is not None:
             between = F.array(pair(F.lit(delimiter), F.lit(None)))
             full = F.transform(full, lambda g, i: F.when(i == 0, g).otherwise(F.concat(between, g)))
-        flat = F.when(failed, F.array().cast("array<struct<id:int,word:int>>")).otherwise(F.flatten(full))
-        return let(flat, lambda f: F.struct(F.when(failed, "semantic_oov").otherwise("ok").alias("status"), F.transform(f, lambda p: p["id"]).alias("token_ids"), F.transform(f, lambda p: p["word"]).alias("word_idx")))
+        ids = lambda f: F.struct(F.lit("ok").alias("status"), F.transform(f, lambda p: p["id"]).alias("token_ids"), F.transform(f, lambda p: p["word"]).alias("word_idx"))
+        return let(F.flatten(full), ids)
 
-    return let(F.transform(words, lambda w: _steps(w, alphabet)), of_steps)
+    none = F.array().cast("array<int>")
+    return F.when(failed, F.struct(F.lit("semantic_oov").alias("status"), none.alias("token_ids"), none.alias("word_idx"))).otherwise(let(F.transform(words, of_word), of_groups))
 
 
 def match_decisions(events: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
