@@ -79,6 +79,34 @@ fold AS (
 )
 SELECT f.clip_id, round(CAST(f.acc[{_N}] AS DOUBLE), 2) AS end_score FROM fold f JOIN sized s ON s.clip_id = f.clip_id AND f.t = s.total - 1"""
 
+#: The path of every clip: all beams stand at one frame, so the recursion is over frames, from the last one back.
+_PATH_SQL = X2_SQL[: X2_SQL.rindex("SELECT f.clip_id, round")].rstrip() + f""", back AS (
+  SELECT f.clip_id, f.t, [{{'j': CAST({_N - 1} AS BIGINT), 'path': [CAST({_N - 1} AS BIGINT)]}}] AS beams FROM fold f JOIN sized s ON s.clip_id = f.clip_id AND f.t = s.total - 1 WHERE isfinite(f.acc[{_N}])
+  UNION ALL
+  SELECT b.clip_id, b.t - 1, list_transform(list_sort(list_filter(flatten(list_transform(range(len(b.beams)), lambda k: [
+      {{'neg': -f.acc[b.beams[k + 1].j + 1], 'idx': 2 * k, 'j': b.beams[k + 1].j, 'path': [b.beams[k + 1].j] || b.beams[k + 1].path}},
+      {{'neg': -f.acc[b.beams[k + 1].j], 'idx': 2 * k + 1, 'j': b.beams[k + 1].j - 1, 'path': [b.beams[k + 1].j - 1] || b.beams[k + 1].path}}])),
+      lambda c: c.j >= 0 AND coalesce(isfinite(c.neg), false)))[1:2], lambda c: {{'j': c.j, 'path': c.path}})
+  FROM back b JOIN fold f ON f.clip_id = b.clip_id AND f.t = b.t - 1 WHERE b.t > 0 AND len(b.beams) > 0 AND b.beams[1].j > 0
+), won AS (
+  SELECT clip_id, t, beams[1].path AS path FROM back WHERE len(beams) > 0 AND beams[1].j = 0
+), steps AS (
+  SELECT w.clip_id, l.frame, CASE WHEN l.frame < w.t THEN 0 ELSE w.path[l.frame - w.t + 1] END AS j, CASE WHEN l.frame >= w.t THEN w.path[l.frame - w.t + 2] END AS next_j, l.lp FROM won w JOIN lps l ON l.clip_id = w.clip_id
+), path AS (
+  SELECT clip_id, frame, j AS token_index, CAST(exp(CASE WHEN next_j IS NULL OR next_j = j THEN lp[{BLANK + 1}] WHEN {_TOK_SQL}[next_j + 1] = -1 THEN list_max(lp[2:]) ELSE lp[{_TOK_SQL}[next_j + 1] + 1] END::DOUBLE) AS FLOAT) AS score FROM steps
+)
+"""
+X3_SQL = _PATH_SQL + """SELECT s.clip_id, CASE WHEN p.clip_id IS NULL THEN 'no_alignment_path' ELSE 'ok' END AS status, p.frame, p.token_index, round(CAST(p.score AS DOUBLE), 4) AS score
+FROM sized s LEFT JOIN path p ON p.clip_id = s.clip_id"""
+_WORD_SQL = "[" + ", ".join("NULL" if w is None else str(w) for w in WORD_IDX) + "]"
+X4_SQL = _PATH_SQL.rstrip() + f""", m1 AS (SELECT *, CASE WHEN token_index = lag(token_index) OVER (PARTITION BY clip_id ORDER BY frame) THEN 0 ELSE 1 END AS c FROM path),
+m2 AS (SELECT *, sum(c) OVER (PARTITION BY clip_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS segment FROM m1),
+m3 AS (SELECT clip_id, segment, {_WORD_SQL}[token_index + 1] AS word_index, min(frame) AS b, max(frame) + 1 AS e, CAST(avg(CAST(score AS DOUBLE)) AS FLOAT) AS score FROM m2 GROUP BY clip_id, segment, token_index),
+m4 AS (SELECT *, CASE WHEN word_index = lag(word_index) OVER (PARTITION BY clip_id ORDER BY segment) THEN 0 ELSE 1 END AS c FROM m3),
+m5 AS (SELECT *, sum(c) OVER (PARTITION BY clip_id ORDER BY segment ROWS UNBOUNDED PRECEDING) AS word FROM m4)
+SELECT clip_id, word_index, min(b) AS start_frame, max(e) AS end_frame, round(CAST(CAST(sum(CAST(score AS DOUBLE) * (e - b)) / sum(e - b) AS FLOAT) AS DOUBLE), 4) AS score
+FROM m5 WHERE word_index IS NOT NULL GROUP BY clip_id, word, word_index"""
+
 
 def x3_beam_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _log_probs(spark, sf_dir)
@@ -193,6 +221,6 @@ QUERIES = {
     "x3_beam_path": x3_beam_path, "x4_align_words": x4_align_words, "g9_merge_repeats": g9_merge_repeats, "g10_merge_words": g10_merge_words, "x7_compose_words": x7_compose_words, "p12_guards": p12_guards, "p7_mask_samples": p7_mask_samples,
 }
 ORACLE_SQL = {
-    "x1_log_softmax": X1_SQL, "g16_frame_reductions": G16_SQL, "p10_log_prob_guard": P10_SQL, "g12_standardize": G12_SQL, "x2_trellis_end": X2_SQL,
+    "x1_log_softmax": X1_SQL, "g16_frame_reductions": G16_SQL, "p10_log_prob_guard": P10_SQL, "g12_standardize": G12_SQL, "x2_trellis_end": X2_SQL, "x3_beam_path": X3_SQL, "x4_align_words": X4_SQL,
     "g9_merge_repeats": G9_SQL, "g10_merge_words": G10_SQL, "x7_compose_words": X7_SQL, "p12_guards": P12_SQL, "p7_mask_samples": P7_SQL,
 }
