@@ -19,7 +19,7 @@ from spanloom.llm.common import map_rows
 from spanloom.llm.pretokens import split_bytes_bpe
 
 #: Pre-tokens whose result a Python worker remembers, and the longest one it remembers.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 1_000_000, 64
 #: The rank of a pair that no rule merges.
 NEVER = 1 << 30
 NOTHING = NEVER << 32
