@@ -15,12 +15,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Rows that a text kernel holds as Python objects at once.
 ROWS_AT_ONCE = 128
 
+#: Rows of an Arrow batch at most: long texts make large batches, and both the JVM and Python hold them.
+ARROW_ROWS = 2_000
+
 #: One word of the query contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers started later import this package from where the driver has it."""
+    """Let Python workers started later import this package from where the driver has it, and get batches of bounded size."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", "").split(":") if p]
