@@ -1,10 +1,12 @@
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from spanloom.config import Options
 from spanloom.functions import clock
 from spanloom.operators import asr, compose, dispatch, ingest, registry
 from spanloom.plans import lifecycle
+from spanloom.registry import QUERIES
 from spanloom.sources import tables, vocabulary
 
 RESOLVED = "stream_id bigint, chunk_id bigint, language string"
@@ -131,3 +133,19 @@ def test_text_and_frames_to_timed_words(spark):
     words = lifecycle.finish(prepared, spark.createDataFrame(frames, "clip_id bigint, frame int, lp array<float>"), spark.createDataFrame([(1, 0, 19_200)], "clip_id bigint, start bigint, end bigint")).orderBy("word_index").collect()
     assert [(w.text, w.drop_reason) for w in words] == [("hi", None), ("bob", None)]
     assert 1_000 <= words[0].start_sample < words[0].end_sample <= words[1].start_sample < words[1].end_sample <= 20_200
+
+
+def test_token_times_of_every_order(spark):
+    lines = {}
+    for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").collect():
+        lines.setdefault(r.l_orderkey, []).append((r.l_linenumber, r.l_partkey, r.l_suppkey, r.l_quantity, r.l_extendedprice))
+    want = {}
+    for order, rows in lines.items():
+        for run in range(3):
+            start, end = run * 4, run * 4 + (4 if order % 2 == 0 else 5)
+            inside = [part if part % 9 else None for i, (_, part, *_) in enumerate(sorted(rows)) if start <= 2 * i and 2 * i + 2 <= end]
+            crossing = any(2 * i < end < 2 * i + 2 for i in range(len(rows)))
+            timed = [t for t in inside if t is not None]
+            want[order, run] = (min(timed, default=None), max(timed, default=None), bool(inside) and not crossing and len(timed) == len(inside))
+    got = {(r.l_orderkey, r.run): (r.lo_dtw, r.hi_dtw, r.all_timed) for r in QUERIES["g8_token_times"](spark, SMALL).collect()}
+    assert got == want
