@@ -1,39 +1,44 @@
-"""Line deduplication by winnowing over line hashes, in built-in expressions only.
-
-Lines with a word are hashed in order. Every window of GUARANTEE consecutive lines selects its
-smallest hash, the rightmost of equals, so two equal windows select the same line at the same
-place: any run of GUARANTEE lines that occurs twice has a common fingerprint. A line of LONG_LINE
-words or more is a fingerprint of its own, so that a long passage on one line is found too. Windows
-whose fingerprint occurs more than once are joined to the first place where the same window occurs.
-Windows to the left and right of a fingerprint that match as well extend the match, window by
-window, to the whole run. Of every run, all occurrences but the first are deleted; documents are in
-order of doc_id.
+"""Line deduplication over line hashes, in built-in expressions only.
+
+Every line with a word is a fingerprint of its own: all its occurrences but the first are deleted.
+A line of one word says little by itself, so it goes alone only if it occurs COMMON times or more.
+Below that it goes with a neighbour: windows of GUARANTEE consecutive lines with a word are compared
+as well, and all occurrences of a window but the first are deleted. A repeated window of longer
+lines adds nothing, as each of them is repeated itself, so only windows that hold a line of one word
+are made. Windows are kept for comparison if their smallest hash is that of a line that occurs more
+than once, and are grouped directly. Documents are in order of doc_id.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.numeric import let
 from spanloom.llm.common import cut, fresh
 
-#: Lines of the shortest run that is always found, and words of a line that is found alone.
-GUARANTEE, LONG_LINE = 2, 10
+#: Lines of a window, and occurrences from which a line of one word counts as repeated by itself.
+GUARANTEE, COMMON = 2, 4
 _HAS_WORD = r"[^\x20\x09-\x0D]"
-_LONG = rf"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{{LONG_LINE}}}"
+_ONE_WORD = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$"
 
 
 def _units(lines: Column) -> Column:
-    """Windows and long lines of a document: fingerprint, hash of the lines, and the lines' numbers in the text."""
+    """Lines and windows of a document: fingerprint, hash of the lines, occurrences that make a repetition, and the lines' numbers in the text."""
+
+    def held(i: Column) -> list[Column]:
+        return [F.get(lines, i + k) for k in range(GUARANTEE)]
 
     def window(i: Column) -> Column:
-        each = [F.get(lines, i + k) for k in range(GUARANTEE)]
-        # Only the selected hash counts here; equal ones have the same value wherever they stand.
-        return F.struct(F.least(*(x["h"] for x in each)).alias("fp"), F.xxhash64(*(x["h"] for x in each)).alias("run"), F.array(*(x["at"] for x in each)).alias("at"))
+        each = held(i)
+        return F.struct(F.least(*(x["h"] for x in each)).alias("fp"), F.xxhash64(*(x["h"] for x in each)).alias("run"), F.lit(2).alias("least"), F.array(*(x["at"] for x in each)).alias("at"))
 
-    windows = F.when(F.size(lines) >= GUARANTEE, F.transform(F.sequence(F.lit(0), F.size(lines) - GUARANTEE), window))
-    alone = F.transform(F.filter(lines, lambda x: x["long"]), lambda x: F.struct(x["h"].alias("fp"), x["h"].alias("run"), F.array(x["at"]).alias("at")))
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - GUARANTEE), lambda i: reduce(or_, (x["one"] for x in held(i))))
+    windows = F.when(F.size(lines) >= GUARANTEE, F.transform(starts, window))
+    alone = F.transform(lines, lambda x: F.struct(x["h"].alias("fp"), x["h"].alias("run"), F.when(x["one"], COMMON).otherwise(2).alias("least"), F.array(x["at"]).alias("at")))
     return F.concat(F.coalesce(windows, F.array()), alone)
 
 
@@ -47,14 +52,17 @@ def _split(text: Column) -> Column:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the text) and gone: the 0-based numbers of the lines to delete, for the rows that have any."""
-    numbered = F.transform(_split(F.col("text")), lambda x, i: F.when(x.rlike(_HAS_WORD), F.struct(F.xxhash64(x).alias("h"), x.rlike(_LONG).alias("long"), i.alias("at"))))
+    numbered = F.transform(_split(F.col("text")), lambda x, i: F.when(x.rlike(_HAS_WORD), F.struct(F.xxhash64(x).alias("h"), x.rlike(_ONE_WORD).alias("one"), i.alias("at"))))
     lines = F.filter(numbered, lambda x: x.isNotNull())
     units = docs.select("doc_id", _text_key(F.col("text")).alias("key"), F.explode(let(lines, _units)).alias("u")).select("doc_id", "key", "u.*")
     # Kept apart from the joins below, so that Spark may split a frequent line's side of them.
-    shared = cut(units.groupBy("fp").agg(F.count("*").alias("places")).where("places > 1").select("fp"))
+    hashes = docs.select(F.explode(F.transform(F.filter(_split(F.col("text")), lambda x: x.rlike(_HAS_WORD)), lambda x: F.xxhash64(x))).alias("fp"))
+    shared = cut(hashes.groupBy("fp").agg(F.count("*").alias("places")).where("places > 1").select("fp"))
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "key", F.get("at", F.lit(0)).alias("line"))
-    candidates = units.join(shared, "fp", "left_semi").select("doc_id", "key", "run", F.size("at").alias("n"), "at", place.alias("place"))
-    first = cut(candidates.groupBy("run", "n").agg(F.min("place").alias("first"), F.count("*").alias("places")).where("places > 1").drop("places"))
+    candidates = units.join(shared, "fp", "left_semi").select("doc_id", "key", "run", F.size("at").alias("n"), "least", "at", place.alias("place"))
+    # Rows that are one document are one place.
+    places = candidates.select("run", "n", "least", "place").distinct()
+    first = cut(places.groupBy("run", "n").agg(F.min("place").alias("first"), F.count("*").alias("places"), F.min("least").alias("least")).where("places >= least").select("run", "n", "first"))
     later = candidates.join(first, ["run", "n"]).where("place > first")
     return later.select("doc_id", "key", F.explode("at").alias("line")).groupBy("doc_id", "key").agg(F.collect_set("line").alias("gone"))
 
@@ -99,14 +107,14 @@ WITH raw AS (
   FROM numbered WHERE regexp_matches(body, '[^ 	-
 ]') WINDOW w AS (PARTITION BY doc_id ORDER BY line)
 ), units AS (
-  SELECT doc_id, line, body AS a, next_body AS b, [line, next_line] AS held FROM worded WHERE next_body IS NOT NULL
+  SELECT doc_id, line, body AS a, next_body AS b, [line, next_line] AS held, 2 AS least FROM worded WHERE next_body IS NOT NULL
   UNION ALL
-  SELECT doc_id, line, body, NULL, [line] FROM worded WHERE len(regexp_extract_all(body, '[^ 	-
-]+')) >= {LONG_LINE}
+  SELECT doc_id, line, body, NULL, [line], CASE WHEN len(regexp_extract_all(body, '[^ 	-
+]+')) = 1 THEN {COMMON} ELSE 2 END FROM worded
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, line) AS nth FROM units
+  SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, line) AS nth, count(*) OVER (PARTITION BY a, b) AS places FROM units
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(held) AS line FROM ranked WHERE nth > 1
+  SELECT DISTINCT doc_id, unnest(held) AS line FROM ranked WHERE nth > 1 AND places >= least
 ), kept AS (
   SELECT n.doc_id, string_agg(n.body, chr(10) ORDER BY n.line) AS text
   FROM numbered n ANTI JOIN gone g ON n.doc_id = g.doc_id AND n.line = g.line GROUP BY n.doc_id

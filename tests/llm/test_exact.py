@@ -243,3 +243,10 @@ def test_licence_model_tells_families_from_other_sentences():
             right, total = right + (model.classes[int(z.argmax())] == family), total + 1
     assert right >= 0.95 * total
     assert all(set(g.split()) - license_model.STOP for g in model.weights)
+
+
+def test_line_dedup_deletes_lone_short_lines(spark):
+    rows = [(1, "u\nall rights kept\nv"), (2, "w\nall rights kept"), (3, "one two\nHome\nthree four"), (4, "five six\nHome"), (5, "Home"), (6, "Home\nseven eight"), (6, "Home\nseven eight"), (7, "rare\nnine ten"), (8, "eleven\nrare"), (8, "eleven\nrare"), (8, "eleven\nrare"), (9, "all rights kept\nnow\nall rights kept")]
+    got = {(r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = {(1, rows[0][1], 0), (2, "w", 1), (3, rows[2][1], 0), (4, "five six", 1), (5, "", 1), (6, "seven eight", 1), (7, rows[7][1], 0), (8, rows[8][1], 0), (9, "now", 2)}
+    assert got == want
