@@ -8,12 +8,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints and intermediate tables: the cluster's spark.checkpoint.dir.
+
+    A folder of our own is made only on a local master; a cluster that names none raises, since its
+    executors would each write to their own disk.
+    """
+    context = spark.sparkContext
+    held = context._jsc.sc()
+    if not held.getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
+    return held.getCheckpointDir().get()
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path under the cluster's spark.checkpoint.dir; under a folder of our own only where none is named."""
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-shared-"))
-    return f"{jsc.getCheckpointDir().get()}/{purpose}-{uuid.uuid4().hex}"
+    """A new path in that folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written, wherever Spark's file systems keep it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
