@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by inner product: an adaptive dimension scan over probed lists.
 
 Vectors get one component more, so that the largest inner product is the least distance, and are
-dealt to the lists of a k-means index. A query scans the lists nearest to it. There, rotated vectors
-lie in blocks of columns; after every block the partial distance, scaled up to all dimensions, is
-tested against the distance of the last neighbour kept so far, and a candidate is abandoned as soon
-as the hypothesis that it comes nearer is rejected. Survivors are measured on the original vectors.
-
-Lists are put together or split into blocks of bounded size, and the queries that reach a block are
-split as well, so no task holds more than one block of each, however hot a list is. Of equal vectors
-only the first ids can be anyone's neighbours, and equal queries are searched once.
+dealt to the lists of a k-means index, one index for each length of vectors. A query first scans the
+lists nearest to it that hold enough vectors, which gives it a bound: the distance of its last
+neighbour there. Then it scans all the lists that it probes. There, rotated vectors lie in blocks of
+columns; after every block the partial distance, scaled up to all dimensions, is tested against the
+query's bound, and a candidate is abandoned as soon as the hypothesis that it comes nearer is
+rejected. After each list the bound is tightened. Survivors are measured on the original vectors.
+
+All queries of a list are scanned together. Lists are put together or split into blocks of bounded
+size, and the queries that reach a block are split as well, so no task holds more than one block of
+each, however hot a list is. Of equal vectors only the first ids can be anyone's neighbours, and equal
+queries are searched once.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,14 +29,20 @@ from pyspark.sql.window import Window
 from spanloom.llm.common import cut, ensure_importable
 
 NEIGHBOURS = 20
-#: Most lists; rows of the training sample for each list, and at least. So the driver holds 40,960 vectors at most.
-MAX_LISTS, SAMPLE_PER_LIST, SAMPLE_LEAST = 1_024, 40, 20_000
+#: Vectors of a list, as wanted where there are many; rows of the training sample for each list, and at least.
+LIST_VECTORS, SAMPLE_PER_LIST, SAMPLE_LEAST = 256, 20, 20_000
+#: Bound of the training sample: so many numbers in all lengths together, 256 MB on the driver.
+SAMPLE_NUMBERS = 1 << 25
+#: Lists beyond which the index is made in two levels.
+ONE_LEVEL = 1_024
 #: Share of the true neighbours that the probed lists must hold for the sample's queries.
-RECALL, RECALL_QUERIES = 0.96, 256
-#: Vectors and queries of a task's block.
-BLOCK_VECTORS, BLOCK_QUERIES = 8_192, 4_096
+RECALL, RECALL_QUERIES = 0.97, 256
+#: Vectors of a task's block, at least and at most, and its queries.
+BLOCK_LEAST, BLOCK_VECTORS, BLOCK_QUERIES = 1_024, 8_192, 2_048
 #: Columns between two tests, and how far the estimate may exceed the bound, in deviations.
-COLUMNS, DEVIATIONS = 16, 2.1
+COLUMNS, DEVIATIONS = 16, 2.4
+#: Queries measured at once against a list, and the share of survivors from which pairs are followed singly.
+AT_ONCE, SPARSE = 256, 0.2
 SEED = 7
 
 
@@ -42,10 +52,32 @@ def usable(v: Column) -> Column:
     return F.coalesce(sound & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row."""
+    return np.argmin((centroids**2).sum(1) - 2 * x @ centroids.T, axis=1)
+
+
+def _centroids(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means: at most k centroids of the rows."""
+    out = x[rng.choice(len(x), min(k, len(x)), replace=False)]
+    for _ in range(8):
+        near = _nearest(x, out)
+        order = np.argsort(near, kind="stable")
+        filled, first = np.unique(near[order], return_index=True)
+        out[filled] = np.add.reduceat(x[order], first) / np.diff([*first, len(x)])[:, None]
+    return out
+
+
 @dataclass(frozen=True)
 class Index:
-    """Centroids of the lists in the extended space, their squared lengths, lists to probe, the longest vector's length, and the rotation."""
+    """The lists of one length of vectors: their centroids in the extended space, in groups with a centroid each, and how many to probe.
+
+    base: the number of its first list among those of all lengths; longest: the longest vector's length.
+    """
 
+    base: int
+    coarse: np.ndarray
+    begin: np.ndarray
     centroids: np.ndarray
     probes: int
     longest: float
@@ -55,8 +87,14 @@ class Index:
         return np.column_stack([x, np.sqrt(np.maximum(0.0, self.longest**2 - (x**2).sum(1)))])
 
     def list_of(self, x: np.ndarray) -> np.ndarray:
-        """The nearest list of each vector."""
-        return np.argmin((self.centroids**2).sum(1) - 2 * self.extend(x) @ self.centroids.T, axis=1)
+        """The list of each vector: the nearest one of the nearest group."""
+        x = self.extend(x)
+        group = _nearest(x, self.coarse)
+        out = np.empty(len(x), dtype=np.int64)
+        for g in np.unique(group):
+            rows = np.flatnonzero(group == g)
+            out[rows] = self.begin[g] + _nearest(x[rows], self.centroids[self.begin[g] : self.begin[g + 1]])
+        return out
 
     def nearest_lists(self, q: np.ndarray) -> np.ndarray:
         """The lists that each query probes, nearest first."""
@@ -64,21 +102,18 @@ class Index:
         return np.argsort(far, axis=1, kind="stable")[:, : self.probes]
 
 
-def fit(sample: np.ndarray, lists: int, longest: float) -> Index:
+def fit(sample: np.ndarray, lists: int, longest: float, base: int = 0) -> Index:
     """k-means over the sample, with as many probes as its own queries need for RECALL."""
     rng = np.random.default_rng(SEED)
     d = sample.shape[1]
     rotation = np.linalg.qr(rng.standard_normal((d + 1, d + 1)))[0]
-    start = Index(np.zeros((1, d + 1)), 1, longest, rotation)
-    x = start.extend(sample)
+    x = Index(base, sample, sample, sample, 1, longest, rotation).extend(sample)
     lists = max(1, min(lists, len(x)))
-    centroids = x[rng.choice(len(x), lists, replace=False)]
-    for _ in range(8):
-        near = np.argmin((centroids**2).sum(1) - 2 * x @ centroids.T, axis=1)
-        order = np.argsort(near, kind="stable")
-        filled, first = np.unique(near[order], return_index=True)
-        centroids[filled] = np.add.reduceat(x[order], first) / np.diff([*first, len(x)])[:, None]
-    index = Index(centroids, lists, longest, rotation)
+    coarse = x.mean(0)[None] if lists <= ONE_LEVEL else _centroids(x, int(np.sqrt(lists)), rng)
+    group = _nearest(x, coarse)
+    held = np.bincount(group, minlength=len(coarse))
+    fine = [_centroids(x[group == g], max(1, round(lists * n / len(x))), rng) if n else coarse[g : g + 1] for g, n in enumerate(held)]
+    index = Index(base, coarse, np.cumsum([0, *map(len, fine)]), np.concatenate(fine), sum(map(len, fine)), longest, rotation)
     asked = rng.choice(len(x), min(RECALL_QUERIES, len(x)), replace=False)
     near, reach = index.list_of(sample), index.nearest_lists(sample[asked])
     place = np.argsort(reach, axis=1)
@@ -89,37 +124,78 @@ def fit(sample: np.ndarray, lists: int, longest: float) -> Index:
         return index
     true = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     needed = np.sort(np.take_along_axis(place, near[true], axis=1).ravel())
-    return Index(centroids, int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1, longest, rotation)
-
-
-def scan_block(index: Index, ids: np.ndarray, lists: np.ndarray, x: np.ndarray, q: np.ndarray, keep: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its number, and ids and inner products of its `keep` nearest in the block's probed lists."""
-    order = np.argsort(lists, kind="stable")
-    ids, lists, x = ids[order], lists[order], x[order]
-    begin, end = np.searchsorted(lists, np.arange(len(index.centroids))), np.searchsorted(lists, np.arange(len(index.centroids)), side="right")
-    turned = index.extend(x) @ index.rotation
-    queries = np.column_stack([q, np.zeros(len(q))]) @ index.rotation
+    probes = int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1
+    return Index(base, coarse, index.begin, index.centroids, probes, longest, rotation)
+
+
+class Found:
+    """What a block's queries have found: each one's best so far, and its bound, the squared distance that the next must come within."""
+
+    def __init__(self, bounds: np.ndarray, keep: int) -> None:
+        self.bounds, self.keep = bounds.copy(), keep
+        self.query = np.empty(0, dtype=np.int64)
+        self.ids = np.empty(0, dtype=np.int64)
+        self.scores, self.far = np.empty(0), np.empty(0)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray, far: np.ndarray) -> None:
+        """Take candidates of some queries in, keep each one's best, and tighten the bounds."""
+        if not len(query):
+            return
+        columns = [np.concatenate(c) for c in zip((self.query, self.ids, self.scores, self.far), (query, ids, scores, far), strict=True)]
+        order = np.lexsort((columns[1], -columns[2], columns[0]))
+        sorted_by = columns[0][order]
+        nth = np.arange(len(order)) - np.searchsorted(sorted_by, sorted_by)
+        order, nth = order[nth < self.keep], nth[nth < self.keep]
+        self.query, self.ids, self.scores, self.far = (c[order] for c in columns)
+        last = nth == self.keep - 1
+        self.bounds[self.query[last]] = np.minimum(self.bounds[self.query[last]], self.far[last])
+
+
+def scan_block(index: Index, ids: np.ndarray, lists: np.ndarray, x: np.ndarray, q: np.ndarray, probed: list[np.ndarray], bounds: np.ndarray, keep: int) -> Found:
+    """The `keep` nearest of a block's vectors for each query, in the lists that it probes, within its bound."""
+    found = Found(bounds, keep)
+    turned, queries = index.extend(x) @ index.rotation, np.column_stack([q, np.zeros(len(q))]) @ index.rotation
     d = turned.shape[1]
-    blocks = [(a, min(a + COLUMNS, d), np.ascontiguousarray(turned[:, a : a + COLUMNS])) for a in range(0, d, COLUMNS)]
-    for k, probed in enumerate(index.nearest_lists(q)):
-        probed = probed[end[probed] > begin[probed]]
-        if not len(probed):
-            continue
-        taken = int(np.searchsorted(np.cumsum(end[probed] - begin[probed]), keep)) + 1
-        rows = [np.arange(begin[p], end[p]) for p in probed]
-        near = np.concatenate(rows[:taken])
-        measured = ((turned[near] - queries[k]) ** 2).sum(1)
-        bound = np.partition(measured, keep - 1)[keep - 1] if len(near) >= keep else np.inf
-        alive = np.concatenate(rows[taken:]) if rows[taken:] else np.empty(0, dtype=np.int64)
-        part = np.zeros(len(alive))
-        for a, b, columns in blocks:
-            part += ((columns[alive] - queries[k, a:b]) ** 2).sum(1)
-            hopeful = part * (d / b) <= bound * (1 + DEVIATIONS / np.sqrt(b)) ** 2 if b < d else part <= bound * (1 + 1e-9)
-            alive, part = alive[hopeful], part[hopeful]
-        found = np.concatenate([near, alive])
-        scores = x[found] @ q[k]
-        best = np.lexsort((ids[found], -scores))[:keep]
-        yield k, ids[found][best], scores[best]
+    # What rounding may add to a squared distance.
+    slack = 1e-10 * (index.longest**2 + (q**2).sum(1))
+    pairs = np.repeat(np.arange(len(q)), [len(p) for p in probed])
+    at = np.concatenate([*probed, np.empty(0, dtype=np.int64)]).astype(np.int64)
+    rank = np.concatenate([np.arange(len(p)) for p in probed] + [np.empty(0, dtype=np.int64)])
+    # Lists that come first for their queries go first, so that bounds are tight for the others.
+    order = np.lexsort((at, rank))
+    for one in dict.fromkeys(at[order].tolist()):
+        rows, asking = np.flatnonzero(lists == one), pairs[at == one]
+        for k in range(0, len(asking), AT_ONCE):
+            now = asking[k : k + AT_ONCE]
+            i, j, far = _survivors(turned[rows], queries[now], found.bounds[now], slack[now], d)
+            i, j = now[i], rows[j]
+            # One fixed order of summation, so that equal vectors have equal scores.
+            found.add(i, ids[j], (x[j] * q[i]).sum(1), far)
+    return found
+
+
+def _survivors(x: np.ndarray, q: np.ndarray, bounds: np.ndarray, slack: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, vector) that no test rejects, with their squared distances."""
+
+    def hopeful(part: np.ndarray, b: int, bound: np.ndarray, more: np.ndarray) -> np.ndarray:
+        return part * (d / b) <= bound * (1 + (DEVIATIONS / np.sqrt(b) if b < d else 0)) ** 2 + more
+
+    part = np.zeros((len(q), len(x)))
+    alive = np.ones(part.shape, dtype=bool)
+    b = 0
+    while b < d and alive.sum() > SPARSE * alive.size:
+        a, b = b, min(b + COLUMNS, d)
+        xs, qs = x[:, a:b], q[:, a:b]
+        part += (qs**2).sum(1)[:, None] - 2 * qs @ xs.T + (xs**2).sum(1)
+        alive &= hopeful(part, b, bounds[:, None], slack[:, None])
+    i, j = np.nonzero(alive)
+    far = part[i, j]
+    while b < d and len(i):
+        a, b = b, min(b + COLUMNS, d)
+        far = far + ((x[j, a:b] - q[i, a:b]) ** 2).sum(1)
+        still = hopeful(far, b, bounds[i], slack[i])
+        i, j, far = i[still], j[still], far[still]
+    return i, j, np.maximum(far, 0.0)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -127,92 +203,141 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
 
 
+def _by_length(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A batch's rows by the length of their vectors."""
+    lengths = pc.list_value_length(batch.column(column))
+    for d in pc.unique(lengths).to_pylist():
+        yield d, batch.filter(pc.equal(lengths, d))
+
+
+def build(firsts: DataFrame, sizes: list) -> dict[int, Index]:
+    """An index for each length of vectors. sizes: d, n and longest (squared) of each; firsts: vec_id, vector and d."""
+    indexes, base = {}, 0
+    wanted = {r.d: max(1, int(np.ceil(max(np.sqrt(r.n), r.n / LIST_VECTORS)))) for r in sizes}
+    rows = {r.d: min(r.n, max(SAMPLE_LEAST, SAMPLE_PER_LIST * wanted[r.d])) for r in sizes}
+    scale = min(1.0, SAMPLE_NUMBERS / sum(r.d * rows[r.d] for r in sizes))
+    shares = [(r.d, scale * rows[r.d] / r.n) for r in sizes]
+    # As many rows as there are lengths.
+    table = F.broadcast(firsts.sparkSession.createDataFrame(shares, "d int, share double"))
+    ticket = F.pmod(F.xxhash64("vec_id", F.lit("index")), F.lit(1 << 30))
+    sampled = firsts.join(table, "d").where(ticket < F.col("share") * (1 << 30)).select("d", "vec_id", "vector").orderBy("d", "vec_id").select("vector").toArrow()
+    of_length = {d: _matrix(b.column("vector")) for batch in sampled.combine_chunks().to_batches() for d, b in _by_length(batch, "vector")}
+    for r in sizes:
+        sample = of_length.get(r.d, np.ones((1, r.d)))
+        # A sample that the bound has cut serves fewer lists.
+        indexes[r.d] = fit(sample, min(wanted[r.d], max(1, int(np.sqrt(r.n)), len(sample) // SAMPLE_PER_LIST)), float(np.sqrt(r.longest)), base)
+        base += len(indexes[r.d].centroids)
+    return indexes
+
+
 def search(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS) -> DataFrame:
     """query_id, rank, vec_id and score of each query's nearest vectors, among all but its own row.
 
     vectors: vec_id long and vector array<float|double>. Vectors that are null, zero or hold a null
-    or non-finite component take no part, nor do rows without vec_id, nor vectors of another length
-    than most. Ties go to the smaller vec_id. Rows that repeat vec_id and vector count as one. With
-    fewer candidates than neighbours, all are returned; with no usable row, none.
+    or non-finite component take no part, nor do rows without vec_id. A query's candidates are the
+    vectors of its own length, as there is no inner product with others. Ties go to the smaller
+    vec_id. Rows that repeat vec_id and vector count as one. With fewer candidates than neighbours,
+    all are returned; with no usable row, none.
     """
     spark = vectors.sparkSession
-    sound = vectors.select("vec_id", "vector").where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    squares = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    sizes = sound.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.max(squares).alias("longest")).orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], schema)
+    ensure_importable(spark)
     keep = neighbours + 1
+    sound = vectors.select("vec_id", "vector", F.size("vector").alias("d")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     alike = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    sound = sound.where(F.size("vector") == sizes.d)
     # Equal rows beyond the first `keep` ids can't be among anyone's neighbours.
     firsts = cut(sound.distinct().withColumn("nth", alike).where(F.col("nth") <= keep))
-    n = firsts.count()
-    lists = min(MAX_LISTS, int(np.ceil(np.sqrt(n))))
-    wanted = max(SAMPLE_LEAST, SAMPLE_PER_LIST * lists)
-    ticket = F.pmod(F.xxhash64("vec_id", F.lit("index")), F.lit(1 << 30))
-    sampled = firsts.where(ticket < int(min(1.0, wanted / n) * (1 << 30))).orderBy("vec_id").select("vector").toArrow().column(0)
-    index = fit(_matrix(sampled) if len(sampled) else np.ones((1, sizes.d)), lists, float(np.sqrt(sizes.longest)))
+    squares = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    # One row for each length of vectors.
+    sizes = firsts.groupBy("d").agg(F.count("*").alias("n"), F.max(squares).alias("longest")).orderBy("d").collect()
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    indexes = build(firsts, sizes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(index.list_of(_matrix(batch.column(1))).astype(np.int32))], names=["vec_id", "vector", "list"])
+            for d, rows in _by_length(batch, "vector"):
+                at = indexes[d].base + indexes[d].list_of(_matrix(rows.column(1)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(at.astype(np.int32))], names=["vec_id", "vector", "list"])
 
-    ensure_importable(spark)
     kind = vectors.schema["vector"].dataType.simpleString()
     dealt = cut(firsts.select("vec_id", "vector").mapInArrow(deal, f"vec_id long, vector {kind}, list int"))
-    blocks = _blocks({r.list: r["count"] for r in dealt.groupBy("list").count().collect()})
+    # One row for each list, of which the sample bounds the number.
+    held = {r.list: r["count"] for r in dealt.groupBy("list").count().collect()}
+    most = min(BLOCK_VECTORS, max(BLOCK_LEAST, sum(held.values()) // (4 * spark.sparkContext.defaultParallelism)))
+    blocks, first = {}, 0
+    for index in indexes.values():
+        own = _blocks({k: n for k, n in held.items() if index.base <= k < index.base + len(index.centroids)}, most, first)
+        first = max([first, *(a + n for a, n in own.values())])
+        blocks |= own
     table = F.broadcast(spark.createDataFrame([(k, a, m) for k, (a, m) in blocks.items()], "list int, first_block int, in_blocks int"))
-    placed = dealt.join(table, "list").withColumn("block", (F.col("first_block") + F.pmod(F.xxhash64("vec_id"), F.col("in_blocks"))).cast("int"))
-
+    placed = cut(dealt.join(table, "list").withColumn("block", (F.col("first_block") + F.pmod(F.xxhash64("vec_id"), F.col("in_blocks"))).cast("int")).select("block", "vec_id", "list", "vector"))
     representative = firsts.where("nth = 1").select("vector", F.col("vec_id").alias("same"))
-    asked = sound.where(is_query).distinct().join(representative, "vector").select("vec_id", "same", "vector")
-
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at, hit = [], []
-            for row, probed in enumerate(index.nearest_lists(_matrix(batch.column(1)))):
-                into = {b for p in probed.tolist() if p in blocks for b in range(blocks[p][0], sum(blocks[p]))}
-                at += [row] * len(into)
-                hit += into
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns, pa.array(hit, pa.int32())], names=["same", "vector", "block"])
-
-    reached = asked.select("same", "vector").distinct().mapInArrow(reach, f"same long, vector {kind}, block int")
-    parts = reached.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts"))
-    left = placed.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "list", "vector")
-    right = reached.join(parts, "block").select("block", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int").alias("part"), "same", "vector")
-
-    def scan(held: pa.Table, queries: pa.Table) -> pa.Table:
-        found = []
-        if len(held) and len(queries):
-            same = queries.column("same").to_numpy()
-            block = held.column("vec_id").to_numpy(), held.column("list").to_numpy(), _matrix(held.column("vector"))
-            found = [(np.full(len(i), same[k]), i, s) for k, i, s in scan_block(index, *block, _matrix(queries.column("vector")), keep)]
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table(columns, names=["same", "found_id", "score"])
-
-    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(scan, "same long, found_id long, score double")
+    asked = cut(sound.where(is_query).select("vec_id", "vector").distinct().join(representative, "vector").select("vec_id", "same", "vector"))
+    queries = asked.select("same", "vector").distinct().withColumn("bound", F.lit(float("inf")))
+    home = _scan(placed, queries, indexes, held, blocks, keep, home=True)
+    # A query's neighbours in its home lists: at most `keep` for each block that these lie in.
+    last = home.groupBy("same").agg(F.get(F.sort_array(F.collect_list("far")), F.lit(keep - 1)).alias("bound"))
+    bounded = asked.select("same", "vector").distinct().join(last, "same", "left").select("same", "vector", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    near = _scan(placed, bounded, indexes, held, blocks, keep, home=False)
     best = Window.partitionBy("same").orderBy(F.desc("score"), "found_id")
     near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep)
     # A query's own row is one of these at most; without it, ranks close up.
     listed = F.array_sort(F.collect_list(F.struct("place", F.col("found_id").alias("vec_id"), "score")))
-    lists_of = near.groupBy("same").agg(listed.alias("found"))
+    lists_of = cut(near.groupBy("same").agg(listed.alias("found")))
     ranked = asked.select(F.col("vec_id").alias("query_id"), "same").join(lists_of, "same").select("query_id", F.posexplode(F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, neighbours)).alias("pos", "x"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
-def _blocks(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """For each list its first block and in how many blocks it lies: short lists share a block, a long one is split."""
-    out, block, free = {}, -1, 0
+def _scan(placed: DataFrame, queries: DataFrame, indexes: dict[int, Index], held: dict[int, int], blocks: dict[int, tuple[int, int]], keep: int, home: bool) -> DataFrame:
+    """same, found_id, score and far of what each query finds within its bound, at most `keep` in a block.
+
+    home: only in the nearest lists that together hold `keep` vectors, else in all that it probes.
+    """
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, rows in _by_length(batch, "vector"):
+                at, hit, probed = [], [], []
+                for row, lists in enumerate(indexes[d].nearest_lists(_matrix(rows.column("vector"))) + indexes[d].base):
+                    lists, into = [k for k in lists.tolist() if k in blocks], {}
+                    if home:
+                        lists = lists[: int(np.searchsorted(np.cumsum([held[k] for k in lists]), keep)) + 1]
+                    for k in lists:
+                        for block in range(blocks[k][0], sum(blocks[k])):
+                            into.setdefault(block, []).append(k)
+                    at += [row] * len(into)
+                    hit += into.keys()
+                    probed += into.values()
+                yield pa.RecordBatch.from_arrays([*rows.take(pa.array(at, pa.int64())).columns, pa.array(hit, pa.int32()), pa.array(probed, pa.list_(pa.int32()))], names=["same", "vector", "bound", "block", "probed"])
+
+    kind = queries.schema["vector"].dataType.simpleString()
+    reached = cut(queries.mapInArrow(reach, f"same long, vector {kind}, bound double, block int, probed array<int>"))
+    # Tables cut before they are joined, so that Spark may split a hot block's side.
+    parts = cut(reached.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts")))
+    left = placed.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "list", "vector")
+    right = reached.join(parts, "block").select("block", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int").alias("part"), "same", "vector", "bound", "probed")
+
+    def scan(held_here: pa.Table, asking: pa.Table) -> pa.Table:
+        columns = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)]
+        if len(held_here) and len(asking):
+            x, q = _matrix(held_here.column("vector")), _matrix(asking.column("vector"))
+            probed = [np.array(p, dtype=np.int64) for p in asking.column("probed").to_pylist()]
+            found = scan_block(indexes[x.shape[1]], held_here.column("vec_id").to_numpy(), held_here.column("list").to_numpy(), x, q, probed, asking.column("bound").to_numpy(), keep)
+            columns = [asking.column("same").to_numpy()[found.query], found.ids, found.scores, found.far]
+        return pa.table(columns, names=["same", "found_id", "score", "far"])
+
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(scan, "same long, found_id long, score double, far double")
+
+
+def _blocks(sizes: dict[int, int], most: int, first: int = 0) -> dict[int, tuple[int, int]]:
+    """For each list its first block and in how many blocks of at most about `most` it lies: short lists share a block, a long one is split."""
+    out, block, free = {}, first - 1, 0
     for k in sorted(sizes):
-        parts = -(-sizes[k] // BLOCK_VECTORS)
+        parts = -(-sizes[k] // most)
         if parts > 1 or sizes[k] > free:
             out[k] = (block + 1, parts)
             block += parts
-            free = BLOCK_VECTORS - sizes[k] if parts == 1 else 0
+            free = most - sizes[k] if parts == 1 else 0
         else:
             out[k] = (block, 1)
             free -= sizes[k]

@@ -212,9 +212,8 @@ def test_nearest_recall_and_scores(spark):
     assert len(found) == 75 and hits / (75 * 20) >= 0.9
 
 
-def test_blocks_hold_every_list(monkeypatch):
-    monkeypatch.setattr(nearest, "BLOCK_VECTORS", 10)
-    assert nearest._blocks({0: 4, 1: 5, 2: 3, 3: 35, 4: 1}) == {0: (0, 1), 1: (0, 1), 2: (1, 1), 3: (2, 4), 4: (6, 1)}
+def test_blocks_hold_every_list():
+    assert nearest._blocks({0: 4, 1: 5, 2: 3, 3: 35, 4: 1}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 1), 3: (2, 4), 4: (6, 1)}
 
 
 def test_licence_scan_equals_the_model_paragraph_by_paragraph(spark):
