@@ -2,55 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from spanloom.plans.fold import ensure_importable
+from spanloom.plans.shared import ensure_checkpoint_dir
+
 #: Rows that a text kernel holds as Python objects at once.
 ROWS_AT_ONCE = 128
 
-#: Rows of an Arrow batch at most: long texts make large batches, and both the JVM and Python hold them.
-ARROW_ROWS = 2_000
-
 #: One word of the query contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers started later import this package from where the driver has it, and get batches of bounded size."""
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows, "10000")) <= ARROW_ROWS:
-        spark.conf.set(rows, str(ARROW_ROWS))
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    have = [p for p in env.get("PYTHONPATH", "").split(":") if p]
-    if root not in have:
-        env["PYTHONPATH"] = ":".join([root, *have])
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; a folder of our own only where none is named."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and the executors share for intermediate tables."""
-    ensure_checkpoint_dir(spark)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df reliably in the shared checkpoint folder and cut its lineage."""
+    """Materialise df reliably in the shared checkpoint folder and cut its lineage.
+
+    Lost executors cost nothing, as the files are on the shared folder. Spark deletes them when the
+    table is no longer referenced if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

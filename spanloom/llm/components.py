@@ -11,33 +11,31 @@ from spanloom.llm.common import cut
 def _large_star(e: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # Kept apart from the join, so that Spark may split the side of a node with very many links.
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(down.groupBy("a").agg(F.min("b").alias("m")))
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of every node that has a link.
 
     links: columns a and b of one orderable type; nulls and loops are ignored, repeats don't
     matter. An empty table gives an empty result. Large- and small-star rounds alternate until the
-    links no longer change; each star is pre-aggregated by Spark's partial minimum, so that a node
-    with very many links costs one row per task. A round's links are kept in the shared checkpoint
-    folder. Raises if max_rounds don't suffice, as that would leave components apart.
+    links no longer change, which they do after a number of rounds that grows with the logarithm of
+    the nodes; each star is pre-aggregated by Spark's partial minimum, so that a node with very many
+    links costs one row per task. A round's links are kept in the shared checkpoint folder.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    stamp = None
-    for _ in range(max_rounds):
+    before, now = None, ()
+    while now != before:
         edges = cut(_small_star(_large_star(edges)))
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == stamp:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        stamp = tuple(now)
-    raise RuntimeError(f"components not stable after {max_rounds} rounds")
+        before, now = now, tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

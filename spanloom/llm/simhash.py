@@ -6,7 +6,9 @@ distance four of either: the one nearest to the first is at most three from it,
 the other. By pigeonhole, two fingerprints at most two bits apart agree on one segment exactly, and
 either agree on a second one too or differ by one bit in each of the others. So two kinds of key find
 every link: two exact segments; or an exact segment with a codeword index of the next one. Keys are
-joined and every candidate's distance is verified.
+joined and every candidate's distance is verified. One departure: where more than PROBE_FROM
+fingerprints share a key, pairing them would grow with the square of the group, so each of them looks
+up the fingerprints that may differ from it under that key instead; the links are the same.
 """
 
 from __future__ import annotations
@@ -135,18 +137,28 @@ def links(distinct: DataFrame) -> DataFrame:
     the work stays in proportion to the rows however large a group is.
     """
     keyed = _keyed(distinct)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     live = cut(keyed.join(shared, "key"))
     few = live.where(F.col("n") <= PROBE_FROM).select("key", "fp")
     left, right = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     met = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
     masks = distinct.sparkSession.createDataFrame([(k, m) for k in range(6) for m in probe_masks(k)], "kind long, mask long")
+    # The table of masks has a fixed number of rows.
     many = live.where(F.col("n") > PROBE_FROM).select("fp", F.shiftright("key", 48).alias("kind")).distinct()
     probes = many.join(F.broadcast(masks), "kind").select(F.col("fp").alias("a"), F.col("fp").bitwiseXOR(F.col("mask")).alias("b"))
     found = probes.join(distinct.select(F.col("fp").alias("b")), "b", "left_semi").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return met.unionByName(found).distinct()
 
 
+def _roots(groups: DataFrame) -> DataFrame:
+    """groups (columns fp, distinct, and least) with the root fingerprint of each one's component, and `first`, the smallest `least` there."""
+    roots = connected_components(links(groups.select("fp"))).withColumnRenamed("node", "fp")
+    rooted = cut(groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    # Kept apart from the join, so that Spark may split the side of a large component.
+    smallest = cut(rooted.groupBy("root").agg(F.min("least").alias("first")))
+    return rooted.join(smallest, "root")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every text's row.
 
@@ -158,23 +170,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     each = cut(fingerprints(docs))
     groups = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(groups.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    known = cut(_roots(groups).select("fp", F.col("first").alias("component_id")))
     return each.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of smallest doc_id in their near-duplicate group.
+    """One row, all columns, of each near-duplicate group of docs.
 
-    Rows that repeat a doc_id are one document, of which any row stays. Of a group without any
-    doc_id but null, one row with a null doc_id stays.
+    It is decided by row: of a group's rows the one of smallest doc_id stays, null ids after all
+    others, equal ids by a hash of their text; of rows that agree in both, any one stays. So a text
+    that no other is near to always stays, whatever ids it shares. Texts without a word are one
+    group. An empty table gives none; columns of any name are carried along.
     """
-    found = near_duplicates(docs)
-    kept_id, rows = fresh(docs, "kept_id"), fresh(docs, "rows")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias(rows))
-    joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(kept_id)))
-    # Only ids that rows repeat are gathered whole.
-    repeated = joined.where(F.col(rows) > 1).dropDuplicates(["doc_id"])
-    return joined.where(F.col(rows) == 1).unionByName(repeated).select(*(f"`{c}`" for c in docs.columns))
+    key, n, at_id, at_key = (fresh(docs, name) for name in ("text_key", "n", "at_id", "at_key"))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def init() -> Callable:
+        return lambda ids, keys, texts: [(i, k, fingerprint(t)) for i, k, t in zip(ids, keys, texts, strict=True)]
+
+    each = cut(map_rows(keyed, ["doc_id", key, "text"], init, "doc_id long, text_key long, fp long"))
+    rows = each.groupBy("fp", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    groups = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key", "n")).alias("least")))
+    chosen = _roots(groups).select("first").distinct().select(F.col("first.doc_id").alias(at_id), F.col("first.text_key").alias(at_key), F.col("first.n").alias(n))
+    joined = keyed.join(chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(at_id)) & (F.col(key) == F.col(at_key)))
+    # Only rows that repeat one another are gathered.
+    repeated = joined.where(F.col(n) > 1).dropDuplicates(["doc_id", key])
+    return joined.where(F.col(n) == 1).unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
