@@ -1,70 +1,105 @@
-"""Line deduplication over line hashes, in built-in expressions only.
-
-Every line with a word is a fingerprint of its own: all its occurrences but the first are deleted.
-A line of one word says little by itself, so it goes alone only if it occurs COMMON times or more.
-Below that it goes with a neighbour: windows of GUARANTEE consecutive lines with a word are compared
-as well, and all occurrences of a window but the first are deleted. A repeated window of longer
-lines adds nothing, as each of them is repeated itself, so only windows that hold a line of one word
-are made. Windows are kept for comparison if their smallest hash is that of a line that occurs more
-than once, and are grouped directly. Documents are in order of doc_id.
+"""Line deduplication by winnowing over line hashes, in built-in expressions only.
+
+Of every window of WINDOW consecutive lines with a word, the line of least hash is selected (the last
+of equals; lines of one word come after all others, as they say little). So every run of WINDOW lines
+or more holds a fingerprint, and the other lines are looked up nowhere. A fingerprint's later
+positions are joined to its first one, and each match is extended both ways, line by line, as far as
+the lines agree and at most REACH lines, which is beyond the next fingerprint on either side. The
+later run is deleted, unless it is one line of one word.
+
+What no run covers is shorter than the guarantee. Of these lines, those that are left more than once
+are deleted but for their first place; a line of one word only if it is left COMMON times or more.
+Documents are in order of doc_id. Of any line at least the first occurrence stays, as a deleted one
+always has an equal line before it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.numeric import let
 from spanloom.llm.common import cut, fresh
 
-#: Lines of a window, and occurrences from which a line of one word counts as repeated by itself.
-GUARANTEE, COMMON = 2, 4
+#: Lines of a window, lines that a match is extended by at most, and lines left from which a line of one word counts as repeated by itself.
+WINDOW, REACH, COMMON = 2, 3, 4
+#: What a line of one word has added to its 60-bit hash.
+ONE = 1 << 60
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 _ONE_WORD = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$"
+_AROUND = [k for k in range(-REACH, REACH + 1) if k]
 
 
-def _units(lines: Column) -> Column:
-    """Lines and windows of a document: fingerprint, hash of the lines, occurrences that make a repetition, and the lines' numbers in the text."""
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    def held(i: Column) -> list[Column]:
-        return [F.get(lines, i + k) for k in range(GUARANTEE)]
 
-    def window(i: Column) -> Column:
-        each = held(i)
-        return F.struct(F.least(*(x["h"] for x in each)).alias("fp"), F.xxhash64(*(x["h"] for x in each)).alias("run"), F.lit(2).alias("least"), F.array(*(x["at"] for x in each)).alias("at"))
+def _split(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
-    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - GUARANTEE), lambda i: reduce(or_, (x["one"] for x in held(i))))
-    windows = F.when(F.size(lines) >= GUARANTEE, F.transform(starts, window))
-    alone = F.transform(lines, lambda x: F.struct(x["h"].alias("fp"), x["h"].alias("run"), F.when(x["one"], COMMON).otherwise(2).alias("least"), F.array(x["at"]).alias("at")))
-    return F.concat(F.coalesce(windows, F.array()), alone)
 
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """doc, key, hashes and at of every document with a word: hashes of its lines with a word, and their numbers in the text.
 
-def _text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    Rows that agree in doc_id and text are one document; doc is the doc_id, least for a null one.
+    """
 
+    def hashed(line: Column) -> Column:
+        return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long") + F.when(line.rlike(_ONE_WORD), ONE).otherwise(0)
 
-def _split(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+    held = F.filter(F.transform(_split(F.col("text")), lambda x, i: F.when(x.rlike(_HAS_WORD), F.struct(hashed(x).alias("h"), i.alias("at")))), lambda x: x.isNotNull())
+    each = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), _text_key(F.col("text")).alias("key"), held.alias("held")).where(F.size("held") > 0)
+    return each.select("doc", "key", F.col("held.h").alias("hashes"), F.col("held.at").alias("at")).dropDuplicates(["doc", "key"])
+
+
+def fingerprints(lines: DataFrame) -> DataFrame:
+    """h, place and near of every selected line: its hash, its document and number among the lines with a word, and the hashes around it."""
+    n = F.size("hashes")
+
+    def least(start: Column) -> Column:
+        numbered = ((start + k, F.get("hashes", start + k)) for k in range(WINDOW))
+        return F.least(*(F.when(i < n, F.struct(h.alias("h"), (-i).alias("back"))) for i, h in numbered))
+
+    selected = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), least))
+    each = lines.select("doc", "key", "hashes", F.explode(selected).alias("s")).withColumn("i", -F.col("s.back"))
+    return each.select(F.col("s.h").alias("h"), F.struct("doc", "key", "i").alias("place"), F.array(*(F.get("hashes", F.col("i") + k) for k in _AROUND)).alias("near"))
+
+
+def _agreeing(side: list[int]) -> Column:
+    """How many lines of one side, nearest first, agree without a gap; lines beyond a document's ends agree with none."""
+    same = [F.coalesce(F.get("near", F.lit(_AROUND.index(k))) == F.get("first_near", F.lit(_AROUND.index(k))), F.lit(False)) for k in side]
+    out = F.lit(0)
+    for equal in reversed(same):
+        out = F.when(equal, out + 1).otherwise(0)
+    return out
+
+
+def later_runs(lines: DataFrame) -> DataFrame:
+    """doc, key and run: the numbers, among a document's lines with a word, of a run that stood before."""
+    marks = fingerprints(lines)
+    # Tables cut before they are joined, so that Spark may split a frequent line's side.
+    first = cut(marks.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("places")).where("places > 1").select("h", "first"))
+    met = cut(marks.join(first, "h"))
+    heads = met.where("place = first").select("h", F.col("near").alias("first_near"))
+    later = met.where("place > first").join(heads, "h").select("h", "place", _agreeing(list(range(-1, -REACH - 1, -1))).alias("before"), _agreeing(list(range(1, REACH + 1))).alias("after"))
+    whole = later.where((F.col("h") < ONE) | (F.col("before") + F.col("after") > 0))
+    return whole.select("place.doc", "place.key", F.sequence(F.col("place.i") - F.col("before"), F.col("place.i") + F.col("after")).alias("run"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text) and gone: the 0-based numbers of the lines to delete, for the rows that have any."""
-    numbered = F.transform(_split(F.col("text")), lambda x, i: F.when(x.rlike(_HAS_WORD), F.struct(F.xxhash64(x).alias("h"), x.rlike(_ONE_WORD).alias("one"), i.alias("at"))))
-    lines = F.filter(numbered, lambda x: x.isNotNull())
-    units = docs.select("doc_id", _text_key(F.col("text")).alias("key"), F.explode(let(lines, _units)).alias("u")).select("doc_id", "key", "u.*")
-    # Kept apart from the joins below, so that Spark may split a frequent line's side of them.
-    hashes = docs.select(F.explode(F.transform(F.filter(_split(F.col("text")), lambda x: x.rlike(_HAS_WORD)), lambda x: F.xxhash64(x))).alias("fp"))
-    shared = cut(hashes.groupBy("fp").agg(F.count("*").alias("places")).where("places > 1").select("fp"))
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "key", F.get("at", F.lit(0)).alias("line"))
-    candidates = units.join(shared, "fp", "left_semi").select("doc_id", "key", "run", F.size("at").alias("n"), "least", "at", place.alias("place"))
-    # Rows that are one document are one place.
-    places = candidates.select("run", "n", "least", "place").distinct()
-    first = cut(places.groupBy("run", "n").agg(F.min("place").alias("first"), F.count("*").alias("places"), F.min("least").alias("least")).where("places >= least").select("run", "n", "first"))
-    later = candidates.join(first, ["run", "n"]).where("place > first")
-    return later.select("doc_id", "key", F.explode("at").alias("line")).groupBy("doc_id", "key").agg(F.collect_set("line").alias("gone"))
+    """doc, key and gone: the 0-based numbers of the text's lines to delete, for the documents that have any."""
+    lines = cut(hashed_lines(docs))
+    covered = later_runs(lines).select("doc", "key", F.explode("run").alias("i")).groupBy("doc", "key").agg(F.collect_set("i").alias("covered"))
+    at = lambda numbers: F.transform(numbers, lambda i: F.get("at", i))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("hashes") - 1), F.coalesce("covered", F.array().cast("array<int>")))
+    left = lines.join(covered, ["doc", "key"], "left").select("doc", "key", at(F.col("covered")).alias("gone"), F.transform(rest, lambda i: F.struct(F.get("hashes", i).alias("h"), F.get("at", i).alias("at"))).alias("rest"))
+    left = cut(left)
+    alone = left.select("doc", "key", F.explode("rest").alias("x")).select(F.col("x.h").alias("h"), F.struct("doc", "key", F.col("x.at").alias("at")).alias("place"))
+    counted = alone.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("places"))
+    often = cut(counted.where(F.col("places") >= F.when(F.col("h") < ONE, 2).otherwise(COMMON)).select("h", "first"))
+    again = alone.join(often, "h").where("place > first").select("place.doc", "place.key", F.col("place.at").alias("line"))
+    gone = left.select("doc", "key", F.explode("gone").alias("line")).unionByName(again)
+    return gone.groupBy("doc", "key").agg(F.collect_set("line").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -76,10 +111,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     none. Other columns are carried along; own columns named n_lines or n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone_id, gone_key, key, gone = (fresh(docs, name) for name in ("gone_id", "gone_key", "key", "gone"))
-    lines_gone = repeated_lines(docs).select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key), F.col("gone").alias(gone)).hint("shuffle_hash")
+    gone_doc, gone_key, key, gone = (fresh(docs, name) for name in ("gone_doc", "gone_key", "key", "gone"))
+    lines_gone = repeated_lines(docs).select(F.col("doc").alias(gone_doc), F.col("key").alias(gone_key), F.col("gone").alias(gone)).hint("shuffle_hash")
     keyed = docs.withColumn(key, _text_key(F.col("text")))
-    joined = keyed.join(lines_gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left")
+    joined = keyed.join(lines_gone, (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col(gone_doc)) & (F.col(key) == F.col(gone_key)), "left")
 
     def rest(lines: Column) -> Column:
         return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i)), "\n")
@@ -96,25 +131,42 @@ def summary(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
-#: The same rows by comparing whole runs of lines, without fingerprints or hashes; doc_id is unique in the tables.
+#: The same rows by comparing whole lines; md5 orders the lines of a window. doc_id is unique in the tables.
 SUMMARY_SQL = rf"""
 WITH raw AS (
   SELECT doc_id, coalesce(text, '') AS text, text IS NULL AS absent, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
 ), numbered AS (
   SELECT doc_id, i - 1 AS line, parts[i] AS body FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM raw)
 ), worded AS (
-  SELECT doc_id, line, body, lead(body) OVER w AS next_body, lead(line) OVER w AS next_line
-  FROM numbered WHERE regexp_matches(body, '[^ 	-
-]') WINDOW w AS (PARTITION BY doc_id ORDER BY line)
-), units AS (
-  SELECT doc_id, line, body AS a, next_body AS b, [line, next_line] AS held, 2 AS least FROM worded WHERE next_body IS NOT NULL
-  UNION ALL
-  SELECT doc_id, line, body, NULL, [line], CASE WHEN len(regexp_extract_all(body, '[^ 	-
-]+')) = 1 THEN {COMMON} ELSE 2 END FROM worded
-), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, line) AS nth, count(*) OVER (PARTITION BY a, b) AS places FROM units
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n,
+    len(regexp_extract_all(body, '[^ \x09-\x0D]+')) = 1 AS one, md5(body) AS h
+  FROM numbered WHERE regexp_matches(body, '[^ \x09-\x0D]')
+), windows AS (
+  SELECT doc_id, i, h, one, unnest(range(greatest(i - {WINDOW - 1}, 0), least(i, greatest(n - {WINDOW}, 0)) + 1)) AS s FROM worded
+), marks AS (
+  SELECT DISTINCT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY one, substr(h, 1, 15), i DESC) AS nth FROM windows) WHERE nth = 1
+), placed AS (
+  SELECT m.doc_id, m.i, w.body, w.one, row_number() OVER (PARTITION BY w.body ORDER BY m.doc_id, m.i) AS nth
+  FROM marks m JOIN worded w ON m.doc_id = w.doc_id AND m.i = w.i
+), matches AS (
+  SELECT a.doc_id, a.i, a.one, b.doc_id AS doc_0, b.i AS i_0 FROM placed a JOIN placed b ON a.body = b.body AND a.nth > 1 AND b.nth = 1
+), around AS (
+  SELECT m.*, k.k, coalesce(w.body = v.body, false) AS same
+  FROM matches m CROSS JOIN (SELECT unnest(range({-REACH}, {REACH + 1})) AS k) k
+  LEFT JOIN worded w ON w.doc_id = m.doc_id AND w.i = m.i + k.k LEFT JOIN worded v ON v.doc_id = m.doc_0 AND v.i = m.i_0 + k.k
+), reached AS (
+  SELECT *, bool_and(same) OVER (PARTITION BY doc_id, i, k >= 0 ORDER BY abs(k) ROWS UNBOUNDED PRECEDING) AS whole FROM around
+), runs AS (
+  SELECT doc_id, i + k AS i, one, count(*) OVER (PARTITION BY doc_id, i) AS lines FROM reached WHERE whole
+), covered AS (
+  SELECT DISTINCT doc_id, i FROM runs WHERE lines > 1 OR NOT one
+), rest AS (
+  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, line) AS nth, count(*) OVER (PARTITION BY body) AS places
+  FROM worded ANTI JOIN covered USING (doc_id, i)
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(held) AS line FROM ranked WHERE nth > 1 AND places >= least
+  SELECT doc_id, line FROM worded SEMI JOIN covered USING (doc_id, i)
+  UNION ALL
+  SELECT doc_id, line FROM rest WHERE nth > 1 AND places >= CASE WHEN one THEN {COMMON} ELSE 2 END
 ), kept AS (
   SELECT n.doc_id, string_agg(n.body, chr(10) ORDER BY n.line) AS text
   FROM numbered n ANTI JOIN gone g ON n.doc_id = g.doc_id AND n.line = g.line GROUP BY n.doc_id
