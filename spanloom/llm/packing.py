@@ -1,15 +1,19 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Texts become pieces of at most `capacity` ids. Only the histogram of piece lengths, at most
-`capacity` numbers whatever the corpus, goes to the driver. There the longest length left looks up
-its gap among single lengths, then pair sums, then triple sums of the lengths that are still
-available, and takes as many exact fillings as the counts allow; what has no exact filling is packed
-best-fit, longest first. The plan is a short table of runs over ranks within a length, and the
-cluster turns each piece's rank into its sequence and offset.
+`capacity` numbers whatever the corpus, goes to the driver. There the sums of one, two and three
+lengths are indexed by their total. Passes over the lengths, longest first, look up what a length
+leaves free among single lengths, then among pairs, then among triples, and take a combination as
+often as the counts of what is still available allow. What has no exact filling is packed best-fit,
+longest first. Exact fillings of many short pieces can cost more than they save, since the short ones
+are missed elsewhere, so the plan is made with no pass and after each pass, and the one of fewest
+sequences is taken, of equals the one of most passes. The plan is a short table of runs over ranks
+within a length, and the cluster turns each piece's rank into its sequence and offset.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import zlib
@@ -28,8 +32,8 @@ from spanloom.llm.pretokens import BEYOND, LETTERS, NUMBERS, SPACES
 CAPACITY = 2048
 #: Words that a Python worker remembers; when half are new, those not met since go.
 MEMO_ENTRIES = 400_000
-#: Groups that the pieces of one length are numbered in, so that a very frequent length isn't one task's.
-RANK_GROUPS = 1024
+#: Lengths that fill a gap together, at most.
+MOST_PARTS = 3
 
 # Fixed value: how the vocabulary splits normalised text.
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+".format(L=LETTERS, N=NUMBERS, S=SPACES))
@@ -132,65 +136,117 @@ class Bins:
     free: int
 
 
-def _exact_filling(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to the gap, the longest first; None if there are none."""
-    if left[gap]:
-        return (gap,)
-    if pair := _pair(gap, left):
-        return pair
-    for first in range(gap - 2, (gap - 1) // 3, -1):
-        if left[first] and (pair := _pair(gap - first, left, first)) and all((first, *pair).count(x) <= left[x] for x in pair):
-            return first, *pair
-    return None
+class Complements:
+    """Lengths of which some are available, with their single, pair and triple sums indexed by total.
 
+    Availability only falls, so a combination that can't be had any more never comes back: the index
+    keeps, for each total, the place of the first combination that isn't spent, and each entry is
+    passed over once.
+    """
 
-def _pair(total: int, left: np.ndarray, most: int | None = None) -> tuple[int, int] | None:
-    """Two available lengths of the sum, the longer one at most `most` and as long as can be."""
-    high = np.arange((total + 1) // 2, min(total - 1, most or total) + 1)
-    both = np.flatnonzero((left[high] > 0) & (left[total - high] > (high * 2 == total)))
-    return (int(high[both[-1]]), int(total - high[both[-1]])) if len(both) else None
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.left = [0] * (capacity + 1)
+        for length, n in counts.items():
+            self.left[length] = n
+        held = np.array(sorted((x for x, n in counts.items() if n), reverse=True), dtype=np.int64)
+        # Pairs of every total, the one of the longest member first.
+        one, two = np.triu_indices(len(held))
+        total = held[one] + held[two]
+        order = np.flatnonzero(total <= capacity)
+        order = order[np.argsort(total[order], kind="stable")]
+        self.longer, self.shorter = held[one[order]].tolist(), held[two[order]].tolist()
+        begin = np.searchsorted(total[order], np.arange(capacity + 2))
+        self.pair_at, self.pair_end = begin[:-1].tolist(), begin[1:].tolist()
+        # A triple is a length with a pair of the rest; `triple_at` counts through the lengths.
+        self.held = held.tolist()
+        self.triple_at = [0] * (capacity + 1)
+
+    def has(self, parts: tuple[int, ...]) -> bool:
+        return all(self.left[x] >= parts.count(x) for x in parts)
+
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if self.left[total] else None
+
+    def pair(self, total: int, beside: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """A pair of the total that can be had beside other parts, the longest member first."""
+        at, end = self.pair_at[total], self.pair_end[total]
+        while at < end and not self.has((self.longer[at], self.shorter[at])):
+            at += 1
+        self.pair_at[total] = at
+        # Other parts are in few of the pairs, so this ends soon.
+        while at < end:
+            parts = self.longer[at], self.shorter[at]
+            if self.has((*parts, *beside)):
+                return parts
+            at += 1
+        return None
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        """A triple of the total, of the longest first part."""
+        for k in range(self.triple_at[total], len(self.held)):
+            first = self.held[k]
+            if first < total and self.left[first] and (rest := self.pair(total - first, (first,))):
+                self.triple_at[total] = k
+                return first, *rest
+        self.triple_at[total] = len(self.held)
+        return None
+
+    def fill(self, parts: int, capacity: int) -> list[Bins]:
+        """Whole sequences of one length and an exact filling of so many parts, as many as can be had; what they hold is taken."""
+        made = []
+        for length in range(capacity, 0, -1):
+            while self.left[length]:
+                self.left[length] -= 1
+                gap = capacity - length
+                filling = () if not gap else (self.single, self.pair, self.triple)[parts - 1](gap)
+                self.left[length] += 1
+                if filling is None:
+                    break
+                whole = (length, *filling)
+                times = min(self.left[x] // whole.count(x) for x in whole)
+                for x in whole:
+                    self.left[x] -= times
+                made.append(Bins(tuple((x, whole.count(x)) for x in dict.fromkeys(whole)), times, 0))
+        return made
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Bins]:
-    """Equal sequences that hold `counts` pieces of each length, as few as the method finds."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    made, rest = [], {}
-    for length in range(capacity, 0, -1):
-        while left[length]:
-            if length == capacity:
-                filling = ()
-            else:
-                left[length] -= 1
-                filling = _exact_filling(capacity - length, left)
-                left[length] += 1
-            if filling is None:
-                rest[length], left[length] = int(left[length]), 0
-                break
-            whole = (length, *filling)
-            times = min(int(left[x]) // whole.count(x) for x in whole)
-            for x in whole:
-                left[x] -= times
-            made.append(Bins(tuple((x, whole.count(x)) for x in dict.fromkeys(whole)), times, 0))
-    return made + _best_fit(rest, capacity)
+    """Equal sequences that hold `counts` pieces of each length, as few as the method finds, and never more than best-fit alone."""
+    best = _best_fit(counts, capacity)
+    complements, made = Complements(counts, capacity), []
+    for parts in range(1, MOST_PARTS + 1):
+        made += complements.fill(parts, capacity)
+        done = made + _best_fit({x: n for x, n in enumerate(complements.left) if n}, capacity)
+        if sum(b.times for b in done) <= sum(b.times for b in best):
+            best = done
+    return best
 
 
 def _best_fit(rest: dict[int, int], capacity: int) -> list[Bins]:
     """Best-fit, longest first: each piece goes where least stays free, many equal ones at once."""
     by_free: dict[int, list[Bins]] = {}
+    frees: list[int] = []
 
     def put(b: Bins) -> None:
+        if not by_free.get(b.free):
+            bisect.insort(frees, b.free)
         by_free.setdefault(b.free, []).append(b)
 
     for length in sorted(rest, reverse=True):
         n = rest[length]
         while n:
-            free = min((f for f, b in by_free.items() if f >= length and b), default=None)
-            b = by_free[free].pop() if free is not None else Bins((), n, capacity)
+            at = bisect.bisect_left(frees, length)
+            opened = at < len(frees)
+            if opened:
+                same = by_free[frees[at]]
+                b = same.pop()
+                if not same:
+                    del frees[at]
+            else:
+                b = Bins((), n, capacity)
             each = min(b.free // length, n)
             times = min(b.times, n // each)
-            if times < b.times and free is not None:
+            if opened and times < b.times:
                 put(Bins(b.runs, b.times - times, b.free))
             put(Bins((*b.runs, (length, each)), times, b.free - each * length))
             n -= times * each
@@ -216,10 +272,11 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     A null or empty text is the one id 0. Repeated rows are packed each on its own; a null doc_id
     stays null. An empty table gives no row. The longest text only makes more pieces. Columns other
-    than doc_id and text are not read.
+    than doc_id and text are not read. Pieces of one length are numbered in groups, one for each
+    split of the input, so a very frequent length or very many equal rows aren't one task's.
     """
     order = ["doc_id", "piece", "start", "ids_crc32"]
-    each = cut(pieces(docs, path, capacity).withColumn("part", F.pmod(F.xxhash64(*order), F.lit(RANK_GROUPS))))
+    each = cut(pieces(docs, path, capacity).withColumn("part", F.spark_partition_id()))
     counts = each.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     counts = cut(counts.select("length", "part", "n", F.coalesce(before, F.lit(0)).alias("before")))
