@@ -45,7 +45,7 @@ NEAR = 5
 _WORD = re.compile(r"[^\W\d_]+")
 _CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]+")
 #: Look-alikes inside a word, and the word around them.
-_SIGNS = re.compile(r"[@$0134571!*]+(?=[^\W\d_])")
+_SIGNS = re.compile(r"(?<![@$0134571!*])[@$0134571!*]++(?=[^\W\d_])")
 _AROUND = re.compile(r"[\w@$!*]+")
 _PLAIN = str.maketrans("@$013457!", "asoieasti")
 ABUSE = INSULTS | PROFANITY
@@ -139,39 +139,29 @@ class Model:
         return np.clip(np.interp(self.trees.raw(x), *self.knots), 0.0, 1.0)
 
 
-def learn_lexicon(sample: DataFrame) -> frozenset[str]:
-    """Terms far likelier in the documents with label 1, from the columns text and toxic of a bounded sample.
+def learn_lexicon(sample: DataFrame, most: int = LEARNED_TERMS) -> frozenset[str]:
+    """The terms far likelier in the documents with label 1 that most of these have, from the columns text and toxic of a bounded sample.
 
-    Counts are by document, summed on the cluster. The terms of the documents with label 1 are
-    counted first; only those that enough of them have are counted in the others.
+    Counts are by document. Both labels are counted, and every term is tested, on the cluster.
     """
-
-    def counted(rows: DataFrame, only: frozenset[str] | None) -> dict[str, int]:
-        def init() -> Callable:
-            def kernel(texts: list) -> list[tuple]:
-                n: Counter = Counter()
-                for text in texts:
-                    has = {t for w in set(_WORD.findall((text or "").lower())) for t in terms(w)}
-                    n.update(has if only is None else has & only)
-                return list(n.items())
-
-            return kernel
-
-        summed = map_rows(rows, ["text"], init, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        if only is None:
-            summed = summed.where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(20 * LEARNED_TERMS)
-        return {r.term: r.n for r in summed.collect()}
-
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return frozenset()
-    least = max(3, bad // 500)
-    with_label = counted(sample.where("toxic = 1"), None)
-    without = counted(sample.where("toxic = 0"), frozenset(with_label))
-    rate = lambda t: (with_label[t] + 0.5) / (bad + 1) * (good + 1) / (without.get(t, 0) + 0.5)
-    marked = [t for t in with_label if rate(t) >= LIKELIER and without.get(t, 0) * 20 <= with_label[t]]
-    return frozenset(sorted(marked, key=lambda t: (-with_label[t], t))[:LEARNED_TERMS])
+
+    def init() -> Callable:
+        def kernel(texts: list, labels: list) -> list[tuple]:
+            n: dict[bool, Counter] = {True: Counter(), False: Counter()}
+            for text, label in zip(texts, labels, strict=True):
+                n[label == 1].update({t for w in set(_WORD.findall((text or "").lower())) for t in terms(w)})
+            return [(t, n[True][t], n[False][t]) for t in n[True].keys() | n[False].keys()]
+
+        return kernel
+
+    found = map_rows(sample, ["text", "toxic"], init, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    rate = (F.col("bad") + 0.5) / (bad + 1) * (good + 1) / (F.col("good") + 0.5)
+    marked = found.where((F.col("bad") >= max(3, bad // 500)) & (rate >= LIKELIER) & (F.col("good") * 20 <= F.col("bad")))
+    return frozenset(r.term for r in marked.orderBy(F.desc("bad"), "term").limit(most).collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = TRAINING_DOCUMENTS) -> Model:
