@@ -116,8 +116,10 @@ _FILLER = "and of to in is that it was for on with as at by from this have not a
 STOP = frozenset([*_FILLER, "the", "a", "an", "be", "can", "do", "all", "been", "you", "it", "or", "its", "if", "has", "see", "c", "v"])
 
 NONE = "none"
-#: Share of held-out licence paragraphs that the calibrated limits must still accept.
-ACCEPT = 0.97
+#: Share of the paragraphs of unknown licences, taken for a family, that its calibrated limit must turn away; least and largest limit.
+TURN_AWAY, LEAST_LIMIT, LARGEST_LIMIT = 0.9, 0.5, 0.9
+#: Parts that notices and sentences are dealt into; each is held out whole once, for calibration.
+FOLDS = 4
 SEED = 11
 TOKEN = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"
 _TOKEN = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
@@ -144,8 +146,8 @@ class LicenseModel:
     limits: dict[str, float]
 
 
-def _examples(rng: np.random.Generator, copies: int) -> list[tuple[str, str]]:
-    """Notices and other sentences: whole, cut, surrounded by unrelated words, and with words replaced."""
+def _examples(rng: np.random.Generator, copies: int, texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Notices and other sentences: whole, cut, surrounded by unrelated words, and with words replaced; and unrelated words alone."""
     out = []
 
     def vary(text: str, family: str) -> None:
@@ -166,58 +168,102 @@ def _examples(rng: np.random.Generator, copies: int) -> list[tuple[str, str]]:
                 own[int(rng.integers(len(own)))] = filler(1)[0]
             out.append((" ".join(own), family))
 
-    for family, notices in TEMPLATES.items():
-        for notice in notices:
-            vary(notice, family)
-    for sentence in OTHER:
-        vary(sentence, NONE)
+    for text, family in texts:
+        vary(text, family)
     out += [(" ".join(_FILLER[i] for i in rng.integers(len(_FILLER), size=int(rng.integers(4, 60)))), NONE) for _ in range(60 * copies)]
     return out
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """Every notice and sentence with its class."""
+    return [(n, family) for family, notices in TEMPLATES.items() for n in notices] + [(s, NONE) for s in OTHER]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
-@functools.lru_cache(maxsize=1)
-def train() -> LicenseModel:
-    """Sparse multinomial logistic regression by proximal gradient steps, with limits calibrated on further examples."""
-    rng = np.random.default_rng(SEED)
-    fitted, further = _examples(rng, 8), _examples(rng, 4)
-    classes = (*TEMPLATES, NONE)
-    sets = [grams(tokens(t)) for t, _ in fitted]
+@dataclass(frozen=True)
+class Regression:
+    """Sparse multinomial logistic regression over n-grams: their columns, weights and the bias."""
+
+    column: dict[str, int]
+    w: np.ndarray
+    b: np.ndarray
+
+    def matrix(self, texts: list[str]) -> np.ndarray:
+        x = np.zeros((len(texts), len(self.column)), dtype=np.float32)
+        for row, text in enumerate(texts):
+            x[row, [self.column[g] for g in grams(tokens(text)) if g in self.column]] = 1
+        return x
+
+    def chances(self, texts: list[str]) -> np.ndarray:
+        return _softmax(self.matrix(texts) @ self.w + self.b)
+
+
+CLASSES = (*TEMPLATES, NONE)
+
+
+def fit(texts: list[tuple[str, str]], copies: int = 8) -> Regression:
+    """Proximal gradient steps over variations of the texts."""
+    examples = _examples(np.random.default_rng(SEED), copies, texts)
     counts: dict[str, int] = {}
-    for s, (_, family) in zip(sets, fitted, strict=True):
-        for g in s if family != NONE else ():
+    for text, family in examples:
+        for g in grams(tokens(text)) if family != NONE else ():
             counts[g] = counts.get(g, 0) + 1
     # An n-gram of unrelated words only says nothing about licences.
     vocabulary = sorted(g for g, n in counts.items() if n >= 4 and not set(g.split()) <= STOP)
-    column = {g: i for i, g in enumerate(vocabulary)}
-
-    def matrix(some: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(some), len(column)), dtype=np.float32)
-        for row, s in enumerate(some):
-            x[row, [column[g] for g in s if g in column]] = 1
-        return x
-
-    x, y = matrix(sets), np.array([classes.index(f) for _, f in fitted])
-    target = np.eye(len(classes), dtype=np.float32)[y]
-    share = 1 / np.bincount(y, minlength=len(classes))[y][:, None].astype(np.float32) / len(classes)
-    w, b = np.zeros((len(column), len(classes)), dtype=np.float32), np.zeros(len(classes), dtype=np.float32)
-    v, step = w.copy(), 2.0
+    model = Regression({g: i for i, g in enumerate(vocabulary)}, np.zeros((len(vocabulary), len(CLASSES)), dtype=np.float32), np.zeros(len(CLASSES), dtype=np.float32))
+    x, y = model.matrix([t for t, _ in examples]), np.array([CLASSES.index(f) for _, f in examples])
+    target = np.eye(len(CLASSES), dtype=np.float32)[y]
+    share = 1 / np.bincount(y, minlength=len(CLASSES))[y][:, None].astype(np.float32) / len(CLASSES)
+    w, b = model.w, model.b
+    v, step = np.zeros_like(w), 2.0
     for _ in range(300):
         error = (_softmax(x @ w + b) - target) * share
         v = 0.9 * v + x.T @ error + 2e-4 * w
         w = w - step * v * 0.5
         w = np.sign(w) * np.maximum(0, np.abs(w) - step * 2e-5)
         b = b - step * error.sum(0)
-    p = _softmax(matrix([grams(tokens(t)) for t, _ in further]) @ w + b)
-    truth = np.array([classes.index(f) for _, f in further])
-    limits = {}
-    for k, family in enumerate(classes[:-1]):
-        own = np.sort(p[(truth == k) & (p.argmax(1) == k), k])
-        limits[family] = round(float(min(0.9, max(0.35, own[int((1 - ACCEPT) * len(own))]))) if len(own) else 0.9, 6)
-    kept = {g: tuple(round(float(z), 5) for z in w[i]) for g, i in column.items() if np.abs(w[i]).max() > 1e-3}
+    return Regression(model.column, w, b)
+
+
+def held_out_chances(copies: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of variations of all notices and sentences, and their chances by models that have seen none of the notice or sentence."""
+    texts = known_texts()
+    return _judged([[i % FOLDS == fold for i in range(len(texts))] for fold in range(FOLDS)], copies)
+
+
+def unknown_chances(copies: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The same by models that have seen nothing of the whole family, as for a licence that the scan doesn't know."""
+    return _judged([[family == f for _, family in known_texts()] for f in TEMPLATES], copies)
+
+
+def _judged(held: list[list[bool]], copies: int) -> tuple[np.ndarray, np.ndarray]:
+    texts, truth, chances = known_texts(), [], []
+    for fold, out in enumerate(held):
+        model = fit([t for t, h in zip(texts, out, strict=True) if not h])
+        own = _examples(np.random.default_rng(SEED + 1 + fold), copies, [t for t, h in zip(texts, out, strict=True) if h])
+        truth += [CLASSES.index(f) for _, f in own]
+        chances.append(model.chances([t for t, _ in own]))
+    return np.array(truth), np.concatenate(chances)
+
+
+def limits(truth: np.ndarray, chances: np.ndarray) -> dict[str, float]:
+    """For each family the chance from which it is taken: what turns away TURN_AWAY of the paragraphs of others that are taken for it."""
+    best, out = chances.argmax(1), {}
+    for k, family in enumerate(CLASSES[:-1]):
+        other = np.sort(chances[(truth != k) & (best == k), k])
+        away = other[min(len(other) - 1, int(TURN_AWAY * len(other)))] + 1e-6 if len(other) else LEAST_LIMIT
+        out[family] = round(float(min(LARGEST_LIMIT, max(LEAST_LIMIT, away))), 6)
+    return out
+
+
+@functools.lru_cache(maxsize=1)
+def train() -> LicenseModel:
+    """The classifier over all notices, with limits calibrated on notices, and on families, that were held out whole."""
+    model = fit(known_texts())
+    kept = {g: tuple(round(float(z), 5) for z in model.w[i]) for g, i in model.column.items() if np.abs(model.w[i]).max() > 1e-3}
     pairs = {f: frozenset(g for n in notices for g in grams(tokens(n)) if " " in g) for f, notices in TEMPLATES.items()}
-    return LicenseModel(classes, tuple(round(float(z), 5) for z in b), kept, pairs, limits)
+    return LicenseModel(CLASSES, tuple(round(float(z), 5) for z in model.b), kept, pairs, limits(*map(np.concatenate, zip(held_out_chances(), unknown_chances(), strict=True))))

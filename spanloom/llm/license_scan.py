@@ -2,7 +2,8 @@
 
 A paragraph is a line with a word. Paragraphs without any n-gram of the model have no feature and
 so no licence; the others are scored, each distinct text once: its distinct words and word pairs meet
-the sparse weights, the summed log-odds become chances, and the likeliest family is taken. Under the
+the sparse weights, the summed log-odds become chances, and the likeliest family is taken, of equally
+likely ones the first in the order of the templates. Under the
 family's calibrated limit the paragraph is `unknown`. Otherwise it is compared to the family's
 templates: it is confirmed if enough of a template's word pairs, or of its own, occur in both.
 """
@@ -78,7 +79,7 @@ def scan(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     model = model or train()
     telling = [F.lit(w) for w in sorted({w for g in model.weights for w in g.split()} - STOP)]
     # A paragraph without such a word has none of the model's n-grams.
-    found = paragraphs(docs).where(F.exists(_tokens(F.col("body")), lambda w: w.isin(*telling)))
+    found = cut(paragraphs(docs).where(F.exists(_tokens(F.col("body")), lambda w: w.isin(*telling))))
     # Kept apart from the join, so that Spark may split a frequent notice's side of it.
     families = cut(classify(found.select("body").distinct(), model)).withColumnRenamed("body", "_body")
     return found.join(families, F.col("body") == F.col("_body")).select("doc_id", "paragraph", "family", "probability", "similarity", "confirmed")
