@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from spanloom.llm.common import map_rows
 from spanloom.llm.pretokens import split_bytes_bpe
 
-#: Pre-tokens whose result a Python worker remembers, and the longest one it remembers.
+#: Pre-tokens whose result a Python worker remembers, and the longest one: some 100 MB of ordinary words, 0.6 GB of the longest at worst.
 MEMO_ENTRIES, MEMO_CHARS = 1_000_000, 64
 #: The rank of a pair that no rule merges.
 NEVER = 1 << 30

@@ -1,7 +1,7 @@
 """Token counts by the whole-token shortcut.
 
-Offline, every string of the vocabulary is put through the merges; those that end as one token
-form the shortcut set. A pre-token in the set counts one token without any merge; only the others
+Offline, before any text is read, the driver puts every string of the vocabulary through the merges;
+those that end as one token form the shortcut set, which the workers get. A pre-token in the set counts one token without any merge; only the others
 are merged, pair by pair in rank order.
 """
 
@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from spanloom.llm.bpe import NEVER, Memo, merge_spans
@@ -33,9 +34,9 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Pair ranks, special strings and the proven shortcut set of one .json byte-level BPE."""
+    """Pair ranks, special strings and the shortcut set of one .json byte-level BPE; without a given set, it is proven here."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, whole: frozenset[str] | None = None) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -46,7 +47,7 @@ class Vocabulary:
             self.pair_rank[raw(left), raw(right)] = rank
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.whole = self._prove(filter(None, (self._text(raw, t) for t in spec["model"]["vocab"])))
+        self.whole = self._prove(filter(None, (self._text(raw, t) for t in spec["model"]["vocab"]))) if whole is None else whole
         self.merged = Memo(self.count_merged)
 
     @staticmethod
@@ -85,10 +86,20 @@ class Vocabulary:
 
 @functools.lru_cache(maxsize=4)
 def load_vocabulary(path: str) -> Vocabulary:
-    """The vocabulary at a path; the proof runs once in a Python worker."""
+    """The vocabulary at a path with its proof."""
     return Vocabulary(path)
 
 
+#: The vocabularies of a Python worker, by path.
+_OF_WORKER: dict[str, Vocabulary] = {}
+
+
+def _in_worker(path: str, proven: Broadcast) -> Vocabulary:
+    if path not in _OF_WORKER:
+        _OF_WORKER[path] = Vocabulary(path, proven.value)
+    return _OF_WORKER[path]
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every whole text.
 
@@ -96,8 +107,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
     repeated results. Other columns are not read.
     """
 
+    # As large as the vocabulary, whatever the corpus.
+    proven = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path).whole)
+
     def init() -> Callable:
-        count = load_vocabulary(path).count
+        count = _in_worker(path, proven).count
 
         def kernel(ids: list, texts: list) -> list[tuple]:
             return [(i, len(t.encode()), n := count(t), n > limit) for i, t in zip(ids, (t or "" for t in texts), strict=True)]
