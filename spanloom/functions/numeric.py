@@ -50,7 +50,7 @@ def bad_log_prob(frame: Column) -> Column:
     return F.get(marked, F.lit(0))
 
 
-def _moments(samples: Column) -> Column:
+def moments(samples: Column) -> Column:
     """Struct (mean, var): the population's, in double."""
     n = F.size(samples)
     total = lambda f: F.aggregate(samples, F.lit(0.0), lambda a, x: a + f(x.cast("double")))
@@ -61,13 +61,4 @@ def _moments(samples: Column) -> Column:
 def standardize(samples: Column, epsilon: float = 1e-7) -> Column:
     """Samples with zero mean and unit variance, accumulated in double."""
     scaled = lambda m: F.transform(samples, lambda x: ((x.cast("double") - m["mean"]) / F.sqrt(m["var"] + epsilon)).cast("float"))
-    return let(_moments(samples), scaled)
-
-
-def standardize_masked(samples: Column, spans: Column, epsilon: float = 1e-7) -> Column:
-    """As standardize, by the samples inside the spans alone; the others become zero."""
-    inside = lambda i: F.exists(spans, lambda p: (i >= p["start"]) & (i < p["end"]))
-    scaled = lambda m: F.transform(
-        samples, lambda x, i: F.when(inside(i), ((x.cast("double") - m["mean"]) / F.sqrt(m["var"] + epsilon)).cast("float")).otherwise(F.lit(0.0).cast("float"))
-    )
-    return let(let(F.filter(samples, lambda x, i: inside(i)), _moments), scaled)
+    return let(moments(samples), scaled)

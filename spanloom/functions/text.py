@@ -11,6 +11,8 @@ from spanloom.functions.numeric import let
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # Punctuation that is stripped from the edges of a Latin word.
 EDGE = r".,!?;:\"'()\[\]{}\-\x{2014}\x{2013}\x{201c}\x{201d}\x{2018}\x{2019}\x{bf}\x{a1}"
+# The same marks, one by one.
+EDGE_MARKS = ".,!?;:\"'()[]{}-\u2014\u2013\u201c\u201d\u2018\u2019\u00bf\u00a1"
 # Marks that join two spoken words.
 JOINS = r"\-/\x{2010}\x{2011}\x{2013}\x{2014}\x{2015}"
 # Punctuation that each character-level normaliser skips.
@@ -44,23 +46,24 @@ def latin_words(text: Column, clitics: bool = False) -> Column:
 
     def of_marked(token: Column) -> Column:
         if not clitics:
-            return of_piece(token, F.lit(False))
+            return of_piece(token, None)
         each = lambda pieces: F.flatten(F.transform(pieces, lambda p, i: of_piece(p, i < F.size(pieces) - 1)))
         return let(_nonempty(F.split(token, r"(?<=['\x{2019}])")), each)
 
-    def of_piece(piece: Column, left_only: Column) -> Column:
-        def of_left(left: Column) -> Column:
-            return let(F.when(left_only, left).otherwise(F.regexp_replace(left, f"[{EDGE}]+$", "")), lambda bare: of_bare(left, bare))
+    marks = F.lit(EDGE_MARKS)
 
-        def of_bare(left: Column, bare: Column) -> Column:
-            prefix = F.when(left_only, 0).otherwise(F.length(piece) - F.length(left))
-            suffix = F.when(left_only, 0).otherwise(F.length(left) - F.length(bare))
-            several = bare.rlike(f"[{JOINS}]")
-            cut = lambda parts: F.transform(parts, lambda p, i: word(p, p, F.when(i == 0, prefix).otherwise(0), F.when(i == F.size(parts) - 1, suffix).otherwise(0)))
-            split = let(_nonempty(F.split(bare, f"[{JOINS}]")), cut)
-            return F.when(F.length(bare) == 0, F.array().cast(WORDS)).when(several, split).otherwise(F.array(word(bare, piece, prefix, suffix)))
+    def of_piece(piece: Column, left_only: Column | None) -> Column:
+        right = lambda left: F.rtrim(left, marks)
+        bare = right if left_only is None else (lambda left: F.when(left_only, left).otherwise(right(left)))
+        return let(F.ltrim(piece, marks), lambda left: let(bare(left), lambda b: of_bare(piece, left, b, left_only)))
 
-        return let(F.regexp_replace(piece, f"^[{EDGE}]+", ""), of_left)
+    def of_bare(piece: Column, left: Column, bare: Column, left_only: Column | None) -> Column:
+        counts = F.length(piece) - F.length(left), F.length(left) - F.length(bare)
+        prefix, suffix = counts if left_only is None else (F.when(left_only, 0).otherwise(n) for n in counts)
+        several = bare.rlike(f"[{JOINS}]")
+        cut = lambda parts: F.transform(parts, lambda p, i: word(p, p, F.when(i == 0, prefix).otherwise(0), F.when(i == F.size(parts) - 1, suffix).otherwise(0)))
+        split = let(_nonempty(F.split(bare, f"[{JOINS}]")), cut)
+        return F.when(F.length(bare) == 0, F.array().cast(WORDS)).when(several, split).otherwise(F.array(word(bare, piece, prefix, suffix)))
 
     return F.flatten(F.transform(tokens, of_token))
 

@@ -32,12 +32,21 @@ class Alphabet:
 
     def spells(self, word: Column) -> Column:
         """Whether a word is made of these characters alone."""
-        return ~word.rlike("[^" + "".join(f"\\x{{{ord(c):x}}}" for c in self.characters) + "]")
+        return ~word.rlike(self.others())
 
-    def id_of(self, character: Column) -> Column:
-        """The id of a character, null if it isn't in the vocabulary."""
-        at = F.call_function("instr", F.lit(self.characters), character)
-        return F.when(at > 0, F.get(F.array(*(F.lit(i) for i in self.ids)), at - 1))
+    def id_of(self, character: Column, missing: int | None = None) -> Column:
+        """The id of a character; `missing` if it isn't in the vocabulary."""
+        ids = F.array(F.lit(missing).cast("int"), *(F.lit(i) for i in self.ids))
+        return F.get(ids, F.call_function("instr", F.lit(self.characters), character))
+
+    def without(self, character: str) -> Alphabet:
+        """The alphabet without one of its characters."""
+        kept = [(c, i) for c, i in zip(self.characters, self.ids, strict=True) if c != character]
+        return Alphabet("".join(c for c, _ in kept), tuple(i for _, i in kept))
+
+    def others(self, more: str = "") -> str:
+        """A pattern of one character outside the alphabet and a class's further members."""
+        return "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in self.characters) + more + "]"
 
 
 def special_tokens(vocab: DataFrame) -> DataFrame:
@@ -75,28 +84,43 @@ def _plain(word: Column, alphabet: Alphabet) -> Column:
 
 
 def _characters(word: Column) -> Column:
-    return F.filter(F.split(word["word"], ""), lambda c: F.length(c) > 0)
+    return F.split(word["word"], "")
+
+
+#: Stands before each word with an event where words are put together; words that hold it have an event themselves.
+_MARK = "\x01"
 
 
 def oov_events(rows: DataFrame, words: Column, alphabet: Alphabet, keys: list[str]) -> DataFrame:
     """One row per event: keys, event (its order), kind, ch, char_index, word_index.
 
     char_index counts the characters of the normalised text, one for each space between words
-    included; marks at a word's edges don't move it.
+    included; marks at a word's edges don't move it. Only words that have an event become rows; each
+    brings along how many characters lie between the one before it and itself.
     """
-    each = rows.select(*keys, F.posexplode(words).alias("word_index", "w"))
+
+    def of_words(held: Column) -> Column:
+        put = F.array_join(F.transform(held, lambda x: F.when(x["plain"], x["w"]["word"]).otherwise(F.concat(F.lit(_MARK), F.translate(x["w"]["word"], _MARK, "\x02")))), " ")
+        return F.struct(F.filter(held, lambda x: ~x["plain"]).alias("marked"), F.transform(F.split(put, _MARK), lambda x: F.length(x)).alias("gaps"))
+
+    judged = F.transform(words, lambda w, i: F.struct(i.cast("int").alias("word_index"), w.alias("w"), _plain(w, alphabet).alias("plain")))
+    each = rows.select(*keys, let(judged, of_words).alias("_x")).select(*keys, F.col("_x.gaps").alias("_gaps"), F.posexplode("_x.marked").alias("_nth", "_m"))
+    each = each.select(*keys, F.col("_nth"), F.get("_gaps", F.col("_nth")).alias("_gap"), "_m.*")
     length = F.length("w.word")
     inside = lambda i: F.greatest(F.lit(0), F.least(i - F.col("w.prefix"), length))
-    marked = F.transform(_steps(F.col("w"), alphabet), lambda s, i: F.struct(s["kind"].alias("kind"), s["ch"].alias("ch"), inside(i).alias("inside")))
-    found = F.filter(marked, lambda s: s["kind"].isNotNull())
-    events = each.select(*keys, "word_index", length.alias("_n"), F.when(~_plain(F.col("w"), alphabet), found).otherwise(F.slice(found, 1, 0)).alias("_events"))
-    order = Window.partitionBy(*keys).orderBy("word_index").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(order), F.lit(0)) + F.col("word_index")
-    earlier = F.coalesce(F.sum(F.size("_events")).over(order), F.lit(0))
+    steps = F.transform(_steps(F.col("w"), alphabet), lambda s, i: F.struct(s["kind"].alias("kind"), s["ch"].alias("ch"), inside(i).alias("inside")))
+    events = each.withColumn("_events", F.filter(steps, lambda s: s["kind"].isNotNull()))
+    order = Window.partitionBy(*keys).orderBy("_nth")
+    before = F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    earlier = F.coalesce(F.sum(F.size("_events")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = events.withColumns({"_before": before, "_earlier": earlier}).select(*keys, "word_index", "_before", "_earlier", F.posexplode("_events").alias("_k", "e"))
     return placed.select(*keys, (F.col("_earlier") + F.col("_k")).alias("event"), "e.kind", "e.ch", (F.col("_before") + F.col("e.inside")).alias("char_index"), "word_index")
 
 
+# What the default policy lets a wildcard stand for.
+SPEAKABLE = r"\p{IsAlphabetic}\p{N}'\x{2019}"
+
+
 def decide(kind: Column, ch: Column, policy: str = "default") -> Column:
     """wildcard or fail_closed for an event."""
     if policy not in POLICIES:
@@ -105,34 +129,52 @@ def decide(kind: Column, ch: Column, policy: str = "default") -> Column:
         return F.lit("wildcard")
     if policy == "fail_all":
         return F.lit("fail_closed")
-    speakable = ch.rlike(r"^[\p{IsAlphabetic}\p{N}'\x{2019}]$")
+    speakable = ch.rlike(f"^[{SPEAKABLE}]$")
     return F.when((kind != "symbol") | speakable, "wildcard").otherwise("fail_closed")
 
 
-def tokenize(words: Column, alphabet: Alphabet, delimiter: int | None, policy: str = "default") -> Column:
-    """Struct (status, token_ids, word_idx): ids of all words, -1 for a wildcard, the delimiter with a null word between words that have tokens.
+def _fails(words: Column, alphabet: Alphabet, policy: str) -> Column:
+    """Whether the policy fails an event of the words, found in one pass over all of them put together."""
+    if policy not in POLICIES:
+        raise ValueError(f"policy must be one of {POLICIES}")
+    known, spoken = alphabet.without(INTERNAL_PUNCT), F.array_join(F.transform(words, lambda w: w["word"]), " ")
+    if policy == "wildcard_all":
+        return F.lit(False)
+    if policy == "fail_all":
+        return spoken.rlike(known.others(" ")) | F.exists(words, lambda w: (w["prefix"] > 0) | (w["suffix"] > 0))
+    return spoken.rlike(known.others(r" \." + SPEAKABLE))
 
-    status is semantic_oov, and there are no tokens, if the policy fails any event.
-    """
-    pair = lambda i, w: F.struct(i.cast("int").alias("id"), w.cast("int").alias("word"))
 
-    fails = lambda w: F.exists(_steps(w, alphabet), lambda s: s["kind"].isNotNull() & (decide(s["kind"], s["ch"], policy) == "fail_closed"))
-    failed = F.lit(False) if policy == "wildcard_all" else F.exists(words, lambda w: ~_plain(w, alphabet) & fails(w))
+def spell(words: Column, alphabet: Alphabet, delimiter: int | None) -> Column:
+    """Struct (token_ids, word_idx): ids of all words, -1 for an event, the delimiter with a null word between words that have tokens."""
+    known = alphabet.without(INTERNAL_PUNCT)
 
-    def of_word(w: Column, i: Column) -> Column:
-        plain = F.transform(_characters(w), lambda c: pair(alphabet.id_of(c), i))
-        return F.when(_plain(w, alphabet), plain).otherwise(F.transform(_steps(w, alphabet), lambda s: pair(F.coalesce(s["id"], F.lit(-1)), i)))
+    def of_word(w: Column) -> Column:
+        ids = F.transform(_characters(w), lambda c: known.id_of(c, -1))
+        edge = lambda n: F.array_repeat(F.lit(-1), n)
+        return F.when((w["prefix"] == 0) & (w["suffix"] == 0), ids).otherwise(F.concat(edge(w["prefix"]), ids, edge(w["suffix"])))
 
     def of_groups(groups: Column) -> Column:
-        full = F.filter(groups, lambda g: F.size(g) > 0)
-        if delimiter is not None:
-            between = F.array(pair(F.lit(delimiter), F.lit(None)))
-            full = F.transform(full, lambda g, i: F.when(i == 0, g).otherwise(F.concat(between, g)))
-        ids = lambda f: F.struct(F.lit("ok").alias("status"), F.transform(f, lambda p: p["id"]).alias("token_ids"), F.transform(f, lambda p: p["word"]).alias("word_idx"))
-        return let(F.flatten(full), ids)
+        lead = [] if delimiter is None else [F.lit(delimiter)], [] if delimiter is None else [F.lit(None).cast("int")]
+        none = F.array().cast("array<int>")
+        ids = F.flatten(F.transform(groups, lambda g: F.when(F.size(g) > 0, F.concat(F.array(*lead[0]).cast("array<int>"), g)).otherwise(none)))
+        index = F.flatten(F.transform(groups, lambda g, i: F.when(F.size(g) > 0, F.concat(F.array(*lead[1]).cast("array<int>"), F.array_repeat(i.cast("int"), F.size(g)))).otherwise(none)))
+        rest = lambda x: x if delimiter is None else let(x, lambda held: F.slice(held, 2, F.greatest(F.size(held) - 1, F.lit(0))))
+        return F.struct(rest(ids).alias("token_ids"), rest(index).alias("word_idx"))
+
+    return let(F.transform(words, of_word), of_groups)
 
+
+def tokenize(words: Column, alphabet: Alphabet, delimiter: int | None, policy: str = "default") -> Column:
+    """Struct (status, token_ids, word_idx) as `spell` gives them; status is semantic_oov, and there are no tokens, if the policy fails any event."""
     none = F.array().cast("array<int>")
-    return F.when(failed, F.struct(F.lit("semantic_oov").alias("status"), none.alias("token_ids"), none.alias("word_idx"))).otherwise(let(F.transform(words, of_word), of_groups))
+    good = let(spell(words, alphabet, delimiter), lambda x: F.struct(F.lit("ok").alias("status"), x["token_ids"].alias("token_ids"), x["word_idx"].alias("word_idx")))
+    return F.when(_fails(words, alphabet, policy), F.struct(F.lit("semantic_oov").alias("status"), none.alias("token_ids"), none.alias("word_idx"))).otherwise(good)
+
+
+def verdict(words: Column, alphabet: Alphabet, policy: str = "default") -> Column:
+    """ok, or semantic_oov if the policy fails any event."""
+    return F.when(_fails(words, alphabet, policy), "semantic_oov").otherwise("ok")
 
 
 def match_decisions(events: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
