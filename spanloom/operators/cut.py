@@ -71,13 +71,17 @@ class Acceptance:
     high_water: int | None = None
     ended: bool = False
 
-    def judge(self, kind: str, start: int, end: int) -> str:
-        """Status of an input row, with the watermark moved if it is accepted."""
+    def judge(self, kind: str | None, start: int | None, end: int | None) -> str:
+        """Status of an input row, with the watermark moved if it is accepted. Rows of no known kind, or without the bounds that their kind needs, change nothing."""
         if self.ended:
             return "accepted" if kind == "eof" else "after_eof"
         if kind == "eof":
             self.ended = True
             return "accepted"
+        if kind not in ("vad", "no_speech"):
+            return "unknown_kind"
+        if end is None or (kind == "vad" and start is None):
+            return "missing_bounds"
         if kind == "no_speech":
             if end < self.watermark:
                 return "vad_regression"

@@ -12,6 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from spanloom.operators.cut import CHUNKS, Acceptance, Cutter, inputs
 from spanloom.plans.fold import ensure_importable
 
+
+def whole(x: object) -> int | None:
+    """A number of a pandas row as an integer; None for a missing one."""
+    return None if pd.isna(x) else int(x)
+
+
 STATE = "next_id bigint, watermark bigint, high_water bigint, ended boolean, start bigint, end bigint, override string, next_seq bigint, subs string"
 
 
@@ -36,16 +42,17 @@ def cut_stream(spans: DataFrame, limit: int, gap: int | None = None) -> DataFram
                 next_id += 1
 
         for row in pd.concat(list(batches)).sort_values("seq").itertuples():
+            kind, start, end = row.kind, whole(row.start_sample), whole(row.end_sample)
             if pd.notna(row.high_water):
                 rules.high_water = int(row.high_water)
-            if row.kind == "restart":
+            if kind == "restart":
                 emit(cutter.flush())
                 rules, cutter = Acceptance(), Cutter(limit, gap)
-            elif rules.judge(row.kind, int(row.start_sample), int(row.end_sample)) == "accepted":
-                if row.kind == "eof" or (row.kind == "no_speech" and cutter.would_flush_at(int(row.end_sample))):
+            elif rules.judge(kind, start, end) == "accepted":
+                if kind == "eof" or (kind == "no_speech" and cutter.would_flush_at(end)):
                     emit(cutter.flush())
-                elif row.kind == "vad":
-                    emit(cutter.push(int(row.start_sample), int(row.end_sample), row.override if isinstance(row.override, str) else None))
+                elif kind == "vad":
+                    emit(cutter.push(start, end, row.override if isinstance(row.override, str) else None))
         held.update((next_id, rules.watermark, rules.high_water, rules.ended, cutter.start, cutter.end, cutter.override_at_start, cutter.next_seq, json.dumps(cutter.subs)))
         yield pd.DataFrame(out, columns=["stream_id", "chunk_id", "start_sample", "end_sample", "override_at_start", "subs"])
 
