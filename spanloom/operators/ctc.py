@@ -76,16 +76,23 @@ def backtrack(scores: np.ndarray, lp: np.ndarray, tokens: np.ndarray, blank: int
     return path
 
 
-def check(lp: np.ndarray, tokens: np.ndarray, blank: int) -> str:
-    """ok, or why a clip can't be aligned; in the order that callers see."""
-    frames, vocab, n = len(lp), lp.shape[1] if lp.ndim == 2 else 0, len(tokens)
-    if frames > MAX_FRAMES or frames * n > MAX_CELLS:
-        return "no_alignment_path"
-    if not 0 <= blank < vocab or (tokens >= vocab).any() or (tokens < WILDCARD).any():
-        return "token_out_of_range"
-    if n == 0 or frames < n:
-        return "no_alignment_path"
-    return "ok"
+def _judged(frames: DataFrame, tokens: DataFrame, blank: int) -> DataFrame:
+    """clip_id, frame, lp and status of all frames of the clips that can be aligned, and of one frame, without lp, of each other clip.
+
+    Sizes are counted where a clip's frames lie together and may spill, so no clip beyond the budgets
+    is ever gathered in a row or in Python. No token comes first, then frames of unlike lengths
+    (bad_shape), ids outside the vocabulary, and too few frames or budgets exceeded.
+    """
+    clip = Window.partitionBy("clip_id")
+    asked = tokens.select(F.col("clip_id").alias("_clip"), F.size("token_ids").alias("_n"), F.array_max("token_ids").alias("_top"), F.array_min("token_ids").alias("_low"))
+    vocab = F.coalesce(F.size("lp"), F.lit(-1))
+    sized = frames.select("clip_id", "frame", "lp").withColumns({"_frames": F.count("*").over(clip), "_vocab": F.max(vocab).over(clip), "_least": F.min(vocab).over(clip), "_nth": F.row_number().over(clip.orderBy("frame"))})
+    frames_, n = F.col("_frames"), F.col("_n")
+    outside = (F.lit(blank) < 0) | (F.lit(blank) >= F.col("_vocab")) | (F.col("_top") >= F.col("_vocab")) | (F.col("_low") < WILDCARD)
+    beyond = (frames_ < n) | (frames_ > MAX_FRAMES) | (frames_.cast("decimal(20,0)") * n > MAX_CELLS)
+    status = F.when(n.isNull() | (n <= 0), "no_alignment_path").when(F.col("_least") != F.col("_vocab"), "bad_shape").when(outside, "token_out_of_range").when(beyond, "no_alignment_path").otherwise("ok")
+    met = sized.join(asked, F.col("clip_id") == F.col("_clip"), "left").withColumn("status", status)
+    return met.where("status = 'ok' or _nth = 1").select("clip_id", "frame", F.when(F.col("status") == "ok", F.col("lp")).alias("lp"), "status")
 
 
 def align(frames: DataFrame, tokens: DataFrame, blank: int = 0) -> DataFrame:
@@ -97,27 +104,25 @@ def align(frames: DataFrame, tokens: DataFrame, blank: int = 0) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("frame")
-        clip = (left if len(left) else right).column("clip_id")[0].as_py()
-        out = []
-        if len(left) and len(right):
-            column = left.column("lp").combine_chunks()
-            lp = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(left), -1)
+        clip = (left.column("clip_id") if len(left) else right.column("of_clip"))[0].as_py()
+        status, path = left.column("status")[0].as_py() if len(left) else "no_alignment_path", None
+        if status == "ok":
+            lp = left.column("lp").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(left), -1)
             ids = np.array(right.column("token_ids")[0].as_py(), dtype=np.int64)
-            status = check(lp, ids, blank)
-            path = backtrack(trellis(lp, ids, blank), lp, ids, blank) if status == "ok" else None
-            status = "no_alignment_path" if status == "ok" and path is None else status
-            out = [(clip, "ok", *p) for p in path] if path else [(clip, status, None, None, None)]
-        else:
-            out = [(clip, "no_alignment_path", None, None, None)]
+            path = backtrack(trellis(lp, ids, blank), lp, ids, blank)
+            status = "ok" if path else "no_alignment_path"
+        out = [(clip, status, *p) for p in path or [(None, None, None)]]
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float32()]
         return pa.table([pa.array([r[i] for r in out], type=k) for i, k in enumerate(kinds)], names=["clip_id", "status", "frame", "token_index", "score"])
 
-    return frames.select("clip_id", "frame", "lp").groupBy("clip_id").cogroup(tokens.select("clip_id", "token_ids").groupBy("clip_id")).applyInArrow(run, PATHS)
+    ids = tokens.select(F.col("clip_id").alias("of_clip"), "token_ids")
+    return _judged(frames, tokens, blank).groupBy("clip_id").cogroup(ids.groupBy("of_clip")).applyInArrow(run, PATHS)
 
 
 def end_scores(frames: DataFrame, tokens: DataFrame, blank: int = 0) -> DataFrame:
-    """clip_id and end_score of the trellis' last cell, as one array fold in the JVM that carries a single row of cells."""
-    clips = frames.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("frame", "lp"))).alias("f")).join(tokens, "clip_id")
+    """clip_id and end_score of the trellis' last cell, as one array fold in the JVM that carries a single row of cells; clips beyond the budgets are left out."""
+    within = _judged(frames, tokens, blank).where("status = 'ok'")
+    clips = within.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("frame", "lp"))).alias("f")).join(tokens, "clip_id")
     clips = clips.select("clip_id", "token_ids", F.transform("f", lambda x: x["lp"]).alias("lps"))
     n, total = F.size("token_ids"), F.size("lps")
     inf = lambda s: F.lit(float(s)).cast("float")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.functions.clock import div
+from spanloom.functions.numeric import let, moments
 
 
 def union_intervals(spans: DataFrame, key: str = "clip_id") -> DataFrame:
@@ -93,7 +96,28 @@ def frame_runs(frames: DataFrame, group: list[str]) -> DataFrame:
 
 def mask_samples(samples: Column, spans: Column) -> Column:
     """Samples with silence, all outside the spans, set to zero."""
-    return F.transform(samples, lambda s, i: F.when(F.exists(spans, lambda p: (i >= p["start"]) & (i < p["end"])), s).otherwise(F.lit(0.0).cast("float")))
+    return voiced(samples, spans, lambda part: part)
+
+
+def voiced(samples: Column, spans: Column, of_part: Callable[[Column], Column]) -> Column:
+    """of_part of the samples inside each span, zeros between: the spans' samples are sliced out once, however many spans there are."""
+    n = F.size(samples)
+    zeros = lambda k: F.array_repeat(F.lit(0.0).cast("float"), k.cast("int"))
+
+    def of_spans(held: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(held, i - 1)["end"], F.lit(0))
+        parts = F.transform(held, lambda p, i: F.concat(zeros(p["start"] - before(i)), of_part(F.slice(samples, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))))
+        return F.concat(F.flatten(parts), zeros(n - F.coalesce(F.try_element_at(held, F.lit(-1))["end"], F.lit(0))))
+
+    return let(union_array(clip_array(spans, F.lit(0), n)), of_spans)
+
+
+def standardize_masked(samples: Column, spans: Column, epsilon: float = 1e-7) -> Column:
+    """Samples with zero mean and unit variance by those inside the spans alone; the others become zero."""
+    held = union_array(clip_array(spans, F.lit(0), F.size(samples)))
+    inside = F.flatten(F.transform(held, lambda p: F.slice(samples, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int"))))
+    scaled = lambda m: voiced(samples, spans, lambda part: F.transform(part, lambda x: ((x.cast("double") - m["mean"]) / F.sqrt(m["var"] + epsilon)).cast("float")))
+    return let(let(inside, moments), scaled)
 
 
 def pad_samples(samples: Column, least: int = 400) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 ANY = "any"
 MISS_POLICIES = ("skip_chunk", "error")
-#: Most aligners of a registry; beyond it, registration raises, so a lookup may broadcast it.
+#: Most aligners of a registry; beyond it, registration raises.
 MAX_ALIGNERS = 10_000
 
 
@@ -29,9 +29,10 @@ def lookup(chunks: DataFrame, aligners: DataFrame, policy: str = "skip_chunk") -
     """chunks with aligner_id, matched (exact, any or miss) and status: ok, skipped (no words) or language_unsupported."""
     if policy not in MISS_POLICIES:
         raise ValueError(f"policy must be one of {MISS_POLICIES}")
-    exact = F.broadcast(aligners.where(F.col("key") != ANY).select(F.col("key").alias("_key"), F.col("aligner_id").alias("_exact")))
-    fallback = F.broadcast(aligners.where(F.col("key") == ANY).select(F.col("aligner_id").alias("_any")))
-    met = chunks.join(exact, F.col("language") == F.col("_key"), "left").join(fallback, F.lit(True), "left")
+    # One aligner a key, whatever comes in; Spark broadcasts the table where it measures it as small.
+    exact = aligners.where(F.col("key") != ANY).groupBy(F.col("key").alias("_key")).agg(F.max("aligner_id").alias("_exact"))
+    fallback = aligners.where(F.col("key") == ANY).agg(F.max("aligner_id"))
+    met = chunks.join(exact, F.col("language") == F.col("_key"), "left").withColumn("_any", fallback.scalar())
     status = F.when(F.coalesce("_exact", "_any").isNotNull(), "ok").otherwise("skipped" if policy == "skip_chunk" else "language_unsupported")
     matched = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_any").isNotNull(), "any").otherwise("miss")
     return met.select(*chunks.columns, F.coalesce("_exact", "_any").alias("aligner_id"), matched.alias("matched"), status.alias("status"))
