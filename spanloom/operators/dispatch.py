@@ -89,7 +89,7 @@ def answer_chunks(chunks: DataFrame, answers: DataFrame, phase: str) -> DataFram
     return met.withColumn("status", F.when(F.col("_phase") == phase, "accepted").otherwise("unknown_chunk")).drop("_phase")
 
 
-class _Admission:
+class Admission:
     """Which chunks may start, given a limit in flight and the observation window before the lock."""
 
     def __init__(self, stream: int, in_flight: int, n: int) -> None:
@@ -134,9 +134,17 @@ class _Admission:
         return []
 
 
-def admit(events: DataFrame, max_in_flight: int = 6, observations: int = 1) -> DataFrame:
-    """Starts and resolutions in order, from rows of kind cut or result (with chunk_id, and language or null): stream_id, seq, action, chunk_id, language hint."""
+ADMISSIONS = "stream_id bigint, seq bigint, action string, chunk_id bigint, language string"
+ADMISSION_COLUMNS = ["seq", "kind", "chunk_id", "language"]
+
+
+def check_admission(max_in_flight: int, observations: int) -> None:
+    """ValueError for limits out of range."""
     if not 1 <= max_in_flight <= 4096 or observations < 1:
         raise ValueError("in-flight limit must be 1 to 4096 and observations at least 1")
-    schema = "stream_id bigint, seq bigint, action string, chunk_id bigint, language string"
-    return ordered_fold(events, "stream_id", ["seq"], ["seq", "kind", "chunk_id", "language"], lambda k: _Admission(k, max_in_flight, observations), schema)
+
+
+def admit(events: DataFrame, max_in_flight: int = 6, observations: int = 1) -> DataFrame:
+    """Starts and resolutions in order, from rows of kind cut or result (with chunk_id, and language or null): stream_id, seq, action, chunk_id, language hint."""
+    check_admission(max_in_flight, observations)
+    return ordered_fold(events, "stream_id", ["seq"], ADMISSION_COLUMNS, lambda k: Admission(k, max_in_flight, observations), ADMISSIONS)

@@ -22,7 +22,9 @@ def samples_to_ticks(samples: int, num: int, den: int) -> int:
     return samples * den // (16_000 * num)
 
 
-class _Buffer:
+class Buffer:
+    """What is known of one stream's buffered audio."""
+
     def __init__(self, stream: int, cap: int, tolerance: int) -> None:
         self.stream, self.cap, self.tolerance = stream, cap, tolerance
         self.anchor: int | None = None
@@ -58,6 +60,9 @@ class _Buffer:
     def push(self, row: tuple) -> list[tuple]:
         seq, kind, pts, num, den, n, queued = row
         first = self.total
+        needed = {"packet": (pts, num, den, n), "trim": (n,), "restart": (), "eof": ()}.get(kind)
+        if needed is None or None in needed:
+            return [(self.stream, seq, self.epoch, "unknown_kind" if needed is None else "missing_value", None, 0, 0, self.total, self.live)]
         if kind == "restart":
             if self.timebase is not None and (num, den) != self.timebase:
                 return [(self.stream, seq, self.epoch, "inconsistent_timebase", None, 0, 0, self.total, self.live)]
@@ -70,7 +75,7 @@ class _Buffer:
             gone = max(0, min(n, self.total) - self.trimmed)
             self.trimmed, self.live = self.trimmed + gone, self.live - gone
             return [(self.stream, seq, self.epoch, "accepted", None, 0, 0, self.total, self.live)]
-        status, gap = self._append(pts, (num, den), n, queued)
+        status, gap = self._append(pts, (num, den), n, queued or 0)
         good = status == "accepted" and n > 0
         return [(self.stream, seq, self.epoch, status, first + gap if good else None, gap, n if good else 0, self.total, self.live)]
 
@@ -78,19 +83,26 @@ class _Buffer:
         return []
 
 
+COLUMNS = ["seq", "kind", "pts", "tb_num", "tb_den", "n_samples", "queued"]
+
+
+def inputs(packets: DataFrame) -> DataFrame:
+    """Packets with the optional columns filled in."""
+    add = {"kind": F.lit("packet"), "queued": F.lit(0).cast("bigint")}
+    return packets.withColumns({k: v for k, v in add.items() if k not in packets.columns})
+
+
 def append_packets(packets: DataFrame, options: Options | None = None) -> DataFrame:
     """Outcome of every packet in order: status, where its samples begin, the gap filled before them, and the buffer after it.
 
     packets: stream_id, seq, pts, tb_num, tb_den, n_samples, and optionally queued (samples waiting
     elsewhere) and kind: packet (default), trim (up to sample n_samples), eof or restart. A packet
-    that isn't accepted changes nothing. Samples themselves stay in their own table; this is the
+    that isn't accepted changes nothing, which holds for rows of no known kind or without a value that
+    their kind needs as well. Samples themselves stay in their own table; this is the
     index over them.
     """
     options = options or Options()
-    add = {"kind": F.lit("packet"), "queued": F.lit(0).cast("bigint")}
-    full = packets.withColumns({k: v for k, v in add.items() if k not in packets.columns})
-    columns = ["seq", "kind", "pts", "tb_num", "tb_den", "n_samples", "queued"]
-    return ordered_fold(full, "stream_id", ["seq"], columns, lambda k: _Buffer(k, options.cap_samples, options.gap_tolerance), PACKETS)
+    return ordered_fold(inputs(packets), "stream_id", ["seq"], COLUMNS, lambda k: Buffer(k, options.cap_samples, options.gap_tolerance), PACKETS)
 
 
 def chunk_audio(samples: Column, start: Column, end: Column, dropped: Column) -> Column:

@@ -7,27 +7,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.functions.clock import MAX_LONG, MIN_LONG, cs_to_ms, ms_to_samples, saturating_add
-from spanloom.functions.script import has_hangul, has_kana, language_of
+from spanloom.functions.script import COMMON, HAN, HANGUL, KANA, LATIN_LETTER, has_hangul, has_kana, language_of
+
+
+def _stretch(own: str) -> str:
+    """A character of a class and those of the class or of no script of their own after it."""
+    return f"{own}(?:{own}|{COMMON})*+"
+
+
+_CLASSES = (KANA, HANGUL, HAN, LATIN_LETTER)
+_OTHER = f"(?!{COMMON}|{'|'.join(_CLASSES)})(?s:.)"
+#: A stretch of one class; characters of no script before the first one belong to it.
+STRETCH = f"(?:^{COMMON}++)?+(?:{'|'.join(map(_stretch, (*_CLASSES, _OTHER)))})"
 
 
 def carve(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of each segment's text: keys, run, language, text, byte_start, byte_end, char_start, char_end, n_chars.
 
     segments: keys, text and state_lang. Characters of no script of their own carry on; leading ones
-    join the first run, and a text of such characters alone has no run. Empty texts have none.
+    join the first run, and a text of such characters alone has no run. Empty and null texts have
+    none. Texts are split where the script changes, so rows are as many as stretches, not characters.
     """
-    chars = F.filter(F.split("text", ""), lambda c: F.length(c) > 0)
-    rows = segments.select(*keys, "state_lang", has_kana(F.col("text")).alias("_kana"), has_hangul(F.col("text")).alias("_hangul"), F.posexplode(chars).alias("_i", "_c"))
+    stretches = F.regexp_extract_all("text", F.lit(f"({STRETCH})"), F.lit(0))
+    rows = segments.select(*keys, "state_lang", has_kana(F.col("text")).alias("_kana"), has_hangul(F.col("text")).alias("_hangul"), F.char_length("text").alias("n_chars"), F.posexplode(stretches).alias("_i", "_s"))
     order = Window.partitionBy(*keys).orderBy("_i")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    classed = rows.withColumn("_own", language_of(F.col("_c"), F.col("_kana"), F.col("_hangul"), F.col("state_lang"))).withColumn("_bytes", F.octet_length("_c"))
-    carried = classed.withColumn("_lang", F.coalesce(F.last("_own", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first("_own", True).over(order.rowsBetween(0, Window.unboundedFollowing))))
-    marked = carried.where(F.col("_lang").isNotNull()).withColumn("_at", F.coalesce(F.sum("_bytes").over(before), F.lit(0))).withColumn("_new", F.when(F.col("_lang") == F.lag("_lang").over(order), 0).otherwise(1))
-    numbered = marked.withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).withColumn("n_chars", F.count("*").over(Window.partitionBy(*keys)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_c"))), lambda x: x["_c"]), "")
-    return numbered.groupBy(*keys, "run", "_lang", "n_chars").agg(
-        text.alias("text"), F.min("_at").alias("byte_start"), F.max(F.col("_at") + F.col("_bytes")).alias("byte_end"), F.min("_i").alias("char_start"), (F.max("_i") + 1).alias("char_end")
-    ).withColumnRenamed("_lang", "language")
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.regexp_extract("_s", f"^{COMMON}*+((?s:.))", 1)
+    classed = rows.withColumn("_own", language_of(first, F.col("_kana"), F.col("_hangul"), F.col("state_lang")))
+    carried = classed.withColumn("_lang", F.coalesce(F.last("_own", True).over(so_far), F.first("_own", True).over(order.rowsBetween(0, Window.unboundedFollowing))))
+    sums = {"_at": F.coalesce(F.sum(F.octet_length("_s")).over(before), F.lit(0)), "_char": F.coalesce(F.sum(F.char_length("_s")).over(before), F.lit(0)), "_new": F.when(F.col("_lang") == F.lag("_lang").over(order), 0).otherwise(1)}
+    numbered = carried.where(F.col("_lang").isNotNull()).withColumns(sums).withColumn("run", F.sum("_new").over(so_far) - 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda x: x["_s"]), "")
+    ends = {"byte_end": F.max(F.col("_at") + F.octet_length("_s")), "char_end": F.max(F.col("_char") + F.char_length("_s")).cast("int")}
+    found = numbered.groupBy(*keys, "run", "_lang", "n_chars").agg(text.alias("text"), F.min("_at").alias("byte_start"), F.min("_char").cast("int").alias("char_start"), *(x.alias(n) for n, x in ends.items()))
+    return found.select(*keys, "run", F.col("_lang").alias("language"), F.col("n_chars").cast("bigint").alias("n_chars"), "text", "byte_start", "byte_end", "char_start", "char_end")
 
 
 def run_times(runs: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
