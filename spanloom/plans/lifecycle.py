@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import language, text
@@ -10,15 +12,20 @@ from spanloom.functions.clock import samples_per_frame
 from spanloom.operators import compose, ctc, intervals, tokens
 
 
-def prepare(clips: DataFrame, vocab: list[tuple[str, int]], policy: str = "default") -> DataFrame:
+def prepare(clips: DataFrame, vocab: list[tuple[str, int]], policy: str = "default", normalizers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """clips with kind, words, status, token_ids, word_idx and is_trivial. clips: clip_id, text, language, n_samples (padded), real_samples, first_sample.
 
-    A clip without a word to speak is trivial: it needs no encoder and has no words.
+    A clip without a word to speak is trivial: it needs no encoder and has no words. normalizers: the
+    caller's own, by language, before the built-in ones; each gives a text's array of words.
     """
     ids = dict(vocab)
     upper = "A" in ids and "a" not in ids
     alphabet = tokens.Alphabet.of([(t, i) for t, i in vocab if t != "|"], upper)
-    rows = clips.withColumn("kind", language.normalizer_kind(F.col("language"))).withColumn("words", text.normalize(F.col("text"), F.col("kind")))
+    kind, words = language.normalizer_kind(F.col("language")), text.normalize(F.col("text"), F.col("kind"))
+    for code, own in (normalizers or {}).items():
+        kind = F.when(F.col("language") == code, F.concat(F.lit("own:"), F.lit(code))).otherwise(kind)
+        words = F.when(F.col("language") == code, own(F.col("text"))).otherwise(words)
+    rows = clips.withColumn("kind", kind).withColumn("words", words)
     spaced = tokens.tokenize(F.col("words"), alphabet, ids.get("|"), policy)
     unspaced = tokens.tokenize(F.col("words"), alphabet, None, policy)
     rows = rows.withColumn("_t", F.when(language.uses_word_delimiter(F.col("language")), spaced).otherwise(unspaced))
@@ -31,8 +38,13 @@ def finish(prepared: DataFrame, frames: DataFrame, spans: DataFrame, blank: int
 
     frames: clip_id, frame, lp. spans: clip_id, start, end of speech, in samples of the clip.
     """
+    return timed(prepared, ctc.align(frames, prepared.where(~F.col("is_trivial")), blank), frames, spans, coverage)
+
+
+def timed(prepared: DataFrame, paths: DataFrame, frames: DataFrame, spans: DataFrame, coverage: float = 0.5) -> DataFrame:
+    """Timed words from the paths that were found; as finish."""
     ready = prepared.where(~F.col("is_trivial"))
-    path = ctc.align(frames, ready, blank).where("status = 'ok'")
+    path = paths.where("status = 'ok'")
     segments = ctc.merge_repeats(path)
     indexed = segments.join(ready.select("clip_id", F.col("word_idx").alias("_w")), "clip_id").withColumn("word_index", F.get("_w", F.col("token_index"))).drop("_w")
     words = ctc.merge_words(indexed)
