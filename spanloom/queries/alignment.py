@@ -49,7 +49,7 @@ SELECT clip_id, frame, CASE WHEN hit > 0 THEN hit - 1 END AS vocab, CASE WHEN hi
 def g12_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and spread of vectors after standardising, whole and over their middle half alone."""
     half = F.array(F.struct(F.lit(16).alias("start"), F.lit(48).alias("end")))
-    rows = frames(spark, sf_dir).select("clip_id", "frame", numeric.standardize(F.col("logits")).alias("a"), numeric.standardize_masked(F.col("logits"), half).alias("b"))
+    rows = frames(spark, sf_dir).select("clip_id", "frame", numeric.standardize(F.col("logits")).alias("a"), intervals.standardize_masked(F.col("logits"), half).alias("b"))
     at = lambda c, i: F.round(F.get(c, F.lit(i)).cast("double"), 4) + 0.0
     return rows.select("clip_id", "frame", at("a", 0).alias("first"), at("a", 63).alias("last"), at("b", 0).alias("silent"), at("b", 20).alias("voiced"))
 

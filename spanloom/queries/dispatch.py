@@ -45,11 +45,11 @@ FROM firsts f LEFT JOIN judged j ON j.chunk_id = f.chunk_id AND j.attempt = f.at
 
 
 def g1_language_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lock after seven observations, over chunks of which those with keys divisible by 101 aren't resolved."""
-    return dispatch.language_lock(chunks(spark, sf_dir).where("o_orderkey % 1009 <> 0"), 7)
+    """The lock after seven observations, over the chunks that are resolved: pending orders aren't."""
+    return dispatch.language_lock(chunks(spark, sf_dir).where("o_orderstatus <> 'P'"), 7)
 
 
-G1_SQL = f"""WITH {CHUNKS_SQL}, nth AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY chunk_id) - 1 AS n FROM chunks WHERE o_orderkey % 1009 <> 0
+G1_SQL = f"""WITH {CHUNKS_SQL}, nth AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY chunk_id) - 1 AS n FROM chunks WHERE o_orderstatus <> 'P'
 ), obs AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY chunk_id) AS o FROM nth WHERE n = chunk_id AND language IS NOT NULL
 ), counted AS (SELECT stream_id, language, count(*) AS c, min(o) AS f FROM obs WHERE o <= 7 GROUP BY stream_id, language
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY c DESC, f) AS r, sum(c) OVER (PARTITION BY stream_id) AS total FROM counted)
@@ -57,10 +57,11 @@ SELECT stream_id, CASE WHEN total = 7 THEN language END AS language, CAST(total
 
 
 def w10_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dispatch.in_order(chunks(spark, sf_dir).where("o_orderkey % 1009 <> 0")).select("stream_id", "chunk_id", "emit_index", "o_orderkey")
+    """What can be emitted of every stream: chunks up to the first pending order."""
+    return dispatch.in_order(chunks(spark, sf_dir).where("o_orderstatus <> 'P'")).select("stream_id", "chunk_id", "emit_index", "o_orderkey")
 
 
-W10_SQL = f"""WITH {CHUNKS_SQL}, nth AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY chunk_id) - 1 AS emit_index FROM chunks WHERE o_orderkey % 1009 <> 0)
+W10_SQL = f"""WITH {CHUNKS_SQL}, nth AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY chunk_id) - 1 AS emit_index FROM chunks WHERE o_orderstatus <> 'P')
 SELECT stream_id, chunk_id, emit_index, o_orderkey FROM nth WHERE emit_index = chunk_id"""
 
 
@@ -89,7 +90,7 @@ def j1_registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("key"), F.concat(F.lit("a"), F.col("n_nationkey")).alias("aligner_id"), F.col("n_name").alias("language"), F.col("n_nationkey").alias("seq"))
     twice = entries.unionByName(entries.where("seq % 4 = 0").withColumn("aligner_id", F.concat("aligner_id", F.lit("b"))).withColumn("seq", F.col("seq") + 100))
     wide = twice.unionByName(spark.createDataFrame([("any", "fallback", "mul", 0)], "key string, aligner_id string, language string, seq int"))
-    asked = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("language"))
+    asked = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("language"))
     with_any = registry.lookup(asked, registry.register(wide))
     without = registry.lookup(asked, registry.register(twice), policy="error").select("s_suppkey", F.col("status").alias("strict_status"))
     return with_any.join(without, "s_suppkey")

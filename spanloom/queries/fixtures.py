@@ -22,13 +22,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A span per event: its user is the stream, its time the start, its value the length."""
+def spans(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """A span per event: its user is the stream, its time the start, its value the length; more columns of the event if asked for."""
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
     start = F.call_function("div", micros * 16, F.lit(1000).cast("bigint"))
     length = F.round(F.col("value") * 100).cast("bigint") * (16_000 * 6)
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.row_number().over(order).cast("bigint").alias("seq"), start.alias("start_sample"), (start + length).alias("end_sample"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.row_number().over(order).cast("bigint").alias("seq"), start.alias("start_sample"), (start + length).alias("end_sample"), *more)
 
 
 SPANS_SQL = """spans AS (

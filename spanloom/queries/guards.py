@@ -29,7 +29,8 @@ SELECT stream_id, packet_id, bool_and(end_sample > start_sample AND start_sample
 def r10_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bundled vocabulary beside its special tokens."""
     words = vocabulary.bundled(spark)
-    return words.join(F.broadcast(tokens.special_tokens(words)), F.lit(True))
+    special = tokens.special_tokens(words)
+    return words.withColumns({c: special.select(c).scalar() for c in special.columns})
 
 
 _VOCAB = ", ".join("('" + t.replace("'", "''") + f"', {i})" for t, i in vocabulary.BUNDLED)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import language, script, text
 from spanloom.operators import runs, tokens
-from spanloom.queries.fixtures import documents
+from spanloom.plans.shared import cut
+from spanloom.queries.fixtures import documents, table
 from spanloom.sources.vocabulary import BUNDLED
 
 LETTERS = [(t, i) for t, i in BUNDLED if len(t) == 1 and t != "|"]
@@ -116,9 +117,9 @@ FROM kinds WHERE kind IS NOT NULL"""
 
 def s10_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).withColumn("w", text.latin_words(F.col("text")))
-    made = rows.select("doc_id", tokens.tokenize(F.col("w"), ALPHABET, DELIMITER, "default").alias("d"), tokens.tokenize(F.col("w"), ALPHABET, DELIMITER, "wildcard_all").alias("a"))
+    made = rows.select("doc_id", tokens.verdict(F.col("w"), ALPHABET, "default").alias("status"), tokens.tokenize(F.col("w"), ALPHABET, DELIMITER, "wildcard_all").alias("a"))
     spell = lambda c: F.array_join(c, " ", "-")
-    return made.select("doc_id", F.col("d.status").alias("status"), spell(F.col("a.token_ids").cast("array<string>")).alias("ids"), spell(F.col("a.word_idx").cast("array<string>")).alias("words"))
+    return made.select("doc_id", "status", spell(F.col("a.token_ids").cast("array<string>")).alias("ids"), spell(F.col("a.word_idx").cast("array<string>")).alias("words"))
 
 
 S10_SQL = rf"""WITH {_STEPS_SQL}, emitted AS (
@@ -136,8 +137,19 @@ SEGMENTS = [
 ]
 
 
-def _segments(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEGMENTS, "seg_id int, text string, state_lang string, t0_cs bigint, t1_cs bigint")
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The literal segments, every document and every turn of a conversation."""
+    literal = spark.createDataFrame(SEGMENTS, "seg_id bigint, text string, state_lang string, t0_cs bigint, t1_cs bigint")
+    times = lambda i: [(i % 50).alias("t0_cs"), F.when(i % 3 != 0, i % 50 + 900).alias("t1_cs")]
+    docs = documents(spark, sf_dir).select((F.col("doc_id") + 1_000_000).alias("seg_id"), "text", F.col("lang").alias("state_lang"), *times(F.col("doc_id")))
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000 + F.col("turn") + 10_000_000_000).alias("seg_id"), "text", F.lit(None).cast("string").alias("state_lang"), *times(F.col("turn")))
+    return literal.unionByName(docs).unionByName(turns)
+
+
+_SEG_SQL = f"""seg AS (
+  SELECT CAST(seg_id AS BIGINT) AS seg_id, text, state_lang, CAST(t0_cs AS BIGINT) AS t0_cs, CAST(t1_cs AS BIGINT) AS t1_cs FROM (VALUES {_values(SEGMENTS)}) v(seg_id, text, state_lang, t0_cs, t1_cs)
+  UNION ALL SELECT doc_id + 1000000, text, lang, doc_id % 50, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 50 + 900 END FROM documents
+  UNION ALL SELECT conv_id * 1000 + turn + 10000000000, text, NULL, turn % 50, CASE WHEN turn % 3 <> 0 THEN turn % 50 + 900 END FROM conversations)"""
 
 
 def _timed_tokens(carved: DataFrame) -> DataFrame:
@@ -150,13 +162,13 @@ def _timed_tokens(carved: DataFrame) -> DataFrame:
 
 def w6_script_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one language with their bounds."""
-    segments = _segments(spark)
-    carved = runs.carve(segments, ["seg_id"])
+    segments = _segments(spark, sf_dir)
+    carved = cut(runs.carve(segments, ["seg_id"]))
     timed = runs.run_times(carved, _timed_tokens(carved), ["seg_id"]).join(segments.select("seg_id", "t0_cs", "t1_cs"), "seg_id")
     return runs.bound(timed, ["seg_id"]).select("seg_id", "run", "language", "text", "char_start", "char_end", "byte_start", "byte_end", "t0_ms", "t1_ms", "bounds_source")
 
 
-W6_SQL = rf"""WITH seg(seg_id, text, state_lang, t0_cs, t1_cs) AS (VALUES {_values(SEGMENTS)}), ch AS (
+W6_SQL = rf"""WITH {_SEG_SQL}, ch AS (
   SELECT *, unnest(string_split(text, '')) AS c, unnest(range(len(text))) AS i, regexp_matches(text, '[\p{{Hiragana}}\p{{Katakana}}]') AS kana, regexp_matches(text, '\p{{Hangul}}') AS hangul FROM seg WHERE len(text) > 0
 ), own AS (
   SELECT *, CASE WHEN regexp_matches(c, '[\p{{Hiragana}}\p{{Katakana}}]') THEN 'ja' WHEN regexp_matches(c, '\p{{Hangul}}') THEN 'ko' WHEN regexp_matches(c, '\p{{Han}}') THEN CASE WHEN kana THEN 'ja' WHEN hangul THEN 'ko' ELSE 'zh' END
@@ -178,10 +190,10 @@ SELECT seg_id, CAST(run AS BIGINT) AS run, language, text, char_start, char_end,
 
 
 def g15_script_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark).select("seg_id", script.has_kana(F.col("text")).alias("kana"), script.has_hangul(F.col("text")).alias("hangul"))
+    return _segments(spark, sf_dir).select("seg_id", script.has_kana(F.col("text")).alias("kana"), script.has_hangul(F.col("text")).alias("hangul"))
 
 
-G15_SQL = rf"""WITH seg(seg_id, text, state_lang, t0_cs, t1_cs) AS (VALUES {_values(SEGMENTS)}) SELECT seg_id, regexp_matches(text, '[\p{{Hiragana}}\p{{Katakana}}]') AS kana, regexp_matches(text, '\p{{Hangul}}') AS hangul FROM seg"""
+G15_SQL = rf"""WITH {_SEG_SQL} SELECT seg_id, regexp_matches(text, '[\p{{Hiragana}}\p{{Katakana}}]') AS kana, regexp_matches(text, '\p{{Hangul}}') AS hangul FROM seg"""
 
 QUERIES = {"s3_latin_normalizer": s3_latin_normalizer, "s5_cjk_normalizers": s5_cjk_normalizers, "s11_language_codes": s11_language_codes, "s9_oov_events": s9_oov_events, "s10_tokenize": s10_tokenize, "w6_script_runs": w6_script_runs, "g15_script_flags": g15_script_flags}
 ORACLE_SQL = {"s3_latin_normalizer": S3_SQL, "s5_cjk_normalizers": S5_SQL, "s11_language_codes": S11_SQL, "s9_oov_events": S9_SQL, "s10_tokenize": S10_SQL, "w6_script_runs": W6_SQL, "g15_script_flags": G15_SQL}

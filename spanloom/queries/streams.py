@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,8 +12,9 @@ from spanloom.functions import clock
 from spanloom.operators import cut, ingest, intervals
 from spanloom.operators.cut import CHUNKS
 from spanloom.operators.validate import would_accept
-from spanloom.plans.shared import shared_folder
-from spanloom.queries.fixtures import FRAME, GAP, LIMIT, SPANS_SQL, spans, table
+from spanloom.plans.shared import remove_folder, shared_folder
+from spanloom.queries.fixtures import CHUNKS_SQL, FRAME, GAP, LIMIT, SPANS_SQL, chunks, spans, table
+from spanloom.streaming import folds
 from spanloom.streaming.cutter import cut_stream
 
 
@@ -210,11 +213,91 @@ def t3_stream_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 T3_SQL = f"SELECT stream_id, chunk_id, start_sample, end_sample FROM ({W1_SQL}) QUALIFY chunk_id < max(chunk_id) OVER (PARTITION BY stream_id)"
 
+
+def _markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans, some of which are markers of silence, ends or restarts instead, and some without a start."""
+    rows = spans(spark, sf_dir, "event_id")
+    kind = F.when(F.col("event_id") % 29 == 0, "no_speech").when(F.col("event_id") % 97 == 0, "eof").when(F.col("event_id") % 61 == 0, "restart").otherwise("vad")
+    return rows.select("stream_id", "seq", kind.alias("kind"), F.when(F.col("event_id") % 41 != 0, F.col("start_sample")).alias("start_sample"), "end_sample")
+
+
+_MARKED_SQL = SPANS_SQL.replace("FROM events)", ", event_id FROM events)").replace(" AS end_sample\n", " AS end_sample") + """, marked AS (
+  SELECT stream_id, seq, CASE WHEN event_id % 29 = 0 THEN 'no_speech' WHEN event_id % 97 = 0 THEN 'eof' WHEN event_id % 61 = 0 THEN 'restart' ELSE 'vad' END AS kind, CASE WHEN event_id % 41 <> 0 THEN start_sample END AS s, end_sample AS e FROM spans
+), judged AS (
+  SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS watermark, false AS ended, 'start' AS status FROM marked
+  UNION ALL
+  SELECT stream_id, seq, CASE WHEN kind = 'restart' THEN 0 WHEN status = 'accepted' AND kind IN ('vad', 'no_speech') THEN e ELSE watermark END, kind <> 'restart' AND (ended OR kind = 'eof'), status FROM (
+    SELECT m.*, j.watermark, j.ended, CASE WHEN m.kind = 'restart' THEN 'accepted' WHEN j.ended THEN CASE WHEN m.kind = 'eof' THEN 'accepted' ELSE 'after_eof' END WHEN m.kind = 'eof' THEN 'accepted'
+      WHEN m.kind = 'no_speech' THEN CASE WHEN m.e < j.watermark THEN 'vad_regression' ELSE 'accepted' END WHEN m.s IS NULL THEN 'missing_bounds'
+      WHEN m.e <= m.s THEN 'invalid_span' WHEN m.s < j.watermark THEN 'vad_regression' ELSE 'accepted' END AS status
+    FROM judged j JOIN marked m ON m.stream_id = j.stream_id AND m.seq = j.seq + 1)
+)"""
+
+
+def r4_marker_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and watermark after every span and every marker."""
+    return cut.outcomes(_markers(spark, sf_dir))
+
+
+R4_SQL = f"WITH RECURSIVE {_MARKED_SQL} SELECT stream_id, seq, status, watermark FROM judged WHERE seq > 0"
+
+
+def t9_marker_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of streams with markers: silence beyond the limit, an end and a restart close the open chunk."""
+    return cut.cut(_markers(spark, sf_dir), LIMIT, GAP).select("stream_id", "chunk_id", "start_sample", "end_sample", F.size("subs").cast("bigint").alias("n_subs"))
+
+
+T9_SQL = f"""WITH RECURSIVE {_MARKED_SQL}, counted AS (
+  SELECT m.*, CASE WHEN m.kind = 'vad' THEN m.e - m.s END AS len, CASE WHEN m.kind = 'vad' AND m.e - m.s > {LIMIT} THEN (m.e - m.s + {LIMIT - 1}) // {LIMIT} ELSE 1 END AS n
+  FROM marked m JOIN judged j ON m.stream_id = j.stream_id AND m.seq = j.seq WHERE j.status = 'accepted'
+), parts AS (SELECT *, unnest(range(n)) AS i FROM counted
+), steps AS (
+  SELECT stream_id, kind, CASE WHEN kind = 'vad' THEN s + i * len // n END AS s, CASE WHEN kind <> 'vad' OR i = n - 1 THEN e ELSE s + (i + 1) * len // n END AS e, row_number() OVER (PARTITION BY stream_id ORDER BY seq, i) AS k FROM parts
+), fold AS (
+  SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS k, 'start' AS kind, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e, CAST(NULL AS BIGINT) AS cs, CAST(0 AS BIGINT) AS ce, CAST(0 AS BIGINT) AS id FROM steps
+  UNION ALL
+  SELECT stream_id, k, kind, s, e, CASE WHEN kind <> 'vad' THEN CASE WHEN NOT closes THEN cs END WHEN closes OR cs IS NULL THEN s ELSE cs END, CASE WHEN kind = 'vad' THEN e ELSE ce END, id + CASE WHEN closes THEN 1 ELSE 0 END FROM (
+    SELECT u.stream_id, u.k, u.kind, u.s, u.e, f.cs, f.ce, f.id, f.cs IS NOT NULL AND CASE u.kind WHEN 'vad' THEN f.ce > f.cs AND (u.s - f.ce > {GAP} OR u.e - f.cs > {LIMIT}) WHEN 'no_speech' THEN f.ce > f.cs AND u.e - f.ce > {GAP} ELSE true END AS closes
+    FROM fold f JOIN steps u ON u.stream_id = f.stream_id AND u.k = f.k + 1)
+)
+SELECT stream_id, id AS chunk_id, min(s) AS start_sample, max_by(e, k) AS end_sample, count(*) AS n_subs FROM fold WHERE kind = 'vad' GROUP BY stream_id, id"""
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, of_stream: Callable[[DataFrame], DataFrame], schema: str, files: int = 3) -> DataFrame:
+    """of_stream over rows that come in several triggers, to their end. rows: in the order of column `arrives`, a number from 0 to files - 1."""
+    at = shared_folder(spark, "stream")
+    rows.repartitionByRange(files, "arrives").write.parquet(f"{at}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    query = of_stream(source).writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    remove_folder(spark, f"{at}/in")
+    remove_folder(spark, f"{at}/state")
+    return spark.read.schema(schema).parquet(f"{at}/out")
+
+
+def t5_stream_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets appended as a stream in one trigger, with each stream's buffer in the state store."""
+    rows = _packets(spark, sf_dir).withColumn("arrives", F.lit(0))
+    return _streamed(spark, rows, folds.append_packets_stream, ingest.PACKETS, 1).select("stream_id", "seq", "status", "gap", "n_samples", "total_samples")
+
+
+def t8_stream_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved chunks that come out of order in three triggers, emitted in order; pending ones never come."""
+    rows = chunks(spark, sf_dir).where("o_orderstatus <> 'P'").select("stream_id", "chunk_id", F.col("o_orderkey").cast("string").alias("payload"), (F.col("o_orderkey") % 3).cast("int").alias("arrives"))
+    found = _streamed(spark, rows, folds.in_order_stream, "stream_id bigint, chunk_id bigint, payload string")
+    return found.select("stream_id", "chunk_id", F.col("payload").cast("bigint").alias("o_orderkey"))
+
+
+T8_SQL = f"""WITH {CHUNKS_SQL}, nth AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY chunk_id) - 1 AS n FROM chunks WHERE o_orderstatus <> 'P')
+SELECT stream_id, chunk_id, o_orderkey FROM nth WHERE n = chunk_id"""
+
 QUERIES = {
+    "r4_marker_outcomes": r4_marker_outcomes, "t9_marker_cut": t9_marker_cut, "t5_stream_packets": t5_stream_packets, "t8_stream_in_order": t8_stream_in_order,
     "w1_cut": w1_cut, "t3_stream_cut": t3_stream_cut, "r2_span_outcomes": r2_span_outcomes, "w8_hard_split": w8_hard_split, "r1_append_packets": r1_append_packets, "p1_sample_to_pts": p1_sample_to_pts,
     "p5_would_accept": p5_would_accept, "o4_interval_union": o4_interval_union, "j9_interval_clip": j9_interval_clip, "j7_speech_frames": j7_speech_frames, "w5_frame_runs": w5_frame_runs,
 }
 ORACLE_SQL = {
+    "r4_marker_outcomes": R4_SQL, "t9_marker_cut": T9_SQL, "t5_stream_packets": R1_SQL, "t8_stream_in_order": T8_SQL,
     "t3_stream_cut": T3_SQL,
     "w1_cut": W1_SQL, "r2_span_outcomes": R2_SQL, "w8_hard_split": W8_SQL, "r1_append_packets": R1_SQL, "p1_sample_to_pts": P1_SQL,
     "p5_would_accept": P5_SQL, "o4_interval_union": O4_SQL, "j9_interval_clip": J9_SQL, "j7_speech_frames": J7_SQL, "w5_frame_runs": W5_SQL,
