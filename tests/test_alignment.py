@@ -92,7 +92,7 @@ def test_log_softmax_survives_a_large_offset(spark):
 
 def test_samples_are_masked_padded_and_standardised(spark):
     spans = F.array(F.struct(F.lit(1).alias("start"), F.lit(3).alias("end")))
-    row = spark.createDataFrame([([1.0, 2.0, 4.0, 8.0],)], "x array<float>").select(intervals.mask_samples(F.col("x"), spans), F.size(intervals.pad_samples(F.col("x"))), numeric.standardize(F.col("x")), numeric.standardize_masked(F.col("x"), spans)).first()
+    row = spark.createDataFrame([([1.0, 2.0, 4.0, 8.0],)], "x array<float>").select(intervals.mask_samples(F.col("x"), spans), F.size(intervals.pad_samples(F.col("x"))), numeric.standardize(F.col("x")), intervals.standardize_masked(F.col("x"), spans)).first()
     assert row[0] == [0.0, 2.0, 4.0, 0.0] and row[1] == 400
     assert np.mean(row[2]) == pytest.approx(0, abs=1e-6) and np.std(row[2]) == pytest.approx(1, abs=1e-4)
     assert row[3][0] == 0 and row[3][1] == pytest.approx(-1, abs=1e-4)
