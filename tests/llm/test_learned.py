@@ -1,9 +1,15 @@
 """Trained operators on rows that they didn't learn from."""
 
+import time
+import unicodedata
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import boosting, queries, toxicity
+from spanloom.llm import boosting, language_id, queries, toxicity
+from spanloom.llm.common import held_out
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -22,8 +28,6 @@ def test_toxicity_on_held_out_documents(spark):
 
 
 def test_language_ignores_labels_of_held_out_rows(spark):
-    from spanloom.llm import language_id
-
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     spoiled = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, "zz").otherwise(F.col("lang"))).withColumn("source", F.lit("s"))
     rows = lambda d: sorted(map(tuple, language_id.train_and_identify(d).collect()))
@@ -47,3 +51,96 @@ def test_features_see_disguise_and_nearness():
     assert f("you are an idiot")["abuse_near_second_person"] == 1 and f("you " + "and so on " * 5 + "idiot")["abuse_near_second_person"] == 0
     assert f("what an 1d1ot you @sshole")["disguised_abuse"] >= 1 and f("an i d i o t here")["spaced_out"] == 1
     assert f("grumblekin here", frozenset({"grum-"}))["learned"] == 1 and f("")["words"] == 0 and f(None) == f("")
+
+
+def plain_grams(text):
+    """n-grams of one to three letters by plain strings; word ends count as one blank."""
+    kinds = lambda c: unicodedata.category(c)[0]
+    if not any(kinds(c) == "L" for c in text.lower()):
+        return Counter()
+    words = "".join(c if kinds(c) in "LM" else " " for c in text.lower()).split()
+    body = " " + " ".join(words) + " "
+    n = Counter(c for c in body if c != " ")
+    n.update(body[i : i + 2] for i in range(len(body) - 1))
+    n.update(body[i : i + 3] for i in range(len(body) - 2) if body[i + 1] != " ")
+    return n
+
+
+def plain_rank(n, most):
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(g))
+    return sorted(n, key=lambda g: (-n[g], code(g)))[:most]
+
+
+def test_language_equals_plain_rank_order(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held")).collect()
+    sums = {}
+    for r in rows:
+        if not r.held and r.text is not None and r.lang is not None:
+            sums.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    profiles = {lang: {g: i for i, g in enumerate(plain_rank(n, language_id.PROFILE_GRAMS))} for lang, n in sums.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.train_and_identify(docs).collect()}
+    length = language_id.PROFILE_GRAMS
+    for r in rows[:300]:
+        grams = plain_rank(plain_grams(r.text or ""), language_id.DOCUMENT_GRAMS)
+        if not grams:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[g] - i) if g in p else length for i, g in enumerate(grams)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[r.doc_id][0] == best and abs(got[r.doc_id][1] - (1 - far[best] / (length * len(grams)))) < 1e-9
+
+
+def test_many_language_values_and_marks_alone(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} text number", f"l{i:04d}") for i in range(1_400)] + [(5_000 + i, "the cat sat on the mat", "en") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = language_id.train(docs, F.lit(True), most_languages=1_000)
+    # The most frequent first, others by name.
+    assert len(learned.languages) == 1_000 and "en" in learned.languages and "l0998" in learned.languages and "l0999" not in learned.languages
+    assert learned.predict("the cat sat") [0] == "en"
+    assert learned.predict("\u0301\u0302") == ("und", 0.0) and learned.predict("e\u0301")[0] != "und"
+
+
+def test_lexicon_equals_plain_counts(spark):
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").where("toxic is not null")
+    sample = spark.read.parquet(f"{FOLDER}/documents.parquet").join(labels, "doc_id").select("text", "toxic").cache()
+    rows = sample.collect()
+    bad, good = sum(r.toxic == 1 for r in rows), sum(r.toxic == 0 for r in rows)
+    n = {0: Counter(), 1: Counter()}
+    for r in rows:
+        n[r.toxic].update({t for w in toxicity._WORD.findall((r.text or "").lower()) for t in toxicity.terms(w)})
+    rate = lambda t: (n[1][t] + 0.5) / (bad + 1) * (good + 1) / (n[0][t] + 0.5)
+    marked = [t for t in n[1] if n[1][t] >= max(3, bad // 500) and rate(t) >= toxicity.LIKELIER and n[0][t] * 20 <= n[1][t]]
+    assert toxicity.learn_lexicon(sample) == frozenset(sorted(marked, key=lambda t: (-n[1][t], t))[: toxicity.LEARNED_TERMS]) != frozenset()
+
+
+def test_scores_equal_trees_walked_one_by_one(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, ~held_out(F.col("doc_id")))
+    some = docs.limit(40).collect()
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    xs, ys = model.knots
+    for r in some:
+        values, odds = toxicity.features(r.text, model.lexicon), model.trees.prior
+        for tree in model.trees.trees:
+            node = 0
+            while node < len(tree.feature):
+                node = 2 * node + (2 if values[tree.feature[node]] > tree.threshold[node] else 1)
+            odds += tree.value[node - len(tree.feature)]
+        at = sum(x < odds for x in xs)
+        if at == 0 or at == len(xs):
+            want = ys[min(at, len(ys) - 1)]
+        else:
+            want = ys[at - 1] + (ys[at] - ys[at - 1]) * (odds - xs[at - 1]) / (xs[at] - xs[at - 1])
+        assert abs(got[r.doc_id] - min(1.0, max(0.0, want))) < 1e-9
+
+
+@pytest.mark.parametrize("mark", list("10.-!@$*'") + ["é", "\u0301", "a", " ", "\n"])
+@pytest.mark.parametrize("end", ["", "x", "1"])
+def test_long_runs_take_linear_time(mark, end):
+    text = "a" + mark * 1_000_000 + end
+    for work in (toxicity.features, language_id.gram_counts):
+        work("warm up")
+        begin = time.process_time()
+        work(text)
+        assert time.process_time() - begin < 3
