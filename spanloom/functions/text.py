@@ -25,6 +25,11 @@ SKIPPED = {
 WORDS = "array<struct<word:string,surface:string,prefix:int,suffix:int>>"
 
 
+def _rare(inside: str) -> str:
+    """A class of marks, as a pattern that turns away ASCII letters, which most characters are, before it looks at the marks one by one."""
+    return rf"[\x{{0}}-\x{{40}}\x{{5b}}-\x{{60}}\x{{7b}}-\x{{10ffff}}&&[{inside}]]"
+
+
 def _nonempty(parts: Column) -> Column:
     return F.filter(parts, lambda p: F.length(p) > 0)
 
@@ -35,14 +40,14 @@ def latin_words(text: Column, clitics: bool = False) -> Column:
     With clitics, a token is cut after every apostrophe, which stays on the left piece; such a piece
     is stripped on its left only.
     """
-    tokens = _nonempty(F.split(text, f"[{SPACE}]+"))
+    tokens = _nonempty(F.split(text, f"{_rare(SPACE)}+"))
 
     word = lambda w, surface, before, after: F.struct(F.lower(w).alias("word"), surface.alias("surface"), before.cast("int").alias("prefix"), after.cast("int").alias("suffix"))
     none = F.lit(0)
 
     def of_token(token: Column) -> Column:
         # Most tokens have no mark at all.
-        return F.when(~token.rlike(f"[{EDGE}{JOINS}]"), F.array(word(token, token, none, none))).otherwise(of_marked(token))
+        return F.when(~token.rlike(_rare(EDGE + JOINS)), F.array(word(token, token, none, none))).otherwise(of_marked(token))
 
     def of_marked(token: Column) -> Column:
         if not clitics:
@@ -60,9 +65,9 @@ def latin_words(text: Column, clitics: bool = False) -> Column:
     def of_bare(piece: Column, left: Column, bare: Column, left_only: Column | None) -> Column:
         counts = F.length(piece) - F.length(left), F.length(left) - F.length(bare)
         prefix, suffix = counts if left_only is None else (F.when(left_only, 0).otherwise(n) for n in counts)
-        several = bare.rlike(f"[{JOINS}]")
+        several = bare.rlike(_rare(JOINS))
         cut = lambda parts: F.transform(parts, lambda p, i: word(p, p, F.when(i == 0, prefix).otherwise(0), F.when(i == F.size(parts) - 1, suffix).otherwise(0)))
-        split = let(_nonempty(F.split(bare, f"[{JOINS}]")), cut)
+        split = let(_nonempty(F.split(bare, _rare(JOINS))), cut)
         return F.when(F.length(bare) == 0, F.array().cast(WORDS)).when(several, split).otherwise(F.array(word(bare, piece, prefix, suffix)))
 
     return F.flatten(F.transform(tokens, of_token))

@@ -119,6 +119,22 @@ def align(frames: DataFrame, tokens: DataFrame, blank: int = 0) -> DataFrame:
     return _judged(frames, tokens, blank).groupBy("clip_id").cogroup(ids.groupBy("of_clip")).applyInArrow(run, PATHS)
 
 
+def trellis_rows(frames: DataFrame, tokens: DataFrame, blank: int = 0) -> DataFrame:
+    """clip_id, frame and cells (a score for each token) of every clip that can be aligned: what a debug dump holds."""
+    ensure_importable(frames.sparkSession)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("frame")
+        if not len(left) or left.column("status")[0].as_py() != "ok":
+            return pa.table({"clip_id": pa.array([], pa.int64()), "frame": pa.array([], pa.int32()), "cells": pa.array([], pa.list_(pa.float32()))})
+        lp = left.column("lp").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(left), -1)
+        scores = trellis(lp, np.array(right.column("token_ids")[0].as_py(), dtype=np.int64), blank)
+        return pa.table({"clip_id": left.column("clip_id").cast(pa.int64()), "frame": pa.array(np.arange(len(scores), dtype=np.int32)), "cells": pa.array(list(scores), pa.list_(pa.float32()))})
+
+    ids = tokens.select(F.col("clip_id").alias("of_clip"), "token_ids")
+    return _judged(frames, tokens, blank).groupBy("clip_id").cogroup(ids.groupBy("of_clip")).applyInArrow(run, "clip_id bigint, frame int, cells array<float>")
+
+
 def end_scores(frames: DataFrame, tokens: DataFrame, blank: int = 0) -> DataFrame:
     """clip_id and end_score of the trellis' last cell, as one array fold in the JVM that carries a single row of cells; clips beyond the budgets are left out."""
     within = _judged(frames, tokens, blank).where("status = 'ok'")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,11 +102,12 @@ def oov_events(rows: DataFrame, words: Column, alphabet: Alphabet, keys: list[st
 
     def of_words(held: Column) -> Column:
         put = F.array_join(F.transform(held, lambda x: F.when(x["plain"], x["w"]["word"]).otherwise(F.concat(F.lit(_MARK), F.translate(x["w"]["word"], _MARK, "\x02")))), " ")
-        return F.struct(F.filter(held, lambda x: ~x["plain"]).alias("marked"), F.transform(F.split(put, _MARK), lambda x: F.length(x)).alias("gaps"))
+        gaps = F.transform(F.split(put, _MARK), lambda x: F.length(x))
+        return let(gaps, lambda g: F.transform(F.filter(held, lambda x: ~x["plain"]), lambda x, i: F.struct(i.alias("nth"), F.get(g, i).alias("gap"), x["word_index"].alias("word_index"), x["w"].alias("w"))))
 
     judged = F.transform(words, lambda w, i: F.struct(i.cast("int").alias("word_index"), w.alias("w"), _plain(w, alphabet).alias("plain")))
-    each = rows.select(*keys, let(judged, of_words).alias("_x")).select(*keys, F.col("_x.gaps").alias("_gaps"), F.posexplode("_x.marked").alias("_nth", "_m"))
-    each = each.select(*keys, F.col("_nth"), F.get("_gaps", F.col("_nth")).alias("_gap"), "_m.*")
+    # A row brings along its own word alone: no array of the whole text is repeated for each.
+    each = rows.select(*keys, F.explode(let(judged, of_words)).alias("_m")).select(*keys, F.col("_m.nth").alias("_nth"), F.col("_m.gap").alias("_gap"), F.col("_m.word_index").alias("word_index"), F.col("_m.w").alias("w"))
     length = F.length("w.word")
     inside = lambda i: F.greatest(F.lit(0), F.least(i - F.col("w.prefix"), length))
     steps = F.transform(_steps(F.col("w"), alphabet), lambda s, i: F.struct(s["kind"].alias("kind"), s["ch"].alias("ch"), inside(i).alias("inside")))
@@ -121,8 +123,13 @@ def oov_events(rows: DataFrame, words: Column, alphabet: Alphabet, keys: list[st
 SPEAKABLE = r"\p{IsAlphabetic}\p{N}'\x{2019}"
 
 
-def decide(kind: Column, ch: Column, policy: str = "default") -> Column:
-    """wildcard or fail_closed for an event."""
+Policy = str | Callable[[Column, Column], Column]
+
+
+def decide(kind: Column, ch: Column, policy: Policy = "default") -> Column:
+    """wildcard or fail_closed for an event; a caller's own policy gives one of these from the event's kind and character."""
+    if callable(policy):
+        return policy(kind, ch)
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     if policy == "wildcard_all":
@@ -133,8 +140,11 @@ def decide(kind: Column, ch: Column, policy: str = "default") -> Column:
     return F.when((kind != "symbol") | speakable, "wildcard").otherwise("fail_closed")
 
 
-def _fails(words: Column, alphabet: Alphabet, policy: str) -> Column:
-    """Whether the policy fails an event of the words, found in one pass over all of them put together."""
+def _fails(words: Column, alphabet: Alphabet, policy: Policy) -> Column:
+    """Whether the policy fails an event of the words; for the named ones, found in one pass over all words put together."""
+    if callable(policy):
+        failed = lambda s: s["kind"].isNotNull() & (policy(s["kind"], s["ch"]) == "fail_closed")
+        return F.exists(words, lambda w: ~_plain(w, alphabet) & F.coalesce(F.exists(_steps(w, alphabet), failed), F.lit(False)))
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     known, spoken = alphabet.without(INTERNAL_PUNCT), F.array_join(F.transform(words, lambda w: w["word"]), " ")
@@ -148,31 +158,33 @@ def _fails(words: Column, alphabet: Alphabet, policy: str) -> Column:
 def spell(words: Column, alphabet: Alphabet, delimiter: int | None) -> Column:
     """Struct (token_ids, word_idx): ids of all words, -1 for an event, the delimiter with a null word between words that have tokens."""
     known = alphabet.without(INTERNAL_PUNCT)
+    none = F.array().cast("array<int>")
+    # A word's group begins with the delimiter before it; the first of all is taken off at the end.
+    lead = [] if delimiter is None else [F.array(F.lit(delimiter))]
+    before = [] if delimiter is None else [F.array(F.lit(None).cast("int"))]
 
     def of_word(w: Column) -> Column:
         ids = F.transform(_characters(w), lambda c: known.id_of(c, -1))
         edge = lambda n: F.array_repeat(F.lit(-1), n)
-        return F.when((w["prefix"] == 0) & (w["suffix"] == 0), ids).otherwise(F.concat(edge(w["prefix"]), ids, edge(w["suffix"])))
+        bare = (w["prefix"] == 0) & (w["suffix"] == 0)
+        return F.when(bare & (F.length(w["word"]) == 0), none).when(bare, F.concat(*lead, ids)).otherwise(F.concat(*lead, edge(w["prefix"]), ids, edge(w["suffix"])))
 
     def of_groups(groups: Column) -> Column:
-        lead = [] if delimiter is None else [F.lit(delimiter)], [] if delimiter is None else [F.lit(None).cast("int")]
-        none = F.array().cast("array<int>")
-        ids = F.flatten(F.transform(groups, lambda g: F.when(F.size(g) > 0, F.concat(F.array(*lead[0]).cast("array<int>"), g)).otherwise(none)))
-        index = F.flatten(F.transform(groups, lambda g, i: F.when(F.size(g) > 0, F.concat(F.array(*lead[1]).cast("array<int>"), F.array_repeat(i.cast("int"), F.size(g)))).otherwise(none)))
-        rest = lambda x: x if delimiter is None else let(x, lambda held: F.slice(held, 2, F.greatest(F.size(held) - 1, F.lit(0))))
-        return F.struct(rest(ids).alias("token_ids"), rest(index).alias("word_idx"))
+        index = F.transform(groups, lambda g, i: F.when(F.size(g) > 0, F.concat(*before, F.array_repeat(i.cast("int"), F.size(g) - len(lead)))).otherwise(none))
+        rest = lambda x: x if delimiter is None else F.slice(x, 2, 1 << 30)
+        return F.struct(rest(F.flatten(groups)).alias("token_ids"), rest(F.flatten(index)).alias("word_idx"))
 
     return let(F.transform(words, of_word), of_groups)
 
 
-def tokenize(words: Column, alphabet: Alphabet, delimiter: int | None, policy: str = "default") -> Column:
+def tokenize(words: Column, alphabet: Alphabet, delimiter: int | None, policy: Policy = "default") -> Column:
     """Struct (status, token_ids, word_idx) as `spell` gives them; status is semantic_oov, and there are no tokens, if the policy fails any event."""
     none = F.array().cast("array<int>")
     good = let(spell(words, alphabet, delimiter), lambda x: F.struct(F.lit("ok").alias("status"), x["token_ids"].alias("token_ids"), x["word_idx"].alias("word_idx")))
     return F.when(_fails(words, alphabet, policy), F.struct(F.lit("semantic_oov").alias("status"), none.alias("token_ids"), none.alias("word_idx"))).otherwise(good)
 
 
-def verdict(words: Column, alphabet: Alphabet, policy: str = "default") -> Column:
+def verdict(words: Column, alphabet: Alphabet, policy: Policy = "default") -> Column:
     """ok, or semantic_oov if the policy fails any event."""
     return F.when(_fails(words, alphabet, policy), "semantic_oov").otherwise("ok")
 

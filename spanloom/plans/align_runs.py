@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.operators import compose, ctc, intervals, registry, runs, validate
+from spanloom.operators import compose, ctc, intervals, registry, runs, tokens, validate
 from spanloom.plans import lifecycle
 from spanloom.plans.shared import cut
 
@@ -37,7 +37,7 @@ def align_runs(
     vocab: list[tuple[str, int]],
     encode: Callable[[DataFrame], DataFrame],
     miss: str = "skip_chunk",
-    policy: str = "default",
+    policy: tokens.Policy = "default",
     blank: int = 0,
     coverage: float = 0.5,
     least_samples: int = 400,

@@ -12,7 +12,7 @@ from spanloom.functions.clock import samples_per_frame
 from spanloom.operators import compose, ctc, intervals, tokens
 
 
-def prepare(clips: DataFrame, vocab: list[tuple[str, int]], policy: str = "default", normalizers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def prepare(clips: DataFrame, vocab: list[tuple[str, int]], policy: tokens.Policy = "default", normalizers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """clips with kind, words, status, token_ids, word_idx and is_trivial. clips: clip_id, text, language, n_samples (padded), real_samples, first_sample.
 
     A clip without a word to speak is trivial: it needs no encoder and has no words. normalizers: the

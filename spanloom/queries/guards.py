@@ -117,13 +117,15 @@ SELECT ch, language, n, CASE WHEN ch = '.' THEN 'internal_punct' ELSE 'symbol' E
 
 def s16_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of spans as text."""
-    code = F.element_at(F.array(*(F.lit(c) for c in ("vad_regression", "after_eof", "unknown_chunk", "odd"))), (F.col("seq") % 4 + 1).cast("int"))
-    fields = {"start": F.col("start_sample"), "watermark": F.col("end_sample"), "chunk_id": F.when(F.col("seq") % 8 != 2, F.col("seq"))}
+    codes = ("vad_regression", "after_eof", "unknown_chunk", "odd", "vad_ahead_of_audio", "semantic_oov")
+    code = F.element_at(F.array(*(F.lit(c) for c in codes)), (F.col("seq") % len(codes) + 1).cast("int"))
+    fields = {"kind": F.lit("VadSegment"), "advance": F.col("start_sample") - F.col("end_sample"), "vad_end": F.col("end_sample"), "buffered": F.col("start_sample"), "chunk_id": F.when(F.col("seq") % 12 != 2, F.col("seq")), "language": F.lit("en")}
     return spans(spark, sf_dir).select("stream_id", "seq", display.message(code, fields).alias("message"))
 
 
-S16_SQL = f"""WITH {SPANS_SQL} SELECT stream_id, seq, CASE seq % 4 WHEN 0 THEN 'span starts at ' || start_sample || ', before the watermark ' || end_sample WHEN 1 THEN 'input after the end of stream'
-  WHEN 2 THEN 'no chunk ' || CASE WHEN seq % 8 <> 2 THEN CAST(seq AS VARCHAR) ELSE '?' END || ' awaits this answer' ELSE 'odd' END AS message FROM spans"""
+S16_SQL = f"""WITH {SPANS_SQL} SELECT stream_id, seq, CASE seq % 6 WHEN 0 THEN 'PTS regression on VadSegment: advance = ' || (start_sample - end_sample) WHEN 1 THEN 'operation rejected after handle_eof'
+  WHEN 2 THEN 'unknown or already-resolved chunk_id ' || CASE WHEN seq % 12 <> 2 THEN CAST(seq AS VARCHAR) ELSE '?' END WHEN 3 THEN 'odd'
+  WHEN 4 THEN 'VAD segment end ' || end_sample || ' is past buffered samples ' || start_sample ELSE 'alignment semantic-OOV: language=en message=?' END AS message FROM spans"""
 
 QUERIES = {
     "r3_packet_precheck": r3_packet_precheck, "r10_vocabulary": r10_vocabulary, "j4_character_lookup": j4_character_lookup, "p3_audio_slices": p3_audio_slices, "p6_buffer_state": p6_buffer_state,

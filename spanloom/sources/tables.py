@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spanloom.operators import ctc
 from spanloom.plans.fold import ensure_importable
 
 PACKETS = "stream_id bigint, seq bigint, pts bigint, tb_num int, tb_den int, samples array<float>"
@@ -38,3 +40,13 @@ def dump(frames: DataFrame, path: str, enabled: bool = False) -> bool:
     if enabled:
         frames.write.mode("overwrite").parquet(path)
     return enabled
+
+
+def dump_alignment(frames: DataFrame, tokens: DataFrame, path: str, blank: int = 0, enabled: bool = False) -> bool:
+    """Debug dump of an alignment as three tables: the emissions, the trellis, and what describes each clip; only where asked for."""
+    if enabled:
+        sizes = frames.groupBy("clip_id").agg(F.count("*").alias("frames"), F.max(F.size("lp")).alias("vocab"))
+        about = tokens.select("clip_id", "token_ids").join(sizes, "clip_id", "left").withColumn("blank", F.lit(blank))
+        for name, rows in {"emissions": frames.select("clip_id", "frame", "lp"), "trellis": ctc.trellis_rows(frames, tokens, blank), "clips": about}.items():
+            dump(rows, f"{path}/{name}", True)
+    return enabled

@@ -14,7 +14,7 @@ from spanloom.operators import ctc, cut, dispatch, ingest, intervals, registry,
 from spanloom.plans import align_runs
 from spanloom.plans.shared import ensure_checkpoint_dir, remove_folder, shared_folder
 from spanloom.registry import QUERIES
-from spanloom.sources import vocabulary
+from spanloom.sources import tables, vocabulary
 from spanloom.streaming import cutter, folds
 
 SPANS = "stream_id bigint, seq bigint, kind string, start_sample bigint, end_sample bigint, override string, high_water bigint"
@@ -214,5 +214,23 @@ def test_a_failing_run_fails_its_chunk_and_a_callers_normaliser_is_used(spark):
     assert {(r.chunk_id, r.run, r.language, r.text) for r in own.words.collect()} == {(1, 0, "en", "ab"), (1, 1, "xx", "cd"), (2, 0, "xx", "ab")}
 
 
+def test_a_callers_policy_decides_events(spark):
+    alphabet = tokens.Alphabet.of(LETTERS, True)
+    strict = lambda kind, ch: F.when((kind == "symbol") & (ch == "9"), "fail_closed").otherwise("wildcard")
+    rows = spark.createDataFrame([(1, "a 9"), (2, "a € 8.5"), (3, "plain")], "i int, body string").withColumn("w", text.latin_words(F.col("body")))
+    got = {r.i: (r.t.status, list(r.t.token_ids)) for r in rows.select("i", tokens.tokenize(F.col("w"), alphabet, 4, strict).alias("t")).collect()}
+    assert got[1] == ("semantic_oov", []) and got[2] == ("ok", [7, 4, -1, 4, -1, -1, -1]) and got[3][0] == "ok"
+    assert {r.i: r.v for r in rows.select("i", tokens.verdict(F.col("w"), alphabet, "fail_all").alias("v")).collect()} == {1: "semantic_oov", 2: "semantic_oov", 3: "ok"}
+
+
+def test_a_dump_holds_emissions_trellis_and_clips(spark, tmp_path):
+    frames = spark.createDataFrame([(c, t, [-0.5, -1.0, -1.5]) for c in (1, 2) for t in range(4)], "clip_id bigint, frame int, lp array<float>")
+    asked = spark.createDataFrame([(1, [1, 2]), (2, [9])], "clip_id bigint, token_ids array<int>")
+    assert not tables.dump_alignment(frames, asked, str(tmp_path / "a")) and tables.dump_alignment(frames, asked, str(tmp_path / "b"), enabled=True)
+    cells = spark.read.parquet(str(tmp_path / "b" / "trellis")).orderBy("frame").collect()
+    assert [r.clip_id for r in cells] == [1] * 4 and cells[0].cells == [0.0, float("-inf")] and cells[-1].cells[1] == pytest.approx(-2.5)
+    assert {r.clip_id: (r.frames, r.vocab, r.blank) for r in spark.read.parquet(str(tmp_path / "b" / "clips")).collect()} == {1: (4, 3, 0), 2: (4, 3, 0)}
+
+
 def test_a_local_master_may_make_its_own_folder(spark):
     assert ensure_checkpoint_dir(spark) and shared_folder(spark, "a") != shared_folder(spark, "a")
