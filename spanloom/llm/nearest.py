@@ -41,6 +41,8 @@ RECALL, RECALL_QUERIES = 0.97, 256
 BLOCK_LEAST, BLOCK_VECTORS, BLOCK_QUERIES = 1_024, 8_192, 2_048
 #: Columns between two tests, and how far the estimate may exceed the bound, in deviations.
 COLUMNS, DEVIATIONS = 16, 2.4
+#: Rows measured at once against centroids or the sample.
+ROWS_AT_ONCE = 2_048
 #: Queries measured at once against a list, and the share of survivors from which pairs are followed singly.
 AT_ONCE, SPARSE = 256, 0.2
 SEED = 7
@@ -54,7 +56,9 @@ def usable(v: Column) -> Column:
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The nearest centroid of each row."""
-    return np.argmin((centroids**2).sum(1) - 2 * x @ centroids.T, axis=1)
+    squares, turned = (centroids**2).sum(1), 2 * centroids.T
+    parts = [np.argmin(squares - x[k : k + ROWS_AT_ONCE] @ turned, axis=1) for k in range(0, len(x), ROWS_AT_ONCE)]
+    return np.concatenate([*parts, np.empty(0, dtype=np.int64)])
 
 
 def _centroids(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -98,8 +102,9 @@ class Index:
 
     def nearest_lists(self, q: np.ndarray) -> np.ndarray:
         """The lists that each query probes, nearest first."""
-        far = (self.centroids**2).sum(1) - 2 * q @ self.centroids[:, :-1].T
-        return np.argsort(far, axis=1, kind="stable")[:, : self.probes]
+        squares, turned = (self.centroids**2).sum(1), 2 * self.centroids[:, :-1].T
+        parts = [np.argsort(squares - q[k : k + AT_ONCE] @ turned, axis=1, kind="stable")[:, : self.probes] for k in range(0, len(q), AT_ONCE)]
+        return np.concatenate([*parts, np.empty((0, self.probes), dtype=np.int64)])
 
 
 def fit(sample: np.ndarray, lists: int, longest: float, base: int = 0) -> Index:
@@ -117,12 +122,15 @@ def fit(sample: np.ndarray, lists: int, longest: float, base: int = 0) -> Index:
     asked = rng.choice(len(x), min(RECALL_QUERIES, len(x)), replace=False)
     near, reach = index.list_of(sample), index.nearest_lists(sample[asked])
     place = np.argsort(reach, axis=1)
-    scores = sample[asked] @ sample.T
-    scores[np.arange(len(asked)), asked] = -np.inf
     k = min(NEIGHBOURS, len(x) - 1)
     if k < 1:
         return index
-    true = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    true = np.empty((len(asked), k), dtype=np.int64)
+    for row in range(0, len(asked), 16):
+        some = asked[row : row + 16]
+        scores = sample[some] @ sample.T
+        scores[np.arange(len(some)), some] = -np.inf
+        true[row : row + 16] = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     needed = np.sort(np.take_along_axis(place, near[true], axis=1).ravel())
     probes = int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1
     return Index(base, coarse, index.begin, index.centroids, probes, longest, rotation)

@@ -138,9 +138,9 @@ def test_scores_equal_trees_walked_one_by_one(spark):
 @pytest.mark.parametrize("mark", list("10.-!@$*'") + ["é", "\u0301", "a", " ", "\n"])
 @pytest.mark.parametrize("end", ["", "x", "1"])
 def test_long_runs_take_linear_time(mark, end):
-    text = "a" + mark * 1_000_000 + end
+    text = "a" + mark * 200_000 + end
     for work in (toxicity.features, language_id.gram_counts):
         work("warm up")
         begin = time.process_time()
         work(text)
-        assert time.process_time() - begin < 3
+        assert time.process_time() - begin < 1
