@@ -51,11 +51,11 @@ def bad_log_prob(frame: Column) -> Column:
 
 
 def moments(samples: Column) -> Column:
-    """Struct (mean, var): the population's, in double."""
+    """Struct (mean, var): the population's, in double; nulls for no sample."""
     n = F.size(samples)
     total = lambda f: F.aggregate(samples, F.lit(0.0), lambda a, x: a + f(x.cast("double")))
-    mean = lambda m: F.struct(m.alias("mean"), (total(lambda x: (x - m) * (x - m)) / n).alias("var"))
-    return let(total(lambda x: x) / n, mean)
+    mean = lambda m: F.struct(m.alias("mean"), F.try_divide(total(lambda x: (x - m) * (x - m)), n).alias("var"))
+    return let(F.try_divide(total(lambda x: x), n), mean)
 
 
 def standardize(samples: Column, epsilon: float = 1e-7) -> Column:
