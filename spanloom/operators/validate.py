@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.ctc import MAX_CELLS, MAX_FRAMES, MAX_NODES, WILDCARD
@@ -52,6 +52,26 @@ def decision_language(decided: Column, language: Column) -> Column:
     return F.when(decided == language, "ok").otherwise("decision_language")
 
 
+def decisions(chunks: DataFrame, found: DataFrame, decided: DataFrame) -> DataFrame:
+    """chunk_id and status of every chunk: decision_shape, decision_language or ok, for the decisions that came for it.
+
+    chunks: chunk_id, language. found: chunk_id, run (from 0), language. decided: chunk_id, run,
+    language, one row per decision; in a chunk without runs, run 0 stands for the whole chunk, whose
+    language it must carry. A decision for a run must carry that run's language. Lists without a
+    decision are rows with a null language and count for the shape alone.
+    """
+    sizes = found.groupBy("chunk_id").agg(F.count("*").alias("n_runs"))
+    expected = decided.join(found.select("chunk_id", "run", F.col("language").alias("of_run")), ["chunk_id", "run"], "left").join(chunks.select("chunk_id", F.col("language").alias("of_chunk")), "chunk_id")
+    expected = expected.join(sizes, "chunk_id", "left").withColumn("expected", F.when(F.col("n_runs").isNull(), F.col("of_chunk")).otherwise(F.col("of_run")))
+    wrong = F.col("language").isNotNull() & F.col("expected").isNotNull() & (F.col("language") != F.col("expected"))
+    judged = expected.groupBy("chunk_id").agg((F.max("run") + 1).alias("n_lists"), F.bool_or(wrong).alias("wrong"))
+    met = chunks.select("chunk_id").join(sizes, "chunk_id", "left").join(judged, "chunk_id", "left")
+    shape = decision_shape(F.coalesce("n_lists", F.lit(0)), F.coalesce("n_runs", F.lit(0)))
+    # One list stands for a whole chunk only where there are no runs.
+    shape = F.when((F.col("n_lists") == 1) & (F.col("n_runs") > 1), "decision_shape").otherwise(shape)
+    return met.select("chunk_id", F.when(shape != "ok", shape).when(F.coalesce("wrong", F.lit(False)), "decision_language").otherwise("ok").alias("status"))
+
+
 def would_accept(live: Column, queued: Column, incoming: Column, cap: Column) -> Column:
     """Whether a buffer has room; an overflow is no."""
     return F.coalesce(F.try_add(F.try_add(live, queued), incoming) <= cap, F.lit(False))

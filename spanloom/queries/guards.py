@@ -81,6 +81,19 @@ def p20_owner_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 P20_SQL = f"""WITH {CHUNKS_SQL} SELECT stream_id, chunk_id, CASE WHEN o_orderkey % 3 = 1 THEN 'ok' ELSE 'wrong_owner' END AS owner, CASE WHEN language = '1' THEN 'ok' ELSE 'decision_language' END AS language FROM chunks"""
 
 
+def p21_run_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as runs in the language of their role, with decisions for none, for all, for all with a wrong last one, or for all but the last."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chunk_id"), (F.row_number().over(order) - 1).alias("run"), F.col("role").alias("language"), F.count("*").over(Window.partitionBy("conv_id")).alias("n"))
+    last, kind = F.col("run") == F.col("n") - 1, F.col("chunk_id") % 4
+    decided = rows.where((kind != 0) & ~((kind == 3) & last)).withColumn("language", F.when((kind == 2) & last, "x").otherwise(F.col("language")))
+    return validate.decisions(rows.select("chunk_id").distinct().withColumn("language", F.lit("en")), rows, decided)
+
+
+P21_SQL = """WITH s AS (SELECT conv_id AS chunk_id, count(*) AS n FROM conversations GROUP BY 1)
+SELECT chunk_id, CASE WHEN chunk_id % 4 = 2 THEN 'decision_language' WHEN chunk_id % 4 = 3 AND n > 1 THEN 'decision_shape' ELSE 'ok' END AS status FROM s"""
+
+
 def p22_decision_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line statuses of an order as its events, against decisions that lack the last line of every fifth order and differ in every seventh."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
@@ -129,9 +142,9 @@ S16_SQL = f"""WITH {SPANS_SQL} SELECT stream_id, seq, CASE seq % 6 WHEN 0 THEN '
 
 QUERIES = {
     "r3_packet_precheck": r3_packet_precheck, "r10_vocabulary": r10_vocabulary, "j4_character_lookup": j4_character_lookup, "p3_audio_slices": p3_audio_slices, "p6_buffer_state": p6_buffer_state,
-    "p20_owner_checks": p20_owner_checks, "p22_decision_match": p22_decision_match, "x5_speech_thresholds": x5_speech_thresholds, "s13_policies": s13_policies, "s16_messages": s16_messages,
+    "p20_owner_checks": p20_owner_checks, "p21_run_decisions": p21_run_decisions, "p22_decision_match": p22_decision_match, "x5_speech_thresholds": x5_speech_thresholds, "s13_policies": s13_policies, "s16_messages": s16_messages,
 }
 ORACLE_SQL = {
     "r3_packet_precheck": R3_SQL, "r10_vocabulary": R10_SQL, "j4_character_lookup": J4_SQL, "p3_audio_slices": P3_SQL, "p6_buffer_state": P6_SQL,
-    "p20_owner_checks": P20_SQL, "p22_decision_match": P22_SQL, "x5_speech_thresholds": X5_SQL, "s13_policies": S13_SQL, "s16_messages": S16_SQL,
+    "p20_owner_checks": P20_SQL, "p21_run_decisions": P21_SQL, "p22_decision_match": P22_SQL, "x5_speech_thresholds": X5_SQL, "s13_policies": S13_SQL, "s16_messages": S16_SQL,
 }

@@ -10,7 +10,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from spanloom.functions import text
-from spanloom.operators import ctc, cut, dispatch, ingest, intervals, registry, runs, tokens
+from spanloom.operators import ctc, cut, dispatch, ingest, intervals, registry, runs, tokens, validate
 from spanloom.plans import align_runs
 from spanloom.plans.shared import ensure_checkpoint_dir, remove_folder, shared_folder
 from spanloom.registry import QUERIES
@@ -232,5 +232,13 @@ def test_a_dump_holds_emissions_trellis_and_clips(spark, tmp_path):
     assert {r.clip_id: (r.frames, r.vocab, r.blank) for r in spark.read.parquet(str(tmp_path / "b" / "clips")).collect()} == {1: (4, 3, 0), 2: (4, 3, 0)}
 
 
+def test_decisions_of_runs_and_of_whole_chunks(spark):
+    chunks = spark.createDataFrame([(i, "en") for i in range(7)], "chunk_id int, language string")
+    found = spark.createDataFrame([(c, r, ("en", "fr")[r]) for c in (1, 2, 3, 4) for r in (0, 1)], "chunk_id int, run int, language string")
+    decided = [(1, 0, "en"), (1, 1, "fr"), (2, 0, "en"), (2, 1, "en"), (3, 0, "en"), (5, 0, "en"), (6, 0, "fr"), (4, 0, None), (4, 1, "fr"), (4, 2, "fr")]
+    got = validate.decisions(chunks, found, spark.createDataFrame(decided, "chunk_id int, run int, language string"))
+    assert {r.chunk_id: r.status for r in got.collect()} == {0: "ok", 1: "ok", 2: "decision_language", 3: "decision_shape", 4: "decision_shape", 5: "ok", 6: "decision_language"}
+
+
 def test_a_local_master_may_make_its_own_folder(spark):
     assert ensure_checkpoint_dir(spark) and shared_folder(spark, "a") != shared_folder(spark, "a")
