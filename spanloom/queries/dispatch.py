@@ -85,6 +85,26 @@ def w11_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dispatch.admit(cuts.unionByName(results), max_in_flight=3, observations=2)
 
 
+#: The queue is the range from the first chunk that hasn't started to the last that was cut; of two observations the first is the mode.
+W11_SQL = f"""WITH RECURSIVE {CHUNKS_SQL}, events AS (
+  SELECT stream_id, chunk_id * 10 AS seq, 'cut' AS kind, chunk_id, language FROM chunks UNION ALL SELECT stream_id, chunk_id * 10 + 25 + chunk_id % 3 * 12, 'result', chunk_id, language FROM chunks
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS k FROM events
+), fold AS (
+  SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS seq, 'none' AS kind, CAST(NULL AS BIGINT) AS chunk_id, CAST(NULL AS VARCHAR) AS language, false AS hit, CAST(0 AS BIGINT) AS q0, CAST(0 AS BIGINT) AS q, CAST(0 AS BIGINT) AS c,
+    CAST([] AS BIGINT[]) AS running, CAST([] AS STRUCT(id BIGINT, lang VARCHAR)[]) AS known, CAST(0 AS BIGINT) AS cur, CAST([] AS VARCHAR[]) AS obs FROM events
+  UNION ALL
+  SELECT stream_id, k, seq, kind, chunk_id, language, hit, q, q + p, c, running || range(q, q + p), known, cur, obs FROM (
+    SELECT *, CASE WHEN kind = 'cut' OR hit THEN greatest(0, least(c - q, 3 - len(running), CASE WHEN len(obs) >= 2 THEN c - q ELSE cur + 2 - len(obs) - q END)) ELSE 0 END AS p FROM (
+      SELECT * EXCLUDE (before, obs), (obs || list_filter(list_transform(range(before, cur), lambda x: list_filter(known, lambda y: y.id = x)[1].lang), lambda x: x IS NOT NULL))[1:2] AS obs FROM (
+        SELECT * EXCLUDE (cur), cur AS before, CASE WHEN hit AND len(obs) < 2 THEN list_filter(range(cur, cur + len(known) + 1), lambda x: NOT list_contains(list_transform(known, lambda y: y.id), x))[1] ELSE cur END AS cur FROM (
+          SELECT e.stream_id, e.k, e.seq, e.kind, e.chunk_id, e.language, e.kind = 'result' AND list_contains(f.running, e.chunk_id) AS hit, f.q, f.c + CASE WHEN e.kind = 'cut' THEN 1 ELSE 0 END AS c,
+            CASE WHEN e.kind = 'result' THEN list_filter(f.running, lambda x: x <> e.chunk_id) ELSE f.running END AS running,
+            CASE WHEN e.kind = 'result' AND list_contains(f.running, e.chunk_id) AND len(f.obs) < 2 THEN list_append(f.known, {{'id': e.chunk_id, 'lang': e.language}}) ELSE f.known END AS known, f.cur, f.obs
+          FROM fold f JOIN numbered e ON e.stream_id = f.stream_id AND e.k = f.k + 1)))))
+SELECT stream_id, seq, CASE WHEN hit THEN 'resolved' ELSE 'unknown_chunk' END AS action, chunk_id, CASE WHEN hit THEN language END AS language FROM fold WHERE kind = 'result'
+UNION ALL SELECT stream_id, seq, 'start', unnest(range(q0, q)), CASE WHEN len(obs) >= 2 THEN obs[1] END FROM fold WHERE kind <> 'none'"""
+
+
 def j1_registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' nations as languages, found in a registry of even nations with a fallback."""
     entries = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("key"), F.concat(F.lit("a"), F.col("n_nationkey")).alias("aligner_id"), F.col("n_name").alias("language"), F.col("n_nationkey").alias("seq"))
@@ -198,6 +218,6 @@ QUERIES = {
     "o7_events": o7_events, "r14_telemetry": r14_telemetry, "p19_overrides": p19_overrides, "run_slices": run_slices,
 }
 ORACLE_SQL = {
-    "w9_decode_ladder": W9_SQL, "g1_language_lock": G1_SQL, "w10_in_order": W10_SQL, "r7_answers": R7_SQL, "j1_registry_lookup": J1_SQL, "g4_segment_statistics": G4_SQL, "g7_joined_text": G7_SQL,
+    "w11_admission": W11_SQL, "w9_decode_ladder": W9_SQL, "g1_language_lock": G1_SQL, "w10_in_order": W10_SQL, "r7_answers": R7_SQL, "j1_registry_lookup": J1_SQL, "g4_segment_statistics": G4_SQL, "g7_joined_text": G7_SQL,
     "g8_token_times": G8_SQL, "o1_ordered_words": O1_SQL, "o7_events": O7_SQL, "r14_telemetry": R14_SQL, "p19_overrides": P19_SQL, "run_slices": RUN_SLICES_SQL,
 }
