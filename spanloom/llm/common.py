@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanloom.plans.fold import ensure_importable
-from spanloom.plans.shared import cut
+from spanloom.plans.shared import cut  # noqa: F401  (the operators take it from here)
 
 #: Rows that a text kernel holds as Python objects at once.
 ROWS_AT_ONCE = 128
@@ -29,24 +29,22 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def extend_rows(df: DataFrame, column: str, init: Callable[[], Callable[[list], list]], name: str, kind: str) -> DataFrame:
-    """df with a column computed by a Python kernel from one other, over Arrow batches; df's own columns pass unchanged.
+    """df with a column computed by a Python kernel from one other; that one alone leaves the JVM, and the result alone comes back.
 
     init() is called once per task and returns a function from a list of values to a list of results.
     """
     ensure_importable(df.sparkSession)
-    out = T.StructType([*df.schema.fields, *T._parse_datatype_string(f"`{name}` {kind}").fields])
     arrow = to_arrow_schema(T._parse_datatype_string(f"x {kind}")).field(0).type
-    at = df.columns.index(column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(kind)
+    def extend(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kernel = init()
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(k, ROWS_AT_ONCE)
-                made = pa.array(kernel(part.column(at).to_pylist()), type=arrow)
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=out.names)
+            made = [x for k in range(0, len(batch), ROWS_AT_ONCE) for x in kernel(batch.slice(k, ROWS_AT_ONCE).to_pylist())]
+            yield pa.array(made, type=arrow)
 
-    return df.mapInArrow(run, out)
+    # So marked, a filter on the result isn't pushed below it, which would run the kernel twice.
+    return df.withColumn(name, extend.asNondeterministic()(F.col(f"`{column}`")))
 
 
 def map_rows(df: DataFrame, columns: list[str | Column], init: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
