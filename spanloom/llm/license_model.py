@@ -229,13 +229,13 @@ def fit(texts: list[tuple[str, str]], copies: int = 8) -> Regression:
     return Regression(model.column, w, b)
 
 
-def held_out_chances(copies: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def held_out_chances(copies: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Classes of variations of all notices and sentences, and their chances by models that have seen none of the notice or sentence."""
     texts = known_texts()
     return _judged([[i % FOLDS == fold for i in range(len(texts))] for fold in range(FOLDS)], copies)
 
 
-def unknown_chances(copies: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def unknown_chances(copies: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The same by models that have seen nothing of the whole family, as for a licence that the scan doesn't know."""
     return _judged([[family == f for _, family in known_texts()] for f in TEMPLATES], copies)
 
@@ -243,7 +243,7 @@ def unknown_chances(copies: int = 8) -> tuple[np.ndarray, np.ndarray]:
 def _judged(held: list[list[bool]], copies: int) -> tuple[np.ndarray, np.ndarray]:
     texts, truth, chances = known_texts(), [], []
     for fold, out in enumerate(held):
-        model = fit([t for t, h in zip(texts, out, strict=True) if not h])
+        model = fit([t for t, h in zip(texts, out, strict=True) if not h], copies)
         own = _examples(np.random.default_rng(SEED + 1 + fold), copies, [t for t, h in zip(texts, out, strict=True) if h])
         truth += [CLASSES.index(f) for _, f in own]
         chances.append(model.chances([t for t, _ in own]))
