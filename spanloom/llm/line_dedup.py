@@ -112,7 +112,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_removed")
     gone_doc, gone_key, key, gone = (fresh(docs, name) for name in ("gone_doc", "gone_key", "key", "gone"))
-    lines_gone = repeated_lines(docs).select(F.col("doc").alias(gone_doc), F.col("key").alias(gone_key), F.col("gone").alias(gone)).hint("shuffle_hash")
+    # Kept apart from the join, so that Spark may split the side of a document that very many rows repeat.
+    lines_gone = cut(repeated_lines(docs)).select(F.col("doc").alias(gone_doc), F.col("key").alias(gone_key), F.col("gone").alias(gone)).hint("shuffle_hash")
     keyed = docs.withColumn(key, _text_key(F.col("text")))
     joined = keyed.join(lines_gone, (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col(gone_doc)) & (F.col(key) == F.col(gone_key)), "left")
 

@@ -191,7 +191,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     each = cut(map_rows(keyed, ["doc_id", key, "text"], init, "doc_id long, text_key long, fp long"))
     rows = each.groupBy("fp", "doc_id", "text_key").agg(F.count("*").alias("n"))
     groups = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key", "n")).alias("least")))
-    chosen = _roots(groups).select("first").distinct().select(F.col("first.doc_id").alias(at_id), F.col("first.text_key").alias(at_key), F.col("first.n").alias(n))
+    chosen = cut(_roots(groups).select("first").distinct().select(F.col("first.doc_id").alias(at_id), F.col("first.text_key").alias(at_key), F.col("first.n").alias(n)))
     joined = keyed.join(chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(at_id)) & (F.col(key) == F.col(at_key)))
     # Only rows that repeat one another are gathered.
     repeated = joined.where(F.col(n) > 1).dropDuplicates(["doc_id", key])
