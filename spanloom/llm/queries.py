@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, language_id, license_scan, line_dedup, nearest, packing, quality_rules, simhash, token_counts, toxicity
+from spanloom.llm import bpe, crossalign, language_id, license_scan, line_dedup, maxscore, nearest, packing, quality_rules, simhash, token_counts, toxicity, whitening
 from spanloom.plans.shared import spread
 
 
@@ -16,9 +16,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+
+
 def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
-    return nearest.search(vectors, F.col("vec_id") % 20 == 0)
+    return nearest.search(_embeddings(spark, sf_dir), F.col("vec_id") % 20 == 0)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +60,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(_embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spread(_embeddings(spark, sf_dir)))
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossalign.align_tokenizers(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_scan": op1_adaptive_scan,
     "op2_license_scan": op2_license_scan,
@@ -68,9 +83,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_maxscore": op11_maxscore,
+    "op12_whitening": op12_whitening,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.RULES_SQL,
     "op7_line_dedup": line_dedup.SUMMARY_SQL,
+    "op11_maxscore": maxscore.SEARCH_SQL,
 }
