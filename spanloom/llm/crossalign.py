@@ -12,54 +12,78 @@ their links as places in the block's list of pairs. The measures are then joined
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.bpe import NEVER, merge_spans
 from spanloom.llm.common import cut, ensure_importable
+from spanloom.llm.pretokens import split_bytes_bpe
+from spanloom.llm.token_counts import byte_alphabet
 
 #: Characters of texts that a block holds, or one text if that is longer, and texts of it.
 BLOCK_CHARS, BLOCK_TEXTS = 4_000_000, 2_048
-#: Characters that a library gets at once, unless one text is longer.
-CHARS_AT_ONCE = 200_000
 #: A pair of ids as one number: A's above, B's in so many bits.
 B_BITS = 24
+#: Characters without white space, or of white space, in a row from which a text isn't given to the library for ranks.
+LONG_RUN = 1_000
+_LONG_GAP = re.compile(rf"\s{{{LONG_RUN}}}")
 
 ALIGNED = (
     "block long, key binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places array<int>, links array<int>, pairs array<long>, sums array<long>"
 )
 
 
-def byte_values() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary's entries stands for: printable ones themselves, the others from U+0100 on in order."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = sorted(set(range(256)) - set(plain))
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
-
-
 class ByteLevel:
-    """A byte-level vocabulary's ids of texts with a space before them, and the bytes of each id."""
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    """A byte-level vocabulary of the tokenizers library: the ids of a text with a space before it, and the bytes of each id.
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        values, size = byte_values(), self.library.get_vocab_size()
-        entries = [self.library.id_to_token(i) or "" for i in range(size)]
-        # A special string's entry has no byte-level form of its own; it is never given for a text.
-        self.bytes = [bytes(values[c] for c in t) if all(c in values for c in t) else t.encode() for t in entries]
+    Its merges make the tokens in the order of their ids, so the faster library for ranks gives the same
+    ids. That one takes quadratic time or worse on very long pre-tokens: texts with a run of LONG_RUN
+    characters are merged here, pre-token by pre-token. Special strings are plain text.
+    """
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+    def __init__(self, path: str) -> None:
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        alphabet, special = byte_alphabet(), {t["content"] for t in spec.get("added_tokens") or []}
+        raw = lambda entry: bytes(alphabet[c] for c in entry)
+        self.id_of = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.rank = {tuple(map(raw, pair if isinstance(pair, list) else pair.split(" "))): k for k, pair in enumerate(spec["model"]["merges"])}
+        made = [self.id_of[a + b] for a, b in self.rank]
+        if made != sorted(made):
+            raise ValueError("the vocabulary's ids are not in the order of its merges")
+        self.bytes = [b""] * (1 + max(self.id_of.values()))
+        for piece, i in self.id_of.items():
+            self.bytes[i] = piece
+        self.library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.id_of, special_tokens={})
+
+    def _merged(self, piece: str) -> list[int]:
+        data, get = piece.encode("utf-8", "surrogatepass"), self.rank.get
+        n = len(data)
+        after = merge_spans(n, [get((data[i : i + 1], data[i + 1 : i + 2]), NEVER) for i in range(n - 1)], lambda a, b, c: get((data[a:b], data[b:c]), NEVER))
+        ids, at = [], 0
+        while at < n:
+            ids.append(self.id_of[data[at : after[at]]])
+            at = after[at]
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        if max(map(len, text.split()), default=0) < LONG_RUN and not _LONG_GAP.search(text):
+            return self.library.encode_ordinary(f" {text}")
+        return [i for piece in split_bytes_bpe(f" {text}") for i in self._merged(piece)]
 
 
 class Pieces:
-    """A sentencepiece model's ids of texts, before which it puts a space itself, and the bytes of each id."""
+    """A sentencepiece model: the ids of a text, before which it puts a space itself, and the bytes of each id."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -69,66 +93,62 @@ class Pieces:
 
     def _bytes(self, i: int) -> bytes:
         piece = self.library.id_to_piece(i)
-        return bytes([int(piece[1:-1], 16)]) if self.library.is_byte(i) else piece.replace("▁", " ").encode()
+        return bytes([int(piece[1:-1], 16)]) if self.library.is_byte(i) else piece.replace("\u2581", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1)
+    def encode(self, text: str) -> list[int]:
+        return self.library.encode(text)
 
 
 def link(a: np.ndarray, b: np.ndarray, a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The places in a and b of every link's tokens, and where each group ends in a and in b. Both cover the same bytes."""
     a_ends, b_ends = np.cumsum(a_lengths[a]), np.cumsum(b_lengths[b])
-    ends = np.union1d(a_ends, b_ends)
+    ended = np.zeros((2, a_ends[-1] + 1), dtype=np.int8)
+    ended[0, a_ends] = ended[1, b_ends] = 1
+    ends = np.flatnonzero(ended[0] | ended[1])
     i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-    both = (a_ends[i] == ends) & (b_ends[j] == ends)
+    both = (ended[0] & ended[1])[ends] == 1
     return i, j, i[both] + 1, j[both] + 1
 
 
-def groups_text(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> str:
-    """The groups in order: ids of a, a bar and ids of b."""
-    a_text, b_text = list(map(str, a)), list(map(str, b))
-    out, i, j = [], 0, 0
-    for i_end, j_end in zip(a_ends, b_ends, strict=True):
-        out.append(f"{','.join(a_text[i:i_end])}|{','.join(b_text[j:j_end])}")
-        i, j = i_end, j_end
-    return ";".join(out)
+class GroupsText:
+    """Writes groups as text: decimal ids of a, a bar and ids of b, with a semicolon between groups."""
 
+    def __init__(self, a_size: int, b_size: int) -> None:
+        self.a_size, self.b_size = a_size, b_size
+        written = [f"{i}{after}" for size, afters in ((a_size, ",|"), (b_size, ",;")) for after in afters for i in range(size)]
+        self.written = np.array(written, dtype=object)
 
-def aligner(a_path: str, b_path: str) -> Callable[[list[str]], Iterator[tuple]]:
-    """n_a, n_b, n_groups, n_links, groups_sha256, and the distinct pairs of ids with how often each is linked, of each text."""
+    def write(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> str:
+        out = np.empty(len(a) + len(b), dtype=np.int64)
+        # A token comes after the tokens of its own side, and those of the other side's groups before it.
+        a_code, b_code = a.copy(), b + 2 * self.a_size
+        a_code[a_ends - 1] += self.a_size
+        b_code[b_ends - 1] += self.b_size
+        out[np.arange(len(a)) + np.repeat(np.append(0, b_ends[:-1]), np.diff(a_ends, prepend=0))] = a_code
+        out[np.arange(len(b)) + np.repeat(a_ends, np.diff(b_ends, prepend=0))] = b_code
+        return "".join(self.written[out].tolist())[:-1]
+
+
+def aligner(a_path: str, b_path: str) -> Callable[[str], tuple]:
+    """A function from a text to n_a, n_b, n_groups, n_links, groups_sha256, and the distinct pairs of ids with how often each is linked."""
     first, second = ByteLevel(a_path), Pieces(b_path)
     a_lengths, b_lengths = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (first, second))
-
-    def align(texts: list[str]) -> Iterator[tuple]:
-        for text, a, b in zip(texts, first.encode(texts), second.encode(texts), strict=True):
-            whole = f" {text}".encode()
-            if not text or b"".join([first.bytes[i] for i in a]) != whole or b"".join([second.bytes[i] for i in b]) != whole:
-                yield 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
-                continue
-            a_ids, b_ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-            i, j, a_ends, b_ends = link(a_ids, b_ids, a_lengths, b_lengths)
-            pairs, links = np.unique(a_ids[i] << B_BITS | b_ids[j], return_counts=True)
-            digest = hashlib.sha256(groups_text(a, b, a_ends.tolist(), b_ends.tolist()).encode()).hexdigest()
-            yield len(a), len(b), len(a_ends), len(i), digest, pairs, links
+    groups = GroupsText(len(first.bytes), len(second.bytes))
+
+    def align(text: str) -> tuple:
+        a, b, whole = first.encode(text), second.encode(text), f" {text}".encode()
+        if not text or b"".join([first.bytes[i] for i in a]) != whole or b"".join([second.bytes[i] for i in b]) != whole:
+            return 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
+        a_ids, b_ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        i, j, a_ends, b_ends = link(a_ids, b_ids, a_lengths, b_lengths)
+        pairs = np.sort(a_ids[i] << B_BITS | b_ids[j])
+        at = np.flatnonzero(np.diff(pairs, prepend=-1))
+        digest = hashlib.sha256(groups.write(a_ids, b_ids, a_ends, b_ends).encode()).hexdigest()
+        return len(a), len(b), len(a_ends), len(i), digest, pairs[at], np.diff(at, append=len(pairs))
 
     return align
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, str, int]]]:
-    """Rows (key, text, weight), so many at once as the libraries get."""
-    held, chars = [], 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            for row in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
-                if held and chars + len(row[1]) > CHARS_AT_ONCE:
-                    yield held
-                    held, chars = [], 0
-                held.append(row)
-                chars += len(row[1])
-    if held:
-        yield held
-
-
 def align_texts(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Rows of ALIGNED: one for each text, and after a block's texts one with the block's pairs and their weighted sums.
 
@@ -160,8 +180,9 @@ def align_texts(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 names=names,
             )
 
-        for some in _batches(batches):
-            for (key, text, weight), (*measures, pairs, links) in zip(some, align([t for _, t, _ in some]), strict=True):
+        for batch in batches:
+            for key, text, weight in ((c.as_py() for c in row) for row in zip(*batch.columns, strict=True)):
+                *measures, pairs, links = align(text)
                 rows.append((key, weight, measures, pairs, links))
                 chars += len(text)
                 if chars >= BLOCK_CHARS or len(rows) >= BLOCK_TEXTS:
