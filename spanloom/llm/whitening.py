@@ -7,7 +7,7 @@ and what that number is off is taken away exactly at the end. Half of what the s
 beyond the squares of its two dimensions is their covariance, so the variances alone give the whole
 matrix. It is symmetric and exact up to one rounding a cell, and its eigenvectors are the components.
 
-Only d * (d + 1) / 2 totals for each length d of vectors reach the driver.
+Only d * (d + 1) / 2 totals for each length d of vectors, from a fixed number of groups, reach the driver.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ COMPONENTS, SCALE, SHIFT = 16, 64, 1_000_000
 LARGEST = float(1 << 55)
 #: Rows handled at once, and numbers whose squares add up within a long over so many rows.
 ROWS_AT_ONCE, SMALL = 1_024, 1 << 25
+#: Groups in which the tasks' totals are added up before the driver gets them.
+MERGERS = 16
 #: A component counts if its variance is more than this share of the largest one: below, it is rounding.
 LEAST_SHARE = 1e-12
 
@@ -39,8 +41,16 @@ def integers(vectors: DataFrame, scale: int = SCALE, shift: int = SHIFT) -> Data
     return vectors.select("vec_id", "vector").where(usable).select("vec_id", F.transform("vector", lambda c: F.floor(c.cast("double") * scale) + shift).alias("x"))
 
 
-def _totals(fit: DataFrame, partial: Callable[[int, np.ndarray], np.ndarray]) -> dict[int, list[int]]:
-    """For each length of vectors the exact totals, over all rows, of what `partial` gives for a few rows as whole numbers."""
+def _totals(rows: DataFrame, partial: Callable[[int, np.ndarray], np.ndarray], exact: bool = True) -> dict[int, list]:
+    """For each length of vectors the totals, over all rows, of what `partial` gives for a few of them; as whole numbers, or as doubles.
+
+    A task gives its totals as one row, rows are added up in MERGERS groups, and the driver adds up these.
+    """
+    kind, arrow = ("decimal(38,0)", pa.decimal128(38, 0)) if exact else ("double", pa.float64())
+
+    def held_of(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+        cells = [[Decimal(int(v)) if exact else float(v) for v in t] for t in totals.values()]
+        return pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.int32()), pa.array(cells, pa.list_(arrow))], names=["d", "totals"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -48,16 +58,19 @@ def _totals(fit: DataFrame, partial: Callable[[int, np.ndarray], np.ndarray]) ->
             for d, rows in by_length(batch, "x"):
                 x = matrix(rows.column("x"), np.int64)
                 for k in range(0, len(x), ROWS_AT_ONCE):
-                    held[d] = held.get(d, 0) + partial(d, x[k : k + ROWS_AT_ONCE]).astype(object)
-        for d, found in held.items():
-            kinds = [pa.int32(), pa.int32(), pa.decimal128(38, 0)]
-            cells = [[d] * len(found), range(len(found)), [Decimal(int(v)) for v in found]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cells, kinds, strict=True)], names=["d", "cell", "total"])
-
-    summed = fit.select("x").mapInArrow(add, "d int, cell int, total decimal(38,0)").groupBy("d", "cell").agg(F.sum("total").alias("total"))
-    out: dict[int, list[int]] = {}
-    for r in summed.orderBy("d", "cell").collect():
-        out.setdefault(r.d, []).append(int(r.total))
+                    found = partial(d, x[k : k + ROWS_AT_ONCE])
+                    held[d] = held.get(d, 0) + (found.astype(object) if exact else found)
+        yield held_of(held)
+
+    def merge(parts: pa.Table) -> pa.Table:
+        totals = [np.array([int(v) if exact else v for v in t.as_py()], dtype=object if exact else float) for t in parts.column("totals")]
+        return pa.Table.from_batches([held_of({parts.column("d")[0].as_py(): sum(totals)})])
+
+    given = rows.select("x").mapInArrow(add, f"d int, totals array<{kind}>").withColumn("merger", F.spark_partition_id() % MERGERS)
+    merged = given.groupBy("d", "merger").applyInArrow(lambda key, parts: merge(parts.drop_columns("merger")), f"d int, totals array<{kind}>")
+    out: dict[int, list] = {}
+    for r in merged.collect():
+        out[r.d] = [a + b for a, b in zip(out.get(r.d, [0] * len(r.totals)), (map(int, r.totals) if exact else r.totals), strict=True)]
     return out
 
 
@@ -124,21 +137,12 @@ def fit(distinct: DataFrame, components: int = COMPONENTS) -> dict[int, Whitenin
 def identity_errors(distinct: DataFrame, models: dict[int, Whitening]) -> dict[int, float]:
     """For each length of vectors the largest absolute entry of the covariance of its whitened vectors minus the identity, measured on them all."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for d, rows in by_length(batch, "x"):
-                w = models[d].apply(matrix(rows.column("x"), np.int64))
-                # Whitened vectors are centred already; a column of ones adds up what they are off.
-                w = np.column_stack([w, np.ones(len(w))])
-                held[d] = held.get(d, 0) + w.T @ w
-        for d, found in held.items():
-            yield pa.RecordBatch.from_pydict({"d": pa.array([d] * found.size, pa.int32()), "cell": pa.array(range(found.size), pa.int32()), "total": pa.array(found.ravel())})
-
-    summed = distinct.select("x").mapInArrow(add, "d int, cell int, total double").groupBy("d", "cell").agg(F.sum("total").alias("total"))
-    cells: dict[int, list[float]] = {}
-    for r in summed.orderBy("d", "cell").collect():
-        cells.setdefault(r.d, []).append(r.total)
+    def products(d: int, x: np.ndarray) -> np.ndarray:
+        # Whitened vectors are centred already; a column of ones adds up what they are off.
+        w = np.column_stack([models[d].apply(x), np.ones(len(x))])
+        return (w.T @ w).ravel()
+
+    cells = _totals(distinct, products, exact=False)
     out = {}
     for d, found in cells.items():
         k = int(np.sqrt(len(found)))
