@@ -1,33 +1,42 @@
-"""Line deduplication by winnowing over line hashes, in built-in expressions only.
-
-Of every window of WINDOW consecutive lines with a word, the line of least hash is selected (the last
-of equals; lines of one word come after all others, as they say little). So every run of WINDOW lines
-or more holds a fingerprint, and the other lines are looked up nowhere. A fingerprint's later
-positions are joined to its first one, and each match is extended both ways, line by line, as far as
-the lines agree and at most REACH lines, which is beyond the next fingerprint on either side. The
-later run is deleted, unless it is one line of one word.
-
-What no run covers is shorter than the guarantee. Of these lines, those that are left more than once
-are deleted but for their first place; a line of one word only if it is left COMMON times or more.
-Documents are in order of doc_id. Of any line at least the first occurrence stays, as a deleted one
-always has an equal line before it.
+"""Line deduplication by winnowing over hashes of lines and of the sentences in them, in built-in expressions only.
+
+A text's units are its lines, and a line's sentences where it has several; those without a word don't
+count. Of every WINDOW consecutive units the one that says most is selected: of most words, up to
+ENOUGH, then of least hash (the last of equals). So every run of WINDOW units or more holds a
+fingerprint, inside a line as well as over many lines, and the other units are looked up nowhere. A
+fingerprint's later positions are joined to its place before: in the same document if there is one,
+else its first place of all. Matches on one diagonal of two documents that are near each other are
+taken together and extended both ways, unit by unit, as far as the units agree: by REACH units at
+first, and where that isn't the end by ever more. A run is deleted if it has LEAST words, of which a
+unit counts ENOUGH at most and a line that is one unit half of LEAST at least; so two lines are enough.
+
+A line that stands alone can be shorter than the guarantee, or its fingerprint's first place be
+elsewhere, so whole lines are looked up as well: a later equal line is deleted; one of one word only
+if it stands COMMON times or more. Documents are in order of doc_id. Of any unit and line at least
+the first occurrence stays, as a deleted one always has an equal one before it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanloom.functions.numeric import let
 from spanloom.llm.common import cut, fresh
 
-#: Lines of a window, lines that a match is extended by at most, and lines left from which a line of one word counts as repeated by itself.
-WINDOW, REACH, COMMON = 2, 3, 4
+#: Units of a window, those that a match is first extended by, words of a run and of a unit in it, and lines from which one of one word counts as repeated.
+WINDOW, REACH, LEAST, ENOUGH, COMMON = 2, 8, 20, 15, 4
+#: How much further each round extends.
+FURTHER = 8
 #: What a line of one word has added to its 60-bit hash.
 ONE = 1 << 60
+_WORD = r"[^\x20\x09-\x0D]+"
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 _ONE_WORD = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$"
-_AROUND = [k for k in range(-REACH, REACH + 1) if k]
+_SENTENCE = "[^.!?。！？]*[.!?。！？]+[ \t]*|[^.!?。！？]+"
+_BLANK = " \t\n\x0b\x0c\r"
+_DOC = ["doc", "key"]
 
 
 def _text_key(text: Column) -> Column:
@@ -38,141 +47,240 @@ def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """doc, key, hashes and at of every document with a word: hashes of its lines with a word, and their numbers in the text.
+def _pieces(text: Column) -> Column:
+    """t, line (0-based) and whole (whether it is its line's only one) of a text's sentences, with a line break as a piece before every line but the first."""
 
-    Rows that agree in doc_id and text are one document; doc is the doc_id, least for a null one.
+    def of_line(line: Column, no: Column) -> Column:
+        found = F.regexp_extract_all(line, F.lit(_SENTENCE), F.lit(0))
+        one = F.size(found) == 1
+        ends = F.when(no > 0, F.array(F.lit("\n"))).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.concat(ends, found), lambda t: F.struct(t.alias("t"), no.alias("line"), one.alias("whole")))
+
+    return F.flatten(F.transform(_split(text), of_line))
+
+
+def _md5(text: Column, digits: int) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def hashed_units(docs: DataFrame) -> DataFrame:
+    """doc, key, units (hashes), weights and lines (h and line) of every document with a word.
+
+    A unit's hash has above 56 bits how many of ENOUGH words it lacks. Rows that agree in doc_id and
+    text are one document; doc is the doc_id, least for a null one.
     """
 
-    def hashed(line: Column) -> Column:
-        return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long") + F.when(line.rlike(_ONE_WORD), ONE).otherwise(0)
+    def unit(x: Column) -> Column:
+        words = F.least(F.lit(ENOUGH), F.regexp_count(x["t"], F.lit(_WORD)))
+        weight = F.when(x["whole"], F.greatest(words, F.lit(LEAST // 2))).otherwise(words)
+        return F.when(x["t"].rlike(_HAS_WORD), F.struct((F.shiftleft((ENOUGH - words).cast("long"), 56) + _md5(F.btrim(x["t"], F.lit(_BLANK)), 14)).alias("h"), weight.cast("tinyint").alias("weight")))
 
-    held = F.filter(F.transform(_split(F.col("text")), lambda x, i: F.when(x.rlike(_HAS_WORD), F.struct(hashed(x).alias("h"), i.alias("at")))), lambda x: x.isNotNull())
-    each = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), _text_key(F.col("text")).alias("key"), held.alias("held")).where(F.size("held") > 0)
-    return each.select("doc", "key", F.col("held.h").alias("hashes"), F.col("held.at").alias("at")).dropDuplicates(["doc", "key"])
+    def line(x: Column, no: Column) -> Column:
+        return F.when(x.rlike(_HAS_WORD), F.struct((_md5(x, 15) + F.when(x.rlike(_ONE_WORD), ONE).otherwise(0)).alias("h"), no.alias("line")))
 
+    there = lambda x: x.isNotNull()
+    units, lines = F.filter(F.transform(_pieces(F.col("text")), unit), there), F.filter(F.transform(_split(F.col("text")), line), there)
+    each = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), _text_key(F.col("text")).alias("key"), units.alias("u"), lines.alias("lines")).where(F.size("u") > 0)
+    return each.select("doc", "key", F.col("u.h").alias("units"), F.col("u.weight").alias("weights"), "lines").dropDuplicates(_DOC)
 
-def fingerprints(lines: DataFrame) -> DataFrame:
-    """h, place and near of every selected line: its hash, its document and number among the lines with a word, and the hashes around it."""
-    n = F.size("hashes")
+
+def fingerprints(hashed: DataFrame) -> DataFrame:
+    """doc, key, h, i and before of every selected unit: its hash, its number, and where in the document the same one was selected before (null: nowhere)."""
+    n = F.size("units")
 
     def least(start: Column) -> Column:
-        numbered = ((start + k, F.get("hashes", start + k)) for k in range(WINDOW))
+        numbered = ((start + k, F.get("units", start + k)) for k in range(WINDOW))
         return F.least(*(F.when(i < n, F.struct(h.alias("h"), (-i).alias("back"))) for i, h in numbered))
 
-    selected = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), least))
-    each = lines.select("doc", "key", "hashes", F.explode(selected).alias("s")).withColumn("i", -F.col("s.back"))
-    return each.select(F.col("s.h").alias("h"), F.struct("doc", "key", "i").alias("place"), F.array(*(F.get("hashes", F.col("i") + k) for k in _AROUND)).alias("near"))
-
-
-def _agreeing(side: list[int]) -> Column:
-    """How many lines of one side, nearest first, agree without a gap; lines beyond a document's ends agree with none."""
-    same = [F.coalesce(F.get("near", F.lit(_AROUND.index(k))) == F.get("first_near", F.lit(_AROUND.index(k))), F.lit(False)) for k in side]
-    out = F.lit(0)
-    for equal in reversed(same):
-        out = F.when(equal, out + 1).otherwise(0)
-    return out
-
-
-def later_runs(lines: DataFrame) -> DataFrame:
-    """doc, key and run: the numbers, among a document's lines with a word, of a run that stood before."""
-    marks = fingerprints(lines)
-    # Tables cut before they are joined, so that Spark may split a frequent line's side.
-    first = cut(marks.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("places")).where("places > 1").select("h", "first"))
-    met = cut(marks.join(first, "h"))
-    heads = met.where("place = first").select("h", F.col("near").alias("first_near"))
-    later = met.where("place > first").join(heads, "h").select("h", "place", _agreeing(list(range(-1, -REACH - 1, -1))).alias("before"), _agreeing(list(range(1, REACH + 1))).alias("after"))
-    whole = later.where((F.col("h") < ONE) | (F.col("before") + F.col("after") > 0))
-    return whole.select("place.doc", "place.key", F.sequence(F.col("place.i") - F.col("before"), F.col("place.i") + F.col("after")).alias("run"))
-
-
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc, key and gone: the 0-based numbers of the text's lines to delete, for the documents that have any."""
-    lines = cut(hashed_lines(docs))
-    covered = later_runs(lines).select("doc", "key", F.explode("run").alias("i")).groupBy("doc", "key").agg(F.collect_set("i").alias("covered"))
-    at = lambda numbers: F.transform(numbers, lambda i: F.get("at", i))
-    rest = F.array_except(F.sequence(F.lit(0), F.size("hashes") - 1), F.coalesce("covered", F.array().cast("array<int>")))
-    left = lines.join(covered, ["doc", "key"], "left").select("doc", "key", at(F.col("covered")).alias("gone"), F.transform(rest, lambda i: F.struct(F.get("hashes", i).alias("h"), F.get("at", i).alias("at"))).alias("rest"))
-    left = cut(left)
-    alone = left.select("doc", "key", F.explode("rest").alias("x")).select(F.col("x.h").alias("h"), F.struct("doc", "key", F.col("x.at").alias("at")).alias("place"))
-    counted = alone.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("places"))
+    chosen = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), least))
+    sorted_ = hashed.select("doc", "key", F.sort_array(F.transform(chosen, lambda s: F.struct(s["h"].alias("h"), (-s["back"]).alias("i")))).alias("s"))
+    before = lambda x, k: F.when(F.get("s", k - 1)["h"] == x["h"], F.get("s", k - 1)["i"])
+    each = sorted_.select("doc", "key", F.explode(F.transform("s", lambda x, k: F.struct(x["h"].alias("h"), x["i"].alias("i"), before(x, k).alias("before")))).alias("s"))
+    return each.select("doc", "key", "s.h", "s.i", "s.before")
+
+
+def matches(hashed: DataFrame) -> DataFrame:
+    """doc, key, i, doc_0, key_0 and i_0: every fingerprint that stands elsewhere before, with its place there."""
+    marks = fingerprints(hashed)
+    own = marks.where("before IS NOT NULL").select("doc", "key", "i", F.col("doc").alias("doc_0"), F.col("key").alias("key_0"), F.col("before").alias("i_0"))
+    others = marks.where("before IS NULL")
+    # A table cut before it is joined, so that Spark may split a frequent unit's side.
+    counted = others.groupBy("h").agg(F.min(F.struct("doc", "key", "i")).alias("first"), F.count("*").alias("places"))
+    first = cut(counted.where("places > 1").select("h", F.col("first.doc").alias("doc_0"), F.col("first.key").alias("key_0"), F.col("first.i").alias("i_0")))
+    return own.unionByName(others.join(first, "h").where("doc <> doc_0 OR key <> key_0").select("doc", "key", "i", "doc_0", "key_0", "i_0"))
+
+
+def _extended(near: DataFrame, hashed: DataFrame, reach: int) -> DataFrame:
+    """near with runs (lo, hi and weight of each run of agreeing units that holds a match) and whether one of them may go on beyond `reach` units."""
+    shift, own = F.col("shift"), hashed.select("doc", "key", "units", "weights")
+    first, last = F.element_at("marks", 1), F.element_at("marks", -1)
+    low = F.greatest(first - reach, F.lit(0), shift)
+    here = near.join(own, _DOC).withColumn("lo", low).withColumn("hi", F.least(last + reach, F.size("units") - 1))
+    here = here.withColumn("most", F.size("units") - 1).withColumn("a", F.expr("slice(units, lo + 1, hi - lo + 1)")).withColumn("w", F.expr("slice(weights, lo + 1, hi - lo + 1)")).drop("units", "weights")
+    there = hashed.select(F.col("doc").alias("doc_0"), F.col("key").alias("key_0"), F.col("units").alias("units_0"))
+    met = here.join(there, ["doc_0", "key_0"]).withColumn("most", F.least("most", F.size("units_0") - 1 + shift)).withColumn("hi", F.least("hi", "most"))
+    met = met.withColumn("b", F.expr("slice(units_0, lo - shift + 1, hi - lo + 1)")).drop("units_0")
+    agree = F.filter(F.sequence(F.lit(0), F.col("hi") - F.col("lo")), lambda k: F.get("a", k) == F.get("b", k))
+    met = met.withColumn("agree", agree)
+    begins = F.filter("agree", lambda k, n: (n == 0) | (F.get("agree", n - 1) < k - 1))
+    ends = F.filter("agree", lambda k, n: (n == F.size("agree") - 1) | (F.get("agree", n + 1) > k + 1))
+    run = lambda s, e: F.struct((s + F.col("lo")).alias("lo"), (e + F.col("lo")).alias("hi"), F.aggregate(F.slice("w", s + 1, e - s + 1), F.lit(0), lambda t, x: t + x).alias("weight"))
+    runs = F.filter(F.zip_with(begins, ends, run), lambda r: F.exists("marks", lambda m: (m >= r["lo"]) & (m <= r["hi"])))
+    met = met.withColumn("runs", runs)
+    further = F.exists("runs", lambda r: ((r["lo"] == F.col("lo")) & (r["lo"] > F.greatest(F.lit(0), shift))) | ((r["hi"] == F.col("hi")) & (r["hi"] < F.col("most"))))
+    return met.select(*near.columns, "runs", further.alias("further"))
+
+
+def later_runs(hashed: DataFrame) -> DataFrame:
+    """doc, key, lo and hi: the first and the last number, among a document's units, of every run that stood before and has LEAST words."""
+    found = matches(hashed).withColumn("shift", F.col("i") - F.col("i_0")).repartition(*_DOC)
+    diagonal = [*_DOC, "doc_0", "key_0", "shift"]
+    order = Window.partitionBy(*diagonal).orderBy("i")
+    apart = F.when(F.col("i") - F.lag("i").over(order) > REACH, 1).otherwise(0)
+    group = F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    near = found.withColumn("apart", apart).withColumn("group", group).groupBy(*diagonal, "group").agg(F.sort_array(F.collect_list("i")).alias("marks")).drop("group")
+    reach, out = REACH, None
+    while True:
+        met = cut(_extended(near, hashed, reach))
+        done = met.where("NOT further").select("doc", "key", F.inline("runs"))
+        out = done if out is None else out.unionByName(done)
+        near, reach = met.where("further").select(*diagonal, "marks"), reach * FURTHER
+        if not near.take(1):
+            return out.where(F.col("weight") >= LEAST).select("doc", "key", "lo", "hi")
+
+
+def lone_lines(hashed: DataFrame) -> DataFrame:
+    """doc, key and line of every whole line that stood before; of one word, only if it stands COMMON times."""
+    each = hashed.select("doc", "key", F.explode("lines").alias("x")).select(F.col("x.h").alias("h"), F.struct("doc", "key", F.col("x.line").alias("line")).alias("place"))
+    counted = each.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("places"))
     often = cut(counted.where(F.col("places") >= F.when(F.col("h") < ONE, 2).otherwise(COMMON)).select("h", "first"))
-    again = alone.join(often, "h").where("place > first").select("place.doc", "place.key", F.col("place.at").alias("line"))
-    gone = left.select("doc", "key", F.explode("gone").alias("line")).unionByName(again)
-    return gone.groupBy("doc", "key").agg(F.collect_set("line").alias("gone"))
+    return each.join(often, "h").where("place > first").select("place.*")
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """doc, key, runs and lines: what to delete of a document, as runs of its units and as whole lines, for the documents that have any."""
+    hashed = cut(hashed_units(docs))
+    none = lambda kind: F.lit(None).cast(kind)
+    run, line = "struct<lo:int,hi:int>", "int"
+    rows = later_runs(hashed).distinct().select("doc", "key", F.struct("lo", "hi").cast(run).alias("run"), none(line).alias("line"))
+    rows = rows.unionByName(lone_lines(hashed).select("doc", "key", none(run).alias("run"), F.col("line").cast(line)))
+    return rows.groupBy(*_DOC).agg(F.collect_list("run").alias("runs"), F.collect_list("line").alias("gone_lines"))
+
+
+def _without(text: Column, runs: Column, gone_lines: Column) -> Column:
+    """text, and numbers of lines that went and that were shortened, as a struct."""
+    empty = F.array().cast("array<int>")
+    numbers = lambda first, size: F.when(size > 0, F.sequence(first, first + size - 1)).otherwise(empty)
+
+    def of_pieces(p: Column) -> Column:
+        # at: the pieces with a word; starts: where each line begins, and where the last one ends.
+        at = F.filter(F.transform(p, lambda x, i: F.when(x["t"].rlike(_HAS_WORD), i)), lambda i: i.isNotNull())
+        starts = F.concat(F.array(F.lit(0)), F.filter(F.transform(p, lambda x, i: F.when(x["t"] == "\n", i)), lambda i: i.isNotNull()), F.array(F.size(p)))
+        return let(F.struct(p.alias("p"), at.alias("at"), starts.alias("starts")), of_places)
+
+    def of_places(c: Column) -> Column:
+        p, at, starts = c["p"], c["at"], c["starts"]
+        span = lambda line: numbers(F.get(starts, line), F.get(starts, line + 1) - F.get(starts, line))
+        in_runs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(r["lo"], r["hi"]), lambda u: F.get(at, u))))
+        gone = F.array_distinct(F.concat(in_runs, F.flatten(F.transform(gone_lines, span))))
+        line_of = lambda i: F.get(p, i)["line"]
+        worded = F.array_distinct(F.transform(at, line_of))
+        left = F.array_distinct(F.transform(F.array_except(at, gone), line_of))
+        emptied = F.array_except(worded, left)
+        cut_lines = F.array_intersect(F.array_distinct(F.transform(F.array_intersect(gone, at), line_of)), left)
+        kept = F.array_except(numbers(F.lit(0), F.size(p)), F.array_union(gone, F.flatten(F.transform(emptied, span))))
+        body = F.array_join(F.transform(kept, lambda i: F.get(p, i)["t"]), "")
+        # A line break goes with the line after it, so it is one too many where the first line went.
+        body = F.when(F.array_contains(emptied, 0) & body.startswith("\n"), F.substring(body, 2, 1 << 30)).otherwise(body)
+        return F.struct(body.alias("text"), F.size(emptied).cast("long").alias("n_removed"), F.size(cut_lines).cast("long").alias("n_shortened"))
+
+    return let(_pieces(text), of_pieces)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of docs with the text's later repeated runs deleted, and n_lines and n_removed beside them.
-
-    Null texts stay null and have no lines; lines without a word are never counted as repeated and
-    stay. Rows that agree in doc_id and text are one document and keep the same lines; those that
-    agree in doc_id alone are ordered by a hash of their text, null ids first. An empty table gives
-    none. Other columns are carried along; own columns named n_lines or n_removed are replaced.
+    """All columns of docs with the text's later repeated runs deleted, and n_lines, n_removed and n_shortened beside them.
+
+    n_removed counts lines of which no word is left, which go with their line break; n_shortened those
+    that have lost sentences. Null texts stay null and have no lines; lines without a word are never
+    counted as repeated and stay. Rows that agree in doc_id and text are one document and keep the same
+    text; those that agree in doc_id alone are ordered by a hash of their text, null ids first. An
+    empty table gives none. Other columns are carried along; own columns named as the new ones are
+    replaced.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    gone_doc, gone_key, key, gone = (fresh(docs, name) for name in ("gone_doc", "gone_key", "key", "gone"))
+    docs = docs.drop("n_lines", "n_removed", "n_shortened")
+    gone_doc, gone_key, key, runs, lines, done = (fresh(docs, name) for name in ("gone_doc", "gone_key", "key", "runs", "gone_lines", "done"))
     # Kept apart from the join, so that Spark may split the side of a document that very many rows repeat.
-    lines_gone = cut(repeated_lines(docs)).select(F.col("doc").alias(gone_doc), F.col("key").alias(gone_key), F.col("gone").alias(gone)).hint("shuffle_hash")
+    gone = cut(repeated(docs)).select(F.col("doc").alias(gone_doc), F.col("key").alias(gone_key), F.col("runs").alias(runs), F.col("gone_lines").alias(lines)).hint("shuffle_hash")
     keyed = docs.withColumn(key, _text_key(F.col("text")))
-    joined = keyed.join(lines_gone, (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col(gone_doc)) & (F.col(key) == F.col(gone_key)), "left")
-
-    def rest(lines: Column) -> Column:
-        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i)), "\n")
-
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(let(_split(F.col("text")), rest))
+    joined = keyed.join(gone, (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col(gone_doc)) & (F.col(key) == F.col(gone_key)), "left")
+    joined = joined.withColumn(done, F.when(F.col(gone_doc).isNotNull(), _without(F.col("text"), F.col(runs), F.col(lines))))
+    text = F.when(F.col(done).isNull(), F.col("text")).otherwise(F.col(done)["text"])
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_split(F.col("text"))))
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
+    count = lambda name: F.coalesce(F.col(done)[name], F.lit(0)).cast("long").alias(name)
+    return joined.select(*columns, n_lines.cast("long").alias("n_lines"), count("n_removed"), count("n_shortened"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_chars and text_sha256 of every text after deduplication."""
+    """doc_id, n_lines, n_removed, n_shortened, n_chars and text_sha256 of every text after deduplication."""
     done = dedup_lines(docs.select("doc_id", "text"))
-    return done.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    return done.select("doc_id", "n_lines", "n_removed", "n_shortened", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
-#: The same rows by comparing whole lines; md5 orders the lines of a window. doc_id is unique in the tables.
+#: The same rows by comparing whole units and lines; md5 orders the units of a window. doc_id is unique in the tables.
 SUMMARY_SQL = rf"""
 WITH raw AS (
   SELECT doc_id, coalesce(text, '') AS text, text IS NULL AS absent, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
 ), numbered AS (
   SELECT doc_id, i - 1 AS line, parts[i] AS body FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM raw)
-), worded AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n,
-    len(regexp_extract_all(body, '[^ \x09-\x0D]+')) = 1 AS one, md5(body) AS h
-  FROM numbered WHERE regexp_matches(body, '[^ \x09-\x0D]')
+), sentences AS (
+  SELECT doc_id, line, k, t[k] AS t, len(t) = 1 AS whole FROM (
+    SELECT doc_id, line, t, unnest(range(1, len(t) + 1)) AS k FROM (SELECT doc_id, line, regexp_extract_all(body, '{_SENTENCE}') AS t FROM numbered))
+), units AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, least({ENOUGH}, len(regexp_extract_all(t, '{_WORD}'))) AS words,
+    trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM sentences WHERE regexp_matches(t, '{_HAS_WORD}')
 ), windows AS (
-  SELECT doc_id, i, h, one, unnest(range(greatest(i - {WINDOW - 1}, 0), least(i, greatest(n - {WINDOW}, 0)) + 1)) AS s FROM worded
+  SELECT doc_id, i, body, words, unnest(range(greatest(i - {WINDOW - 1}, 0), least(i, greatest(n - {WINDOW}, 0)) + 1)) AS s FROM units
 ), marks AS (
-  SELECT DISTINCT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY one, substr(h, 1, 15), i DESC) AS nth FROM windows) WHERE nth = 1
+  SELECT DISTINCT doc_id, i, body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY words DESC, substr(md5(body), 1, 14), i DESC) AS nth FROM windows) WHERE nth = 1
 ), placed AS (
-  SELECT m.doc_id, m.i, w.body, w.one, row_number() OVER (PARTITION BY w.body ORDER BY m.doc_id, m.i) AS nth
-  FROM marks m JOIN worded w ON m.doc_id = w.doc_id AND m.i = w.i
-), matches AS (
-  SELECT a.doc_id, a.i, a.one, b.doc_id AS doc_0, b.i AS i_0 FROM placed a JOIN placed b ON a.body = b.body AND a.nth > 1 AND b.nth = 1
-), around AS (
-  SELECT m.*, k.k, coalesce(w.body = v.body, false) AS same
-  FROM matches m CROSS JOIN (SELECT unnest(range({-REACH}, {REACH + 1})) AS k) k
-  LEFT JOIN worded w ON w.doc_id = m.doc_id AND w.i = m.i + k.k LEFT JOIN worded v ON v.doc_id = m.doc_0 AND v.i = m.i_0 + k.k
-), reached AS (
-  SELECT *, bool_and(same) OVER (PARTITION BY doc_id, i, k >= 0 ORDER BY abs(k) ROWS UNBOUNDED PRECEDING) AS whole FROM around
+  SELECT *, lag(i) OVER (PARTITION BY doc_id, body ORDER BY i) AS before FROM marks
+), firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS nth FROM placed WHERE before IS NULL
+), met AS (
+  SELECT doc_id, i, doc_id AS doc_0, i - before AS shift FROM placed WHERE before IS NOT NULL
+  UNION ALL
+  SELECT a.doc_id, a.i, b.doc_id, a.i - b.i FROM firsts a JOIN firsts b ON a.body = b.body AND a.nth > 1 AND b.nth = 1
+), agreeing AS (
+  SELECT m.doc_id, m.doc_0, m.shift, u.i, CASE WHEN u.whole THEN greatest(u.words, {LEAST // 2}) ELSE u.words END AS weight
+  FROM (SELECT DISTINCT doc_id, doc_0, shift FROM met) m JOIN units u ON u.doc_id = m.doc_id JOIN units v ON v.doc_id = m.doc_0 AND v.i = u.i - m.shift AND v.body = u.body
+), islands AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, doc_0, shift ORDER BY i) AS island FROM agreeing
 ), runs AS (
-  SELECT doc_id, i + k AS i, one, count(*) OVER (PARTITION BY doc_id, i) AS lines FROM reached WHERE whole
+  SELECT a.doc_id, a.doc_0, a.shift, island FROM islands a LEFT JOIN met m ON m.doc_id = a.doc_id AND m.doc_0 = a.doc_0 AND m.shift = a.shift AND m.i = a.i
+  GROUP BY ALL HAVING count(m.i) > 0 AND sum(weight) >= {LEAST}
 ), covered AS (
-  SELECT DISTINCT doc_id, i FROM runs WHERE lines > 1 OR NOT one
-), rest AS (
-  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, line) AS nth, count(*) OVER (PARTITION BY body) AS places
-  FROM worded ANTI JOIN covered USING (doc_id, i)
-), gone AS (
-  SELECT doc_id, line FROM worded SEMI JOIN covered USING (doc_id, i)
-  UNION ALL
-  SELECT doc_id, line FROM rest WHERE nth > 1 AND places >= CASE WHEN one THEN {COMMON} ELSE 2 END
+  SELECT DISTINCT doc_id, i FROM islands SEMI JOIN runs USING (doc_id, doc_0, shift, island)
+), whole_lines AS (
+  SELECT *, len(regexp_extract_all(body, '{_WORD}')) = 1 AS one, row_number() OVER (PARTITION BY body ORDER BY doc_id, line) AS nth, count(*) OVER (PARTITION BY body) AS places FROM numbered WHERE regexp_matches(body, '{_HAS_WORD}')
+), lone AS (
+  SELECT doc_id, line FROM whole_lines WHERE nth > 1 AND places >= CASE WHEN one THEN {COMMON} ELSE 2 END
+), judged AS (
+  SELECT u.doc_id, u.line, u.k, c.i IS NOT NULL OR l.line IS NOT NULL AS gone FROM units u LEFT JOIN covered c ON c.doc_id = u.doc_id AND c.i = u.i LEFT JOIN lone l ON l.doc_id = u.doc_id AND l.line = u.line
+), of_lines AS (
+  SELECT doc_id, line, bool_and(gone) AS emptied, bool_or(gone) AND NOT bool_and(gone) AS shortened FROM judged GROUP BY doc_id, line
+), bodies AS (
+  SELECT n.doc_id, n.line, CASE WHEN o.shortened THEN s.body ELSE n.body END AS body FROM numbered n LEFT JOIN of_lines o ON o.doc_id = n.doc_id AND o.line = n.line
+  LEFT JOIN (SELECT s.doc_id, s.line, string_agg(s.t, '' ORDER BY s.k) AS body FROM sentences s LEFT JOIN judged j ON j.doc_id = s.doc_id AND j.line = s.line AND j.k = s.k WHERE NOT coalesce(j.gone, false) GROUP BY s.doc_id, s.line) s
+    ON s.doc_id = n.doc_id AND s.line = n.line
+  WHERE NOT coalesce(o.emptied, false)
 ), kept AS (
-  SELECT n.doc_id, string_agg(n.body, chr(10) ORDER BY n.line) AS text
-  FROM numbered n ANTI JOIN gone g ON n.doc_id = g.doc_id AND n.line = g.line GROUP BY n.doc_id
+  SELECT doc_id, string_agg(body, chr(10) ORDER BY line) AS text FROM bodies GROUP BY doc_id
+), counts AS (
+  SELECT doc_id, count(*) FILTER (emptied) AS removed, count(*) FILTER (shortened) AS shortened FROM of_lines GROUP BY doc_id
 )
-SELECT r.doc_id, CASE WHEN r.absent THEN 0 ELSE len(r.parts) END AS n_lines, coalesce(c.n, 0) AS n_removed,
+SELECT r.doc_id, CASE WHEN r.absent THEN 0 ELSE len(r.parts) END AS n_lines, coalesce(c.removed, 0) AS n_removed, coalesce(c.shortened, 0) AS n_shortened,
   length(coalesce(k.text, '')) AS n_chars, sha256(coalesce(k.text, '')) AS text_sha256
-FROM raw r LEFT JOIN kept k ON r.doc_id = k.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) c ON r.doc_id = c.doc_id
+FROM raw r LEFT JOIN kept k ON r.doc_id = k.doc_id LEFT JOIN counts c ON r.doc_id = c.doc_id
 """

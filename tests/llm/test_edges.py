@@ -128,7 +128,7 @@ def test_nearest_ignores_unusable_vectors(spark):
 def test_line_dedup_carries_columns(docs):
     wide = docs.withColumns({c: F.lit(7) for c in CLASH if c != "n_lines"})
     done = line_dedup.dedup_lines(wide)
-    assert set(wide.columns) | {"n_lines", "n_removed"} == set(done.columns) and done.count() == len(ROWS)
+    assert set(wide.columns) | {"n_lines", "n_removed", "n_shortened"} == set(done.columns) and done.count() == len(ROWS)
 
 
 def test_stages_keep_the_columns_of_documents(spark, docs, empty, labels, tmp_path):

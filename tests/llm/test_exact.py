@@ -407,43 +407,63 @@ def test_line_dedup_deletes_lone_short_lines(spark):
     assert got == want
 
 
-def brute_line_dedup(rows):
-    """Kept texts by plain lists: rows (doc_id, text); the same rules, without hashes but for the order of a window's lines."""
+def worded_pieces(text):
+    """(line, k, piece, body, words, weight) of a text's units, and the pieces of each line."""
+    lines = [re.findall(line_dedup._SENTENCE, x) for x in text.split("\n")]
+    units = []
+    for n, pieces in enumerate(lines):
+        for k, piece in enumerate(pieces):
+            if found := re.findall(r"[^\x20\x09-\x0D]+", piece):
+                words = min(line_dedup.ENOUGH, len(found))
+                units.append((n, k, piece, piece.strip(" \t\n\v\f\r"), words, max(words, line_dedup.LEAST // 2) if len(pieces) == 1 else words))
+    return units, lines
+
+
+def brute_line_dedup(rows, winnow=True):
+    """Selected units, deleted units and kept texts by plain lists: rows (doc_id, text); the same rules, without hashes but for the order of a window's units."""
     docs = sorted({((-(1 << 63) if i is None else i), t or "") for i, t in rows}, key=lambda d: (d[0], text_key(d[1])))
-    worded = [[(k, line, len(re.findall(r"[^\x20\x09-\x0D]+", line)) == 1) for k, line in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", line)] for _, t in docs]
-    order = lambda x: (x[2], hashlib.md5(x[1].encode()).hexdigest()[:15])
+    units, lines = zip(*(worded_pieces(t) for _, t in docs), strict=True) if docs else ((), ())
+    order = lambda d, i: (-units[d][i][4], hashlib.md5(units[d][i][3].encode()).hexdigest()[:14], -i)
     marks = []
-    for d, lines in enumerate(worded):
-        chosen = set()
-        for s in range(max(1, len(lines) - line_dedup.WINDOW + 1)) if lines else ():
-            window = range(s, min(len(lines), s + line_dedup.WINDOW))
-            chosen.add(min(window, key=lambda i: (*order(lines[i]), -i)))
+    for d, own in enumerate(units):
+        chosen = {min(range(s, min(len(own), s + line_dedup.WINDOW)), key=lambda i, d=d: order(d, i)) for s in range(max(1, len(own) - line_dedup.WINDOW + 1))} if own and winnow else set()
         marks += [(d, i) for i in sorted(chosen)]
-    line = lambda d, i: worded[d][i][1] if 0 <= i < len(worded[d]) else None
-    first, gone = {}, set()
+    body = lambda d, i: units[d][i][3] if 0 <= i < len(units[d]) else None
+    first, last, gone, done = {}, {}, set(), set()
     for d, i in marks:
-        e, j = first.setdefault(line(d, i), (d, i))
-        if (e, j) == (d, i):
+        at = last.get((d, body(d, i)), first.setdefault(body(d, i), (d, i)))
+        last[d, body(d, i)] = (d, i)
+        if at == (d, i):
             continue
-        run = [0]
-        for step in (-1, 1):
-            k = step
-            while abs(k) <= line_dedup.REACH and line(d, i + k) is not None and line(d, i + k) == line(e, j + k):
-                run.append(k)
-                k += step
-        if len(run) > 1 or not worded[d][i][2]:
-            gone |= {(d, i + k) for k in run}
-    left = [(d, i) for d, lines in enumerate(worded) for i in range(len(lines)) if (d, i) not in gone]
+        e, j = at
+        if (d, i, e, i - j) in done:
+            continue
+        low = high = 0
+        while i + low > 0 and j + low > 0 and body(d, i + low - 1) == body(e, j + low - 1):
+            low -= 1
+        while body(d, i + high + 1) is not None and body(d, i + high + 1) == body(e, j + high + 1):
+            high += 1
+        run = range(i + low, i + high + 1)
+        done |= {(d, k, e, i - j) for k in run}
+        if sum(units[d][k][5] for k in run) >= line_dedup.LEAST:
+            gone |= {(d, k) for k in run}
     places = {}
-    for d, i in left:
-        places.setdefault(line(d, i), []).append((d, i))
-    for body, at in places.items():
-        if len(at) >= (line_dedup.COMMON if worded[at[0][0]][at[0][1]][2] else 2):
-            gone |= set(at[1:])
+    for d, (_, t) in enumerate(docs):
+        for n, x in enumerate(t.split("\n")):
+            if re.search(r"[^\x20\x09-\x0D]", x):
+                places.setdefault(x, []).append((d, n))
+    lone = {p for x, at in places.items() if len(at) >= (line_dedup.COMMON if len(x.split()) == 1 else 2) for p in at[1:]}
     kept = {}
     for d, (i, t) in enumerate(docs):
-        drop = {worded[d][k][0] for e, k in gone if e == d}
-        kept[i, t] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
+        drop = {u[:2] for k, u in enumerate(units[d]) if (d, k) in gone or (d, u[0]) in lone}
+        out, of_line = [], {}
+        for u in units[d]:
+            of_line.setdefault(u[0], set()).add(u[:2])
+        for n, x in enumerate(t.split("\n")):
+            own = of_line.get(n, set())
+            if not own or own - drop:
+                out.append("".join(p for k, p in enumerate(lines[d][n]) if (n, k) not in drop) if own & drop else x)
+        kept[i, t] = "\n".join(out)
     return marks, gone, kept
 
 
@@ -459,29 +479,54 @@ def test_line_dedup_equals_brute_force(spark, seed):
     for k in range(60):
         lines = [rng.choice(pool[:10] if rng.random() < 0.6 else pool) for _ in range(rng.randint(0, 9))]
         rows.append((rng.choice([None, k, k, k, k % 7]), "\n".join(x if rng.random() > 0.05 else "" for x in lines)))
-    rows += rows[:5] + [(3, None), (None, None)]
+    told = [" ".join(rng.choice(["sun", "moon", "sea", "hill", "tree"]) for _ in range(rng.randint(2, 14))) + rng.choice([".", "!", "? ", ""]) for _ in range(25)]
+    for k in range(60, 110):
+        at = rng.randrange(20)
+        own = [rng.choice(told) for _ in range(rng.randint(0, 3))]
+        rows.append((k, rng.choice(["\n", " "]).join(own + told[at : at + rng.randint(1, 5)]) + rng.choice(["", "\nq", " ...", "\n\n"])))
+    rows += rows[:5] + [(3, None), (None, None), (200, "A b. " * 40), (201, "x\n" * 50), (202, "A b. " * 40 + "C d.")]
     marks, gone, kept = brute_line_dedup(rows)
     got = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     want = [(i, None if t is None else kept[-(1 << 63) if i is None else i, t]) for i, t in rows]
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
-def test_winnowing_selects_fewer_lines_and_extension_finds_more(spark):
-    lines = line_dedup.hashed_lines(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).cache()
-    total = lines.agg(F.sum(F.size("hashes"))).first()[0]
-    marks = line_dedup.fingerprints(lines)
-    assert 0.3 * total < marks.count() < 0.75 * total
+def test_winnowing_selects_fewer_units_and_decides(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    hashed = line_dedup.hashed_units(docs).cache()
+    total = hashed.agg(F.sum(F.size("units"))).first()[0]
+    marks = line_dedup.fingerprints(hashed).collect()
+    assert 0.3 * total < len(marks) < 0.75 * total
     # Every window of the size holds a fingerprint.
-    sizes = {(r.doc, r.key): r.n for r in lines.select("doc", "key", F.size("hashes").alias("n")).collect()}
+    sizes = {(r.doc, r.key): r.n for r in hashed.select("doc", "key", F.size("units").alias("n")).collect()}
     at = {}
-    for r in marks.select("place").collect():
-        at.setdefault((r.place.doc, r.place.key), []).append(r.place.i)
+    for r in marks:
+        at.setdefault((r.doc, r.key), []).append(r.i)
     for doc, n in sizes.items():
         assert max(b - a for a, b in itertools.pairwise([-1, *sorted(at[doc]), n])) <= line_dedup.WINDOW
-    runs = line_dedup.later_runs(lines).collect()
-    matched = {(r.doc, r.key, i) for r in runs for i in r.run}
-    chosen = {(d, k, i) for (d, k), ids in at.items() for i in ids}
-    assert len(matched - chosen) > 0
+    matched = {(r.doc, r.key, i) for r in line_dedup.later_runs(hashed).collect() for i in range(r.lo, r.hi + 1)}
+    assert len(matched - {(d, k, i) for (d, k), ids in at.items() for i in ids}) > 0
+    # Without fingerprints, passages inside longer lines stay: lines of many words change.
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept, by_lines = (brute_line_dedup(rows, winnow)[2] for winnow in (True, False))
+    differing = [d for d in kept if kept[d] != by_lines[d]]
+    assert len(differing) > 20 and sum(len(by_lines[d].split()) - len(kept[d].split()) for d in differing) > 1_000
+
+
+@pytest.mark.parametrize("reach", [1, 8])
+def test_runs_are_extended_without_end(spark, reach, monkeypatch):
+    """Fingerprints of a long run that stand elsewhere before, alone: one match must cover the whole run."""
+    monkeypatch.setattr(line_dedup, "REACH", reach)
+    rng = random.Random(5)
+    told = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(12)) + "." for _ in range(120)]
+    passage = " ".join(told)
+    hashed = line_dedup.hashed_units(spark.createDataFrame([(9, passage)], "doc_id bigint, text string"))
+    chosen = sorted(r.i for r in line_dedup.fingerprints(hashed).collect())
+    alone = [(k, f"own words {k}. {told[i]} more words {k}.") for k, i in enumerate(chosen) if i != chosen[len(chosen) // 2]]
+    rows = [*alone, (1_000, f"Front {passage}"), (1_001, f"Another front. {passage} Another end.")]
+    got = {r.doc_id: (r.text, r.n_removed, r.n_shortened) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1_001][0].split() == "Another front. Another end.".split() or got[1_001][0].split()[:2] == ["Another", "front."]
+    assert len(got[1_001][0].split()) <= 2 * 12 + 4 and got[1_001][1:] == (0, 1)
 
 
 def test_a_run_of_one_word_lines_goes_by_extension_alone(spark):
