@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -76,21 +76,27 @@ def backtrack(scores: np.ndarray, lp: np.ndarray, tokens: np.ndarray, blank: int
     return path
 
 
+def _own(tokens: DataFrame, name: str, otherwise: Column) -> Column:
+    """A clip's own value of a column that the table may have."""
+    return F.col(name) if name in tokens.columns else otherwise
+
+
 def _judged(frames: DataFrame, tokens: DataFrame, blank: int) -> DataFrame:
     """clip_id, frame, lp and status of all frames of the clips that can be aligned, and of one frame, without lp, of each other clip.
 
     Sizes are counted where a clip's frames lie together and may spill, so no clip beyond the budgets
     is ever gathered in a row or in Python. No token comes first, then frames of unlike lengths
-    (bad_shape), ids outside the vocabulary, and too few frames or budgets exceeded.
+    (bad_shape), frames of another length than the clip's vocabulary (vocab_mismatch), ids outside the
+    vocabulary, and too few frames or budgets exceeded.
     """
     clip = Window.partitionBy("clip_id")
-    asked = tokens.select(F.col("clip_id").alias("_clip"), F.size("token_ids").alias("_n"), F.array_max("token_ids").alias("_top"), F.array_min("token_ids").alias("_low"))
+    asked = tokens.select(F.col("clip_id").alias("_clip"), F.size("token_ids").alias("_n"), F.array_max("token_ids").alias("_top"), F.array_min("token_ids").alias("_low"), _own(tokens, "blank_id", F.lit(blank)).alias("_blank"), _own(tokens, "vocab_size", F.lit(None).cast("int")).alias("_size"))
     vocab = F.coalesce(F.size("lp"), F.lit(-1))
     sized = frames.select("clip_id", "frame", "lp").withColumns({"_frames": F.count("*").over(clip), "_vocab": F.max(vocab).over(clip), "_least": F.min(vocab).over(clip), "_nth": F.row_number().over(clip.orderBy("frame"))})
     frames_, n = F.col("_frames"), F.col("_n")
-    outside = (F.lit(blank) < 0) | (F.lit(blank) >= F.col("_vocab")) | (F.col("_top") >= F.col("_vocab")) | (F.col("_low") < WILDCARD)
+    outside = F.col("_blank").isNull() | (F.col("_blank") < 0) | (F.col("_blank") >= F.col("_vocab")) | (F.col("_top") >= F.col("_vocab")) | (F.col("_low") < WILDCARD)
     beyond = (frames_ < n) | (frames_ > MAX_FRAMES) | (frames_.cast("decimal(20,0)") * n > MAX_CELLS)
-    status = F.when(n.isNull() | (n <= 0), "no_alignment_path").when(F.col("_least") != F.col("_vocab"), "bad_shape").when(outside, "token_out_of_range").when(beyond, "no_alignment_path").otherwise("ok")
+    status = F.when(n.isNull() | (n <= 0), "no_alignment_path").when(F.col("_least") != F.col("_vocab"), "bad_shape").when(F.col("_size") != F.col("_vocab"), "vocab_mismatch").when(outside, "token_out_of_range").when(beyond, "no_alignment_path").otherwise("ok")
     met = sized.join(asked, F.col("clip_id") == F.col("_clip"), "left").withColumn("status", status)
     return met.where("status = 'ok' or _nth = 1").select("clip_id", "frame", F.when(F.col("status") == "ok", F.col("lp")).alias("lp"), "status")
 
@@ -98,7 +104,8 @@ def _judged(frames: DataFrame, tokens: DataFrame, blank: int) -> DataFrame:
 def align(frames: DataFrame, tokens: DataFrame, blank: int = 0) -> DataFrame:
     """The path of every clip, one row per frame; a clip that can't be aligned gives one row with its status.
 
-    frames: clip_id, frame, lp array<float>. tokens: clip_id, token_ids array<int>.
+    frames: clip_id, frame, lp array<float>. tokens: clip_id, token_ids array<int>, and, where clips
+    have vocabularies of their own, blank_id and vocab_size.
     """
     ensure_importable(frames.sparkSession)
 
@@ -108,14 +115,14 @@ def align(frames: DataFrame, tokens: DataFrame, blank: int = 0) -> DataFrame:
         status, path = left.column("status")[0].as_py() if len(left) else "no_alignment_path", None
         if status == "ok":
             lp = left.column("lp").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(left), -1)
-            ids = np.array(right.column("token_ids")[0].as_py(), dtype=np.int64)
-            path = backtrack(trellis(lp, ids, blank), lp, ids, blank)
+            ids, own = np.array(right.column("token_ids")[0].as_py(), dtype=np.int64), right.column("blank")[0].as_py()
+            path = backtrack(trellis(lp, ids, own), lp, ids, own)
             status = "ok" if path else "no_alignment_path"
         out = [(clip, status, *p) for p in path or [(None, None, None)]]
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float32()]
         return pa.table([pa.array([r[i] for r in out], type=k) for i, k in enumerate(kinds)], names=["clip_id", "status", "frame", "token_index", "score"])
 
-    ids = tokens.select(F.col("clip_id").alias("of_clip"), "token_ids")
+    ids = tokens.select(F.col("clip_id").alias("of_clip"), "token_ids", _own(tokens, "blank_id", F.lit(blank)).alias("blank"))
     return _judged(frames, tokens, blank).groupBy("clip_id").cogroup(ids.groupBy("of_clip")).applyInArrow(run, PATHS)
 
 
@@ -128,10 +135,10 @@ def trellis_rows(frames: DataFrame, tokens: DataFrame, blank: int = 0) -> DataFr
         if not len(left) or left.column("status")[0].as_py() != "ok":
             return pa.table({"clip_id": pa.array([], pa.int64()), "frame": pa.array([], pa.int32()), "cells": pa.array([], pa.list_(pa.float32()))})
         lp = left.column("lp").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(left), -1)
-        scores = trellis(lp, np.array(right.column("token_ids")[0].as_py(), dtype=np.int64), blank)
+        scores = trellis(lp, np.array(right.column("token_ids")[0].as_py(), dtype=np.int64), right.column("blank")[0].as_py())
         return pa.table({"clip_id": left.column("clip_id").cast(pa.int64()), "frame": pa.array(np.arange(len(scores), dtype=np.int32)), "cells": pa.array(list(scores), pa.list_(pa.float32()))})
 
-    ids = tokens.select(F.col("clip_id").alias("of_clip"), "token_ids")
+    ids = tokens.select(F.col("clip_id").alias("of_clip"), "token_ids", _own(tokens, "blank_id", F.lit(blank)).alias("blank"))
     return _judged(frames, tokens, blank).groupBy("clip_id").cogroup(ids.groupBy("of_clip")).applyInArrow(run, "clip_id bigint, frame int, cells array<float>")
 
 

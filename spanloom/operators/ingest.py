@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.config import Options
+from spanloom.functions.clock import div
 from spanloom.plans.fold import ordered_fold
 
+#: Samples of a bucket in which packets and chunks meet: ten seconds.
+BUCKET = 160_000
+
 PACKETS = "stream_id bigint, seq bigint, epoch int, status string, first_sample bigint, gap bigint, n_samples bigint, total_samples bigint, live_samples bigint"
 
 
@@ -110,6 +114,43 @@ def chunk_audio(samples: Column, start: Column, end: Column, dropped: Column) ->
     return F.slice(samples, (start - dropped + 1).cast("int"), (end - start).cast("int"))
 
 
+def chunk_samples(packets: DataFrame, chunks: DataFrame, keys: list[str], low_water: DataFrame | None = None, bucket: int = BUCKET) -> DataFrame:
+    """keys, chunk_id, status and samples of every chunk: the packets' samples in order, zeros where none came.
+
+    packets: keys, first_sample and samples, as append_packets places them (they never overlap; those
+    without samples or place don't count). chunks: keys, chunk_id, start_sample and end_sample.
+    low_water: keys and low_water, up to where samples are trimmed. A chunk is bad_bounds without a
+    positive length, trimmed if it begins below low water, ahead_of_audio if it ends beyond what has
+    come, and has no samples then.
+
+    Packets and chunks meet by buckets of time, each pair in the one bucket in which its overlap
+    begins, so no chunk meets the whole of its stream. Only a chunk's own samples come together in a
+    row: as many as the cut's limit allows.
+    """
+    first, end = F.col("first_sample"), F.col("first_sample") + F.size("samples")
+    held = packets.where(F.col("first_sample").isNotNull() & (F.size("samples") > 0)).select(*keys, "first_sample", "samples")
+    known = chunks.select(*keys, "chunk_id", "start_sample", "end_sample").join(held.groupBy(*keys).agg(F.max(end).alias("_total")), keys, "left")
+    water = F.lit(0).cast("bigint")
+    if low_water is not None:
+        known, water = known.join(low_water.groupBy(*keys).agg(F.max("low_water").alias("_water")), keys, "left"), F.coalesce("_water", F.lit(0))
+    sound = F.coalesce((F.col("start_sample") >= 0) & (F.col("end_sample") > F.col("start_sample")), F.lit(False))
+    status = F.when(~sound, "bad_bounds").when(F.col("start_sample") < water, "trimmed").when(F.col("end_sample") > F.coalesce("_total", F.lit(0)), "ahead_of_audio").otherwise("ok")
+    judged = known.withColumn("status", status).select(*keys, "chunk_id", "start_sample", "end_sample", "status")
+    buckets = lambda a, b: F.explode(F.sequence(div(a, F.lit(bucket)), div(b - 1, F.lit(bucket))))
+    left = judged.where("status = 'ok'").withColumn("_bucket", buckets(F.col("start_sample"), F.col("end_sample")))
+    lo, hi = F.greatest(first, "start_sample"), F.least(end, F.col("end_sample"))
+    met = left.join(held.withColumn("_bucket", buckets(first, end)), [*keys, "_bucket"]).where((hi > lo) & (div(lo, F.lit(bucket)) == F.col("_bucket")))
+    piece = F.struct(lo.alias("at"), F.slice("samples", (lo - first + 1).cast("int"), (hi - lo).cast("int")).alias("samples"))
+    pieces = met.groupBy(*keys, "chunk_id").agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n.cast("int"))
+    stop = lambda x: x["at"] + F.size(x["samples"])
+    filled = F.transform("_pieces", lambda x, i: F.concat(zeros(x["at"] - F.when(i == 0, F.col("start_sample")).otherwise(stop(F.get("_pieces", i - 1)))), x["samples"]))
+    whole = F.concat(F.flatten(filled), zeros(F.col("end_sample") - stop(F.element_at("_pieces", -1))))
+    silent = F.coalesce(whole, zeros(F.col("end_sample") - F.col("start_sample")))
+    found = judged.join(pieces, [*keys, "chunk_id"], "left")
+    return found.select(*keys, "chunk_id", "status", F.when(F.col("status") == "ok", silent).alias("samples"))
+
+
 def buffered(state: DataFrame) -> DataFrame:
     """Per stream: live samples, chunks in flight, and whether it is idle. state: stream_id, live_samples, in_flight, queued."""
     return state.groupBy("stream_id").agg(

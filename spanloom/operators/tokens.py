@@ -50,11 +50,34 @@ class Alphabet:
         return "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in self.characters) + more + "]"
 
 
-def special_tokens(vocab: DataFrame) -> DataFrame:
-    """One row: blank_id, unk_id and delimiter_id, and whether letters are upper case only."""
+@dataclass(frozen=True)
+class RowAlphabet:
+    """An alphabet that each row brings along, as columns: its characters, and their ids in the same order."""
+
+    characters: Column
+    ids: Column
+    left_out: str = ""
+
+    def spells(self, word: Column) -> Column:
+        """Whether a word is made of these characters alone."""
+        return F.length(F.call_function("translate", word, self.characters, F.lit(""))) == 0
+
+    def id_of(self, character: Column, missing: int | None = None) -> Column:
+        """The id of a character; `missing` if it isn't in the vocabulary."""
+        found = F.get(self.ids, F.call_function("instr", self.characters, character) - 1)
+        known = F.when(F.length(character) == 1, found) if not self.left_out else F.when((F.length(character) == 1) & (character != self.left_out), found)
+        return known if missing is None else F.coalesce(known, F.lit(missing))
+
+    def without(self, character: str) -> RowAlphabet:
+        """The alphabet without one of its characters."""
+        return RowAlphabet(self.characters, self.ids, character)
+
+
+def special_tokens(vocab: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """blank_id, unk_id and delimiter_id, and whether letters are upper case only; one row, or one for each value of the columns `by`."""
     at = lambda t: F.max(F.when(F.col("token") == t, F.col("id")))
     has = lambda t: F.coalesce(F.bool_or(F.col("token") == t), F.lit(False))
-    return vocab.agg(
+    return vocab.groupBy(*by).agg(
         F.coalesce(at("<pad>"), at("[PAD]"), at("<blank>")).alias("blank_id"),
         F.coalesce(at("<unk>"), at("[UNK]")).alias("unk_id"),
         at("|").alias("delimiter_id"),
@@ -67,7 +90,7 @@ def ascii_upper(text: Column) -> Column:
     return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def _steps(word: Column, alphabet: Alphabet) -> Column:
+def _steps(word: Column, alphabet: Alphabet | RowAlphabet) -> Column:
     """The array of steps (kind, ch, id) of a word in order: prefix marks, characters, suffix marks. kind is null for a known character."""
     step = lambda kind, ch, i: F.struct(kind.alias("kind"), ch.alias("ch"), i.cast("int").alias("id"))
     none = F.lit(None).cast("string")
@@ -79,7 +102,7 @@ def _steps(word: Column, alphabet: Alphabet) -> Column:
     return F.concat(F.array_repeat(edge, word["prefix"]), F.transform(_characters(word), of_char), F.array_repeat(edge, word["suffix"]))
 
 
-def _plain(word: Column, alphabet: Alphabet) -> Column:
+def _plain(word: Column, alphabet: Alphabet | RowAlphabet) -> Column:
     """Whether a word, as most are, has no event: no mark at its edges, and known characters alone."""
     return (word["prefix"] == 0) & (word["suffix"] == 0) & alphabet.spells(word["word"])
 
@@ -92,7 +115,7 @@ def _characters(word: Column) -> Column:
 _MARK = "\x01"
 
 
-def oov_events(rows: DataFrame, words: Column, alphabet: Alphabet, keys: list[str]) -> DataFrame:
+def oov_events(rows: DataFrame, words: Column, alphabet: Alphabet | RowAlphabet, keys: list[str]) -> DataFrame:
     """One row per event: keys, event (its order), kind, ch, char_index, word_index.
 
     char_index counts the characters of the normalised text, one for each space between words
@@ -107,7 +130,11 @@ def oov_events(rows: DataFrame, words: Column, alphabet: Alphabet, keys: list[st
 
     judged = F.transform(words, lambda w, i: F.struct(i.cast("int").alias("word_index"), w.alias("w"), _plain(w, alphabet).alias("plain")))
     # A row brings along its own word alone: no array of the whole text is repeated for each.
-    each = rows.select(*keys, F.explode(let(judged, of_words)).alias("_m")).select(*keys, F.col("_m.nth").alias("_nth"), F.col("_m.gap").alias("_gap"), F.col("_m.word_index").alias("word_index"), F.col("_m.w").alias("w"))
+    own = [alphabet.characters.alias("_characters"), alphabet.ids.alias("_ids")] if isinstance(alphabet, RowAlphabet) else []
+    each = rows.select(*keys, *own, F.explode(let(judged, of_words)).alias("_m"))
+    if own:
+        alphabet = RowAlphabet(F.col("_characters"), F.col("_ids"), alphabet.left_out)
+    each = each.select(*keys, *(["_characters", "_ids"] if own else []), F.col("_m.nth").alias("_nth"), F.col("_m.gap").alias("_gap"), F.col("_m.word_index").alias("word_index"), F.col("_m.w").alias("w"))
     length = F.length("w.word")
     inside = lambda i: F.greatest(F.lit(0), F.least(i - F.col("w.prefix"), length))
     steps = F.transform(_steps(F.col("w"), alphabet), lambda s, i: F.struct(s["kind"].alias("kind"), s["ch"].alias("ch"), inside(i).alias("inside")))
@@ -140,10 +167,10 @@ def decide(kind: Column, ch: Column, policy: Policy = "default") -> Column:
     return F.when((kind != "symbol") | speakable, "wildcard").otherwise("fail_closed")
 
 
-def _fails(words: Column, alphabet: Alphabet, policy: Policy) -> Column:
-    """Whether the policy fails an event of the words; for the named ones, found in one pass over all words put together."""
-    if callable(policy):
-        failed = lambda s: s["kind"].isNotNull() & (policy(s["kind"], s["ch"]) == "fail_closed")
+def _fails(words: Column, alphabet: Alphabet | RowAlphabet, policy: Policy) -> Column:
+    """Whether the policy fails an event of the words; for the named ones and an alphabet that the driver knows, found in one pass over all words put together."""
+    if callable(policy) or isinstance(alphabet, RowAlphabet):
+        failed = lambda s: s["kind"].isNotNull() & (decide(s["kind"], s["ch"], policy) == "fail_closed")
         return F.exists(words, lambda w: ~_plain(w, alphabet) & F.coalesce(F.exists(_steps(w, alphabet), failed), F.lit(False)))
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
@@ -155,7 +182,7 @@ def _fails(words: Column, alphabet: Alphabet, policy: Policy) -> Column:
     return spoken.rlike(known.others(r" \." + SPEAKABLE))
 
 
-def spell(words: Column, alphabet: Alphabet, delimiter: int | None) -> Column:
+def spell(words: Column, alphabet: Alphabet | RowAlphabet, delimiter: int | Column | None) -> Column:
     """Struct (token_ids, word_idx): ids of all words, -1 for an event, the delimiter with a null word between words that have tokens."""
     known = alphabet.without(INTERNAL_PUNCT)
     none = F.array().cast("array<int>")
@@ -177,7 +204,7 @@ def spell(words: Column, alphabet: Alphabet, delimiter: int | None) -> Column:
     return let(F.transform(words, of_word), of_groups)
 
 
-def tokenize(words: Column, alphabet: Alphabet, delimiter: int | None, policy: Policy = "default") -> Column:
+def tokenize(words: Column, alphabet: Alphabet | RowAlphabet, delimiter: int | Column | None, policy: Policy = "default") -> Column:
     """Struct (status, token_ids, word_idx) as `spell` gives them; status is semantic_oov, and there are no tokens, if the policy fails any event."""
     none = F.array().cast("array<int>")
     good = let(spell(words, alphabet, delimiter), lambda x: F.struct(F.lit("ok").alias("status"), x["token_ids"].alias("token_ids"), x["word_idx"].alias("word_idx")))
@@ -197,6 +224,38 @@ def match_decisions(events: DataFrame, decisions: DataFrame, keys: list[str]) ->
     return met.groupBy(*keys).agg(F.bool_and(same & F.col("kind").isNotNull()).alias("matches"))
 
 
+def decided_status(events: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and decided (ok or what is wrong) of every run that has events or decisions.
+
+    decided: keys, event, kind, ch, char_index, word_index and decision. As many decisions as events
+    must come (else decision_length), each for the event at its place by all but its language (else
+    decision_event), and be wildcard or fail_closed (else unknown_decision); one of fail_closed leaves
+    the run without tokens (semantic_oov). Of several rows for one event the least counts.
+    """
+    named = decided.where(F.col("event").isNotNull()).groupBy(*keys, "event").agg(F.min(F.struct(F.col("kind").alias("_kind"), F.col("ch").alias("_ch"), F.col("char_index").cast("long").alias("_char"), F.col("word_index").cast("long").alias("_word"), F.col("decision").alias("_decision"))).alias("_d"))
+    met = events.withColumn("_ours", F.lit(True)).join(named.select(*keys, "event", "_d.*", F.lit(True).alias("_theirs")), [*keys, "event"], "full_outer")
+    same = F.col("kind").eqNullSafe(F.col("_kind")) & F.col("ch").eqNullSafe(F.col("_ch")) & F.col("char_index").eqNullSafe(F.col("_char")) & F.col("word_index").eqNullSafe(F.col("_word"))
+    known = F.coalesce(F.col("_decision").isin("wildcard", "fail_closed"), F.lit(False))
+    status = (
+        F.when(F.count("_ours") != F.count("_theirs"), "decision_length").when(~F.bool_and(same), "decision_event")
+        .when(~F.bool_and(known), "unknown_decision").when(F.bool_or(F.col("_decision") == "fail_closed"), "semantic_oov").otherwise("ok")
+    )
+    return met.groupBy(*keys).agg(status.alias("decided"))
+
+
+def apply_decisions(spelled: DataFrame, events: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
+    """spelled with what the decisions make of it: status where it was ok, and no tokens where that no longer holds.
+
+    spelled: keys, status, token_ids and word_idx, with a wildcard in the place of every event, as under
+    wildcard_all. A run without events or decisions is left as it is.
+    """
+    judged = decided_status(events, decided, keys)
+    status = F.when(F.col("status") != "ok", F.col("status")).otherwise(F.coalesce("decided", F.lit("ok")))
+    met = spelled.join(judged, keys, "left").withColumn("status", status).drop("decided")
+    none = F.array().cast("array<int>")
+    return met.withColumns({c: F.when(F.col("status") == "ok", F.col(c)).otherwise(none) for c in ("token_ids", "word_idx")})
+
+
 def restamp(events: DataFrame, language: Column) -> DataFrame:
     """Events under the language that was asked for, when a fallback aligner found them."""
     return events.withColumn("language", language)

@@ -29,12 +29,25 @@ def clip_id(chunk: Column, run: Column) -> Column:
     return F.shiftleft(chunk.cast("bigint"), RUN_BITS) + run
 
 
+def _decide(prepared: DataFrame, found: DataFrame, vocab: list[tuple[str, int]] | DataFrame, decided: DataFrame) -> DataFrame:
+    """prepared with the statuses that the decisions give, and tokens only where all is well."""
+    keys = ["chunk_id", "run"]
+    spoken = prepared.where((F.col("looked_up") == "ok") & F.col("status").isin("ok", "semantic_oov"))
+    events = tokens.oov_events(spoken, F.col("words"), tokens.RowAlphabet(F.col("characters"), F.col("character_ids")) if isinstance(vocab, DataFrame) else lifecycle.alphabet_of(vocab), keys)
+    languages = found.groupBy("chunk_id").agg(F.min("language").alias("language"))
+    of_chunk = validate.decisions(languages, found, decided).select("chunk_id", F.col("status").alias("_chunk"))
+    applied = tokens.apply_decisions(prepared, events, decided.select(*keys, "event", "kind", "ch", "char_index", "word_index", "decision"), keys)
+    met = applied.join(of_chunk, "chunk_id", "left")
+    whole = F.col("_chunk").isNotNull() & (F.col("_chunk") != "ok")
+    return met.withColumn("status", F.when(whole, F.col("_chunk")).otherwise(F.col("status"))).withColumn("is_trivial", (F.col("status") != "ok") | (F.size("token_ids") == 0)).drop("_chunk")
+
+
 def align_runs(
     chunks: DataFrame,
     found: DataFrame,
     aligners: DataFrame,
     speech: DataFrame,
-    vocab: list[tuple[str, int]],
+    vocab: list[tuple[str, int]] | DataFrame,
     encode: Callable[[DataFrame], DataFrame],
     miss: str = "skip_chunk",
     policy: tokens.Policy = "default",
@@ -42,6 +55,7 @@ def align_runs(
     coverage: float = 0.5,
     least_samples: int = 400,
     normalizers: dict[str, Callable[[Column], Column]] | None = None,
+    decided: DataFrame | None = None,
 ) -> Aligned:
     """Timed words of every chunk's runs, in order of time, and each chunk's outcome.
 
@@ -49,6 +63,11 @@ def align_runs(
     bounds_source, as runs.bound gives them. aligners: as registry.register gives them. speech:
     chunk_id, start, end, in samples of the chunk. encode: the caller's model, from slices (clip_id,
     chunk_id, run, aligner_id, lo, hi, n_samples) to frames (clip_id, frame, lp); it is called once.
+    vocab: one for all aligners, or each one's own, as vocabularies.of_aligners gives them; then a
+    clip's frames must be as wide as its aligner's vocabulary. decided: the caller's decisions
+    (chunk_id, run, language, event, kind, ch, char_index, word_index, decision) in place of a policy;
+    validate.decisions judges their shape and language for the whole chunk, tokens.decided_status each
+    run's. A chunk without any has no events, or fails.
 
     A run is sliced out of its chunk's audio, meets the aligner of its language or the one for any,
     and is aligned by itself. Without an aligner it is left out (miss: skip_chunk) or fails its chunk
@@ -62,7 +81,12 @@ def align_runs(
     met = registry.lookup(sliced, aligners, miss)
     sized = met.withColumns({"real_samples": F.col("hi") - F.col("lo"), "n_samples": F.greatest(F.col("hi") - F.col("lo"), F.lit(least_samples)), "first_sample": F.col("first_sample") + F.col("lo")})
     known = sized.withColumnRenamed("status", "looked_up")
-    prepared = cut(lifecycle.prepare(known, vocab, policy, normalizers))
+    if isinstance(vocab, DataFrame):
+        known = known.join(vocab, "aligner_id", "left")
+    prepared = lifecycle.prepare(known, None if isinstance(vocab, DataFrame) else vocab, policy if decided is None else "wildcard_all", normalizers)
+    if decided is not None:
+        prepared = _decide(cut(prepared), found, vocab, decided)
+    prepared = cut(prepared.drop("characters", "character_ids"))
     ready = prepared.where((F.col("looked_up") == "ok") & ~F.col("is_trivial"))
     # The model's frames, and the paths, are kept: words, failures and frame counts all come from them.
     frames = cut(encode(ready.select("clip_id", "chunk_id", "run", "aligner_id", "lo", "hi", "n_samples")))

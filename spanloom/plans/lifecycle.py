@@ -12,24 +12,36 @@ from spanloom.functions.clock import samples_per_frame
 from spanloom.operators import compose, ctc, intervals, tokens
 
 
-def prepare(clips: DataFrame, vocab: list[tuple[str, int]], policy: tokens.Policy = "default", normalizers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def alphabet_of(vocab: list[tuple[str, int]]) -> tokens.Alphabet:
+    """The characters of one vocabulary, without its word delimiter; small letters stand for capitals where it has no others."""
+    ids = dict(vocab)
+    return tokens.Alphabet.of([(t, i) for t, i in vocab if t != "|"], "A" in ids and "a" not in ids)
+
+
+def prepare(clips: DataFrame, vocab: list[tuple[str, int]] | None, policy: tokens.Policy = "default", normalizers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """clips with kind, words, status, token_ids, word_idx and is_trivial. clips: clip_id, text, language, n_samples (padded), real_samples, first_sample.
 
     A clip without a word to speak is trivial: it needs no encoder and has no words. normalizers: the
-    caller's own, by language, before the built-in ones; each gives a text's array of words.
+    caller's own, by language, before the built-in ones; each gives a text's array of words. Without a vocab,
+    clips bring their own along, as vocabularies.of_aligners gives it: one without a word delimiter is
+    no_delimiter for languages that need one.
     """
-    ids = dict(vocab)
-    upper = "A" in ids and "a" not in ids
-    alphabet = tokens.Alphabet.of([(t, i) for t, i in vocab if t != "|"], upper)
+    if vocab is None:
+        alphabet, delimiter = tokens.RowAlphabet(F.col("characters"), F.col("character_ids")), F.col("delimiter_id")
+    else:
+        alphabet, delimiter = alphabet_of(vocab), dict(vocab).get("|")
     kind, words = language.normalizer_kind(F.col("language")), text.normalize(F.col("text"), F.col("kind"))
     for code, own in (normalizers or {}).items():
         kind = F.when(F.col("language") == code, F.concat(F.lit("own:"), F.lit(code))).otherwise(kind)
         words = F.when(F.col("language") == code, own(F.col("text"))).otherwise(words)
     rows = clips.withColumn("kind", kind).withColumn("words", words)
-    spaced = tokens.tokenize(F.col("words"), alphabet, ids.get("|"), policy)
+    spaced = tokens.tokenize(F.col("words"), alphabet, delimiter, policy)
     unspaced = tokens.tokenize(F.col("words"), alphabet, None, policy)
     rows = rows.withColumn("_t", F.when(language.uses_word_delimiter(F.col("language")), spaced).otherwise(unspaced))
-    status = F.when(F.col("kind").isNull(), "no_normalizer").when(F.size("words") == 0, "empty_text").otherwise(F.col("_t.status"))
+    status = F.when(F.col("kind").isNull(), "no_normalizer").when(F.size("words") == 0, "empty_text")
+    if vocab is None:
+        status = status.when(F.col("characters").isNull(), "no_vocabulary").when(language.uses_word_delimiter(F.col("language")) & F.col("delimiter_id").isNull(), "no_delimiter")
+    status = status.otherwise(F.col("_t.status"))
     return rows.withColumns({"status": status, "token_ids": F.col("_t.token_ids"), "word_idx": F.col("_t.word_idx")}).withColumn("is_trivial", (F.col("status") != "ok") | (F.size("token_ids") == 0)).drop("_t")
 
 
