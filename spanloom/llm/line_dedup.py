@@ -1,14 +1,14 @@
 """Line deduplication by winnowing over hashes of lines and of the sentences in them, in built-in expressions only.
 
 A text's units are its lines, and a line's sentences where it has several; those without a word don't
-count. Of every WINDOW consecutive units the one that says most is selected: of most words, up to
-ENOUGH, then of least hash (the last of equals). So every run of WINDOW units or more holds a
+count. Of every WINDOW consecutive units the one of least hash is selected (the last of equals);
+longer units, up to ENOUGH characters, have lesser hashes, as they say more. So every run of WINDOW units or more holds a
 fingerprint, inside a line as well as over many lines, and the other units are looked up nowhere. A
 fingerprint's later positions are joined to its place before: in the same document if there is one,
 else its first place of all. Matches on one diagonal of two documents that are near each other are
 taken together and extended both ways, unit by unit, as far as the units agree: by REACH units at
-first, and where that isn't the end by ever more. A run is deleted if it has LEAST words, of which a
-unit counts ENOUGH at most and a line that is one unit half of LEAST at least; so two lines are enough.
+first, and where that isn't the end by ever more. A run is deleted if it has LEAST characters, of which
+a unit counts ENOUGH at most and a line that is one unit half of LEAST at least; so two lines are enough.
 
 A line that stands alone can be shorter than the guarantee, or its fingerprint's first place be
 elsewhere, so whole lines are looked up as well: a later equal line is deleted; one of one word only
@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 from spanloom.functions.numeric import let
 from spanloom.llm.common import cut, fresh
 
-#: Units of a window, those that a match is first extended by, words of a run and of a unit in it, and lines from which one of one word counts as repeated.
-WINDOW, REACH, LEAST, ENOUGH, COMMON = 2, 8, 20, 15, 4
+#: Units of a window, those that a match is first extended by, characters of a run and of a unit in it, and lines from which one of one word counts as repeated.
+WINDOW, REACH, LEAST, ENOUGH, COMMON = 2, 8, 120, 96, 4
 #: How much further each round extends.
 FURTHER = 8
 #: What a line of one word has added to its 60-bit hash.
@@ -34,7 +34,8 @@ ONE = 1 << 60
 _WORD = r"[^\x20\x09-\x0D]+"
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 _ONE_WORD = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$"
-_SENTENCE = "[^.!?。！？]*[.!?。！？]+[ \t]*|[^.!?。！？]+"
+#: Sentence marks beyond ASCII would take the matcher fifteen times as long; other scripts' lines are units as a whole.
+_SENTENCE = "[^.!?]*[.!?]+[ \t]*|[^.!?]+"
 _BLANK = " \t\n\x0b\x0c\r"
 _DOC = ["doc", "key"]
 
@@ -51,10 +52,9 @@ def _pieces(text: Column) -> Column:
     """t, line (0-based) and whole (whether it is its line's only one) of a text's sentences, with a line break as a piece before every line but the first."""
 
     def of_line(line: Column, no: Column) -> Column:
-        found = F.regexp_extract_all(line, F.lit(_SENTENCE), F.lit(0))
-        one = F.size(found) == 1
         ends = F.when(no > 0, F.array(F.lit("\n"))).otherwise(F.array().cast("array<string>"))
-        return F.transform(F.concat(ends, found), lambda t: F.struct(t.alias("t"), no.alias("line"), one.alias("whole")))
+        # Found once for a line, not once for each of its sentences.
+        return let(F.regexp_extract_all(line, F.lit(_SENTENCE), F.lit(0)), lambda found: F.transform(F.concat(ends, found), lambda t: F.struct(t.alias("t"), no.alias("line"), (F.size(found) == 1).alias("whole"))))
 
     return F.flatten(F.transform(_split(text), of_line))
 
@@ -66,22 +66,26 @@ def _md5(text: Column, digits: int) -> Column:
 def hashed_units(docs: DataFrame) -> DataFrame:
     """doc, key, units (hashes), weights and lines (h and line) of every document with a word.
 
-    A unit's hash has above 56 bits how many of ENOUGH words it lacks. Rows that agree in doc_id and
+    A unit's hash has above 56 bits how many of ENOUGH characters it lacks. Rows that agree in doc_id and
     text are one document; doc is the doc_id, least for a null one.
     """
 
     def unit(x: Column) -> Column:
-        words = F.least(F.lit(ENOUGH), F.regexp_count(x["t"], F.lit(_WORD)))
-        weight = F.when(x["whole"], F.greatest(words, F.lit(LEAST // 2))).otherwise(words)
-        return F.when(x["t"].rlike(_HAS_WORD), F.struct((F.shiftleft((ENOUGH - words).cast("long"), 56) + _md5(F.btrim(x["t"], F.lit(_BLANK)), 14)).alias("h"), weight.cast("tinyint").alias("weight")))
+        def counted(body: Column) -> Column:
+            length = F.least(F.lit(ENOUGH), F.char_length(body))
+            weight = F.when(x["whole"], F.greatest(length, F.lit(LEAST // 2))).otherwise(length)
+            return F.when(body != "", F.struct((F.shiftleft((ENOUGH - length).cast("long"), 56) + _md5(body, 14)).alias("h"), weight.cast("tinyint").alias("weight")))
+
+        return let(F.btrim(x["t"], F.lit(_BLANK)), counted)
 
     def line(x: Column, no: Column) -> Column:
         return F.when(x.rlike(_HAS_WORD), F.struct((_md5(x, 15) + F.when(x.rlike(_ONE_WORD), ONE).otherwise(0)).alias("h"), no.alias("line")))
 
     there = lambda x: x.isNotNull()
     units, lines = F.filter(F.transform(_pieces(F.col("text")), unit), there), F.filter(F.transform(_split(F.col("text")), line), there)
-    each = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), _text_key(F.col("text")).alias("key"), units.alias("u"), lines.alias("lines")).where(F.size("u") > 0)
-    return each.select("doc", "key", F.col("u.h").alias("units"), F.col("u.weight").alias("weights"), "lines").dropDuplicates(_DOC)
+    each = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), _text_key(F.col("text")).alias("key"), units.alias("u"), lines.alias("lines")).dropDuplicates(_DOC)
+    # Only now, as a condition before would make the units twice.
+    return each.select("doc", "key", F.col("u.h").alias("units"), F.col("u.weight").alias("weights"), "lines").where(F.size("units") > 0)
 
 
 def fingerprints(hashed: DataFrame) -> DataFrame:
@@ -92,7 +96,9 @@ def fingerprints(hashed: DataFrame) -> DataFrame:
         numbered = ((start + k, F.get("units", start + k)) for k in range(WINDOW))
         return F.least(*(F.when(i < n, F.struct(h.alias("h"), (-i).alias("back"))) for i, h in numbered))
 
-    chosen = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), least))
+    # Windows that select the same unit follow each other; distinct structs would be told apart pair by pair.
+    each_window = F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), least)
+    chosen = let(each_window, lambda found: F.filter(found, lambda s, k: (k == 0) | (s["back"] != F.get(found, k - 1)["back"])))
     sorted_ = hashed.select("doc", "key", F.sort_array(F.transform(chosen, lambda s: F.struct(s["h"].alias("h"), (-s["back"]).alias("i")))).alias("s"))
     before = lambda x, k: F.when(F.get("s", k - 1)["h"] == x["h"], F.get("s", k - 1)["i"])
     each = sorted_.select("doc", "key", F.explode(F.transform("s", lambda x, k: F.struct(x["h"].alias("h"), x["i"].alias("i"), before(x, k).alias("before")))).alias("s"))
@@ -119,9 +125,10 @@ def _extended(near: DataFrame, hashed: DataFrame, reach: int) -> DataFrame:
     here = here.withColumn("most", F.size("units") - 1).withColumn("a", F.expr("slice(units, lo + 1, hi - lo + 1)")).withColumn("w", F.expr("slice(weights, lo + 1, hi - lo + 1)")).drop("units", "weights")
     there = hashed.select(F.col("doc").alias("doc_0"), F.col("key").alias("key_0"), F.col("units").alias("units_0"))
     met = here.join(there, ["doc_0", "key_0"]).withColumn("most", F.least("most", F.size("units_0") - 1 + shift)).withColumn("hi", F.least("hi", "most"))
-    met = met.withColumn("b", F.expr("slice(units_0, lo - shift + 1, hi - lo + 1)")).drop("units_0")
-    agree = F.filter(F.sequence(F.lit(0), F.col("hi") - F.col("lo")), lambda k: F.get("a", k) == F.get("b", k))
-    met = met.withColumn("agree", agree)
+    # Compared in one pass: an expression used inside a function of elements would be made anew for each.
+    same = F.zip_with(F.slice("a", F.lit(1), F.col("hi") - F.col("lo") + 1), F.slice("units_0", F.col("lo") - shift + 1, F.col("hi") - F.col("lo") + 1), lambda x, y: x == y)
+    agree = F.filter(F.transform(same, lambda x, k: F.when(x, k)), lambda k: k.isNotNull())
+    met = met.withColumn("agree", agree).drop("units_0")
     begins = F.filter("agree", lambda k, n: (n == 0) | (F.get("agree", n - 1) < k - 1))
     ends = F.filter("agree", lambda k, n: (n == F.size("agree") - 1) | (F.get("agree", n + 1) > k + 1))
     run = lambda s, e: F.struct((s + F.col("lo")).alias("lo"), (e + F.col("lo")).alias("hi"), F.aggregate(F.slice("w", s + 1, e - s + 1), F.lit(0), lambda t, x: t + x).alias("weight"))
@@ -132,7 +139,7 @@ def _extended(near: DataFrame, hashed: DataFrame, reach: int) -> DataFrame:
 
 
 def later_runs(hashed: DataFrame) -> DataFrame:
-    """doc, key, lo and hi: the first and the last number, among a document's units, of every run that stood before and has LEAST words."""
+    """doc, key, lo and hi: the first and the last number, among a document's units, of every run that stood before and has LEAST characters."""
     found = matches(hashed).withColumn("shift", F.col("i") - F.col("i_0")).repartition(*_DOC)
     diagonal = [*_DOC, "doc_0", "key_0", "shift"]
     order = Window.partitionBy(*diagonal).orderBy("i")
@@ -191,7 +198,7 @@ def _without(text: Column, runs: Column, gone_lines: Column) -> Column:
         kept = F.array_except(numbers(F.lit(0), F.size(p)), F.array_union(gone, F.flatten(F.transform(emptied, span))))
         body = F.array_join(F.transform(kept, lambda i: F.get(p, i)["t"]), "")
         # A line break goes with the line after it, so it is one too many where the first line went.
-        body = F.when(F.array_contains(emptied, 0) & body.startswith("\n"), F.substring(body, 2, 1 << 30)).otherwise(body)
+        body = let(body, lambda b: F.when(b.startswith("\n") & F.array_contains(emptied, 0), F.substring(b, 2, 1 << 30)).otherwise(b))
         return F.struct(body.alias("text"), F.size(emptied).cast("long").alias("n_removed"), F.size(cut_lines).cast("long").alias("n_shortened"))
 
     return let(_pieces(text), of_pieces)
@@ -237,13 +244,13 @@ WITH raw AS (
   SELECT doc_id, line, k, t[k] AS t, len(t) = 1 AS whole FROM (
     SELECT doc_id, line, t, unnest(range(1, len(t) + 1)) AS k FROM (SELECT doc_id, line, regexp_extract_all(body, '{_SENTENCE}') AS t FROM numbered))
 ), units AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, least({ENOUGH}, len(regexp_extract_all(t, '{_WORD}'))) AS words,
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, least({ENOUGH}, len(trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS size,
     trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
   FROM sentences WHERE regexp_matches(t, '{_HAS_WORD}')
 ), windows AS (
-  SELECT doc_id, i, body, words, unnest(range(greatest(i - {WINDOW - 1}, 0), least(i, greatest(n - {WINDOW}, 0)) + 1)) AS s FROM units
+  SELECT doc_id, i, body, size, unnest(range(greatest(i - {WINDOW - 1}, 0), least(i, greatest(n - {WINDOW}, 0)) + 1)) AS s FROM units
 ), marks AS (
-  SELECT DISTINCT doc_id, i, body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY words DESC, substr(md5(body), 1, 14), i DESC) AS nth FROM windows) WHERE nth = 1
+  SELECT DISTINCT doc_id, i, body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY size DESC, substr(md5(body), 1, 14), i DESC) AS nth FROM windows) WHERE nth = 1
 ), placed AS (
   SELECT *, lag(i) OVER (PARTITION BY doc_id, body ORDER BY i) AS before FROM marks
 ), firsts AS (
@@ -253,7 +260,7 @@ WITH raw AS (
   UNION ALL
   SELECT a.doc_id, a.i, b.doc_id, a.i - b.i FROM firsts a JOIN firsts b ON a.body = b.body AND a.nth > 1 AND b.nth = 1
 ), agreeing AS (
-  SELECT m.doc_id, m.doc_0, m.shift, u.i, CASE WHEN u.whole THEN greatest(u.words, {LEAST // 2}) ELSE u.words END AS weight
+  SELECT m.doc_id, m.doc_0, m.shift, u.i, CASE WHEN u.whole THEN greatest(u.size, {LEAST // 2}) ELSE u.size END AS weight
   FROM (SELECT DISTINCT doc_id, doc_0, shift FROM met) m JOIN units u ON u.doc_id = m.doc_id JOIN units v ON v.doc_id = m.doc_0 AND v.i = u.i - m.shift AND v.body = u.body
 ), islands AS (
   SELECT *, i - row_number() OVER (PARTITION BY doc_id, doc_0, shift ORDER BY i) AS island FROM agreeing

@@ -408,14 +408,15 @@ def test_line_dedup_deletes_lone_short_lines(spark):
 
 
 def worded_pieces(text):
-    """(line, k, piece, body, words, weight) of a text's units, and the pieces of each line."""
+    """(line, k, piece, body, size, weight) of a text's units, and the pieces of each line."""
     lines = [re.findall(line_dedup._SENTENCE, x) for x in text.split("\n")]
     units = []
     for n, pieces in enumerate(lines):
         for k, piece in enumerate(pieces):
-            if found := re.findall(r"[^\x20\x09-\x0D]+", piece):
-                words = min(line_dedup.ENOUGH, len(found))
-                units.append((n, k, piece, piece.strip(" \t\n\v\f\r"), words, max(words, line_dedup.LEAST // 2) if len(pieces) == 1 else words))
+            if re.search(r"[^\x20\x09-\x0D]", piece):
+                body = piece.strip(" \t\n\v\f\r")
+                size = min(line_dedup.ENOUGH, len(body))
+                units.append((n, k, piece, body, size, max(size, line_dedup.LEAST // 2) if len(pieces) == 1 else size))
     return units, lines
 
 
