@@ -21,12 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spanloom.llm.common import cut, ensure_importable
+from spanloom.llm.vectors import by_length, distinct_queries, finite, first_of_equals, matrix, ranked
 
 NEIGHBOURS = 20
 #: Vectors of a list, as wanted where there are many; rows of the training sample for each list, and at least.
@@ -50,8 +49,7 @@ SEED = 7
 
 def usable(v: Column) -> Column:
     """Whether a vector takes part: not null, not all zero, every component finite."""
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(sound & F.exists(v, lambda x: x != 0), F.lit(False))
+    return finite(v) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -141,20 +139,19 @@ class Found:
 
     def __init__(self, bounds: np.ndarray, keep: int) -> None:
         self.bounds, self.keep = bounds.copy(), keep
-        self.query = np.empty(0, dtype=np.int64)
-        self.ids = np.empty(0, dtype=np.int64)
+        self.query, self.ids, self.rows = (np.empty(0, dtype=np.int64) for _ in range(3))
         self.scores, self.far = np.empty(0), np.empty(0)
 
-    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray, far: np.ndarray) -> None:
+    def add(self, query: np.ndarray, ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, far: np.ndarray) -> None:
         """Take candidates of some queries in, keep each one's best, and tighten the bounds."""
         if not len(query):
             return
-        columns = [np.concatenate(c) for c in zip((self.query, self.ids, self.scores, self.far), (query, ids, scores, far), strict=True)]
-        order = np.lexsort((columns[1], -columns[2], columns[0]))
+        columns = [np.concatenate(c) for c in zip((self.query, self.ids, self.rows, self.scores, self.far), (query, ids, rows, scores, far), strict=True)]
+        order = np.lexsort((columns[1], -columns[3], columns[0]))
         sorted_by = columns[0][order]
         nth = np.arange(len(order)) - np.searchsorted(sorted_by, sorted_by)
         order, nth = order[nth < self.keep], nth[nth < self.keep]
-        self.query, self.ids, self.scores, self.far = (c[order] for c in columns)
+        self.query, self.ids, self.rows, self.scores, self.far = (c[order] for c in columns)
         last = nth == self.keep - 1
         self.bounds[self.query[last]] = np.minimum(self.bounds[self.query[last]], self.far[last])
 
@@ -178,7 +175,7 @@ def scan_block(index: Index, ids: np.ndarray, lists: np.ndarray, x: np.ndarray,
             i, j, far = _survivors(turned[rows], queries[now], found.bounds[now], slack[now], d)
             i, j = now[i], rows[j]
             # One fixed order of summation, so that equal vectors have equal scores.
-            found.add(i, ids[j], (x[j] * q[i]).sum(1), far)
+            found.add(i, ids[j], j, (x[j] * q[i]).sum(1), far)
     return found
 
 
@@ -206,18 +203,6 @@ def _survivors(x: np.ndarray, q: np.ndarray, bounds: np.ndarray, slack: np.ndarr
     return i, j, np.maximum(far, 0.0)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
-
-
-def _by_length(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """A batch's rows by the length of their vectors."""
-    lengths = pc.list_value_length(batch.column(column))
-    for d in pc.unique(lengths).to_pylist():
-        yield d, batch.filter(pc.equal(lengths, d))
-
-
 def build(firsts: DataFrame, sizes: list) -> dict[int, Index]:
     """An index for each length of vectors. sizes: d, n and longest (squared) of each; firsts: vec_id, vector and d."""
     indexes, base = {}, 0
@@ -229,7 +214,7 @@ def build(firsts: DataFrame, sizes: list) -> dict[int, Index]:
     table = F.broadcast(firsts.sparkSession.createDataFrame(shares, "d int, share double"))
     ticket = F.pmod(F.xxhash64("vec_id", F.lit("index")), F.lit(1 << 30))
     sampled = firsts.join(table, "d").where(ticket < F.col("share") * (1 << 30)).select("d", "vec_id", "vector").orderBy("d", "vec_id").select("vector").toArrow()
-    of_length = {d: _matrix(b.column("vector")) for batch in sampled.combine_chunks().to_batches() for d, b in _by_length(batch, "vector")}
+    of_length = {d: matrix(b.column("vector")) for batch in sampled.combine_chunks().to_batches() for d, b in by_length(batch, "vector")}
     for r in sizes:
         sample = of_length.get(r.d, np.ones((1, r.d)))
         # A sample that the bound has cut serves fewer lists.
@@ -244,16 +229,16 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS) -
     vectors: vec_id long and vector array<float|double>. Vectors that are null, zero or hold a null
     or non-finite component take no part, nor do rows without vec_id. A query's candidates are the
     vectors of its own length, as there is no inner product with others. Ties go to the smaller
-    vec_id. Rows that repeat vec_id and vector count as one. With fewer candidates than neighbours,
+    vec_id. Rows that repeat vec_id and vector count as one; an id with several vectors is as many rows,
+    each with a list of its own if it asks, and each a candidate of the others. With fewer candidates than neighbours,
     all are returned; with no usable row, none.
     """
     spark = vectors.sparkSession
     ensure_importable(spark)
     keep = neighbours + 1
     sound = vectors.select("vec_id", "vector", F.size("vector").alias("d")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    alike = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    # Equal rows beyond the first `keep` ids can't be among anyone's neighbours.
-    firsts = cut(sound.distinct().withColumn("nth", alike).where(F.col("nth") <= keep))
+    rows = sound.distinct()
+    firsts = first_of_equals(rows, keep)
     squares = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     # One row for each length of vectors.
     sizes = firsts.groupBy("d").agg(F.count("*").alias("n"), F.max(squares).alias("longest")).orderBy("d").collect()
@@ -263,8 +248,8 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS) -
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, rows in _by_length(batch, "vector"):
-                at = indexes[d].base + indexes[d].list_of(_matrix(rows.column(1)))
+            for d, rows in by_length(batch, "vector"):
+                at = indexes[d].base + indexes[d].list_of(matrix(rows.column(1)))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(at.astype(np.int32))], names=["vec_id", "vector", "list"])
 
     kind = vectors.schema["vector"].dataType.simpleString()
@@ -279,34 +264,27 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS) -
         blocks |= own
     table = F.broadcast(spark.createDataFrame([(k, a, m) for k, (a, m) in blocks.items()], "list int, first_block int, in_blocks int"))
     placed = cut(dealt.join(table, "list").withColumn("block", (F.col("first_block") + F.pmod(F.xxhash64("vec_id"), F.col("in_blocks"))).cast("int")).select("block", "vec_id", "list", "vector"))
-    representative = firsts.where("nth = 1").select("vector", F.col("vec_id").alias("same"))
-    asked = cut(sound.where(is_query).select("vec_id", "vector").distinct().join(representative, "vector").select("vec_id", "same", "vector"))
+    asked = distinct_queries(rows, firsts, is_query)
     queries = asked.select("same", "vector").distinct().withColumn("bound", F.lit(float("inf")))
     home = _scan(placed, queries, indexes, held, blocks, keep, home=True)
     # A query's neighbours in its home lists: at most `keep` for each block that these lie in.
     last = home.groupBy("same").agg(F.get(F.sort_array(F.collect_list("far")), F.lit(keep - 1)).alias("bound"))
     bounded = asked.select("same", "vector").distinct().join(last, "same", "left").select("same", "vector", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
     near = _scan(placed, bounded, indexes, held, blocks, keep, home=False)
-    best = Window.partitionBy("same").orderBy(F.desc("score"), "found_id")
-    near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep)
-    # A query's own row is one of these at most; without it, ranks close up.
-    listed = F.array_sort(F.collect_list(F.struct("place", F.col("found_id").alias("vec_id"), "score")))
-    lists_of = cut(near.groupBy("same").agg(listed.alias("found")))
-    ranked = asked.select(F.col("vec_id").alias("query_id"), "same").join(lists_of, "same").select("query_id", F.posexplode(F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, neighbours)).alias("pos", "x"))
-    return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    return ranked(asked, near, neighbours)
 
 
 def _scan(placed: DataFrame, queries: DataFrame, indexes: dict[int, Index], held: dict[int, int], blocks: dict[int, tuple[int, int]], keep: int, home: bool) -> DataFrame:
-    """same, found_id, score and far of what each query finds within its bound, at most `keep` in a block.
+    """same, found_id, score, far and equal (whether it is the query's own vector) of what each query finds within its bound, at most `keep` in a block.
 
     home: only in the nearest lists that together hold `keep` vectors, else in all that it probes.
     """
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, rows in _by_length(batch, "vector"):
+            for d, rows in by_length(batch, "vector"):
                 at, hit, probed = [], [], []
-                for row, lists in enumerate(indexes[d].nearest_lists(_matrix(rows.column("vector"))) + indexes[d].base):
+                for row, lists in enumerate(indexes[d].nearest_lists(matrix(rows.column("vector"))) + indexes[d].base):
                     lists, into = [k for k in lists.tolist() if k in blocks], {}
                     if home:
                         lists = lists[: int(np.searchsorted(np.cumsum([held[k] for k in lists]), keep)) + 1]
@@ -326,15 +304,15 @@ def _scan(placed: DataFrame, queries: DataFrame, indexes: dict[int, Index], held
     right = reached.join(parts, "block").select("block", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int").alias("part"), "same", "vector", "bound", "probed")
 
     def scan(held_here: pa.Table, asking: pa.Table) -> pa.Table:
-        columns = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)]
+        columns = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0, bool)]
         if len(held_here) and len(asking):
-            x, q = _matrix(held_here.column("vector")), _matrix(asking.column("vector"))
+            x, q = matrix(held_here.column("vector")), matrix(asking.column("vector"))
             probed = [np.array(p, dtype=np.int64) for p in asking.column("probed").to_pylist()]
             found = scan_block(indexes[x.shape[1]], held_here.column("vec_id").to_numpy(), held_here.column("list").to_numpy(), x, q, probed, asking.column("bound").to_numpy(), keep)
-            columns = [asking.column("same").to_numpy()[found.query], found.ids, found.scores, found.far]
-        return pa.table(columns, names=["same", "found_id", "score", "far"])
+            columns = [asking.column("same").to_numpy()[found.query], found.ids, found.scores, found.far, (x[found.rows] == q[found.query]).all(1)]
+        return pa.table(columns, names=["same", "found_id", "score", "far", "equal"])
 
-    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(scan, "same long, found_id long, score double, far double")
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(scan, "same long, found_id long, score double, far double, equal boolean")
 
 
 def _blocks(sizes: dict[int, int], most: int, first: int = 0) -> dict[int, tuple[int, int]]:

@@ -62,6 +62,10 @@ FEATURES = (
 )
 
 
+#: Abusive words of more than three letters, one of which a run of single letters may hold.
+_SPELLED = re.compile("|".join(sorted(a for a in ABUSE if len(a) > 3)))
+
+
 def terms(word: str) -> list[str]:
     """What the learned lexicon may know a word by: itself, and its beginnings with a hyphen after them."""
     return [word, *(word[:k] + "-" for k in BEGINNINGS if len(word) > k)]
@@ -92,14 +96,9 @@ def _spaced_out(words: list[str], counts: Counter) -> int:
     """Runs of single letters that together spell an abusive word."""
     if sum([n for w, n in counts.items() if len(w) == 1]) < 4:
         return 0
-    found, run = 0, ""
-    for w in [*words, "  "]:
-        if len(w) == 1:
-            run += w
-        else:
-            found += len(run) > 3 and any(a in run for a in ABUSE if len(a) > 3)
-            run = ""
-    return found
+    # One string of single letters, with a space for every other word: a run is what stands between spaces.
+    runs = "".join([w if len(w) == 1 else " " for w in words]).split()
+    return sum([len(run) > 3 and _SPELLED.search(run) is not None for run in runs])
 
 
 def features(text: str | None, lexicon: frozenset[str] = frozenset()) -> list[float]:
@@ -168,15 +167,18 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = TRAINI
     """Fit on the labelled documents for which `usable` (over doc_id) holds.
 
     Labels are read once per doc_id; those with a null doc_id or label are ignored, as is an id with
-    both labels. About `most` ids are picked by a hash, so the sample is bounded; it is kept in the
-    shared checkpoint folder while the lexicon and the features are made. Trees learn from three
+    both labels. About `most` ids are picked by a hash, and of the rows that share an id one text, the
+    one of least hash, so the sample is bounded; it is kept in the shared checkpoint folder while the
+    lexicon and the features are made. Trees learn from three
     quarters of it, the calibration from the rest. Without both labels the score is constant.
     """
     known = labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("also")).where("toxic = also")
     ticket = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30))
     share = min(1.0, most / max(1, known.count()))
     picked = known.where(ticket < int(share * (1 << 30))).select(F.col("doc_id").alias("labelled_id"), F.col("toxic").cast("int").alias("toxic"))
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "toxic"))
+    met = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id"))
+    one = met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("order"), "text", "toxic")).alias("row"))
+    sample = cut(one.select("doc_id", "row.text", "row.toxic"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 3
     lexicon = learn_lexicon(sample.where(~part))
 

@@ -142,3 +142,25 @@ def test_stages_keep_the_columns_of_documents(spark, docs, empty, labels, tmp_pa
             now = out
         assert now.columns[:2] == ["doc_id", "piece"]
         assert (now.count() == 0) == (table is empty)
+
+
+def test_an_id_in_very_many_rows_is_one_row_of_the_sample(spark, labels, monkeypatch):
+    """What reaches the driver for training is bounded by ids, however often one is repeated."""
+    rows = spark.range(100_000).select(F.lit(4).cast("bigint").alias("doc_id"), F.concat(F.lit("some text "), F.col("id") % 50).alias("text"))
+    docs = rows.unionByName(spark.createDataFrame([(1, "fine words"), (3, "good words")], "doc_id bigint, text string"))
+    seen, kernel = [], toxicity.map_rows
+
+    def counting(df, *more):
+        seen.append(df.count())
+        return kernel(df, *more)
+
+    monkeypatch.setattr(toxicity, "map_rows", counting)
+    toxicity.train(docs, spark.createDataFrame([(1, 0), (3, 0), (4, 1)], "doc_id bigint, toxic int"), F.lit(True))
+    assert max(seen) <= 3
+
+
+def test_an_id_with_several_vectors_is_several_rows(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 0.5])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest.search(spark.createDataFrame(rows, "vec_id bigint, vector array<double>"), F.col("vec_id") % 20 == 0).collect())
+    one, other = [(2, 2.0), (1, 1.0), (20, 0.0)], [(1, 1.0), (2, 0.5), (20, 0.0)]
+    assert got == sorted((20, k + 1, i, s) for found in (one, other) for k, (i, s) in enumerate(found))

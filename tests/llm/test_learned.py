@@ -144,3 +144,16 @@ def test_long_runs_take_linear_time(mark, end):
         begin = time.process_time()
         work(text)
         assert time.process_time() - begin < 1
+
+
+@pytest.mark.parametrize("body", ["a ", "a1", "!a", "i d i o t "])
+def test_runs_of_single_letters_take_linear_time(body):
+    begin = time.process_time()
+    toxicity.features((body * 4_000_000)[:4_000_000])
+    assert time.process_time() - begin < 5
+
+
+def test_words_spelled_in_single_letters():
+    at = toxicity.FEATURES.index("spaced_out")
+    cases = {"you i d i o t there": 1, "a b c d e": 0, "i d i o t and m o r o n": 2, "x i d i o t x": 1, "i d i": 0, "": 0}
+    assert {t: toxicity.features(t)[at] for t in cases} == cases
