@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.functions.clock import MAX_LONG, MIN_LONG, cs_to_ms, ms_to_samples, saturating_add
+from spanloom.functions.clock import MAX_LONG, MIN_LONG, cs_to_ms, div, ms_to_samples, saturating_add
 from spanloom.functions.script import COMMON, HAN, HANGUL, KANA, LATIN_LETTER, has_hangul, has_kana, language_of
 
+#: Bytes of a cell in which runs and tokens meet.
+CELL = 256
+
 
 def _stretch(own: str) -> str:
     """A character of a class and those of the class or of no script of their own after it."""
@@ -43,22 +46,29 @@ def carve(segments: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, "run", F.col("_lang").alias("language"), F.col("n_chars").cast("bigint").alias("n_chars"), "text", "byte_start", "byte_end", "char_start", "char_end")
 
 
-def run_times(runs: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+def run_times(runs: DataFrame, tokens: DataFrame, keys: list[str], cell: int = CELL) -> DataFrame:
     """lo_dtw, hi_dtw and all_timed of each run, from the tokens inside its bytes.
 
-    tokens: keys, byte_offset, byte_len and t_dtw_cs. A token across a run's edge leaves the run without complete times,
-    as does a run without tokens. Tokens meet runs within one segment only, so the range condition never spans more.
+    runs: keys, run, byte_start, byte_end and more. tokens: keys, byte_offset, byte_len and t_dtw_cs. A
+    token across a run's edge leaves the run without complete times, as does a run without tokens.
+
+    Runs and tokens of a segment meet by cells of bytes, each pair in the one cell in which its overlap
+    begins, so the rows are as many as the pairs that overlap, however long the segment is.
     """
-    end = F.col("byte_offset") + F.col("byte_len")
-    inside = (F.col("byte_offset") >= F.col("byte_start")) & (end <= F.col("byte_end"))
-    overlap = F.least(end, F.col("byte_end")) > F.greatest("byte_offset", "byte_start")
-    met = runs.join(tokens.where("byte_len > 0"), keys, "left").withColumn("_in", F.coalesce(inside, F.lit(False))).withColumn("_cross", F.coalesce(~inside & overlap, F.lit(False)))
-    columns = [c for c in runs.columns]
-    return met.groupBy(*columns).agg(
-        F.min(F.when(F.col("_in"), F.col("t_dtw_cs"))).alias("lo_dtw"),
-        F.max(F.when(F.col("_in"), F.col("t_dtw_cs"))).alias("hi_dtw"),
-        (F.bool_or("_in") & ~F.bool_or("_cross") & F.bool_and(~F.col("_in") | F.col("t_dtw_cs").isNotNull())).alias("all_timed"),
+    start, end = F.col("byte_offset"), F.col("byte_offset") + F.col("byte_len")
+    cells = lambda a, b: F.explode(F.sequence(div(a, F.lit(cell)), div(b - 1, F.lit(cell))))
+    spans = runs.where("byte_end > byte_start").select(*keys, "run", "byte_start", "byte_end", cells(F.col("byte_start"), F.col("byte_end")).alias("_cell"))
+    timed = tokens.where("byte_len > 0").select(*keys, start.alias("_b"), end.alias("_e"), "t_dtw_cs", cells(start, end).alias("_cell"))
+    first = F.greatest("_b", "byte_start")
+    met = spans.join(timed, [*keys, "_cell"]).where((F.least("_e", "byte_end") > first) & (div(first, F.lit(cell)) == F.col("_cell")))
+    inside = (F.col("_b") >= F.col("byte_start")) & (F.col("_e") <= F.col("byte_end"))
+    found = met.groupBy(*keys, "run").agg(
+        F.min(F.when(inside, F.col("t_dtw_cs"))).alias("lo_dtw"),
+        F.max(F.when(inside, F.col("t_dtw_cs"))).alias("hi_dtw"),
+        F.bool_and(inside & F.col("t_dtw_cs").isNotNull()).alias("all_timed"),
     )
+    joined = runs.join(found, [*keys, "run"], "left")
+    return joined.select(*runs.columns, "lo_dtw", "hi_dtw", F.coalesce("all_timed", F.lit(False)).alias("all_timed"))
 
 
 def bound(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -27,14 +27,17 @@ SELECT stream_id, packet_id, bool_and(end_sample > start_sample AND start_sample
 
 
 def r10_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bundled vocabulary beside its special tokens."""
+    """The bundled vocabulary beside its special tokens, and how often the documents hold each of its characters, small letters as capitals."""
     words = vocabulary.bundled(spark)
     special = tokens.special_tokens(words)
-    return words.withColumns({c: special.select(c).scalar() for c in special.columns})
+    chars = documents(spark, sf_dir).select(F.explode(F.split(tokens.ascii_upper(F.col("text")), "")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counted = words.join(chars, "token", "left").select("token", "id", F.coalesce("n", F.lit(0)).alias("n"))
+    return counted.withColumns({c: special.select(c).scalar() for c in special.columns})
 
 
 _VOCAB = ", ".join("('" + t.replace("'", "''") + f"', {i})" for t, i in vocabulary.BUNDLED)
-R10_SQL = f"SELECT token, id, 0 AS blank_id, 3 AS unk_id, 4 AS delimiter_id, true AS uppercase_only FROM (VALUES {_VOCAB}) v(token, id)"
+R10_SQL = f"""WITH chars AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '')) AS ch FROM documents) GROUP BY ch)
+SELECT token, id, coalesce(n, 0) AS n, 0 AS blank_id, 3 AS unk_id, 4 AS delimiter_id, true AS uppercase_only FROM (VALUES {_VOCAB}) v(token, id) LEFT JOIN chars ON ch = token"""
 
 
 def j4_character_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

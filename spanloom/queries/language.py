@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import language, script, text
 from spanloom.operators import runs, tokens
-from spanloom.plans.shared import cut
+from spanloom.plans.shared import cut, spread
 from spanloom.queries.fixtures import documents, table
 from spanloom.sources.vocabulary import BUNDLED
 
@@ -62,7 +62,9 @@ CJK = [(1, "chinese", "你好，world！ 再见。"), (2, "japanese", "今日は
 
 
 def s5_cjk_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(CJK, "id int, kind string, body string")
+    literal = spark.createDataFrame(CJK, "id long, kind string, body string")
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id").cast("long") * 4_096 + F.col("turn") + 100).alias("id"), F.element_at(F.array(*map(F.lit, ("chinese", "japanese", "korean"))), (F.col("turn") % 3 + 1).cast("int")).alias("kind"), F.col("text").alias("body"))
+    rows = literal.unionByName(spread(turns))
     words = text.normalize(F.col("body"), F.col("kind"))
     return rows.select("id", "kind", F.size(words).alias("n_words"), text.joined(words).alias("normalized"), F.array_join(F.transform(words, lambda w: w["surface"]), "|").alias("surface"))
 
@@ -71,8 +73,10 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
 
 
-S5_SQL = f"""WITH rows(id, kind, body) AS (VALUES {_values(CJK)}), kept AS (
-  SELECT id, kind, list_filter(string_split(body, ''), lambda c: len(c) > 0 AND c <> ' ' AND NOT contains(CASE kind {" ".join("WHEN '" + k + "' THEN '" + v.replace("'", "''") + "'" for k, v in text.SKIPPED.items())} END, c)) AS cs FROM rows)
+S5_SQL = rf"""WITH rows(id, kind, body) AS (
+  SELECT CAST(id AS BIGINT), kind, body FROM (VALUES {_values(CJK)}) v(id, kind, body) UNION ALL SELECT CAST(conv_id AS BIGINT) * 4096 + turn + 100, ['chinese', 'japanese', 'korean'][turn % 3 + 1], text FROM conversations
+), kept AS (
+  SELECT id, kind, list_filter(string_split(body, ''), lambda c: len(c) > 0 AND NOT regexp_matches(c, '^[{text.SPACE}]$') AND NOT contains(CASE kind {" ".join("WHEN '" + k + "' THEN '" + v.replace("'", "''") + "'" for k, v in text.SKIPPED.items())} END, c)) AS cs FROM rows)
 SELECT id, kind, len(cs) AS n_words, array_to_string(list_transform(cs, lambda c: lower(c)), ' ') AS normalized,
   array_to_string(list_transform(cs, lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z]$') THEN lower(c) ELSE c END), '|') AS surface FROM kept"""
 
@@ -80,17 +84,22 @@ CODES = ["en", "EN", "eN", "zh", "haw", "Haw", "hAW", "HAW", "hAw", "haW", "yue"
 
 
 def s11_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(c,) for c in CODES], "code string").withColumn("parsed", language.parse(F.col("code")))
-    return rows.select("code", "parsed", language.try_parse(F.col("code")).alias("named"), language.validate(F.col("code")).alias("stored"), language.is_latin(F.col("parsed")).alias("latin"), language.normalizer_kind(F.col("parsed")).alias("kind"), language.uses_word_delimiter(F.col("parsed")).alias("delimiter"))
+    """Codes of all shapes, and the beginnings of all words of the conversations as codes, each with how many rows carry it."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "[ \\n]+")).alias("word")).select(F.substring("word", 1, 3).alias("code"))
+    counted = spark.createDataFrame([(c,) for c in CODES], "code string").unionByName(words).groupBy("code").agg(F.count("*").alias("n"))
+    rows = counted.withColumn("parsed", language.parse(F.col("code")))
+    return rows.select("code", "n", "parsed", language.try_parse(F.col("code")).alias("named"), language.validate(F.col("code")).alias("stored"), language.is_latin(F.col("parsed")).alias("latin"), language.normalizer_kind(F.col("parsed")).alias("kind"), language.uses_word_delimiter(F.col("parsed")).alias("delimiter"))
 
 
 _LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
-S11_SQL = f"""WITH rows(code) AS (VALUES {_values([(c,) for c in CODES])}), p AS (
-  SELECT code, CASE WHEN lower(code) IN {_LIST(language.LANGUAGES)} AND (len(code) = 2 OR substr(code, 2) = lower(substr(code, 2)) OR substr(code, 2) = upper(substr(code, 2))) THEN lower(code) ELSE code END AS parsed FROM rows
+S11_SQL = f"""WITH rows AS (
+  SELECT code, count(*) AS n FROM (SELECT code FROM (VALUES {_values([(c,) for c in CODES])}) v(code) UNION ALL SELECT substr(unnest(regexp_split_to_array(text, '[ \\n]+')), 1, 3) FROM conversations) GROUP BY code
+), p AS (
+  SELECT code, n, CASE WHEN lower(code) IN {_LIST(language.LANGUAGES)} AND (len(code) = 2 OR substr(code, 2) = lower(substr(code, 2)) OR substr(code, 2) = upper(substr(code, 2))) THEN lower(code) ELSE code END AS parsed FROM rows
 ), n AS (SELECT *, CASE WHEN parsed IN {_LIST(language.LANGUAGES)} THEN parsed END AS named FROM p
 ), k AS (SELECT *, CASE WHEN regexp_full_match(code, '[A-Za-z]{{1,8}}') THEN coalesce(named, lower(code)) END AS stored, parsed IN {_LIST(language.LATIN)} AS latin,
   CASE WHEN parsed IN ('zh', 'yue') THEN 'chinese' WHEN parsed = 'ja' THEN 'japanese' WHEN parsed = 'ko' THEN 'korean' WHEN parsed IN ('fr', 'it') THEN 'latin_clitic' WHEN parsed IN {_LIST(language.LATIN_NORMALIZED)} THEN 'latin' END AS kind FROM n)
-SELECT code, parsed, named, stored, latin, kind, kind LIKE 'latin%' AS delimiter FROM k"""
+SELECT code, n, parsed, named, stored, latin, kind, kind LIKE 'latin%' AS delimiter FROM k"""
 
 
 def s9_oov_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,11 +218,11 @@ def _markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans, some of which are markers of silence, ends or restarts instead, and some without a start."""
     rows = spans(spark, sf_dir, "event_id")
     kind = F.when(F.col("event_id") % 29 == 0, "no_speech").when(F.col("event_id") % 97 == 0, "eof").when(F.col("event_id") % 61 == 0, "restart").otherwise("vad")
-    return rows.select("stream_id", "seq", kind.alias("kind"), F.when(F.col("event_id") % 41 != 0, F.col("start_sample")).alias("start_sample"), "end_sample")
+    return rows.select("stream_id", "seq", kind.alias("kind"), F.when(F.col("event_id") % 41 != 0, F.col("start_sample")).alias("start_sample"), "end_sample", F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("p"), F.col("event_id") % 3)).alias("override"))
 
 
 _MARKED_SQL = SPANS_SQL.replace("FROM events)", ", event_id FROM events)").replace(" AS end_sample\n", " AS end_sample") + """, marked AS (
-  SELECT stream_id, seq, CASE WHEN event_id % 29 = 0 THEN 'no_speech' WHEN event_id % 97 = 0 THEN 'eof' WHEN event_id % 61 = 0 THEN 'restart' ELSE 'vad' END AS kind, CASE WHEN event_id % 41 <> 0 THEN start_sample END AS s, end_sample AS e FROM spans
+  SELECT stream_id, seq, CASE WHEN event_id % 29 = 0 THEN 'no_speech' WHEN event_id % 97 = 0 THEN 'eof' WHEN event_id % 61 = 0 THEN 'restart' ELSE 'vad' END AS kind, CASE WHEN event_id % 41 <> 0 THEN start_sample END AS s, end_sample AS e, CASE WHEN event_id % 5 = 0 THEN 'p' || (event_id % 3) END AS override FROM spans
 ), judged AS (
   SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS watermark, false AS ended, 'start' AS status FROM marked
   UNION ALL
@@ -243,8 +243,8 @@ R4_SQL = f"WITH RECURSIVE {_MARKED_SQL} SELECT stream_id, seq, status, watermark
 
 
 def t9_marker_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of streams with markers: silence beyond the limit, an end and a restart close the open chunk."""
-    return cut.cut(_markers(spark, sf_dir), LIMIT, GAP).select("stream_id", "chunk_id", "start_sample", "end_sample", F.size("subs").cast("bigint").alias("n_subs"))
+    """Chunks of streams with markers: silence beyond the limit, an end and a restart close the open chunk; a chunk has the parameters of the span that opened it."""
+    return cut.cut(_markers(spark, sf_dir), LIMIT, GAP).select("stream_id", "chunk_id", "start_sample", "end_sample", "override_at_start", F.size("subs").cast("bigint").alias("n_subs"))
 
 
 T9_SQL = f"""WITH RECURSIVE {_MARKED_SQL}, counted AS (
@@ -252,7 +252,7 @@ T9_SQL = f"""WITH RECURSIVE {_MARKED_SQL}, counted AS (
   FROM marked m JOIN judged j ON m.stream_id = j.stream_id AND m.seq = j.seq WHERE j.status = 'accepted'
 ), parts AS (SELECT *, unnest(range(n)) AS i FROM counted
 ), steps AS (
-  SELECT stream_id, kind, CASE WHEN kind = 'vad' THEN s + i * len // n END AS s, CASE WHEN kind <> 'vad' OR i = n - 1 THEN e ELSE s + (i + 1) * len // n END AS e, row_number() OVER (PARTITION BY stream_id ORDER BY seq, i) AS k FROM parts
+  SELECT stream_id, kind, CASE WHEN kind = 'vad' THEN s + i * len // n END AS s, CASE WHEN kind <> 'vad' OR i = n - 1 THEN e ELSE s + (i + 1) * len // n END AS e, row_number() OVER (PARTITION BY stream_id ORDER BY seq, i) AS k, override FROM parts
 ), fold AS (
   SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS k, 'start' AS kind, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e, CAST(NULL AS BIGINT) AS cs, CAST(0 AS BIGINT) AS ce, CAST(0 AS BIGINT) AS id FROM steps
   UNION ALL
@@ -260,7 +260,8 @@ T9_SQL = f"""WITH RECURSIVE {_MARKED_SQL}, counted AS (
     SELECT u.stream_id, u.k, u.kind, u.s, u.e, f.cs, f.ce, f.id, f.cs IS NOT NULL AND CASE u.kind WHEN 'vad' THEN f.ce > f.cs AND (u.s - f.ce > {GAP} OR u.e - f.cs > {LIMIT}) WHEN 'no_speech' THEN f.ce > f.cs AND u.e - f.ce > {GAP} ELSE true END AS closes
     FROM fold f JOIN steps u ON u.stream_id = f.stream_id AND u.k = f.k + 1)
 )
-SELECT stream_id, id AS chunk_id, min(s) AS start_sample, max_by(e, k) AS end_sample, count(*) AS n_subs FROM fold WHERE kind = 'vad' GROUP BY stream_id, id"""
+SELECT f.stream_id, f.id AS chunk_id, min(f.s) AS start_sample, max_by(f.e, f.k) AS end_sample, first(u.override ORDER BY f.k) AS override_at_start, count(*) AS n_subs
+FROM fold f JOIN steps u ON u.stream_id = f.stream_id AND u.k = f.k WHERE f.kind = 'vad' GROUP BY f.stream_id, f.id"""
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, of_stream: Callable[[DataFrame], DataFrame], schema: str, files: int = 3) -> DataFrame:
