@@ -137,12 +137,11 @@ def grams(words: list[str]) -> set[str]:
 
 @dataclass(frozen=True)
 class LicenseModel:
-    """classes (NONE last), bias and sparse weights of each n-gram, the templates' word pairs, and the limits of each family."""
+    """classes (NONE last), bias and sparse weights of each n-gram, and the limits of each family."""
 
     classes: tuple[str, ...]
     bias: tuple[float, ...]
     weights: dict[str, tuple[float, ...]]
-    pairs: dict[str, frozenset[str]]
     limits: dict[str, float]
 
 
@@ -265,5 +264,4 @@ def train() -> LicenseModel:
     """The classifier over all notices, with limits calibrated on notices, and on families, that were held out whole."""
     model = fit(known_texts())
     kept = {g: tuple(round(float(z), 5) for z in model.w[i]) for g, i in model.column.items() if np.abs(model.w[i]).max() > 1e-3}
-    pairs = {f: frozenset(g for n in notices for g in grams(tokens(n)) if " " in g) for f, notices in TEMPLATES.items()}
-    return LicenseModel(CLASSES, tuple(round(float(z), 5) for z in model.b), kept, pairs, limits(*map(np.concatenate, zip(held_out_chances(), unknown_chances(), strict=True))))
+    return LicenseModel(CLASSES, tuple(round(float(z), 5) for z in model.b), kept, limits(*map(np.concatenate, zip(held_out_chances(), unknown_chances(), strict=True))))

@@ -5,7 +5,8 @@ so no licence; the others are scored, each distinct text once: its distinct word
 the sparse weights, the summed log-odds become chances, and the likeliest family is taken, of equally
 likely ones the first in the order of the templates. Under the
 family's calibrated limit the paragraph is `unknown`. Otherwise it is compared to the family's
-templates: it is confirmed if enough of a template's word pairs, or of its own, occur in both.
+templates one by one: it is confirmed if enough of one template's word pairs are in it, or, of a
+paragraph long enough to be a cut of one, enough of its own are in that template.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from spanloom.llm.common import cut
 from spanloom.llm.license_model import STOP, TEMPLATES, TOKEN, LicenseModel, grams, tokens, train
 
 UNKNOWN = "unknown"
-#: Share of the paragraph's word pairs around the notice, or of a template's, that confirms a prediction.
-CONFIRM = 0.5
+#: Share of one template's word pairs, or of the paragraph's, that confirms a prediction; word pairs from which a paragraph may be a cut of a template.
+CONFIRM, CUT_PAIRS = 0.65, 8
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -36,37 +37,42 @@ def classify(bodies: DataFrame, model: LicenseModel) -> DataFrame:
     spark = bodies.sparkSession
     k = len(model.classes)
     families = model.classes[:-1]
-    known = sorted(set(model.weights) | set().union(*model.pairs.values()))
+    templates = [(f, pairs) for f in families for pairs in _template_pairs(f)]
+    known = sorted(set(model.weights) | set().union(*(pairs for _, pairs in templates)))
     zeros = [0.0] * k
-    rows = [(g, [float(x) for x in model.weights.get(g, zeros)], [int(g in model.pairs[f]) for f in families]) for g in known]
+    rows = [(g, [float(x) for x in model.weights.get(g, zeros)], [int(g in pairs) for _, pairs in templates]) for g in known]
     # As many rows as the model has n-grams, which the templates bound.
     table = F.broadcast(spark.createDataFrame(rows, "gram string, weight array<double>, held array<int>"))
     words = bodies.select("body", _tokens(F.col("body")).alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
     parts = words.select("body", F.size("w").alias("n_words"), F.explode(F.array_distinct(F.concat("w", pairs))).alias("gram"))
-    summed = parts.join(table, "gram").groupBy("body", "n_words").agg(*(F.sum(F.col("weight")[i]).alias(f"w{i}") for i in range(k)), *(F.sum(F.col("held")[i]).alias(f"h{i}") for i in range(k - 1)))
+    summed = parts.join(table, "gram").groupBy("body", "n_words").agg(*(F.sum(F.col("weight")[i]).alias(f"w{i}") for i in range(k)), *(F.sum(F.col("held")[i]).alias(f"h{i}") for i in range(len(templates))))
     odds = [F.col(f"w{i}") + F.lit(model.bias[i]) for i in range(k)]
     top = F.greatest(*odds)
     chances = F.transform(F.array(*odds), lambda z: F.exp(z - top))
     total = F.aggregate(chances, F.lit(0.0), lambda a, x: a + x)
-    scored = summed.select("body", "n_words", F.array(*(F.col(f"h{i}") for i in range(k - 1))).alias("held"), (F.array_max(chances) / total).alias("probability"), (F.array_position(chances, F.array_max(chances)) - 1).cast("int").alias("best"))
+    scored = summed.select("body", "n_words", F.array(*(F.array_max(F.array(*(_likeness(F.col(f"h{i}"), len(pairs)) for i, (family, pairs) in enumerate(templates) if family == f))) for f in families)).alias("likeness"), (F.array_max(chances) / total).alias("probability"), (F.array_position(chances, F.array_max(chances)) - 1).cast("int").alias("best"))
     scored = scored.where(F.col("best") < k - 1)
     name = F.array(*(F.lit(f) for f in families))[F.col("best")]
     limit = F.array(*(F.lit(model.limits[f]) for f in families))[F.col("best")]
-    held = F.get("held", F.col("best"))
-    shortest = F.array(*(F.lit(min(len(t) for t in _template_pairs(model, f))) for f in families))[F.col("best")]
-    similarity = held / F.greatest(F.lit(1), F.least(F.col("n_words") - 1, shortest))
+    similarity = F.get("likeness", F.col("best"))
     sure = F.col("probability") >= limit
     return scored.select(
         "body",
         F.when(sure, name).otherwise(UNKNOWN).alias("family"),
         F.round("probability", 6).alias("probability"),
-        F.round(F.least(F.lit(1.0), similarity), 6).alias("similarity"),
+        F.round(similarity, 6).alias("similarity"),
         (sure & (similarity >= CONFIRM)).alias("confirmed"),
     )
 
 
-def _template_pairs(model: LicenseModel, family: str) -> list[set[str]]:
+def _likeness(common: Column, size: int) -> Column:
+    """How much of a template of so many word pairs the paragraph holds, or the template of the paragraph, whichever is more."""
+    own = F.col("n_words") - 1
+    return F.least(F.lit(1.0), F.greatest(common / size, F.when(own >= CUT_PAIRS, common / own).otherwise(0.0)))
+
+
+def _template_pairs(family: str) -> list[set[str]]:
     return [p for t in TEMPLATES[family] if (p := {g for g in grams(tokens(t)) if " " in g})]
 
 
