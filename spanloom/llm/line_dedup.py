@@ -29,11 +29,9 @@ from spanloom.llm.common import cut, fresh
 WINDOW, REACH, LEAST, ENOUGH, COMMON = 2, 8, 120, 96, 4
 #: How much further each round extends.
 FURTHER = 8
-#: What a line of one word has added to its 60-bit hash.
-ONE = 1 << 60
 _WORD = r"[^\x20\x09-\x0D]+"
 _HAS_WORD = r"[^\x20\x09-\x0D]"
-_ONE_WORD = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$"
+_BETWEEN = r"[\x20\x09-\x0D]"
 #: Sentence marks beyond ASCII would take the matcher fifteen times as long; other scripts' lines are units as a whole.
 _SENTENCE = "[^.!?]*[.!?]+[ \t]*|[^.!?]+"
 _BLANK = " \t\n\x0b\x0c\r"
@@ -66,7 +64,7 @@ def _md5(text: Column, digits: int) -> Column:
 def hashed_units(docs: DataFrame) -> DataFrame:
     """doc, key, units (hashes), weights and lines (h and line) of every document with a word.
 
-    A unit's hash has above 56 bits how many of ENOUGH characters it lacks. Rows that agree in doc_id and
+    A unit's hash has above 56 bits how many of ENOUGH characters it lacks; a line's is odd if it has several words. Rows that agree in doc_id and
     text are one document; doc is the doc_id, least for a null one.
     """
 
@@ -79,7 +77,11 @@ def hashed_units(docs: DataFrame) -> DataFrame:
         return let(F.btrim(x["t"], F.lit(_BLANK)), counted)
 
     def line(x: Column, no: Column) -> Column:
-        return F.when(x.rlike(_HAS_WORD), F.struct((_md5(x, 15) + F.when(x.rlike(_ONE_WORD), ONE).otherwise(0)).alias("h"), no.alias("line")))
+        def hashed(body: Column) -> Column:
+            several = body.rlike(_BETWEEN).cast("long")
+            return F.when(body != "", F.struct((F.shiftleft(F.xxhash64(x), 1) + several).alias("h"), no.alias("line")))
+
+        return let(F.btrim(x, F.lit(_BLANK)), hashed)
 
     there = lambda x: x.isNotNull()
     units, lines = F.filter(F.transform(_pieces(F.col("text")), unit), there), F.filter(F.transform(_split(F.col("text")), line), there)
@@ -160,7 +162,7 @@ def lone_lines(hashed: DataFrame) -> DataFrame:
     """doc, key and line of every whole line that stood before; of one word, only if it stands COMMON times."""
     each = hashed.select("doc", "key", F.explode("lines").alias("x")).select(F.col("x.h").alias("h"), F.struct("doc", "key", F.col("x.line").alias("line")).alias("place"))
     counted = each.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("places"))
-    often = cut(counted.where(F.col("places") >= F.when(F.col("h") < ONE, 2).otherwise(COMMON)).select("h", "first"))
+    often = cut(counted.where(F.col("places") >= F.when(F.col("h") % 2 != 0, 2).otherwise(COMMON)).select("h", "first"))
     return each.join(often, "h").where("place > first").select("place.*")
 
 
