@@ -14,7 +14,8 @@ from spanloom.operators.cut import CHUNKS
 from spanloom.operators.validate import would_accept
 from spanloom.plans.shared import remove_folder, shared_folder
 from spanloom.queries.fixtures import CHUNKS_SQL, FRAME, GAP, LIMIT, SPANS_SQL, chunks, spans, table
-from spanloom.streaming import folds
+from spanloom.streaming import folds, sinks
+from spanloom.streaming.answers import answer_stream
 from spanloom.streaming.cutter import cut_stream
 
 
@@ -96,7 +97,7 @@ R1_SQL = """WITH RECURSIVE packets AS (
     CASE WHEN status = 'accepted' AND n > 0 THEN total + gap + n ELSE total END, status,
     CASE WHEN status = 'pts_regression' OR (status = 'accepted' AND n = 0) THEN 0 ELSE gap END, CASE WHEN status = 'accepted' THEN n ELSE 0 END
   FROM (
-    SELECT *, CASE WHEN delta < 0 THEN 'pts_regression' WHEN gap > 3200 THEN 'gap_exceeds_tolerance' WHEN total + gap + n > 57600000 THEN 'backpressure' ELSE 'accepted' END AS status
+    SELECT *, CASE WHEN delta < 0 THEN 'pts_regression' WHEN gap > 3200 THEN 'gap_exceeds_tolerance' WHEN total + gap + n > 5796000 THEN 'backpressure' ELSE 'accepted' END AS status
     FROM (
       SELECT p.stream_id, p.seq, p.pts, p.n, f.anchor, f.total,
         CASE WHEN f.anchor IS NULL THEN 0 ELSE p.pts - (f.anchor + f.total * 3) END AS delta,
@@ -289,15 +290,69 @@ def t8_stream_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("stream_id", "chunk_id", F.col("payload").cast("bigint").alias("o_orderkey"))
 
 
+_DUE = {"accepted": "status = 'accepted'", "rejected": "status <> 'accepted'", "full": "status = 'backpressure' OR live_samples >= 96000"}
+
+
+def t2_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of packets that come in three triggers, dealt to tables of accepted, rejected and crowded ones."""
+    rows = _packets(spark, sf_dir)
+    rows = rows.withColumn("arrives", F.least(F.lit(2), F.call_function("div", F.col("seq"), F.lit(40).cast("bigint"))).cast("int"))
+    at = shared_folder(spark, "fan-out")
+    # Files come in the order in which they were written, two at a time.
+    for k in range(3):
+        rows.where(F.col("arrives") == k).repartition(2).write.mode("append").parquet(f"{at}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    sinks.fan_out(folds.append_packets_stream(source), {k: F.expr(v) for k, v in _DUE.items()}, f"{at}/out", f"{at}/state").awaitTermination()
+    remove_folder(spark, f"{at}/in")
+    remove_folder(spark, f"{at}/state")
+    found = [sinks.read_table(spark, f"{at}/out", name, ingest.PACKETS) for name in _DUE]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("table", "stream_id", "seq", "status", "gap", "n_samples", F.col("live_samples").alias("live"))
+
+
+def _t2_sql() -> str:
+    head, body = R1_SQL.rsplit("\nSELECT", 1)
+    return f"""{head}, outcomes AS (SELECT {body.replace("total AS total_samples", "total AS live")})
+SELECT 'accepted' AS "table", * FROM outcomes WHERE status = 'accepted' UNION ALL SELECT 'rejected', * FROM outcomes WHERE status <> 'accepted' UNION ALL SELECT 'full', * FROM outcomes WHERE status = 'backpressure' OR live >= 96000"""
+
+
+T2_SQL = _t2_sql()
+
+
+def r7_streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of r7 and their chunks as two streams that meet in the state store; a last row on each side lets the unknown ones go."""
+    rows = chunks(spark, sf_dir)
+    moment = lambda seconds: F.timestamp_seconds(F.lit(1_700_000_000) + seconds)
+    phase = F.when(F.col("o_orderstatus") == "F", "awaiting_asr").when(F.col("o_orderstatus") == "O", "awaiting_alignment").otherwise("ready")
+    end = spark.range(1).select(F.lit(-1).cast("bigint").alias("stream_id"), F.lit(-1).cast("bigint").alias("chunk_id"), F.lit("awaiting_asr").alias("phase"), F.lit(-1).cast("bigint").alias("o_orderkey"), moment(F.lit(1 << 28)).alias("at"))
+    made = rows.select("stream_id", "chunk_id", phase.alias("phase"), F.col("o_orderkey").cast("bigint").alias("o_orderkey"), moment(F.col("chunk_id")).alias("at"))
+    named = F.col("chunk_id") + F.when(F.col("o_orderkey") % 50 == 0, 100_000).otherwise(0)
+    answers = rows.select("stream_id", named.alias("chunk_id"), F.col("o_orderkey").cast("bigint").alias("o_orderkey"), moment(F.col("chunk_id") + F.col("o_orderkey") % 300).alias("at"))
+    at = shared_folder(spark, "answers")
+    sides = {"chunks": made.unionByName(end).drop("o_orderkey"), "answers": answers.unionByName(end.drop("phase"))}
+    for name, side in sides.items():
+        side.repartitionByRange(3, "at").write.parquet(f"{at}/{name}")
+    streams = [spark.readStream.schema(side.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/{name}") for name, side in sides.items()]
+    met = answer_stream(*streams, "awaiting_asr", "30 days")
+    query = met.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    for folder in ("chunks", "answers", "state"):
+        remove_folder(spark, f"{at}/{folder}")
+    return spark.read.schema(met.schema).parquet(f"{at}/out").where("stream_id >= 0").select("stream_id", "chunk_id", "o_orderkey", "status")
+
+
+R7_SQL = f"""WITH {CHUNKS_SQL} SELECT stream_id, chunk_id + CASE WHEN o_orderkey % 50 = 0 THEN 100000 ELSE 0 END AS chunk_id, o_orderkey,
+  CASE WHEN o_orderkey % 50 <> 0 AND o_orderstatus = 'F' THEN 'accepted' ELSE 'unknown_chunk' END AS status FROM chunks"""
 T8_SQL = f"""WITH {CHUNKS_SQL}, nth AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY chunk_id) - 1 AS n FROM chunks WHERE o_orderstatus <> 'P')
 SELECT stream_id, chunk_id, o_orderkey FROM nth WHERE n = chunk_id"""
 
 QUERIES = {
+    "t2_fan_out": t2_fan_out, "r7_streamed_answers": r7_streamed_answers,
     "r4_marker_outcomes": r4_marker_outcomes, "t9_marker_cut": t9_marker_cut, "t5_stream_packets": t5_stream_packets, "t8_stream_in_order": t8_stream_in_order,
     "w1_cut": w1_cut, "t3_stream_cut": t3_stream_cut, "r2_span_outcomes": r2_span_outcomes, "w8_hard_split": w8_hard_split, "r1_append_packets": r1_append_packets, "p1_sample_to_pts": p1_sample_to_pts,
     "p5_would_accept": p5_would_accept, "o4_interval_union": o4_interval_union, "j9_interval_clip": j9_interval_clip, "j7_speech_frames": j7_speech_frames, "w5_frame_runs": w5_frame_runs,
 }
 ORACLE_SQL = {
+    "t2_fan_out": T2_SQL, "r7_streamed_answers": R7_SQL,
     "r4_marker_outcomes": R4_SQL, "t9_marker_cut": T9_SQL, "t5_stream_packets": R1_SQL, "t8_stream_in_order": T8_SQL,
     "t3_stream_cut": T3_SQL,
     "w1_cut": W1_SQL, "r2_span_outcomes": R2_SQL, "w8_hard_split": W8_SQL, "r1_append_packets": R1_SQL, "p1_sample_to_pts": P1_SQL,
