@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.functions import text
-from spanloom.operators import ingest, tokens, validate, vocabularies
+from spanloom.operators import asr, ingest, tokens, validate, vocabularies
 from spanloom.plans.shared import cut, spread
 from spanloom.queries.fixtures import FRAMES_SQL, frames, table
 from spanloom.queries.language import ALPHABET, DELIMITER, LETTERS, _STEPS_SQL, _UPPER
+from spanloom.sources.models import model_rows
 from spanloom.sources.vocabulary import BUNDLED
 
 KEYS = ["chunk_id", "run"]
@@ -168,5 +170,41 @@ SELECT j.stream_id, j.chunk_id, j.status, CASE WHEN j.status = 'ok' THEN {LENGTH
   CASE WHEN j.status = 'ok' THEN round(coalesce(s.total, 0), 5) + 0.0 END AS total, CASE WHEN j.status = 'ok' THEN round(coalesce(s.weighted, 0), 5) + 0.0 END AS weighted
 FROM judged j LEFT JOIN summed s ON s.stream_id = j.stream_id AND s.chunk_id = j.chunk_id"""
 
-QUERIES = {"s10_decisions_applied": s10_decisions_applied, "r9_aligner_vocabularies": r9_aligner_vocabularies, "p3_chunk_samples": p3_chunk_samples}
-ORACLE_SQL = {"s10_decisions_applied": S10_DECISIONS_SQL, "r9_aligner_vocabularies": R9_SQL, "p3_chunk_samples": P3_SAMPLES_SQL}
+#: Characters of a turn from which the model below fails.
+TOO_LONG = 600
+
+
+def _recognise(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Stands in for a recogniser: a turn's clauses as segments, each with a log-probability and a chance of silence; long turns fail."""
+    rows = []
+    for chunk, run, body in zip(*(batch.column(c).to_pylist() for c in ("chunk_id", "run", "text")), strict=True):
+        if len(body) >= TOO_LONG:
+            raise ValueError("too long")
+        rows += [(chunk, run, k, part, -(len(part) % 16) / 16, 1 / (1 + part.count(" "))) for k, part in enumerate(body.split(","))]
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["chunk_id", "run", "segment", "text", "logprob", "no_speech_prob"])
+
+
+def r8_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model gives for every turn: segments put together, their statistics, and failures with their reason."""
+    found = cut(model_rows(_turns(spark, sf_dir).where("text IS NOT NULL"), KEYS, _recognise, "segment int, text string, logprob double, no_speech_prob double"))
+    good = found.where("error IS NULL")
+    made = asr.joined_text(good, KEYS, "segment").join(asr.segment_statistics(good, KEYS), KEYS).join(asr.no_speech(good, KEYS), KEYS)
+    whole = made.select(*KEYS, F.lit("ok").alias("status"), "text", "segments", F.round("avg_logprob", 6).alias("avg_logprob"), F.round("no_speech_prob", 6).alias("no_speech_prob"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return whole.unionByName(found.where("error IS NOT NULL").select(*KEYS, F.col("error").alias("status"), none("string").alias("text"), none("bigint").alias("segments"), none("double").alias("avg_logprob"), none("double").alias("no_speech_prob")))
+
+
+R8_SQL = f"""WITH turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS chunk_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS run, text FROM conversations
+), parts AS (
+  SELECT chunk_id, run, unnest(string_split(text, ',')) AS part FROM turns WHERE length(text) < {TOO_LONG}
+), summed AS (
+  SELECT chunk_id, run, count(*) AS segments, round(avg(-(length(part) % 16) / 16.0::DOUBLE), 6) AS avg_logprob, round(avg(1 / (1.0::DOUBLE + length(part) - length(replace(part, ' ', '')))), 6) AS no_speech_prob FROM parts GROUP BY chunk_id, run
+)
+SELECT t.chunk_id, t.run, CASE WHEN s.chunk_id IS NULL THEN 'ValueError: too long' ELSE 'ok' END AS status, CASE WHEN s.chunk_id IS NOT NULL THEN trim(replace(t.text, ',', '')) END AS text, s.segments, s.avg_logprob, s.no_speech_prob
+FROM turns t LEFT JOIN summed s ON s.chunk_id = t.chunk_id AND s.run = t.run WHERE t.text IS NOT NULL"""
+
+QUERIES = {"r8_model_rows": r8_model_rows, "s10_decisions_applied": s10_decisions_applied, "r9_aligner_vocabularies": r9_aligner_vocabularies, "p3_chunk_samples": p3_chunk_samples}
+ORACLE_SQL = {"r8_model_rows": R8_SQL, "s10_decisions_applied": S10_DECISIONS_SQL, "r9_aligner_vocabularies": R9_SQL, "p3_chunk_samples": P3_SAMPLES_SQL}

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.operators import ctc
 from spanloom.plans.fold import ensure_importable
@@ -24,7 +25,7 @@ def read(spark: SparkSession, path: str, schema: str, streaming: bool = False, f
     return spark.read.schema(schema).parquet(path)
 
 
-def run_model(chunks: DataFrame, call: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def run_model(chunks: DataFrame, call: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """A caller's model over Arrow batches of chunks, such as a recogniser or an acoustic encoder. Filter chunks before: nothing is pushed through a model."""
     ensure_importable(chunks.sparkSession)
     return chunks.mapInArrow(call, schema)

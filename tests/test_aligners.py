@@ -4,12 +4,14 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text
 from spanloom.operators import ctc, ingest, registry, tokens, vocabularies
 from spanloom.plans.align_runs import align_runs
+from spanloom.sources.models import model_rows
 from spanloom.sources.vocabulary import BUNDLED
 
 GERMAN = {"model": {"vocab": {c: i for i, c in enumerate("abcdehnrsuäöü")}}, "added_tokens": [{"id": 13, "content": "|"}, {"id": 14, "content": "[PAD]"}, {"id": 15, "content": "[UNK]"}]}
@@ -174,3 +176,20 @@ def test_chunk_samples_equal_a_plain_version(spark, bucket):
     got = {(r.stream_id, r.chunk_id): (r.status, r.samples) for r in ingest.chunk_samples(p, c, ["stream_id"], water, bucket).collect()}
     assert got == want
     assert ingest.chunk_samples(p.limit(0), c, ["stream_id"]).where("status = 'ok'").count() == 0
+
+
+def test_failures_of_a_model_are_rows(spark):
+    def call(batch):
+        rows = []
+        for i, x in zip(batch.column("id").to_pylist(), batch.column("x").to_pylist(), strict=True):
+            rows += [(i, k, 10 // x) for k in range(x)]
+        if not rows:
+            return pa.RecordBatch.from_pydict({"id": pa.array([], pa.int64()), "k": pa.array([], pa.int32()), "y": pa.array([], pa.int64())})
+        return pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(("id", "k", "y"), zip(*rows, strict=True), strict=True)})
+
+    df = spark.createDataFrame([(1, 2), (2, 0), (3, None), (4, 1), (5, -1)], "id bigint, x int").withColumn("more", F.lit("kept out")).coalesce(1)
+    got = sorted(((r.id, r.k, r.y, r.error) for r in model_rows(df, ["id"], call, "k int, y bigint").collect()), key=str)
+    assert [g[:3] for g in got] == [(1, 0, 5), (1, 1, 5), (3, None, None), (4, 0, 10)] and got[2][3].startswith("TypeError") and {g[3] for g in got if g[1] is not None} == {None}
+    assert model_rows(df.limit(0), ["id"], call, "k int, y bigint").collect() == []
+    wrong = model_rows(df.where("id = 4"), ["id"], lambda batch: batch, "k int, y bigint").collect()
+    assert [(r.id, r.k) for r in wrong] == [(4, None)] and wrong[0].error
