@@ -90,8 +90,8 @@ def hashed_units(docs: DataFrame) -> DataFrame:
     return each.select("doc", "key", F.col("u.h").alias("units"), F.col("u.weight").alias("weights"), "lines").where(F.size("units") > 0)
 
 
-def fingerprints(hashed: DataFrame) -> DataFrame:
-    """doc, key, h, i and before of every selected unit: its hash, its number, and where in the document the same one was selected before (null: nowhere)."""
+def selected(hashed: DataFrame) -> DataFrame:
+    """doc, key and s, a document's selected units as an array of h, i and before: hash, number, and where the same one was selected before (null: nowhere)."""
     n = F.size("units")
 
     def least(start: Column) -> Column:
@@ -103,13 +103,18 @@ def fingerprints(hashed: DataFrame) -> DataFrame:
     chosen = let(each_window, lambda found: F.filter(found, lambda s, k: (k == 0) | (s["back"] != F.get(found, k - 1)["back"])))
     sorted_ = hashed.select("doc", "key", F.sort_array(F.transform(chosen, lambda s: F.struct(s["h"].alias("h"), (-s["back"]).alias("i")))).alias("s"))
     before = lambda x, k: F.when(F.get("s", k - 1)["h"] == x["h"], F.get("s", k - 1)["i"])
-    each = sorted_.select("doc", "key", F.explode(F.transform("s", lambda x, k: F.struct(x["h"].alias("h"), x["i"].alias("i"), before(x, k).alias("before")))).alias("s"))
-    return each.select("doc", "key", "s.h", "s.i", "s.before")
+    return sorted_.select("doc", "key", F.transform("s", lambda x, k: F.struct(x["h"].alias("h"), x["i"].alias("i"), before(x, k).alias("before"))).alias("s"))
+
+
+def fingerprints(chosen: DataFrame) -> DataFrame:
+    """doc, key, h, i and before of every selected unit."""
+    return chosen.select("doc", "key", F.explode("s").alias("s")).select("doc", "key", "s.h", "s.i", "s.before")
 
 
 def matches(hashed: DataFrame) -> DataFrame:
     """doc, key, i, doc_0, key_0 and i_0: every fingerprint that stands elsewhere before, with its place there."""
-    marks = fingerprints(hashed)
+    # Kept, as it is read three times.
+    marks = fingerprints(cut(selected(hashed)))
     own = marks.where("before IS NOT NULL").select("doc", "key", "i", F.col("doc").alias("doc_0"), F.col("key").alias("key_0"), F.col("before").alias("i_0"))
     others = marks.where("before IS NULL")
     # A table cut before it is joined, so that Spark may split a frequent unit's side.
@@ -224,7 +229,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     joined = keyed.join(gone, (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col(gone_doc)) & (F.col(key) == F.col(gone_key)), "left")
     joined = joined.withColumn(done, F.when(F.col(gone_doc).isNotNull(), _without(F.col("text"), F.col(runs), F.col(lines))))
     text = F.when(F.col(done).isNull(), F.col("text")).otherwise(F.col(done)["text"])
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_split(F.col("text"))))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n_lines = F.coalesce(breaks + 1, F.lit(0))
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     count = lambda name: F.coalesce(F.col(done)[name], F.lit(0)).cast("long").alias(name)
     return joined.select(*columns, n_lines.cast("long").alias("n_lines"), count("n_removed"), count("n_shortened"))

@@ -496,7 +496,7 @@ def test_winnowing_selects_fewer_units_and_decides(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     hashed = line_dedup.hashed_units(docs).cache()
     total = hashed.agg(F.sum(F.size("units"))).first()[0]
-    marks = line_dedup.fingerprints(hashed).collect()
+    marks = line_dedup.fingerprints(line_dedup.selected(hashed)).collect()
     assert 0.3 * total < len(marks) < 0.75 * total
     # Every window of the size holds a fingerprint.
     sizes = {(r.doc, r.key): r.n for r in hashed.select("doc", "key", F.size("units").alias("n")).collect()}
@@ -522,7 +522,7 @@ def test_runs_are_extended_without_end(spark, reach, monkeypatch):
     told = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(12)) + "." for _ in range(120)]
     passage = " ".join(told)
     hashed = line_dedup.hashed_units(spark.createDataFrame([(9, passage)], "doc_id bigint, text string"))
-    chosen = sorted(r.i for r in line_dedup.fingerprints(hashed).collect())
+    chosen = sorted(r.i for r in line_dedup.fingerprints(line_dedup.selected(hashed)).collect())
     alone = [(k, f"own words {k}. {told[i]} more words {k}.") for k, i in enumerate(chosen) if i != chosen[len(chosen) // 2]]
     rows = [*alone, (1_000, f"Front {passage}"), (1_001, f"Another front. {passage} Another end.")]
     got = {r.doc_id: (r.text, r.n_removed, r.n_shortened) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
