@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Texts become pieces of at most `capacity` ids. Only the histogram of piece lengths, at most
-`capacity` numbers whatever the corpus, goes to the driver. There the sums of one, two and three
-lengths are indexed by their total. Passes over the lengths, longest first, look up what a length
+`capacity` numbers whatever the corpus, goes to the driver. There single lengths and the sums of two
+are indexed by their total; a sum of three is found by its first member and the pair index of the rest. Passes over the lengths, longest first, look up what a length
 leaves free among single lengths, then among pairs, then among triples, and take a combination as
 often as the counts of what is still available allow. What has no exact filling is packed best-fit,
 longest first. Exact fillings of many short pieces can cost more than they save, since the short ones

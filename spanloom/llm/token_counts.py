@@ -1,8 +1,8 @@
 """Token counts by the whole-token shortcut.
 
 Offline, before any text is read, the driver puts every string of the vocabulary through the merges;
-those that end as one token form the shortcut set, which the workers get. A pre-token in the set counts one token without any merge; only the others
-are merged, pair by pair in rank order.
+those that end as one token form the shortcut set, which the workers get. A pre-token in the set
+counts one token without any merge; only the others are merged, pair by pair in rank order.
 """
 
 from __future__ import annotations
