@@ -17,12 +17,37 @@ def compose_words(words: DataFrame, clips: DataFrame, frames: DataFrame, surface
     first_sample, real_samples, chunk_end. frames: clip_id, frame, is_speech. surfaces: clip_id,
     word_index, text. The first rule that a word breaks is its reason.
     """
-    limit = max_silent_frames(hop=hop)
     met = words.join(clips, "clip_id").join(surfaces, ["clip_id", "word_index"], "left")
     spread = met.where((F.col("end_frame") > F.col("start_frame")) & (F.col("end_frame") <= F.col("frames")))
     spread = spread.select("clip_id", "word_index", "start_frame", F.explode(F.sequence("start_frame", F.col("end_frame") - 1)).alias("frame"))
     runs = frame_runs(spread.join(frames.select("clip_id", "frame", "is_speech"), ["clip_id", "frame"]), ["clip_id", "word_index", "start_frame"])
-    rows = met.join(runs, ["clip_id", "word_index", "start_frame"], "left")
+    return _judged(met.join(runs, ["clip_id", "word_index", "start_frame"], "left"), coverage, hop)
+
+
+def compose_by_runs(words: DataFrame, clips: DataFrame, runs: DataFrame, surfaces: DataFrame, coverage: float = 0.5, hop: int = 320) -> DataFrame:
+    """As compose_words, from runs of speech as intervals.speech_runs gives them, so no word becomes a row a frame.
+
+    Half of a word's frames at least must be speech: under that, silence between the samples of frames
+    shorter than a sample could matter, which runs don't tell.
+    """
+    if coverage < 0.5:
+        raise ValueError("coverage must be 0.5 at least")
+    met = words.join(clips.join(runs, "clip_id", "left"), "clip_id").join(surfaces, ["clip_id", "word_index"], "left")
+    begin, stop = F.col("start_frame").cast("bigint"), F.col("end_frame").cast("bigint")
+    edge = lambda f: F.round(f * F.col("spf")).cast("bigint")
+    inside = lambda held, a, b, lo, hi: F.filter(F.transform(F.coalesce(held, F.array()), lambda x: F.struct(F.greatest(x[a], lo).alias("a"), F.least(x[b], hi).alias("b"))), lambda x: x["a"] < x["b"])
+    total = lambda parts: F.aggregate(parts, F.lit(0).cast("bigint"), lambda t, x: t + x["b"] - x["a"])
+    met = met.withColumn("_runs", inside(F.col("runs"), "begin", "stop", begin, stop))
+    met = met.withColumn("_spans", F.when(F.col("spf") < 1, inside(F.col("spans"), "start", "end", edge(begin), edge(stop))))
+    gaps = F.transform("_runs", lambda r, i: r["a"] - F.coalesce(F.get("_runs", i - 1)["b"], begin))
+    silent = F.greatest(F.array_max(F.concat(gaps, F.array(F.lit(0).cast("bigint")))), stop - F.coalesce(F.try_element_at("_runs", F.lit(-1))["b"], begin))
+    rows = met.withColumns({"speech_frames": total(F.coalesce("_spans", "_runs")), "longest_silence": silent})
+    return _judged(rows.withColumn("coverage", (F.col("speech_frames") / F.when(stop > begin, stop - begin)).cast("float")), coverage, hop)
+
+
+def _judged(rows: DataFrame, coverage: float, hop: int) -> DataFrame:
+    """Words in samples, each with the first rule that it breaks."""
+    limit = max_silent_frames(hop=hop)
     at = lambda f: F.col("first_sample") + F.round(F.col(f) * F.col("spf")).cast("bigint")
     start, end = at("start_frame"), at("end_frame")
     clamped = F.least(end, F.col("first_sample") + F.col("real_samples"))

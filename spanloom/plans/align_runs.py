@@ -42,13 +42,24 @@ def _decide(prepared: DataFrame, found: DataFrame, vocab: list[tuple[str, int]]
     return met.withColumn("status", F.when(whole, F.col("_chunk")).otherwise(F.col("status"))).withColumn("is_trivial", (F.col("status") != "ok") | (F.size("token_ids") == 0)).drop("_chunk")
 
 
+def _shared(ready: DataFrame, frames: DataFrame, of_emission: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frames by the least clip_id of each emission and its tokens, and path_id, that clip's id, of every clip; a clip without an emission has its own."""
+    key = ["emission_id", "token_ids", "word_idx", "_blank", "_size"]
+    own = lambda name: F.coalesce(F.col(name).cast("int") if name in ready.columns else F.lit(None).cast("int"), F.lit(-1))
+    asked = ready.select("clip_id", "token_ids", "word_idx", own("blank_id").alias("_blank"), own("vocab_size").alias("_size")).join(of_emission.select("clip_id", "emission_id"), "clip_id", "left")
+    asked = cut(asked)
+    first = cut(asked.where(F.col("emission_id").isNotNull()).groupBy(*key).agg(F.min("clip_id").alias("path_id")))
+    of_path = cut(asked.join(first, key, "left").select("clip_id", F.coalesce("path_id", "clip_id").alias("path_id")))
+    return first.select(F.col("path_id").alias("clip_id"), "emission_id").join(frames, "emission_id").select("clip_id", "frame", "lp"), of_path
+
+
 def align_runs(
     chunks: DataFrame,
     found: DataFrame,
     aligners: DataFrame,
     speech: DataFrame,
     vocab: list[tuple[str, int]] | DataFrame,
-    encode: Callable[[DataFrame], DataFrame],
+    encode: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]],
     miss: str = "skip_chunk",
     policy: tokens.Policy = "default",
     blank: int = 0,
@@ -63,6 +74,9 @@ def align_runs(
     bounds_source, as runs.bound gives them. aligners: as registry.register gives them. speech:
     chunk_id, start, end, in samples of the chunk. encode: the caller's model, from slices (clip_id,
     chunk_id, run, aligner_id, lo, hi, n_samples) to frames (clip_id, frame, lp); it is called once.
+    Where slices have the model's frames in common, it may give frames (emission_id, frame, lp) and
+    clip_id with emission_id: each path is then found once for all slices of one emission and tokens,
+    and nothing is as large as slices times frames.
     vocab: one for all aligners, or each one's own, as vocabularies.of_aligners gives them; then a
     clip's frames must be as wide as its aligner's vocabulary. decided: the caller's decisions
     (chunk_id, run, language, event, kind, ch, char_index, word_index, decision) in place of a policy;
@@ -89,9 +103,14 @@ def align_runs(
     prepared = cut(prepared.drop("characters", "character_ids"))
     ready = prepared.where((F.col("looked_up") == "ok") & ~F.col("is_trivial"))
     # The model's frames, and the paths, are kept: words, failures and frame counts all come from them.
-    frames = cut(encode(ready.select("clip_id", "chunk_id", "run", "aligner_id", "lo", "hi", "n_samples")))
-    paths = cut(ctc.align(frames, ready, blank))
+    made = encode(ready.select("clip_id", "chunk_id", "run", "aligner_id", "lo", "hi", "n_samples"))
+    made, of_path = _shared(ready, *made) if isinstance(made, tuple) else (made, None)
+    frames = cut(made)
+    own = ready if of_path is None else ready.join(of_path.where("clip_id = path_id").select("clip_id"), "clip_id")
+    paths = cut(ctc.align(frames, own, blank))
     failed = paths.where("status <> 'ok'").select("clip_id", F.col("status").alias("_path"))
+    if of_path is not None:
+        failed = of_path.join(failed.withColumnRenamed("clip_id", "path_id"), "path_id").drop("path_id")
     status = F.when(F.col("looked_up") != "ok", F.col("looked_up")).when(F.col("status") != "ok", F.col("status")).when(F.col("is_trivial"), "empty_text").otherwise(F.coalesce("_path", F.lit("ok")))
     outcome = prepared.join(failed, "clip_id", "left").select("chunk_id", "run", "clip_id", "language", "bounds_source", status.alias("status"))
     # A skipped run is no failure, and neither is a recoverable one.
@@ -108,7 +127,7 @@ def align_runs(
     # Only what a run's slice holds of the chunk's speech counts for it, from the slice's start on.
     held = speech.join(ready.select("chunk_id", "clip_id", "lo", "hi"), "chunk_id").select("clip_id", (F.greatest("start", "lo") - F.col("lo")).alias("start"), (F.least("end", "hi") - F.col("lo")).alias("end"))
     good = outcome.where(F.col("stop").isNull() & (F.col("status") == "ok")).select("clip_id", "chunk_id", "run", F.col("language").alias("run_language"))
-    words = lifecycle.timed(ready.drop("looked_up"), paths, frames, intervals.union_intervals(held.where("end > start")), coverage).where("drop_reason is null").join(good, "clip_id")
+    words = lifecycle.timed(ready.drop("looked_up"), paths, frames, held.where("end > start"), coverage, of_path).where("drop_reason is null").join(good, "clip_id")
     emitted = F.struct("run", "start_sample", "word_index")
     rows = words.select("chunk_id", "run", F.col("run_language").alias("language"), "word_index", "text", "start_sample", "end_sample", "score", F.col("start_sample").alias("start_pts"), F.col("end_sample").alias("end_pts"), emitted.alias("emitted"))
     return Aligned(compose.ordered_words(rows, ["chunk_id"]).drop("start_pts", "end_pts", "emitted"), of_chunk)

@@ -53,15 +53,23 @@ def finish(prepared: DataFrame, frames: DataFrame, spans: DataFrame, blank: int
     return timed(prepared, ctc.align(frames, prepared.where(~F.col("is_trivial")), blank), frames, spans, coverage)
 
 
-def timed(prepared: DataFrame, paths: DataFrame, frames: DataFrame, spans: DataFrame, coverage: float = 0.5) -> DataFrame:
-    """Timed words from the paths that were found; as finish."""
+def timed(prepared: DataFrame, paths: DataFrame, frames: DataFrame, spans: DataFrame, coverage: float = 0.5, of_path: DataFrame | None = None) -> DataFrame:
+    """Timed words from the paths that were found; as finish.
+
+    of_path: clip_id and path_id, where several clips have one path: the one of the clip whose id it is,
+    which frames and paths hold alone. Segments and words are then found once for all of them.
+    """
     ready = prepared.where(~F.col("is_trivial"))
     path = paths.where("status = 'ok'")
     segments = ctc.merge_repeats(path)
     indexed = segments.join(ready.select("clip_id", F.col("word_idx").alias("_w")), "clip_id").withColumn("word_index", F.get("_w", F.col("token_index"))).drop("_w")
     words = ctc.merge_words(indexed)
     count = frames.groupBy("clip_id").agg(F.count("*").alias("frames"))
+    if of_path is not None:
+        words, count = (of_path.join(x.withColumnRenamed("clip_id", "path_id"), "path_id").drop("path_id") for x in (words, count))
     clips = ready.join(count, "clip_id").select("clip_id", "frames", samples_per_frame(F.col("n_samples"), F.col("frames")).alias("spf"), "first_sample", "real_samples", (F.col("first_sample") + F.col("n_samples")).alias("chunk_end"))
-    speech = intervals.speech_frames(clips, intervals.union_intervals(spans))
     surfaces = ready.select("clip_id", F.posexplode("words").alias("word_index", "w")).select("clip_id", "word_index", F.col("w.surface").alias("text"))
-    return compose.compose_words(words, clips, speech, surfaces, coverage)
+    held = intervals.union_intervals(spans)
+    if coverage < 0.5:
+        return compose.compose_words(words, clips, intervals.speech_frames(clips, held), surfaces, coverage)
+    return compose.compose_by_runs(words, clips, intervals.speech_runs(clips, held), surfaces, coverage)

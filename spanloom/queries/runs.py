@@ -50,11 +50,11 @@ def _aligned(spark: SparkSession, sf_dir: str) -> Aligned:
     chunks = turns.select("chunk_id").distinct().select("chunk_id", (F.col("chunk_id") * 100_000).alias("first_sample"), (64_000 + F.col("chunk_id") % 100).alias("n_samples"))
     entries = spark.createDataFrame([(x, f"a-{x}", x, i) for i, x in enumerate(("en", "de", "fr", "ru"))], "key string, aligner_id string, language string, seq int")
     speech = chunks.select("chunk_id", F.lit(0).cast("bigint").alias("start"), F.col("n_samples").alias("end"))
-    held = frames(spark, sf_dir).select(F.col("clip_id").alias("label"), "frame", numeric.log_softmax(F.col("logits")).alias("lp"))
+    held = frames(spark, sf_dir).select(F.col("clip_id").alias("emission_id"), "frame", numeric.log_softmax(F.col("logits")).alias("lp"))
 
-    def encode(slices: DataFrame) -> DataFrame:
+    def encode(slices: DataFrame) -> tuple[DataFrame, DataFrame]:
         """A run's frames are those of the label that its chunk and number point at."""
-        return slices.select("clip_id", ((F.col("chunk_id") + F.col("run")) % 10).alias("label")).join(held, "label").select("clip_id", "frame", "lp")
+        return held, slices.select("clip_id", ((F.col("chunk_id") + F.col("run")) % 10).alias("emission_id"))
 
     return align_runs(chunks, found, registry.register(entries), speech, BUNDLED, encode, blank=BLANK)
 

@@ -2,10 +2,12 @@ import math
 
 import numpy as np
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from spanloom.functions import numeric
 from spanloom.operators import compose, ctc, intervals, validate
+from spanloom.queries.runs import QUERIES
 
 
 def test_first_column_leaves_out_frame_zero():
@@ -128,3 +130,25 @@ def test_coverage_parameters():
     assert validate.coerce_coverage(float("nan")) == 0.5 and validate.coerce_coverage(7) == 1.0 and validate.coerce_coverage(-1) == 0.0
     with pytest.raises(ValueError):
         validate.strict_coverage(1.5)
+
+
+def test_runs_of_speech_judge_words_as_frames_do(spark):
+    rng = np.random.default_rng(5)
+    sizes = [(i, int(rng.integers(2, 90)), int(rng.integers(1, 400)) * (20 if i % 3 else 1)) for i in range(60)]
+    clips = spark.createDataFrame([(i, n, s / (n - 1), 7 * i, s - i % 5, 7 * i + s) for i, n, s in sizes], "clip_id bigint, frames bigint, spf double, first_sample bigint, real_samples bigint, chunk_end bigint")
+    spans = spark.createDataFrame([(i, int(a), int(a) + int(rng.integers(1, 1 + s // 2 + 1))) for i, _, s in sizes if i % 7 for a in rng.integers(0, s, 3)], "clip_id bigint, start bigint, end bigint")
+    words = spark.createDataFrame([(i, k, int(a), int(a) + int(rng.integers(0, 30)), 0.5) for i, n, _ in sizes for k, a in enumerate(rng.integers(0, n, 8))], "clip_id bigint, word_index int, start_frame int, end_frame int, score double")
+    names = words.select("clip_id", "word_index", F.lit("w").alias("text"))
+    held = intervals.union_intervals(spans)
+    want = compose.compose_words(words, clips, intervals.speech_frames(clips, held), names).collect()
+    got = compose.compose_by_runs(words, clips, intervals.speech_runs(clips, held), names).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({r.drop_reason for r in want}) > 4
+
+
+def test_runs_of_one_emission_share_its_frames(spark, monkeypatch):
+    """What is aligned grows with the emissions, not with runs times frames."""
+    seen, align = [], ctc.align
+    monkeypatch.setattr(ctc, "align", lambda frames, tokens, blank=0: (seen.append(frames.count()), align(frames, tokens, blank))[1])
+    found = QUERIES["run_alignment_words"](spark, SMALL)
+    n_frames = spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
+    assert seen[0] <= 4 * n_frames and found.count() > 10
