@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import language, script, text
-from spanloom.operators import runs, tokens
+from spanloom.operators import runs, texts, tokens
 from spanloom.plans.shared import cut, spread
 from spanloom.queries.fixtures import documents, table
 from spanloom.sources.vocabulary import BUNDLED
@@ -16,16 +16,9 @@ ALPHABET = tokens.Alphabet.of(LETTERS, uppercase=True)
 DELIMITER = dict(BUNDLED)["|"]
 
 
-def _summary(words, name: str) -> list:
-    get = lambda f: F.transform(words, lambda w: w[f])
-    total = lambda f: F.aggregate(get(f), F.lit(0), lambda a, x: a + x).cast("bigint")
-    return [F.size(words).cast("bigint").alias(f"{name}_words"), text.joined(words).alias(f"{name}_text"), F.array_join(get("surface"), "|").alias(f"{name}_surface"), total("prefix").alias(f"{name}_prefix"), total("suffix").alias(f"{name}_suffix")]
-
-
 def s3_latin_normalizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English and French rules over every document."""
-    rows = documents(spark, sf_dir).select("doc_id", text.latin_words(F.col("text")).alias("en"), text.latin_words(F.translate("text", "u", "'"), clitics=True).alias("fr"))
-    return rows.select("doc_id", *_summary(F.col("en"), "en"), *_summary(F.col("fr"), "fr"))
+    return texts.summaries(documents(spark, sf_dir), ["doc_id"], {"en": (F.col("text"), False), "fr": (F.translate("text", "u", "'"), True)})
 
 
 def _latin_sql(source: str, clitics: bool) -> str:
@@ -103,8 +96,7 @@ SELECT code, n, parsed, named, stored, latin, kind, kind LIKE 'latin%' AS delimi
 
 
 def s9_oov_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir)
-    found = tokens.oov_events(rows, text.latin_words(F.col("text")), ALPHABET, ["doc_id"])
+    found = texts.oov_events(documents(spark, sf_dir), ["doc_id"], "text", ALPHABET)
     return found.withColumn("decision", tokens.decide(F.col("kind"), F.col("ch")))
 
 
@@ -125,10 +117,9 @@ FROM kinds WHERE kind IS NOT NULL"""
 
 
 def s10_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).withColumn("w", text.latin_words(F.col("text")))
-    made = rows.select("doc_id", tokens.verdict(F.col("w"), ALPHABET, "default").alias("status"), tokens.tokenize(F.col("w"), ALPHABET, DELIMITER, "wildcard_all").alias("a"))
+    made = texts.spell(documents(spark, sf_dir), ["doc_id"], "text", ALPHABET, DELIMITER)
     spell = lambda c: F.array_join(c, " ", "-")
-    return made.select("doc_id", "status", spell(F.col("a.token_ids").cast("array<string>")).alias("ids"), spell(F.col("a.word_idx").cast("array<string>")).alias("words"))
+    return made.select("doc_id", "status", spell(F.col("token_ids").cast("array<string>")).alias("ids"), spell(F.col("word_idx").cast("array<string>")).alias("words"))
 
 
 S10_SQL = rf"""WITH {_STEPS_SQL}, emitted AS (

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import language, text
-from spanloom.operators import runs, tokens
+from spanloom.operators import runs, texts, tokens
+from spanloom.queries import language as language_queries
 from spanloom.sources import vocabulary
 
 LETTERS = [(t, i) for t, i in vocabulary.BUNDLED if len(t) == 1 and t != "|"]
@@ -103,3 +104,18 @@ def test_tokens_that_do_not_spell_the_text_lose_their_times(spark):
     toks = spark.createDataFrame([(1, 0, 2, "he"), (1, 2, 3, "llo"), (2, 0, 2, "xx")], "seg_id int, byte_offset int, byte_len int, piece string")
     segs = spark.createDataFrame([(1, "hello"), (2, "hi")], "seg_id int, text string")
     assert sorted((r.seg_id, r.byte_len) for r in runs.check_token_bytes(toks, segs, ["seg_id"]).collect()) == [(1, 2), (1, 3), (2, 0)]
+
+
+def test_whole_texts_give_what_the_expressions_give(spark):
+    bodies = ["Ab cd-ef, (hi) a.b U.S.A.", "", "... !", "x€y 9 – «na»", "l'eau d’or 'tis", "a\x1cb c　d e", "-/- x/", "İI ΣΣ ́a", None, "tab\tnew\nline's end'"]
+    df = spark.createDataFrame(list(enumerate(bodies)), "doc_id int, text string")
+    plain = lambda rows: sorted(map(str, rows.collect()))
+    for clitics in (False, True):
+        w = text.latin_words(F.col("text"), clitics)
+        want = df.where("text is not null").select("doc_id", F.size(w).cast("bigint"), text.joined(w), F.array_join(F.transform(w, lambda x: x["surface"]), "|"))
+        got = texts.summaries(df, ["doc_id"], {"n": (F.col("text"), clitics)}).where("n_text is not null").select("doc_id", "n_words", "n_text", "n_surface")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    w, alphabet = text.latin_words(F.col("text")), language_queries.ALPHABET
+    made = tokens.spell(w, alphabet, 4)
+    assert plain(texts.spell(df, ["doc_id"], "text", alphabet, 4)) == plain(df.select("doc_id", tokens.verdict(w, alphabet).alias("status"), made["token_ids"].alias("token_ids"), made["word_idx"].alias("word_idx")))
+    assert plain(texts.oov_events(df, ["doc_id"], "text", alphabet)) == plain(tokens.oov_events(df, w, alphabet, ["doc_id"]))
