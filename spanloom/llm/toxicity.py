@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Abusive words come from two lexicons: a fixed one of common words by kind, and one of words and word
-beginnings that the training labels mark, since abuse takes forms that no list has.
+Abusive words come from two lexicons: a fixed one of common words by kind, and one of words and pieces
+of words that the training labels mark, since abuse takes forms that no list has.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -52,8 +53,10 @@ _AROUND = re.compile(r"[\w@$!*]+")
 _PLAIN = str.maketrans("@$013457!", "asoieasti")
 ABUSE = INSULTS | PROFANITY
 
-#: Lengths of word beginnings that the learned lexicon may hold; most terms of it; how much likelier a term is under label 1.
-BEGINNINGS = (4, 5, 6)
+#: Lengths of the pieces of words that the learned lexicon may hold; letters beyond which a word has no inner pieces.
+PIECES = (4, 5, 6)
+LONG_WORD = 64
+#: Most terms of the learned lexicon; how much likelier a term is under label 1.
 LEARNED_TERMS = 400
 LIKELIER = 20.0
 
@@ -69,8 +72,20 @@ _SPELLED = re.compile("|".join(sorted(a for a in ABUSE if len(a) > 3)))
 
 
 def terms(word: str) -> list[str]:
-    """What the learned lexicon may know a word by: itself, and its beginnings with a hyphen after them."""
-    return [word, *(word[:k] + "-" for k in BEGINNINGS if len(word) > k)]
+    """What the learned lexicon may know a word by: itself, and its beginnings, ends and inner pieces, with a hyphen where it goes on."""
+    n = len(word)
+    found = [word]
+    for k in PIECES:
+        if n > k:
+            found += [word[:k] + "-", "-" + word[-k:]]
+            if n <= LONG_WORD:
+                found += ["-" + word[i : i + k] + "-" for i in range(1, n - k)]
+    return found
+
+
+@lru_cache(maxsize=1 << 17)
+def _is_learned(word: str, lexicon: frozenset[str]) -> bool:
+    return not lexicon.isdisjoint(terms(word))
 
 
 def _near(words: list[str], abusive: set[str], second: list[int]) -> int:
@@ -111,8 +126,7 @@ def features(text: str | None, lexicon: frozenset[str] = frozenset()) -> list[fl
     seen = counts.keys()
     hit = lambda found: sum([counts[w] for w in found])
     insults, profane, second = INSULTS & seen, PROFANITY & seen, SECOND_PERSON & seen
-    four, five, six = BEGINNINGS
-    learned = {w for w in seen if w in lexicon or w[:four] + "-" in lexicon or w[:five] + "-" in lexicon or w[:six] + "-" in lexicon} if lexicon else set()
+    learned = {w for w in seen if _is_learned(w, lexicon)} if lexicon else set()
     abusive = insults | profane | learned
     near = _near(words, abusive, [i for i, w in enumerate(words) if w in SECOND_PERSON]) if abusive and second else 0
     lookalikes = _disguised(text)

@@ -157,3 +157,18 @@ def test_words_spelled_in_single_letters():
     at = toxicity.FEATURES.index("spaced_out")
     cases = {"you i d i o t there": 1, "a b c d e": 0, "i d i o t and m o r o n": 2, "x i d i o t x": 1, "i d i": 0, "": 0}
     assert {t: toxicity.features(t)[at] for t in cases} == cases
+
+
+@pytest.mark.parametrize("form", ["{a}lowei", "{a}lowei{b}"])
+def test_abuse_known_by_the_end_or_the_inside_of_words(spark, form):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(["ba", "ne", "ti", "or", "sa", "mu", "ke"], 4))
+    texts = [[word() for _ in range(60)] for _ in range(600)]
+    # Every text has a word of this form and length; those with label 1 have the same five letters in it.
+    for i, text in enumerate(texts):
+        text[7] = form.format(a=word()[:5], b=word()[:5]).replace("lowei", "lowei" if i % 4 == 0 else "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id bigint, toxic int")
+    found = toxicity.train_and_score(docs, labels).where("held_out").collect()
+    assert len(found) > 100 and all(r.predicted for r in found if r.doc_id % 4 == 0)
+    assert np.mean([r.predicted for r in found if r.doc_id % 4]) <= 0.05
