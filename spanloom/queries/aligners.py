@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.functions import text
-from spanloom.operators import asr, ingest, tokens, validate, vocabularies
+from spanloom.operators import asr, ingest, texts, tokens, validate, vocabularies
 from spanloom.plans.shared import cut, spread
 from spanloom.queries.fixtures import FRAMES_SQL, frames, table
 from spanloom.queries.language import ALPHABET, DELIMITER, LETTERS, _STEPS_SQL, _UPPER
@@ -52,13 +51,14 @@ def _decided(turns: DataFrame, events: DataFrame) -> DataFrame:
 
 def s10_decisions_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn's tokens under decisions that a caller made event by event, and what becomes of lists that don't fit."""
-    turns = _turns(spark, sf_dir).withColumn("words", text.latin_words(F.col("text")))
-    spelled = turns.withColumn("t", tokens.tokenize(F.col("words"), ALPHABET, DELIMITER, "wildcard_all"))
-    spelled = cut(spelled.select(*KEYS, "words", F.when(F.size("words") == 0, "empty_text").otherwise("ok").alias("status"), "t.token_ids", "t.word_idx"))
-    events = cut(tokens.oov_events(spelled, F.col("words"), ALPHABET, KEYS))
+    turns = _turns(spark, sf_dir)
+    # Every word has an id.
+    empty = F.size("token_ids") == 0
+    spelled = cut(texts.spell(turns, KEYS, "text", ALPHABET, DELIMITER).withColumn("status", F.when(empty, "empty_text").otherwise("ok")))
+    events = cut(texts.oov_events(turns, KEYS, "text", ALPHABET))
     decided = _decided(spelled, events)
     of_chunk = validate.decisions(spelled.select("chunk_id").distinct().withColumn("language", F.lit("en")), spelled.select(*KEYS, F.lit("en").alias("language")), decided)
-    applied = tokens.apply_decisions(spelled.drop("words"), events, decided, KEYS).join(of_chunk.select("chunk_id", F.col("status").alias("of_chunk")), "chunk_id")
+    applied = tokens.apply_decisions(spelled, events, decided, KEYS).join(of_chunk.select("chunk_id", F.col("status").alias("of_chunk")), "chunk_id")
     status = F.when(F.col("of_chunk") != "ok", F.col("of_chunk")).otherwise(F.col("status"))
     ids = F.when(status == "ok", F.array_join(F.col("token_ids").cast("array<string>"), " ")).otherwise("")
     return applied.select("chunk_id", "run", status.alias("status"), ids.alias("ids"))
@@ -96,10 +96,13 @@ def r9_aligner_vocabularies(spark: SparkSession, sf_dir: str) -> DataFrame:
     which = F.element_at(F.array(*(F.lit(a) for a, _ in FILES)), F.when((F.col("chunk_id") + F.col("run")) % 29 < 3, (F.col("chunk_id") + F.col("run")) % 29 + 3).otherwise(F.col("run") % 2 + 1).cast("int"))
     turns = _turns(spark, sf_dir).withColumn("aligner_id", which)
     met = turns.join(vocabularies.parse(files).select("aligner_id", F.col("status").alias("read")), "aligner_id").join(vocab, "aligner_id", "left")
-    made = met.withColumn("t", tokens.tokenize(text.latin_words(F.col("text")), tokens.RowAlphabet(F.col("characters"), F.col("character_ids")), F.col("delimiter_id")))
+    # Texts without a vocabulary aren't spelled.
+    met = met.withColumn("text", F.when(F.col("read") == "ok", F.col("text")))
+    alphabet = tokens.RowAlphabet(F.col("characters"), F.col("character_ids"))
+    spelled = texts.spell_by(met, [*KEYS, "aligner_id", "vocab_size", "blank_id", "read"], "text", alphabet, F.col("delimiter_id"))
     good = F.col("read") == "ok"
-    ids = F.when(good, F.array_join(F.col("t.token_ids").cast("array<string>"), " ")).otherwise("")
-    return made.select(*KEYS, "aligner_id", "vocab_size", "blank_id", F.when(good, F.col("t.status")).otherwise(F.col("read")).alias("status"), ids.alias("ids"))
+    ids = F.when(good & (F.col("status") == "ok"), F.array_join(F.col("token_ids").cast("array<string>"), " ")).otherwise("")
+    return spelled.select(*KEYS, "aligner_id", "vocab_size", "blank_id", F.when(good, F.col("status")).otherwise(F.col("read")).alias("status"), ids.alias("ids"))
 
 
 def _files_sql() -> str:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import language, text
 from spanloom.operators import runs, texts, tokens
+from spanloom.queries import aligners as aligner_queries
 from spanloom.queries import language as language_queries
 from spanloom.sources import vocabulary
 
@@ -119,3 +120,18 @@ def test_whole_texts_give_what_the_expressions_give(spark):
     made = tokens.spell(w, alphabet, 4)
     assert plain(texts.spell(df, ["doc_id"], "text", alphabet, 4)) == plain(df.select("doc_id", tokens.verdict(w, alphabet).alias("status"), made["token_ids"].alias("token_ids"), made["word_idx"].alias("word_idx")))
     assert plain(texts.oov_events(df, ["doc_id"], "text", alphabet)) == plain(tokens.oov_events(df, w, alphabet, ["doc_id"]))
+
+
+def test_whole_texts_by_the_alphabets_of_their_rows_give_what_the_expressions_give(spark):
+    bodies = ["Ab cd-ef, (hi) a.b U.S.A.", "", "... !", "x€y 9 – «na»", "l'eau d’or", None, "tab\tnew\nline's end'"]
+    alphabets = [("abcdefhil", list(range(9)), 20), ("xy.na'", [3, 1, 7, 4, 5, 9], None), ("", [], 0), ("€aba", [1, 2, 3, 4], 5)]
+    rows = [(10 * k + i, body, *a) for k, a in enumerate(alphabets) for i, body in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, characters string, ids array<int>, delimiter int").coalesce(1)
+    own = tokens.RowAlphabet(F.col("characters"), F.col("ids"))
+    w = text.latin_words(F.col("text"))
+    made, status = tokens.spell(w, own, F.col("delimiter")), tokens.tokenize(w, own, F.col("delimiter"))["status"]
+    want = df.where("text is not null").select("doc_id", status.alias("status"), made["token_ids"].alias("token_ids"), made["word_idx"].alias("word_idx"))
+    got = texts.spell_by(df, ["doc_id"], "text", own, F.col("delimiter"))
+    assert sorted(map(str, got.where("token_ids is not null").collect())) == sorted(map(str, want.collect()))
+    assert got.where("token_ids is null").count() == 4
+    assert "MapInArrow" in aligner_queries.r9_aligner_vocabularies(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
