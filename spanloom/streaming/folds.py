@@ -1,4 +1,4 @@
-"""Ordered folds as streaming queries: the same state machines as in batch, one per key, kept in Spark's state store."""
+"""Ordered folds as streaming queries: the same state machines as in batch, one per key, kept in Spark's state store by buckets of keys."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,29 +15,42 @@ from spanloom.config import Options
 from spanloom.operators import dispatch, ingest
 from spanloom.plans.fold import State, ensure_importable
 
+#: Into how many buckets keys are dealt; a query's checkpoint holds for one number alone.
+BUCKETS = 1024
+
 
 def fold_stream(rows: DataFrame, key: str, order: list[str], columns: list[str], make: Callable[[object], State], schema: str) -> DataFrame:
     """What the folds of the keys give, as it comes. Rows of one trigger are taken in order; those of later triggers come after them.
 
     A stream has no end, so flush is never called: what a key still holds stays in its state, which
-    Spark's checkpoint makes survive a restart of the query under the same code.
+    Spark's checkpoint makes survive a restart of the query under the same code. Keys are dealt to
+    BUCKETS, whose keys' states are read and written together: each call of Python costs more than
+    most keys' rows in it.
     """
     ensure_importable(rows.sparkSession)
     whole = {f.name for f in rows.schema if isinstance(f.dataType, T.IntegralType)}
     names = [f.name for f in T._parse_datatype_string(schema)]
-
-    def cell(name: str, x: object) -> object:
-        missing = x is None or (not isinstance(x, (str, list, dict)) and pd.isna(x))
-        return None if missing else int(x) if name in whole else x
-
-    def step(at: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, out = pickle.loads(held.get[0]) if held.exists else make(at[0]), []
-        for row in pd.concat(list(batches)).sort_values(order, kind="stable")[columns].itertuples(index=False):
-            out += state.push(tuple(cell(n, x) for n, x in zip(columns, row, strict=True)))
-        held.update((pickle.dumps(state),))
-        yield pd.DataFrame(out, columns=names)
-
-    return rows.groupBy(key).applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+    used = list(dict.fromkeys([key, *order, *columns]))
+    absent = {c: f"_{i}_absent" for i, c in enumerate(used)}
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    # pandas would make floats of integers that have nulls beside them.
+    filled = [F.coalesce(F.col(c), F.lit(0).cast(rows.schema[c].dataType)).alias(c) if c in whole else F.col(c) for c in used]
+    dealt = rows.select(bucket.cast("int").alias("_bucket"), *filled, *(F.col(c).isNull().alias(n) for c, n in absent.items()))
+
+    def values(pdf: pd.DataFrame, name: str) -> list:
+        return [None if gone else x for x, gone in zip(pdf[name].tolist(), pdf[absent[name]].tolist(), strict=True)]
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        states, out = pickle.loads(held.get[0]) if held.exists else {}, []
+        pdf = pd.concat(list(batches)).sort_values([x for c in [key, *order] for x in (absent[c], c)], kind="stable")
+        for at, *row in zip(*(values(pdf, c) for c in [key, *columns]), strict=True):
+            if at not in states:
+                states[at] = make(at)
+            out += states[at].push(tuple(row))
+        held.update((pickle.dumps(states),))
+        yield pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=object) for i, n in enumerate(names)})
+
+    return dealt.groupBy("_bucket").applyInPandasWithState(step, schema, "states binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def append_packets_stream(packets: DataFrame, options: Options | None = None) -> DataFrame:

@@ -242,3 +242,13 @@ def test_decisions_of_runs_and_of_whole_chunks(spark):
 
 def test_a_local_master_may_make_its_own_folder(spark):
     assert ensure_checkpoint_dir(spark) and shared_folder(spark, "a") != shared_folder(spark, "a")
+
+
+def test_streams_keep_large_numbers_beside_nulls(spark):
+    from spanloom.queries import streams
+
+    big = (1 << 60) + 2
+    rows = [(k, q, pts, 1, 48_000, 100) for k in (1, 2, big, None) for q, pts in enumerate([big, None, big + 300])]
+    packets = spark.createDataFrame(rows, "stream_id bigint, seq bigint, pts bigint, tb_num int, tb_den int, n_samples bigint")
+    got = streams._streamed(spark, packets.withColumn("arrives", F.lit(0)), folds.append_packets_stream, ingest.PACKETS, 1)
+    assert sorted(map(str, got.collect())) == sorted(map(str, ingest.append_packets(packets).collect()))
