@@ -7,6 +7,7 @@ of words that the training labels mark, since abuse takes forms that no list has
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -48,7 +49,8 @@ NEAR = 5
 _WORD = re.compile(r"[^\W\d_]+")
 _CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]+")
 #: Look-alikes inside a word, and the word around them.
-_SIGNS = re.compile(r"(?<![@$0134571!*])[@$0134571!*]++(?=[^\W\d_])")
+_SIGNS = re.compile("[@$0134571!*]+")
+_BEFORE_LETTER = re.compile(r"(?<![@$0134571!*])[@$0134571!*]++(?=[^\W\d_])")
 _AROUND = re.compile(r"[\w@$!*]+")
 _PLAIN = str.maketrans("@$013457!", "asoieasti")
 ABUSE = INSULTS | PROFANITY
@@ -83,9 +85,56 @@ def terms(word: str) -> list[str]:
     return found
 
 
-@lru_cache(maxsize=1 << 17)
-def _is_learned(word: str, lexicon: frozenset[str]) -> bool:
-    return not lexicon.isdisjoint(terms(word))
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """For every code point, whether it is a letter of _WORD (1), a capital (2), a look-alike (4)."""
+    kinds = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    for pattern, bit in ((_WORD, 1), (_CAPITALS, 2), (_SIGNS, 4)):
+        for m in pattern.finditer(every):
+            kinds[m.start() : m.end()] |= bit
+    return kinds
+
+
+def _split(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """What _WORD finds in a text; its code points between two spaces, with a space for all else; which of these are letters; where words begin."""
+    codes = _codes(f" {text} ")
+    letter = _kinds()[codes] & 1 > 0
+    codes = np.where(letter, codes, np.uint32(32))
+    return codes.tobytes().decode("utf-32-le").split(), codes, letter, np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+
+
+def _windows(codes: np.ndarray) -> np.ndarray:
+    """A number under 1 << 16 for the four letters from each place on."""
+    a, b, c, d = (codes[i : len(codes) - 3 + i] * np.uint32(odd) for i, odd in enumerate((2654435761, 2246822519, 3266489917, 668265263)))
+    return (a + b + c + d) >> np.uint32(16)
+
+
+@lru_cache(maxsize=4)
+def _openings(lexicon: frozenset[str]) -> np.ndarray:
+    """By number of _windows: 1 if a piece at the beginning of a word may begin with such letters, 2 if one at the end or inside may, 3 if both."""
+    found = np.zeros(1 << 16, dtype=np.uint8)
+    for term in lexicon:
+        piece = term.strip("-")
+        if piece != term and len(piece) >= min(PIECES):
+            found[_windows(_codes(piece[:4]))] |= 2 if term.startswith("-") else 1
+    return found
+
+
+def _learned(words: list[str], codes: np.ndarray, letter: np.ndarray, starts: np.ndarray, lexicon: frozenset[str]) -> set[str]:
+    """The words that the lexicon knows by one of their terms, which are spelled out only where four letters are those that a piece begins with."""
+    known = set(filter(lexicon.__contains__, words))
+    if len(codes) > 5:
+        # 1 where a word begins, 2 inside it.
+        place = letter[1:-3].view(np.uint8) << letter[:-4].view(np.uint8)
+        at = np.flatnonzero(_openings(lexicon)[_windows(codes[1:])] & place) + 1
+        some = {words[k] for k in (np.searchsorted(starts, at, side="right") - 1).tolist()}
+        known.update([w for w in some if not lexicon.isdisjoint(terms(w))])
+    return known
 
 
 def _near(words: list[str], abusive: set[str], second: list[int]) -> int:
@@ -98,7 +147,7 @@ def _near(words: list[str], abusive: set[str], second: list[int]) -> int:
 
 def _disguised(text: str) -> list[str]:
     out, end = [], 0
-    for m in _SIGNS.finditer(text):
+    for m in _BEFORE_LETTER.finditer(text):
         if m.start() >= end and m.start() and (text[m.start() - 1].isalpha() or m[0][0] in "@$"):
             begin = m.start()
             while begin and begin > end and text[begin - 1].isalnum():
@@ -109,9 +158,11 @@ def _disguised(text: str) -> list[str]:
     return out
 
 
-def _spaced_out(words: list[str], counts: Counter) -> int:
+def _spaced_out(words: list[str], letter: np.ndarray, starts: np.ndarray) -> int:
     """Runs of single letters that together spell an abusive word."""
-    if sum([n for w, n in counts.items() if len(w) == 1]) < 4:
+    single = ~letter[starts + 1]
+    # Four in a row somewhere: where there are none, no run is long enough.
+    if not (single[:-3] & single[1:-2] & single[2:-1] & single[3:]).any():
         return 0
     # One string of single letters, with a space for every other word: a run is what stands between spaces.
     runs = "".join([w if len(w) == 1 else " " for w in words]).split()
@@ -121,22 +172,23 @@ def _spaced_out(words: list[str], counts: Counter) -> int:
 def features(text: str | None, lexicon: frozenset[str] = frozenset()) -> list[float]:
     """The dense features of a whole text, in the order of FEATURES; lexicon: the learned terms."""
     text = text or ""
-    words = _WORD.findall(text.lower())
-    n, counts = len(words), Counter(words)
-    seen = counts.keys()
-    hit = lambda found: sum([counts[w] for w in found])
-    insults, profane, second = INSULTS & seen, PROFANITY & seen, SECOND_PERSON & seen
-    learned = {w for w in seen if _is_learned(w, lexicon)} if lexicon else set()
+    words, codes, letter, starts = _split(text.lower())
+    kinds = _kinds()[_codes(text)]
+    n, seen = len(words), set(words)
+    insults, profane, hostile, second = INSULTS & seen, PROFANITY & seen, HOSTILITY & seen, SECOND_PERSON & seen
+    learned = _learned(words, codes, letter, starts, lexicon) if lexicon else set()
     abusive = insults | profane | learned
+    counts = Counter(filter((abusive | hostile | second).__contains__, words))
+    hit = lambda found: sum([counts[w] for w in found])
     near = _near(words, abusive, [i for i, w in enumerate(words) if w in SECOND_PERSON]) if abusive and second else 0
-    lookalikes = _disguised(text)
-    letters = sum([len(w) * k for w, k in counts.items()])
+    lookalikes = _disguised(text) if (kinds[:-1] & 4 & kinds[1:] << 2).any() else []
+    letters = int(np.count_nonzero(letter))
     per, some = 100 / max(1, n), max(1, letters)
     return [
-        float(n), float(hit(insults)), hit(insults) * per, hit(profane) * per, hit(HOSTILITY & seen) * per, float(hit(learned)), hit(learned) * per, float(len(learned)),
-        hit(abusive) * per, float(len(abusive)), hit(second) * per, float(near), sum(map(len, _CAPITALS.findall(text))) / some, text.count("!") * per, text.count("?") * per,
+        float(n), float(hit(insults)), hit(insults) * per, hit(profane) * per, hit(hostile) * per, float(hit(learned)), hit(learned) * per, float(len(learned)),
+        hit(abusive) * per, float(len(abusive)), hit(second) * per, float(near), int(np.count_nonzero(kinds & 2)) / some, text.count("!") * per, text.count("?") * per,
         (len(text) - letters - text.count(" ") - text.count("\n")) * per, float(sum(w.strip("!*").lower().translate(_PLAIN) in ABUSE for w in lookalikes)),
-        len(lookalikes) * per, float(_spaced_out(words, counts)), letters / max(1, n),
+        len(lookalikes) * per, float(_spaced_out(words, letter, starts)), letters / max(1, n),
     ]
 
 

@@ -172,3 +172,29 @@ def test_abuse_known_by_the_end_or_the_inside_of_words(spark, form):
     found = toxicity.train_and_score(docs, labels).where("held_out").collect()
     assert len(found) > 100 and all(r.predicted for r in found if r.doc_id % 4 == 0)
     assert np.mean([r.predicted for r in found if r.doc_id % 4]) <= 0.05
+
+
+def test_learned_words_equal_their_terms_looked_up_one_by_one():
+    rng = np.random.default_rng(6)
+    some = lambda n: "".join(rng.choice(list("abcdeßéİΣ\U0001d400"), n))
+    ends = [" ", "\n", "'", "3", "_", "̇", "-", "²", "\U0001f600"]
+    at = [toxicity.FEATURES.index(f) for f in ("words", "learned", "distinct_learned", "mean_word")]
+    for _ in range(200):
+        texts = ["".join(some(int(rng.choice([1, 2, 4, 5, 6, 7, 9, 63, 64, 65, 70]))) + str(rng.choice(ends)) for _ in range(30)) for _ in range(2)]
+        known = [t for w in toxicity._WORD.findall(texts[0].lower()) for t in toxicity.terms(w)]
+        lexicon = frozenset(rng.choice(known, 12).tolist())
+        for text in [*texts, "".join(texts)[3:-1], "", " ", "a", known[0]]:
+            words = toxicity._WORD.findall(text.lower())
+            learned = [w for w in words if not lexicon.isdisjoint(toxicity.terms(w))]
+            values = toxicity.features(text, lexicon)
+            assert [values[k] for k in at] == [len(words), len(learned), len(set(learned)), sum(map(len, words)) / max(1, len(words))]
+
+
+def test_terms_are_spelled_out_only_where_a_piece_may_begin(monkeypatch):
+    """Most words of a corpus are met once, so spelling out the pieces of each took more CPU than all other features."""
+    rng = np.random.default_rng(7)
+    text = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(5_000)) + " grumblekin"
+    seen, terms = [], toxicity.terms
+    monkeypatch.setattr(toxicity, "terms", lambda word: seen.append(word) or terms(word))
+    found = toxicity.features(text, frozenset({"grum-", "-lekin", "-umble-", "lowei"}))
+    assert found[toxicity.FEATURES.index("learned")] == 1 and "grumblekin" in seen and len(seen) < 100
