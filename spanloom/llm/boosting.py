@@ -85,11 +85,12 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, shrink: f
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing fit of y on score by pooling adjacent violators, each block smoothed a little toward the mean."""
-    order = np.lexsort((y, score))
+    # Rows of one score are one block from the start: taken one by one, those with label 0 would join the block below and tie it to the rest.
+    values, at = np.unique(score, return_inverse=True)
     blocks: list[list[float]] = []
-    for s, label in zip(score[order], y[order].astype(float), strict=True):
-        blocks.append([label, 1.0, s, s])
-        while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][3] == blocks[-1][2]):
+    for s, label, n in zip(values, np.bincount(at, y, len(values)), np.bincount(at, minlength=len(values)).astype(float), strict=True):
+        blocks.append([label, n, s, s])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             label_sum, n, _, high = blocks.pop()
             blocks[-1] = [blocks[-1][0] + label_sum, blocks[-1][1] + n, blocks[-1][2], high]
     mean = float(np.mean(y)) if len(y) else 0.0

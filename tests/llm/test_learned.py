@@ -198,3 +198,10 @@ def test_terms_are_spelled_out_only_where_a_piece_may_begin(monkeypatch):
     monkeypatch.setattr(toxicity, "terms", lambda word: seen.append(word) or terms(word))
     found = toxicity.features(text, frozenset({"grum-", "-lekin", "-umble-", "lowei"}))
     assert found[toxicity.FEATURES.index("learned")] == 1 and "grumblekin" in seen and len(seen) < 100
+
+
+def test_isotonic_keeps_apart_two_scores_of_which_the_higher_has_both_labels():
+    score, y = np.repeat([-10.8, 8.6], [90, 11]), np.repeat([0, 1], [91, 10])
+    xs, ys = boosting.isotonic(score, y)
+    assert xs.tolist() == [-10.8, 8.6] and ys[0] < 0.05 and ys[1] > 0.8
+    assert boosting.isotonic(np.zeros(0), np.zeros(0, dtype=int))[1].tolist() == [0.0]
